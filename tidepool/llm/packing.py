@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
@@ -20,7 +21,7 @@ END = 2
 #: Pieces packed together, on average.
 PIECES_A_GROUP = 4000
 #: Words whose ids a worker keeps; the memory is emptied when it is full.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 800_000
 
 #: Words of the tokenizer's own split, for texts within the characters below.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -28,6 +29,32 @@ _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1\xa4-\xb1\xb4\xb6-\xb8\xba\xbb\xbf-įĲ-ňŊ-ž]*")
 
 
+class _Known(dict):
+    """Ids, as little-endian 32-bit bytes, of runs of characters between spaces; new ones are split into the
+    tokenizer's words, which its model tokenizes one by one."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.model = tokenizer.model
+        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def __missing__(self, run: str) -> bytes:
+        if len(run) > 1 and run[-1] in ".,;:!?)" and run[:-1].isalpha():
+            ids = self[run[:-1]] + self[run[-1]]
+        else:
+            found: list[int] = []
+            for word in (run,) if run.isalpha() else _WORD.findall(run):
+                found += [t.id for t in self.model.tokenize(word if word.isascii() else self.as_bytes(word)[0][0])]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(run) <= 64:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[run] = ids
+        return ids
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, with the ids of words remembered."""
 
@@ -35,27 +62,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _bytes(self, encoding) -> bytes:
-        return np.asarray(encoding.ids, dtype="<u4").tobytes()
+        self.known = _Known(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
-        """The ids of the whole text. Words are encoded one by one; a text with characters on which the two splits
-        might differ, or with a special token's brackets, goes to the tokenizer as it is."""
+        """The ids of the whole text. No token crosses white space, so runs between spaces are encoded one by one; a
+        text with characters on which the two splits might differ, or with a special token's brackets, goes to the
+        tokenizer as it is."""
         if "<|" in text or not _PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
-            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False))
-        words = _WORD.findall(text.lower())
-        known = self.known
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) + len(new) > KNOWN_WORDS:
-                known.clear()
-                new = set(words)
-            fresh = list(new)
-            for w, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                known[w] = self._bytes(e)
-        return b"".join(map(known.__getitem__, words))
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
 
 
 _ENCODERS: dict[str, Encoder] = {}
