@@ -34,7 +34,10 @@ def variable_fee_rate(vfc: Column, accumulator: Column, bin_step: Column) -> Col
     step = (accumulator.cast("decimal(12,0)") * bin_step.cast("decimal(6,0)")).cast("decimal(18,0)")
     square = (step * step).cast("decimal(37,0)")
     total = F.try_add(F.try_multiply(square, vfc.cast("decimal(12,0)")).cast(_WIDE), F.lit(99_999_999_999).cast("decimal(12,0)"))
-    rate = F.floor(total.cast(_WIDE) / F.lit(10**11).cast("decimal(12,0)")).cast(_WIDE)
+    # decimal division rounds, so the remainder is taken off first
+    unit = F.lit(10**11).cast("decimal(12,0)")
+    total = total.cast(_WIDE)
+    rate = ((total - total % unit) / unit).cast(_WIDE)
     return F.when(vfc == 0, F.lit(0).cast(_WIDE)).otherwise(rate)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import scalar
 from tidepool.functions.checks import ITEM, check, info, optional, passed
-from tidepool.operators.windows import BY, autocorrelations, ewma, full_sum, log_returns, realised, trailing_sum, trend
+from tidepool.operators.windows import autocorrelations, by_pool, ewma, full_sum, log_returns, realised, trailing_sum, trend
 
 REGIMES = ("S", "V1", "V2")
 
@@ -85,12 +85,12 @@ def history(bars: DataFrame, bars_day: int) -> DataFrame:
     partitioning and order by pool and bucket.
     """
     hour, week = max(1, round(bars_day / 24)), 7 * bars_day
-    diff = lambda c: (F.col(c) - F.lag(c).over(BY)).alias(f"{c}_change")
+    diff = lambda c: (F.col(c) - F.lag(c).over(by_pool())).alias(f"{c}_change")
     ratio = lambda k: F.try_divide(full_sum("fee", k), F.when(F.col("tvl") > 0, F.col("tvl")))
     rows = bars.select(
         "*", diff("volume"), diff("fee"), diff("tvl"), diff("close"), diff("active_tvl"), F.coalesce(trailing_sum("volume", bars_day), F.lit(0.0)).alias("vol_24h"),
         ratio(hour).alias("fee_tvl_1h"), ratio(bars_day).alias("fee_tvl_24h"), ratio(week).alias("fee_tvl_7d"), trend("volume", bars_day).alias("volume_trend"),
-        ((F.col("bucket") - F.first("bucket").over(BY)) / 86400).alias("history_days"),
+        ((F.col("bucket") - F.first("bucket").over(by_pool())) / 86400).alias("history_days"),
     )
     returns = log_returns(bars)
     jumps = realised(returns, bars_day).select("pool", "bucket", "jump_share")
@@ -141,7 +141,7 @@ def regimes(rows: DataFrame, cfg: Config, width: int) -> DataFrame:
         (F.col("bucket") + width).alias("t"), F.col("sigma_slow").alias("slow"), F.col("sigma_fast").alias("fast"), F.col("dev_peg").alias("peg"), F.col("age_days").alias("age"),
         F.col("pegged").alias("pegged"), F.col("major").alias("major"), F.col("kill").alias("kill"), F.col("sufficient").alias("sufficient"),
     )
-    by_pool = rows.groupBy("pool").agg(F.array_sort(F.collect_list(one)).alias("xs"), F.min(F.col("bucket") + width).alias("t0"))
+    pools = rows.groupBy("pool").agg(F.array_sort(F.collect_list(one)).alias("xs"), F.min(F.col("bucket") + width).alias("t0"))
 
     def state(regime: Column, since: Column, pending: Column, pending_since: Column, last: Column) -> Column:
         return F.struct(regime.alias("regime"), since.alias("since"), pending.alias("pending"), pending_since.alias("pending_since"), last.alias("last"))
@@ -170,7 +170,7 @@ def regimes(rows: DataFrame, cfg: Config, width: int) -> DataFrame:
         return F.struct(after.cast(_STATE).alias("s"), F.concat(acc["out"], F.array(done.cast(_STEP))).alias("out"))
 
     start = F.struct(state(none, F.col("t0"), none, never, never).cast(_STATE).alias("s"), F.array().cast(f"array<{_STEP}>").alias("out"))
-    folded = by_pool.select("pool", F.explode(F.aggregate("xs", start, step)["out"]).alias("o"))
+    folded = pools.select("pool", F.explode(F.aggregate("xs", start, step)["out"]).alias("o"))
     return folded.select("pool", (F.col("o.t") - width).alias("bucket"), F.col("o.regime").alias("regime"), F.col("o.item").alias("regime_item"))
 
 
@@ -265,7 +265,7 @@ def exits(rows: DataFrame, cfg: Config) -> DataFrame:
     def hours(df: DataFrame, value: str, bound: Column, out: str) -> DataFrame:
         """Hours since the first of the unbroken run of bars below the bound; 0 where it isn't below."""
         below = F.coalesce(F.col(value) < bound, F.lit(False))
-        runs = df.withColumn("__run", F.count_if(~below).over(BY))
+        runs = df.withColumn("__run", F.count_if(~below).over(by_pool()))
         first = F.min(F.when(below, F.col("bucket"))).over(W.partitionBy("pool", "__run"))
         return runs.withColumn(out, F.when(below, (F.col("bucket") - first) / 3600.0).otherwise(F.lit(0.0))).drop("__run")
 

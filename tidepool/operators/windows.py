@@ -13,11 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-BY = W.partitionBy("pool").orderBy("bucket")
+def by_pool() -> WindowSpec:
+    return W.partitionBy("pool").orderBy("bucket")
 
 
 def trailing(bars: int) -> WindowSpec:
-    return BY.rowsBetween(-(bars - 1), 0)
+    return by_pool().rowsBetween(-(bars - 1), 0)
 
 
 def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -28,20 +29,20 @@ def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -
 
 def changes(bars: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Current minus previous bar's value; null if either is."""
-    return bars.select("*", *[(F.col(c) - F.lag(c).over(BY)).alias(f"{c}_change") for c in columns])
+    return bars.select("*", *[(F.col(c) - F.lag(c).over(by_pool())).alias(f"{c}_change") for c in columns])
 
 
 def log_returns(bars: DataFrame) -> DataFrame:
     """pool, bucket, r: log returns between neighbouring closes that are both known and above zero."""
     closes = bars.filter("close is not null").select("pool", "bucket", F.col("close").cast("double").alias("close"))
-    before = F.lag("close").over(BY)
+    before = F.lag("close").over(by_pool())
     return closes.withColumn("r", F.when((before > 0) & (F.col("close") > 0), F.ln(F.col("close") / before))).filter("r is not null").select("pool", "bucket", "r")
 
 
 def realised(returns: DataFrame, bars: int) -> DataFrame:
     """Realised variance, bipower variation and the jump share (at least 0.05) of the last `bars` returns."""
-    rows = returns.withColumn("n", F.row_number().over(BY)).withColumn("pair", F.abs("r") * F.abs(F.lag("r").over(BY)))
-    w, inner = trailing(bars), BY.rowsBetween(-(bars - 2), 0)
+    rows = returns.withColumn("n", F.row_number().over(by_pool())).withColumn("pair", F.abs("r") * F.abs(F.lag("r").over(by_pool())))
+    w, inner = trailing(bars), by_pool().rowsBetween(-(bars - 2), 0)
     rv = F.sum(F.col("r") * F.col("r")).over(w)
     bv = math.pi / 2 * F.coalesce(F.sum("pair").over(inner), F.lit(0.0)) if bars > 1 else F.lit(0.0)
     share = F.greatest(F.try_divide(F.col("rv") - F.col("bv"), F.col("rv")), F.lit(0.05))
@@ -53,7 +54,7 @@ def autocorrelations(returns: DataFrame, lags: int = 6, least: int = 20) -> Data
     than `least` returns or no variance."""
     pool = W.partitionBy("pool")
     rows = returns.select("pool", "bucket", "r", F.avg("r").over(pool).alias("m")).withColumn("x", F.col("r") - F.col("m"))
-    rows = rows.select("pool", "x", *[(F.col("x") * F.lag("x", k).over(BY)).alias(f"x{k}") for k in range(1, lags + 1)])
+    rows = rows.select("pool", "x", *[(F.col("x") * F.lag("x", k).over(by_pool())).alias(f"x{k}") for k in range(1, lags + 1)])
     n, variance = F.count("*"), F.avg(F.col("x") * F.col("x"))
     enough = (n >= least) & (variance > 0)
     return rows.groupBy("pool").agg(n.alias("returns"), *[F.when(enough, F.sum(f"x{k}") / (n - k) / variance).alias(f"rho_{k}") for k in range(1, lags + 1)])
@@ -72,7 +73,7 @@ def full_sum(column: str, bars: int) -> Column:
 
 def trend(column: str, bars: int) -> Column:
     """(recent - prior) / prior over two windows of `bars` rows; 0 without both or with nothing before."""
-    recent, prior = full_sum(column, bars), F.sum(column).over(BY.rowsBetween(-(2 * bars - 1), -bars))
+    recent, prior = full_sum(column, bars), F.sum(column).over(by_pool().rowsBetween(-(2 * bars - 1), -bars))
     known = (F.count(F.lit(1)).over(trailing(2 * bars)) >= 2 * bars) & (prior > 0)
     return F.when(known, (F.coalesce(recent, F.lit(0.0)) - prior) / prior).otherwise(F.lit(0.0))
 
@@ -91,7 +92,7 @@ def hours_below(points: DataFrame, value: str, threshold: float) -> DataFrame:
 def ewma(rows: DataFrame, value: str, decay: float, out: str, most: int = 20_000) -> DataFrame:
     """v = decay * v + (1 - decay) * x over each pool's rows, from 0; a null x leaves v. In closed form, as one
     window sum of weighted values; only the last `most` rows of a pool carry weight, so powers stay finite."""
-    numbered = rows.withColumn("__n", F.count(value).over(BY))
+    numbered = rows.withColumn("__n", F.count(value).over(by_pool()))
     reach = min(most, int(650 / -math.log(decay)))
     base = F.floor(F.col("__n") / reach) * reach
     weighted = F.col(value) * F.pow(F.lit(decay), -(F.col("__n") - base).cast("double"))

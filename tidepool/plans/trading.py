@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepool.functions import scalar
 from tidepool.functions.checks import as_text
-from tidepool.operators import ledger, mixture, ops, pipeline, rollup
+from tidepool.operators import ledger, mixture, ops, pipeline, rollup, windows
 from tidepool.plans.registry import query
 from tidepool.plans.rollup import chain_ctes, state_bars_sql
 from tidepool.plans.windows import HOURLY, hourly
@@ -32,7 +33,7 @@ def evaluated(t: Tables) -> DataFrame:
     })
     regime = pipeline.regimes(rows.select("pool", "bucket", "sigma_slow", "sigma_fast", "sufficient", "dev_peg", "age_days", "pegged", "major", "kill"), CFG, WIDTH)
     rows = rows.join(regime, ["pool", "bucket"])
-    before = F.lag("regime").over(pipeline.BY)
+    before = F.lag("regime").over(windows.by_pool())
     rows = rows.withColumn("c_fill", F.when(before == "S", 0.75).otherwise(0.5))
     return pipeline.evaluate(pipeline.with_risk_inputs(rows), CFG)
 
@@ -140,12 +141,12 @@ def position_profits(t: Tables) -> DataFrame:
 
 
 @query(sql(
-    """select p.position_id, s.t, s.price::double as price, s.bin between p.lower_bin and p.upper_bin as in_range, round(coalesce((select sum(amount) from cash_flows c where c.kind = 0 and c.position_id = p.position_id and c.t <= s.t), 0)::double * s.price::double, 4) as hold_value
+    """select p.position_id, s.t, s.price::double as price, s.bin between p.lower_bin and p.upper_bin as in_range, round(coalesce((select sum(amount) from cash_flows c where c.kind = 0 and c.position_id = p.position_id and c.t <= s.t), 0)::double * s.price::double, 2) as hold_value
     from positions p join (select pool, t, min(event_id % 90)::integer as bin, min(price) as price from swaps where event_id % 20 = 0 group by pool, t) s on s.pool = p.pool""", "positions", "swaps", "cash_flows"))
 def position_valuations(t: Tables) -> DataFrame:
     prices = t.swaps().filter("event_id % 20 = 0").groupBy("pool", "t").agg(F.min(F.col("event_id") % 90).cast("int").alias("bin_id"), F.min("price").alias("price"))
     out = ledger.valuations(t.positions(), t.cash_flows().filter("kind = 0"), prices)
-    return out.select("position_id", "t", "price", "in_range", F.round("hold_value", 4).alias("hold_value"))
+    return out.select("position_id", "t", "price", "in_range", F.round("hold_value", 2).alias("hold_value"))
 
 
 @query(sql("select user_id as intent, case when bool_or(s = 2) then 2 else last(s order by t, event_id) end::integer as status, min(t) as created_at, min(t) filter (s = 2) as confirmed_at from (select *, case event_type when 'view' then 0 when 'click' then 1 when 'purchase' then case when event_id % 40 = 0 then 2 else 1 end when 'error' then 3 else 4 end as s from e) group by user_id", "e"))
@@ -174,10 +175,8 @@ def recovered_amounts(t: Tables) -> DataFrame:
 @query(sql("select position_id, sum(growth * (position_id % 7 + 1))::double as fees from positions p join (select pool, (event_id % 90)::integer as bin_id, last(g order by t, event_id) - first(g order by t, event_id) as growth from (select pool, t, event_id, sum(v) over (partition by pool, event_id % 90 order by t, event_id) as g from e) group by 1, 2) b on b.pool = p.pool and b.bin_id between p.lower_bin and p.upper_bin group by position_id", "positions", "e"))
 def true_fees(t: Tables) -> DataFrame:
     """Fees by the growth of the bins' fees per share."""
-    from tidepool.operators.windows import running_sum
-
     bins = t.events().withColumn("bin_id", (F.col("event_id") % 90).cast("int"))
-    states = running_sum(bins, ["pool", "bin_id"], ["t", "event_id"], "v", "fee_per_share").select("pool", "bin_id", F.struct("t", "event_id").alias("t"), "fee_per_share")
+    states = windows.running_sum(bins, ["pool", "bin_id"], ["t", "event_id"], "v", "fee_per_share").select("pool", "bin_id", F.struct("t", "event_id").alias("t"), "fee_per_share")
     out = ledger.true_fees(t.positions().withColumn("shares", F.col("position_id") % 7 + 1), states)
     return out.select("position_id", F.col("fees").cast("double").alias("fees"))
 
@@ -185,10 +184,8 @@ def true_fees(t: Tables) -> DataFrame:
 @query(sql("select wallet, position_id, value::double as value from (select *, row_number() over (partition by wallet order by position_id desc) as rn from positions where not closed) where rn = 1", "positions"))
 def latest_position(t: Tables) -> DataFrame:
     """Each wallet's newest open position."""
-    from tidepool.operators.windows import latest_per_key
-
     rows = t.positions().filter("not closed").select("wallet", "position_id", F.col("value").cast("double").alias("value"))
-    return latest_per_key(rows.withColumn("o", F.col("position_id")), ["wallet"], ["o"]).drop("o")
+    return windows.latest_per_key(rows.withColumn("o", F.col("position_id")), ["wallet"], ["o"]).drop("o")
 
 
 @query(sql("select tier, count(*) as pools from pools group by tier", "pools"))
@@ -219,8 +216,6 @@ _TICKS = {
 
 @query(sql("select source, t, lag_slots, new_rows, lag_slots <= 750 and coalesce(new_rows, 0) > 0 as healthy from lagged", "e", **{k: v.replace("order by t, event_id", "order by t") for k, v in _TICKS.items()} | {"e": "select max(event_id) as event_id, cast(floor(epoch(ts)) as bigint) as t, max(user_id) as user_id, event_type from events group by 2, 4"}))
 def ingest_lag(t: Tables) -> DataFrame:
-    from pyspark.sql import Window as W
-
     e = t.events().groupBy("t", "event_type").agg(F.max("event_id").alias("event_id"), F.max("user_id").alias("user_id"))
     running = F.count_if(F.col("event_id") % 3 == 0).over(W.partitionBy("event_type").orderBy("t"))
     ticks = e.select(F.col("event_type").alias("source"), "t", (F.col("t") - F.col("user_id") % 400).alias("last_block_time"), running.alias("total_rows"))
@@ -230,8 +225,6 @@ def ingest_lag(t: Tables) -> DataFrame:
 @query()
 def health_alerts(t: Tables) -> DataFrame:
     """Alerts on telemetry derived from the event stream."""
-    from pyspark.sql import Window as W
-
     e = t.events().groupBy("t", "event_type").agg(F.max("event_id").alias("event_id"), F.max("user_id").alias("user_id"))
     w = W.partitionBy("event_type").orderBy("t")
     rows = e.select(F.col("event_type").alias("source"), "t", (F.col("user_id") * 31 % 4000).alias("lag_slots"), F.floor(F.col("t") / 7200).alias("slot"), F.count_if(F.col("event_id") % 5 == 0).over(w).alias("reconnects"), F.sum(F.col("event_id") % 40).over(w).alias("decode_errors"))
