@@ -44,6 +44,15 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of keys that are broadcast (some tens of megabytes); more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def if_small(keys: DataFrame) -> DataFrame:
+    """keys marked for broadcast where they are counted to be few. Call it on materialised keys."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def bucket_of(column: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo a number: the fixed train / held-out folds."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
@@ -91,6 +100,11 @@ def folded_bytes(texts: Sequence[str | None]) -> list[bytes]:
 
 def word_hashes(raw: Sequence[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and where each text's words begin (len(raw) + 1 entries)."""
+    return placed_word_hashes(raw, words)[:2]
+
+
+def placed_word_hashes(raw: Sequence[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes, and each word's first and one past its last code point in its text."""
     buf = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     inside = words[buf]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -100,13 +114,20 @@ def word_hashes(raw: Sequence[bytes], words: np.ndarray) -> tuple[np.ndarray, np
     text_starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in raw])))
     bounds = np.searchsorted(starts, text_starts)
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), bounds
+        return np.zeros(0, dtype=np.uint64), bounds, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     lengths = ends - starts
     total = int(lengths.sum())
     first = np.cumsum(lengths) - lengths
     at = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
     values = _BYTE_AT[((at & 255) << 8) | buf[inside]]
-    return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64)), bounds
+    hashes = mix(np.add.reduceat(values, first) + lengths.astype(np.uint64))
+    if (buf < 0x80).all():
+        point, origin = np.arange(len(buf) + 1), text_starts
+    else:
+        point = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))  # code points before each byte
+        origin = point[text_starts]
+    own = np.repeat(origin[:-1], np.diff(bounds))
+    return hashes, bounds, point[starts] - own, point[ends] - own
 
 
 def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:

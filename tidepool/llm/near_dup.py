@@ -4,10 +4,13 @@ Every register of a sketch is a true min-wise sample: rounds of bucketed hashing
 empty, so short texts are sketched as faithfully as long ones. A register keeps the round, the leading-zero
 count of the minimum and ten mantissa bits.
 
-Candidates that share a band are never paired with each other in full. Texts with equal sets are one node;
-each bucket first links its members to a pivot, links are confirmed on full sets, and only then members of
-different components are compared, the bucket's largest component once against the rest. Buckets with very
-many such members are dealt again by a second band. No partner or candidate is dropped.
+Candidates that share a band are never paired with each other in full. Texts with equal sets are one node.
+Each set is first tried against one of its buckets' smallest ids. In buckets that then hold several components,
+a set can only be linked if enough of its shingles occur in any other set there; that bound drops sets which
+share a passage but not a text, and copies that were changed too much. The rest is tried against the bucket's
+set of most shared shingles, and only what is still apart is compared, the largest component once against the
+others, after a bound on what they can have in common from what each shares with that set. Very wide buckets
+are dealt again by a second band. All links are confirmed on full sets, and nothing that may be linked is dropped.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ MANTISSA_BITS = 10
 #: 32 bands of 4 miss a pair at similarity 0.8 once in twenty million.
 BANDS, ROWS = 32, 4
 #: Bucket members outside its largest component, beyond which the bucket is dealt again by a second band.
-WIDE_BUCKET = 1000
+WIDE_BUCKET = 10_000
 _SEEDS = np.random.default_rng(7).integers(0, 2**64, size=4096, dtype=np.uint64)
 _BAND_ODD = np.random.default_rng(11).integers(0, 2**64, size=(64, ROWS), dtype=np.uint64) | np.uint64(1)
 
@@ -99,28 +102,48 @@ def may_reach(a: str, b: str, percent: int, bands: int = BANDS) -> Column:
     return size & (differing_bits(a, b) <= int(registers * p + 6 * (registers * p * (1 - p)) ** 0.5))
 
 
-def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("set_a"), batch.column("set_b")
-            keep = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both, n_a, n_b = [], [], []
+        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both.append(len(np.intersect1d(x, y, assume_unique=True)))
+            n_a.append(len(x))
+            n_b.append(len(y))
+        yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")} | {k: pa.array(v, pa.int64()) for k, v in (("both", both), ("n_a", n_a), ("n_b", n_b))})
 
-    return run
 
-
-def confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialised(sets_of(ids), "sets")
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the number of common shingles (both) and the sizes of their full sets, of `sets` (id,
+    shingles)."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(_confirm(percent), pairs.select("a", "b").schema)
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    counted = pairs.select("a", "b", *[F.lit(0).cast("long").alias(c) for c in ("both", "n_a", "n_b")]).schema
+    return materialised(met.mapInArrow(_common, counted), "measured")
+
+
+def linked(counted: DataFrame, percent: int) -> DataFrame:
+    """The measured pairs that reach the similarity."""
+    return counted.filter(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b")
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("id")
+        for i, s in enumerate(batch.column("shingles")):
+            s = np.frombuffer(s.as_py(), np.int64)
+            for at in range(0, len(s), 200_000):
+                part = s[at : at + 200_000]
+                yield pa.RecordBatch.from_pydict({"shingle": pa.array(part), "id": ids.take(pa.array(np.full(len(part), i)))})
+
+
+def met_shingles(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, met): how many of each set's shingles occur in a further one of the sets. sizes: id, n."""
+    fields = sets.select(F.lit(0).cast("long").alias("shingle"), "id").schema
+    owners = sets.mapInArrow(_shingle_rows, fields).groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
+    alone = owners.groupBy("id").agg(F.count("*").alias("alone"))
+    return sizes.join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("met"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -143,16 +166,18 @@ def components(links: DataFrame) -> DataFrame:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
         return out.filter(F.col("a") != F.col("b")).distinct()
 
-    edges = materialised(links.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges")
-    seen = None
-    while True:
+    def done(edges: DataFrame) -> bool:
+        """Whether every id points at one smaller id that points at none."""
+        twice = edges.groupBy("a").count().filter("count > 1").select("a")
+        onwards = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+        return twice.union(onwards).isEmpty()
+
+    ordered = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = materialised(ordered, "edges")
+    while not done(edges):
         edges = materialised(star(star(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
-                edges.select(F.col("b").alias("id"), F.col("b").alias("component"))
-            ).distinct()
-        seen = now
+    roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
 
 def classes(sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80, bands: int = BANDS) -> DataFrame:
@@ -174,36 +199,72 @@ def classes(sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
     of_pivot = reps.select(F.col("id").alias("p"), F.struct("id", "n", "bits0", "bits1").alias("y"))
     shared = materialised(shared.join(of_id, "id").select("key", "id", "x", "p"), "shared")
 
+    # first, each set against its buckets' smallest ids: the one that looks most alike
     tried = shared.filter(F.col("id") != F.col("p")).select("id", "x", "p").distinct().join(of_pivot, "p").filter(may_reach("x", "y", percent, bands))
     best = tried.groupBy(F.col("id").alias("b")).agg(F.min(F.struct(differing_bits("x", "y").alias("d"), F.col("p").alias("a"))).alias("best"))
-    links = materialised(confirmed(best.select("best.a", "b"), sets_of, percent), "links")
+    pairs = materialised(best.select("best.a", "b"), "pairs")
+    links = linked(measured(pairs, materialised(sets_of(_ids(pairs)), "sets")), percent)
     found = components(links)
 
-    rest = materialised(_between_components(shared, found, reps, percent, bands), "rest")
+    # then what is left in buckets of several components, by how many of its shingles any other set there has
+    open_ = materialised(_open(shared.select("key", "id", "x"), found), "open")
+    sizes = open_.select("id", F.col("x.n").alias("n")).distinct()
+    sets = materialised(sets_of(sizes.select("id")), "sets")
+    met = materialised(met_shingles(sets, sizes).join(sizes, "id").filter(F.col("met") * 100 >= F.col("n") * percent).select("id", "met"), "met")
+    live = open_.select("key", "id", "x").join(met, "id").select("key", "id", F.struct("x.*", "met").alias("x"))
+    centres = live.groupBy("key").agg(F.max_by("x", F.struct(F.col("x.met") / F.col("x.n"), F.xxhash64("id"))).alias("y"))
+    live = materialised(live.join(centres, "key").select("key", "id", "x", F.col("y.id").alias("centre"), (may_reach("x", "y", percent, bands) & (F.col("x.id") != F.col("y.id"))).alias("near")), "live")
+    tried = measured(materialised(live.filter("near").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs"), sets)
+    links = links.unionByName(linked(tried, percent))
+    found = components(links)
+
+    counts = tried.select(F.col("a").alias("centre"), F.col("b").alias("id"), "both")
+    central = F.when(F.col("id") == F.col("centre"), F.col("x.n")).otherwise(F.col("both"))
+    known = live.join(counts, ["centre", "id"], "left").select("key", "id", F.struct("x.*", central.alias("central")).alias("x"))
+    rest = materialised(_between_components(_open(known, found), reps, percent, bands), "pairs")
     if not rest.isEmpty():
-        more = materialised(confirmed(rest, sets_of, percent), "links")
-        found = components(links.unionByName(more))
+        found = components(links.unionByName(linked(measured(rest, sets), percent)))
     of_rep = reps.join(found, "id", "left").select("lo", "hi", "n", F.coalesce("component", "id").alias("component"))
     return some.select("id", "lo", "hi", "n").join(of_rep, ["lo", "hi", "n"]).select("id", "component", "n")
 
 
-def _between_components(shared: DataFrame, found: DataFrame, reps: DataFrame, percent: int, bands: int) -> DataFrame:
-    """Pairs of a bucket's members that lie in different components and may reach the similarity."""
-    members = shared.select("key", "id", "x").join(found, "id", "left")
-    members = materialised(members.select("key", "x", F.coalesce("component", "id").alias("component")), "members")
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _may_share(a: str, b: str, percent: int, bands: int) -> Column:
+    """may_reach, and whether the sets can have enough in common: at most what both share with their bucket's centre,
+    and of their other shingles those that some set there has too. Without the former, all such shingles count."""
+    met = F.least(F.col(f"{a}.met"), F.col(f"{b}.met"))
+    beside = F.least(F.col(f"{a}.met") - F.col(f"{a}.central"), F.col(f"{b}.met") - F.col(f"{b}.central"))
+    most = F.least(met, F.coalesce(F.least(F.col(f"{a}.central"), F.col(f"{b}.central")) + beside, met))
+    known = F.col(f"{a}.central").isNotNull() & F.col(f"{b}.central").isNotNull()
+    most = F.when(known, most).otherwise(met)
+    return (most * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - most) * percent) & may_reach(a, b, percent, bands)
+
+
+def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (key, id, x) of buckets that hold several components, with their own component, the bucket's largest
+    one (top), and how many rows are outside it (others)."""
+    members = rows.join(found, "id", "left").select("key", "id", "x", F.coalesce("component", "id").alias("component"))
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("all"))
-    mixed = mixed.filter("parts > 1").select("key", F.col("top.component").alias("top"), (F.col("all") - F.col("top.c")).alias("others"))
-    open_ = members.join(mixed, "key")
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("all")).filter("parts > 1")
+    return members.join(mixed.select("key", F.col("top.component").alias("top"), (F.col("all") - F.col("top.c")).alias("others")), "key")
 
-    def pairs(rows: DataFrame) -> DataFrame:
-        a = rows.filter(F.col("component") != F.col("top")).select("key", F.col("x").alias("a"), F.col("component").alias("ca"))
-        b = rows.select("key", F.col("x").alias("b"), F.col("component").alias("cb"), "top")
-        met = a.join(b, "key").filter(F.col("ca") != F.col("cb")).filter((F.col("cb") == F.col("top")) | (F.col("a.id") < F.col("b.id")))
-        return met.filter(may_reach("a", "b", percent, bands)).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
 
-    few = open_.filter(F.col("others") <= WIDE_BUCKET)
-    wide = open_.filter(F.col("others") > WIDE_BUCKET).join(reps.select(F.col("id").alias("x_id"), "bands"), F.col("x.id") == F.col("x_id"))
-    dealt = wide.select("key", "x", "component", "top", F.explode("bands").alias("band")).filter(F.col("band") != F.col("key"))
-    dealt = dealt.select(F.xxhash64("key", "band").alias("key"), "x", "component", "top")
-    return pairs(few).union(pairs(dealt)).distinct()
+def _between_components(open_: DataFrame, reps: DataFrame, percent: int, bands: int) -> DataFrame:
+    """Pairs of a bucket's members that lie in different components and may reach the similarity; of the buckets that
+    two members share, only the first one pairs them."""
+
+    def pairs(rows: DataFrame, once: Column) -> DataFrame:
+        a = rows.filter(F.col("component") != F.col("top")).select("key", F.col("x").alias("a"), F.col("bands").alias("bands_a"), F.col("component").alias("ca"))
+        b = rows.select("key", F.col("x").alias("b"), F.col("bands").alias("bands_b"), F.col("component").alias("cb"), "top")
+        met = a.join(b, "key").filter(F.col("ca") != F.col("cb")).filter((F.col("cb") == F.col("top")) | (F.col("a.id") < F.col("b.id")))
+        return met.filter(_may_share("a", "b", percent, bands)).filter(once).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+
+    first = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("key")
+    rows = open_.join(reps.select("id", "bands"), "id")
+    wide = rows.filter(F.col("others") > WIDE_BUCKET)
+    dealt = wide.select("key", "x", "bands", "component", "top", F.explode("bands").alias("band")).filter(F.col("band") != F.col("key"))
+    dealt = dealt.select(F.xxhash64("key", "band").alias("key"), "x", "bands", "component", "top")
+    return pairs(rows.filter(F.col("others") <= WIDE_BUCKET), first).union(pairs(dealt, F.lit(True))).distinct()
