@@ -120,7 +120,44 @@ def test_repeated_paragraphs(spark):
     at = texts[0].index("\n") + 1
     assert got == [(0, 1, at, len(texts[0]) - at, 0, False), (1, 0, 0, len(" ".join(changed)), 0, True), (3, 1, texts[3].index("\n") + 1, len(" ".join(passage)), 0, True)]
     left = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect()}
-    assert left[0] == texts[0] and left[2] == texts[2] and left[1] == texts[1].split("\n")[1] and left[3] == "\n".join(texts[3].split("\n")[::2])
+    assert left[0] == texts[0] and left[2] == texts[2] and left[1].strip() == texts[1].split("\n")[1]
+    assert left[3] == "\n\n".join(texts[3].split("\n")[::2])
+
+
+def repeated_windows(texts, n):
+    """Texts of which some n words in a row occur earlier, in another text or in their own."""
+    seen, out = {}, set()
+    for d, t in sorted(texts.items()):
+        w = words(t)
+        for i in range(len(w) - n + 1):
+            first = seen.setdefault(tuple(w[i : i + n]), (d, i))
+            if first != (d, i):
+                out.add(d)
+    return out
+
+
+def test_passages_inside_other_paragraphs(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdéfgh") for _ in range(5))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    texts = {}
+    for d in range(0, 60, 2):
+        passage = fill(rng.choice([20, 51, 52, 60, 120]))
+        for k in range(2):
+            texts[d + k] = f"{fill(rng.randint(0, 90))} {passage if k else passage.upper()} {fill(rng.randint(0, 90))}\n{fill(10)}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = substring_dedup.repeated_passages(docs).collect()
+    removed_ = {r.doc_id for r in got if r.removed}
+    assert repeated_windows(texts, 51) <= removed_ <= repeated_windows(texts, 32)
+    for r in got:
+        mine, first = (lower(texts[d]) for d in (r.doc_id, r.first_doc_id))
+        assert mine[r.start : r.start + r.length] in first and r.removed == (r.doc_id % 2 == 1)
+
+
+def test_passages_of_given_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id for r in substring_dedup.op1_substring_dedup(spark, SF).filter("removed and kind = 'passage'").collect()}
+    assert repeated_windows(texts, 51) <= got <= repeated_windows(texts, 32)
 
 
 def test_repeated_paragraphs_of_given_documents(spark):
@@ -128,13 +165,14 @@ def test_repeated_paragraphs_of_given_documents(spark):
     sets = {(r.doc_id, n): shingles(p, 5) for r in docs for n, p in enumerate((r.text or "").split("\n")) if len(words(p)) >= 50}
     want = {k: c for k, c in classes(sets).items()}
     sizes = {c: list(want.values()).count(c) for c in want.values()}
-    got = {(r.doc_id, r.paragraph): (r.first_doc_id, r.first_paragraph) for r in substring_dedup.op1_substring_dedup(spark, SF).collect()}
+    got = {(r.doc_id, r.paragraph): (r.first_doc_id, r.first_paragraph) for r in substring_dedup.repeated_paragraphs(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     assert got == {k: c for k, c in want.items() if sizes[c] > 1}
 
 
 def test_repeated_paragraphs_of_awkward_rows(awkward, nothing):
     assert substring_dedup.repeated_paragraphs(awkward).filter("doc_id <> 7").count() == 0
-    assert substring_dedup.repeated_paragraphs(nothing).count() == 0
+    assert substring_dedup.repeated_paragraphs(nothing).count() == 0 and substring_dedup.repeated_passages(nothing).count() == 0
+    assert {r.doc_id for r in substring_dedup.repeated_passages(awkward).collect()} <= {7}
     out = substring_dedup.without_repeats(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()
 
