@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, materialised, mix, table, word_hashes
+from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, materialised, mix, table, word_hashes
 
 #: Lines of fewer words are only compared for equality: one word of a short line is too large a part of it.
 FUZZY_WORDS = 8
@@ -151,7 +151,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     halves = firsts.select("at", F.explode("halves").alias("key")).repartition("key")
     met = halves.join(halves.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key").select("at.doc_id", "at.line")
-    places = met.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    places = if_small(materialised(met.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "places"))
     near = materialised(rows.join(places, "doc_id").select("doc_id", "text", "lines"), "near")
     words = near.mapInArrow(_line_words, "doc_id long, line long, words binary").select(at.alias("at"), "words").dropDuplicates(["at"])
 
