@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepool.functions import scalar
+from tidepool.operators.windows import latest_per_key
 from tidepool.plans.registry import query
 from tidepool.sources import landing, sinks
 from tidepool.sources.adapters import Tables, sql
@@ -223,3 +224,34 @@ def constraint_audit(t: Tables) -> DataFrame:
         sinks.outside_set(t.cash_flows(), ["flow_id"], "kind", [0, 1], "bad_kind"),
     ]
     return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(sql("select pool, slot, event_id, v::double as v from (select *, t // 3600 as slot, row_number() over (partition by pool order by t // 3600 desc, event_id desc) as rn from e) where rn = 1", "e"))
+def newest_slot_state(t: Tables) -> DataFrame:
+    """Each pool's newest slot; of equal slots the later arrival."""
+    rows = t.events().select("pool", F.floor(F.col("t") / 3600).alias("slot"), "event_id", F.col("v").cast("double").alias("v"))
+    return latest_per_key(rows, ["pool"], ["slot", "event_id"])
+
+
+@query(sql("select pool, max(t // 3600) as slot, last(event_id order by t, event_id) filter (event_type = 'view') as pair, list_sort(list(event_id) filter (event_type = 'click'))::varchar as arrays, max(t) filter (event_id % 3 = 0) as block_time from e group by pool", "e"))
+def grouped_state_updates(t: Tables) -> DataFrame:
+    """Account updates grouped to one state per pool: highest slot, last pair, all bin arrays, last block time."""
+    kind = F.col("event_type")
+    out = t.events().groupBy("pool").agg(
+        F.max(F.floor(F.col("t") / 3600)).alias("slot"), F.max_by("event_id", F.when(kind == "view", F.struct("t", "event_id"))).alias("pair"),
+        F.array_sort(F.collect_list(F.when(kind == "click", F.col("event_id")))).alias("ids"), F.max(F.when(F.col("event_id") % 3 == 0, F.col("t"))).alias("block_time"),
+    )
+    return out.select("pool", "slot", "pair", F.concat(F.lit("["), F.concat_ws(", ", F.transform("ids", lambda x: x.cast("string"))), F.lit("]")).alias("arrays"), "block_time")
+
+
+@query(sql("select pool, count(*) as events, min(t) as first_t, max(t) as last_t from e group by pool", "e"))
+def compacted_events(t: Tables) -> DataFrame:
+    """Events after a rewrite that deals them by pool and day and sorts them within files: nothing is lost."""
+    rows = sinks.clustered(t.events(), "pool", "t", 16)
+    return rows.groupBy("pool").agg(F.count("*").alias("events"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
+@query(sql("select t // 86400 as batch, max(t // 60) as max_slot, count(*) as rows_written, count(*) filter (event_type = 'view') as skipped from e group by 1", "e"))
+def flush_progress(t: Tables) -> DataFrame:
+    """Highest slot and rows of every flush, here a day."""
+    return t.events().groupBy(F.floor(F.col("t") / 86400).alias("batch")).agg(F.max(F.floor(F.col("t") / 60)).alias("max_slot"), F.count("*").alias("rows_written"), F.count_if(F.col("event_type") == "view").alias("skipped"))

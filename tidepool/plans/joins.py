@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepool.operators import ranking, rollup
@@ -146,3 +147,24 @@ def due_for_outcome(t: Tables) -> DataFrame:
     done = p.filter("closed").select("position_id", F.lit(24).alias("horizon"))
     asked = p.select("position_id", F.explode(F.array(F.lit(24), F.lit(72))).alias("horizon")).filter(F.col("position_id") * 3600 <= 5000000 - F.col("horizon") * 3600)
     return asked.join(done, ["position_id", "horizon"], "left_anti")
+
+
+@query(sql("select x.position_id, x.wallet, t1.symbol as symbol_x, t2.symbol as symbol_y from positions x left join pools p on p.pool = x.pool left join tokens t1 on t1.mint = p.token_x left join tokens t2 on t2.mint = p.token_y where x.wallet in (select c_custkey from customer where c_custkey < 25)", "positions", "pools", "tokens"))
+def position_pairs(t: Tables) -> DataFrame:
+    """Positions of registered wallets with the symbols of their pools' tokens."""
+    registered = t.raw("customer").filter("c_custkey < 25").select(F.col("c_custkey").alias("wallet"))
+    owned = t.positions().join(registered, "wallet", "left_semi")
+    pairs = ranking.scoring_universe(t.pools(), t.tokens()).select("pool", "symbol_x", "symbol_y")
+    return owned.join(pairs, "pool", "left").select("position_id", "wallet", "symbol_x", "symbol_y")
+
+
+@query(sql("select pool from pools where tier = 1 intersect select distinct pool from trades where order_key % 5 = 0", "pools", "trades"))
+def known_and_requested(t: Tables) -> DataFrame:
+    return t.pools().filter("tier = 1").select("pool").intersect(t.trades().filter("order_key % 5 = 0").select("pool"))
+
+
+@query(sql("select flow_id, position_id, amount::double as amount, place from (select *, row_number() over (partition by position_id order by t desc, flow_id desc) as place from cash_flows) where place <= 3", "cash_flows"))
+def newest_flows(t: Tables) -> DataFrame:
+    """The three newest cash flows of every position, in order."""
+    place = F.row_number().over(W.partitionBy("position_id").orderBy(F.desc("t"), F.desc("flow_id"))).cast("long")
+    return t.cash_flows().withColumn("place", place).filter("place <= 3").select("flow_id", "position_id", F.col("amount").cast("double").alias("amount"), "place")

@@ -242,3 +242,18 @@ def predicted_numbers(t: Tables) -> DataFrame:
 def config_hash(t: Tables) -> DataFrame:
     """The hash of a configuration as it is stamped on signals."""
     return t.pools().agg(F.count("*").alias("pools")).select(F.sha2(F.to_json(F.struct(F.lit(100).alias("cap"), "pools")), 256).alias("config_hash"))
+
+
+_OPEN = """select p.pool, p.pool_key, p.bin_step, (p.pool_key % 500 - 250)::bigint as active_bin, 0.01 + (p.pool_key % 40) / 1000.0 as sd, case when p.pool_key % 3 = 0 then 'V2' else 'V1' end as regime, 1000.0 + p.pool_key as v_star
+  from pools p where p.pool_key % 4 <> 0 and not exists (select 1 from positions x where x.pool = p.pool and x.position_id % 211 = 0)"""
+
+
+@query(sql(
+    """select pool, regime, case when regime = 'V2' then 0.5 else 1.0 end::double as horizon_days, bins, active_bin - (bins - 1) // 2 as lower_bin, active_bin - (bins - 1) // 2 + bins - 1 as upper_bin, v_star::double as size, (v_star / 5)::double as size_per_bin
+      from (select *, greatest(ceil(1.5 * sd * sqrt(case when regime = 'V2' then 0.5 else 1.0 end) / (bin_step / 10000.0)), 10)::bigint as bins from o)""", "pools", "positions", o=_OPEN))
+def open_paper_positions(t: Tables) -> DataFrame:
+    """New paper positions of POTENTIAL signals on pools that hold none."""
+    k = F.col("pool_key")
+    rows = t.pools().select("pool", F.lit(0).cast("long").alias("bucket"), "bin_step", (k % 500 - 250).alias("active_bin"), (0.01 + (k % 40) / 1000.0).alias("sigma_d"), F.when(k % 3 == 0, "V2").otherwise("V1").alias("regime"), (1000.0 + k).alias("v_star"))
+    found = t.pools().filter("pool_key % 4 <> 0").select("pool", F.lit(0).cast("long").alias("bucket"), F.lit("POTENTIAL").alias("kind"))
+    return ledger.open_positions(found, rows, t.positions().filter("position_id % 211 = 0")).drop("opened_at")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # Codes stored in the tables.
-VENUE_DLMM = 0
+VENUE_BINNED = 0
 TIER_SCREENED, TIER_WATCHED = 0, 1
 MEASURED, ESTIMATED = "A", "B"
 LIQUIDITY_ADD, LIQUIDITY_REMOVE = 0, 1
