@@ -65,3 +65,35 @@ def test_append_sink_and_parameter_changes(spark, tmp_path):
         where = run(jobs.parameter_changes(jobs.landed(spark, source, schema)), tmp_path, "changes")
     assert spark.read.parquet(target).count() == 3
     assert sorted((r.t, r.field, r.old_value, r.new_value) for r in spark.read.parquet(where).collect()) == [(2, "b", 1, 2), (3, "a", 1, 5)]
+
+
+def test_latest_state_and_watch_set(spark, tmp_path):
+    fields = "pool string, slot long, seq long, value double"
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("p", 5, 1, 1.0), ("p", 7, 2, 2.0), ("q", 1, 3, 9.0), ("p", 7, 4, 3.0), ("p", 6, 5, 4.0)], fields).coalesce(1).write.parquet(source)
+    stream = jobs.landed(spark, source, spark.read.parquet(source).schema)
+    query = jobs.latest_state(stream).writeStream.format("memory").queryName("latest").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("latest").collect()) == [("p", 7, 4, 3.0), ("q", 1, 3, 9.0)]
+    seen = []
+    jobs.watched(stream, lambda: spark.createDataFrame([("q",)], "pool string"), lambda rows: seen.extend(r.pool for r in rows.collect()), str(tmp_path / "w")).awaitTermination()
+    assert seen == ["q"]
+
+
+def test_block_times_join_whichever_side_comes_first(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    at = lambda s: start + dt.timedelta(seconds=s)
+    spark.createDataFrame([(1, at(0)), (2, at(1)), (3, at(2)), (99, at(9000))], "slot long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "tx"))
+    spark.createDataFrame([(1, 100, at(5)), (2, 200, at(0)), (98, 1, at(9000))], "slot long, block_time long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "blocks"))
+    left, right = (jobs.landed(spark, str(tmp_path / n), spark.read.parquet(str(tmp_path / n)).schema) for n in ("tx", "blocks"))
+    where = run(jobs.with_block_times(left, right), tmp_path, "out")
+    assert {r.slot: r.block_time for r in spark.read.parquet(where).collect() if r.slot < 99} == {1: 100, 2: 200, 3: None}
+
+
+def test_sliding_windows(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [("p", start + dt.timedelta(minutes=m), float(m)) for m in (0, 30, 59)] + [("p", start + dt.timedelta(days=1), 0.0)]
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, "pool string, ts timestamp, active_tvl double").coalesce(1).write.parquet(source)
+    where = run(jobs.sliding(jobs.landed(spark, source, spark.read.parquet(source).schema), "60 minutes", "30 minutes"), tmp_path, "out")
+    assert {(r["window"].start.hour, r["window"].start.minute): r.n for r in spark.read.parquet(where).collect() if r["window"].start.day == 1} == {(0, 0): 3, (0, 30): 2}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import scalar
 from tidepool.functions.checks import as_text
-from tidepool.operators import ledger, mixture, ops, pipeline, rollup, windows
+from tidepool.operators import ledger, mixture, ops, pipeline, ranking, rollup, windows
 from tidepool.plans.registry import query
 from tidepool.plans.rollup import chain_ctes, state_bars_sql
 from tidepool.plans.windows import HOURLY, hourly
@@ -26,7 +26,7 @@ def evaluated(t: Tables) -> DataFrame:
     bars = flows.join(state, ["pool", "bucket"])
     rows = pipeline.volatility(pipeline.history(bars, 24), CFG)
     dims = t.pools().select("pool", "pool_key", "bin_step", "base_factor", "base_power", "vfc", "tier", "blacklisted")
-    rows = rows.join(F.broadcast(dims), "pool") if dims.count() <= 200_000 else rows.join(dims, "pool")
+    rows = rows.join(ranking.small(dims, dims.count()), "pool")
     rows = rows.withColumns({
         "dev_peg": F.when(F.col("pool_key") % 4 == 0, F.abs(F.col("close") - 1) / 1000), "age_days": F.col("history_days") + F.when(F.col("pool_key") % 3 == 0, 60).otherwise(25), "pegged": F.col("pool_key") % 4 == 0,
         "major": F.col("pool_key") % 3 == 0, "kill": F.lit(False), "quality": F.when(F.col("tier") == 1, "A").otherwise("B"), "active_liquidity": F.col("active_tvl"), "protocol_share": F.lit(0.1), "disabled": F.col("blacklisted").cast("double"),
