@@ -131,6 +131,7 @@ def test_network_gradients_and_inference():
 
 def test_languages_of_awkward_rows(spark, awkward, nothing):
     net = language_id.train(np.tile(np.arange(64, dtype=np.uint8), (4, 1)) + 60, np.array([0, 1, 0, 1]), ["de", "en"], steps=2)
+    assert [language_id.has_letter(t) for t in (None, "", "12 ²½", "1a", "é", "日")] == [False, False, False, True, True, True]
     rows = {(r.doc_id, r.text): r for r in language_id.predicted(awkward, net).collect()}
     assert rows[0, None]["__lang"] == rows[1, ""]["__lang"] == "und" and rows[3, "one"]["__lang"] in ("de", "en")
     assert language_id.predicted(nothing, net).count() == 0 and language_id.fit(nothing) is None

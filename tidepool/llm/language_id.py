@@ -22,7 +22,7 @@ STEPS, BATCH, RATE = 350, 128, 0.02
 #: Windows that run side by side.
 SIDE = 4096
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -212,12 +212,16 @@ def fit(docs: DataFrame, documents: int = TRAINING_DOCUMENTS) -> Network | None:
     return train(windows, np.array([languages.index(x) for x in langs]), languages)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text or ""))  # the pattern also takes signs like ²
+
+
 def _predict(net: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            rows = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if net else []
+            rows = [i for i, t in enumerate(texts) if has_letter(t)] if net else []
             at, size = 0, 0
             for end, i in enumerate(rows, 1):  # about 256 KB side by side
                 size += len(texts[i])
