@@ -67,10 +67,10 @@ def never_measured(t: Tables) -> DataFrame:
     promote as (select pool from ranks where rn <= 18 union select pool from fresh), safe as (select pool from ranks where rn <= 23 union select pool from fresh union select pool from positions where not closed and position_id % 7 = 0)
     select pool, 'promote' as change from promote where pool not in (select pool from pools where tier = 1)
     union all select pool, 'demote' from pools where tier = 1 and pool not in (select pool from safe)""".replace(", ranks", "select * from (with ranks", 1) + ")",
-    "trades", "pools", "positions", rk="select pool, sum(volume_usd) as r from trades where t % 3 = 0 and cast(substr(pool, 2) as integer) % 4 <> 0 group by pool"))
+    "trades", "pools", "positions", rk="select pool, sum(volume_usd) as r from trades where cast(substr(pool, 2) as integer) % 4 <> 0 group by pool"))
 def tier_changes(t: Tables) -> DataFrame:
-    """Promotions and demotions where 20 pools are watched, two slots of them for exploration."""
-    ranked = t.trades().filter("t % 3 = 0 and cast(substr(pool, 2) as int) % 4 <> 0").groupBy("pool").agg(F.sum("volume_usd").alias("r_org"))
+    """Promotions and demotions where a quarter of the pools is unmeasured, 20 pools are watched, two slots of them for exploration."""
+    ranked = t.trades().filter("cast(substr(pool, 2) as int) % 4 <> 0").groupBy("pool").agg(F.sum("volume_usd").alias("r_org"))
     pools = t.pools().withColumn("age_key", F.col("pool_key"))
     return ranking.tier_changes(ranked, pools, ranked, t.positions().filter("not closed and position_id % 7 = 0"), cap=20, exploration=0.1, margin=5)
 
@@ -158,9 +158,9 @@ def position_pairs(t: Tables) -> DataFrame:
     return owned.join(pairs, "pool", "left").select("position_id", "wallet", "symbol_x", "symbol_y")
 
 
-@query(sql("select pool from pools where tier = 1 intersect select distinct pool from trades where order_key % 5 = 0", "pools", "trades"))
+@query(sql("select pool from pools where tier = 1 intersect select distinct pool from trades where volume_usd >= 90000", "pools", "trades"))
 def known_and_requested(t: Tables) -> DataFrame:
-    return t.pools().filter("tier = 1").select("pool").intersect(t.trades().filter("order_key % 5 = 0").select("pool"))
+    return t.pools().filter("tier = 1").select("pool").intersect(t.trades().filter("volume_usd >= 90000").select("pool"))
 
 
 @query(sql("select flow_id, position_id, amount::double as amount, place from (select *, row_number() over (partition by position_id order by t desc, flow_id desc) as place from cash_flows) where place <= 3", "cash_flows"))

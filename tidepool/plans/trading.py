@@ -86,7 +86,7 @@ def organic_share(t: Tables) -> DataFrame:
     return out.select("pool", F.round("phi_size", 6).alias("phi_size"), "trades")
 
 
-_POSITIONS = "select c_custkey as position_id, 'P' || (c_custkey % 8) as pool, 1704067200 + (c_custkey % 20) * 86400 as opened_at, c_custkey % 40 as lower_bin, c_custkey % 40 + 30 as upper_bin, 100 as bin_step, 1000.0::double as size, 200.0::double as size_per_bin, 1.5::double as entry_price from customer where c_custkey < 400"
+_POSITIONS = "select c_custkey as position_id, 'P' || (c_custkey % 100) as pool, 1704067200 + (c_custkey % 20) * 86400 as opened_at, c_custkey % 40 as lower_bin, c_custkey % 40 + 30 as upper_bin, 100 as bin_step, 1000.0::double as size, 200.0::double as size_per_bin, 1.5::double as entry_price from customer"
 _MARK_CTES = {
     "sp": _POSITIONS, **HOURLY, "st": state_bars_sql(3600),
     "b": "select h.pool, h.bucket, h.close, h.fee, st.active_bin_close as active_bin, st.active_tvl_close::double as liquidity from h join st on st.pool = h.pool and st.bucket = h.bucket",
@@ -100,8 +100,8 @@ _MARK_CTES = {
 
 def _marks(t: Tables) -> DataFrame:
     k = F.col("position_id")
-    own = t.positions().filter(k < 400).select(
-        "position_id", F.concat(F.lit("P"), (k % 8).cast("string")).alias("pool"), (F.lit(1704067200) + (k % 20) * 86400).alias("opened_at"), (k % 40).alias("lower_bin"), (k % 40 + 30).alias("upper_bin"), F.lit(100).alias("bin_step"),
+    own = t.positions().select(
+        "position_id", "pool", (F.lit(1704067200) + (k % 20) * 86400).alias("opened_at"), (k % 40).alias("lower_bin"), (k % 40 + 30).alias("upper_bin"), F.lit(100).alias("bin_step"),
         F.lit(1000.0).alias("size"), F.lit(200.0).alias("size_per_bin"), F.lit(1.5).alias("entry_price"),
     )
     state = rollup.state_bars(t.snapshots(), 3600).select("pool", "bucket", F.col("active_bin_close").alias("active_bin"), F.col("active_tvl_close").cast("double").alias("liquidity"))
@@ -141,12 +141,12 @@ def position_profits(t: Tables) -> DataFrame:
 
 
 @query(sql(
-    """select p.position_id, s.t, s.price::double as price, s.bin between p.lower_bin and p.upper_bin as in_range, round(coalesce((select sum(amount) from cash_flows c where c.kind = 0 and c.position_id = p.position_id and c.t <= s.t), 0)::double * s.price::double, 2) as hold_value
-    from positions p join (select pool, t, min(event_id % 90)::integer as bin, min(price) as price from swaps where event_id % 20 = 0 group by pool, t) s on s.pool = p.pool""", "positions", "swaps", "cash_flows"))
+    """select p.position_id, s.t, s.price::double as price, s.bin between p.lower_bin and p.upper_bin as in_range, cast(coalesce((select sum(amount) from cash_flows c where c.kind = 0 and c.position_id = p.position_id and c.t <= s.t), 0)::decimal(18,2) * s.price as decimal(18,6))::double as hold_value
+    from positions p join (select pool, t, min(event_id % 90)::integer as bin, min(price) as price from swaps group by pool, t) s on s.pool = p.pool""", "positions", "swaps", "cash_flows"))
 def position_valuations(t: Tables) -> DataFrame:
-    prices = t.swaps().filter("event_id % 20 = 0").groupBy("pool", "t").agg(F.min(F.col("event_id") % 90).cast("int").alias("bin_id"), F.min("price").alias("price"))
+    prices = t.swaps().groupBy("pool", "t").agg(F.min(F.col("event_id") % 90).cast("int").alias("bin_id"), F.min("price").alias("price"))
     out = ledger.valuations(t.positions(), t.cash_flows().filter("kind = 0"), prices)
-    return out.select("position_id", "t", "price", "in_range", F.round("hold_value", 2).alias("hold_value"))
+    return out.select("position_id", "t", F.col("price").cast("double").alias("price"), "in_range", F.col("hold_value").cast("decimal(18,6)").cast("double").alias("hold_value"))
 
 
 @query(sql("select user_id as intent, case when bool_or(s = 2) then 2 else last(s order by t, event_id) end::integer as status, min(t) as created_at, min(t) filter (s = 2) as confirmed_at from (select *, case event_type when 'view' then 0 when 'click' then 1 when 'purchase' then case when event_id % 40 = 0 then 2 else 1 end when 'error' then 3 else 4 end as s from e) group by user_id", "e"))
@@ -231,10 +231,10 @@ def health_alerts(t: Tables) -> DataFrame:
     return ops.alerts(rows)
 
 
-@query(sql("select position_id, json_object('r_org', value::double, 'y_fee', null) as numbers, value::double as r_org from positions where position_id % 10 = 0", "positions").replace("json_object('r_org', value::double, 'y_fee', null)", "'{\"r_org\":' || value::double || ',\"y_fee\":null}'"))
+@query(sql("select position_id, json_object('r_org', value::double, 'y_fee', null) as numbers, value::double as r_org from positions", "positions").replace("json_object('r_org', value::double, 'y_fee', null)", "'{\"r_org\":' || value::double || ',\"y_fee\":null}'"))
 def predicted_numbers(t: Tables) -> DataFrame:
     """JSON numbers with nulls kept, and read back."""
-    rows = t.positions().filter("position_id % 10 = 0").select("position_id", ledger.as_json(r_org=F.col("value").cast("double"), y_fee=F.lit(None).cast("double")).alias("numbers"))
+    rows = t.positions().select("position_id", ledger.as_json(r_org=F.col("value").cast("double"), y_fee=F.lit(None).cast("double")).alias("numbers"))
     return rows.withColumn("r_org", F.get_json_object("numbers", "$.r_org").cast("double"))
 
 
