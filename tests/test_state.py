@@ -90,6 +90,15 @@ def test_replaying_a_batch_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
+def test_parts_are_completed_by_a_second_run(spark, tmp_path):
+    batch = spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0)], "id int, v string, x double")
+    parts = {str(tmp_path / "one"): ["id", "v"], str(tmp_path / "two"): ["id", "x"]}
+    sinks.append_new(batch.select("id", "v").limit(1), str(tmp_path / "one"), ["id"])  # a run that broke off
+    for _ in range(2):
+        sinks.append_parts(batch, parts, ["id"])
+    assert [spark.read.parquet(p).count() for p in parts] == [2, 2]
+
+
 def test_merge_rules(spark):
     old = spark.createDataFrame([("a", 1, None, 5), ("b", 1, 7, 5)], "pool string, tier int, first int, step int")
     new = spark.createDataFrame([("a", 0, 3, 6), ("b", 0, 9, 6), ("c", 0, 1, 6)], "pool string, tier int, first int, step int")

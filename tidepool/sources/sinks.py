@@ -27,6 +27,17 @@ def append_new(batch: DataFrame, path: str, key: Sequence[str], partition: Seque
     rows.write.mode("append").partitionBy(*partition).parquet(path)
 
 
+def append_parts(batch: DataFrame, parts: dict[str, Sequence[str]], key: Sequence[str]) -> None:
+    """Appends one batch to several tables that belong together, path to columns (the key among them). The batch is
+    computed once; if a run breaks off between two tables, running it again completes the second and leaves the first."""
+    batch = batch.persist()
+    try:
+        for path, columns in parts.items():
+            append_new(batch.select(*columns), path, key)
+    finally:
+        batch.unpersist()
+
+
 def last_wins(target: DataFrame, batch: DataFrame, key: Sequence[str], updated: str) -> DataFrame:
     """Target and batch with each key's newest row; of equal times the batch's."""
     both = target.withColumn("__new", F.lit(0)).unionByName(batch.withColumn("__new", F.lit(1)))
