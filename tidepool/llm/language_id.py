@@ -203,7 +203,8 @@ def fit(docs: DataFrame, documents: int = TRAINING_DOCUMENTS) -> Network | None:
     """A network trained on at most `documents` documents with text and language outside the held-out fold; None
     without any. Languages outside that sample are not learned."""
     learn = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null and doc_id is not null").filter(bucket_of("doc_id", 3) != 1)
-    sample = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).mapInArrow(_windows, "lang string, part binary").toArrow()
+    ids = learn.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)  # ids first: few bytes are sorted
+    sample = learn.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_windows, "lang string, part binary").toArrow()
     langs = sample.column("lang").to_pylist()
     if not langs:
         return None
