@@ -35,23 +35,33 @@ _BAND_ODD = np.random.default_rng(11).integers(0, 2**64, size=(64, ROWS), dtype=
 SKETCH_FIELDS = "n long, lo long, hi long, bits0 long, bits1 long, bands array<long>"
 
 
-def registers_of(shingles: np.ndarray, count: int) -> np.ndarray:
-    """Minimum (round, 32 hash bits) of each bucket, with rounds added until all buckets are filled."""
+def registers_of_all(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """For each set, the minimum (round, 32 hash bits) of each bucket, with rounds added until all buckets are filled.
+    All sets go through a round together; filled ones leave. Empty sets keep the largest value everywhere."""
     empty = np.uint64(2**64 - 1)
-    regs = np.full(count, empty, dtype=np.uint64)
+    regs = np.full((len(sets), count), empty, dtype=np.uint64)
+    flat = regs.reshape(-1)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    shingles = np.concatenate(sets) if len(sets) else np.zeros(0, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
     t = 0
-    while True:
+    while len(shingles):
         h = mix(shingles ^ _SEEDS[t % len(_SEEDS)])
-        low = h & np.uint64(0xFFFFFFFF)
-        if t < count:
-            bucket = ((h >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-            np.minimum.at(regs, bucket.astype(np.int64), low | (np.uint64(t) << np.uint64(32)))
-        else:
-            j = t - count
-            regs[j] = min(regs[j], low.min() | (np.uint64(t) << np.uint64(32)))
+        low = (h & np.uint64(0xFFFFFFFF)) | (np.uint64(t) << np.uint64(32))
+        # as many rounds as buckets choose by hash; after them, one bucket a round takes what is left to fill
+        bucket = (((h >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)).astype(np.int64) if t < count else t - count
+        np.minimum.at(flat, owner * count + bucket, low)
         t += 1
-        if not (regs == empty).any():
-            return regs
+        still = np.unique(owner)
+        open_ = np.zeros(len(sets), dtype=bool)
+        open_[still] = (regs[still] == empty).any(axis=1)
+        keep = open_[owner]
+        shingles, owner = shingles[keep], owner[keep]
+    return regs
+
+
+def registers_of(shingles: np.ndarray, count: int) -> np.ndarray:
+    return registers_of_all([shingles], count)[0]
 
 
 def compressed(regs: np.ndarray) -> np.ndarray:
@@ -67,13 +77,12 @@ def compressed(regs: np.ndarray) -> np.ndarray:
 def sketch_columns(sets: list[np.ndarray], bands: int = BANDS) -> dict[str, pa.Array]:
     """Set size, a 128-bit fingerprint of the set, one folded bit of each register, and the band keys."""
     n = len(sets)
-    regs = np.zeros((n, bands * ROWS), dtype=np.uint64)
+    code = compressed(registers_of_all(sets, bands * ROWS))
     lo, hi = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
-    for i, s in enumerate(sets):
-        if len(s):
-            regs[i] = registers_of(s, bands * ROWS)
-            lo[i], hi[i] = mix(s).sum(dtype=np.uint64), mix(s ^ _SEEDS[0]).sum(dtype=np.uint64)
-    code = compressed(regs)
+    if some := [i for i, s in enumerate(sets) if len(s)]:
+        every = np.concatenate(sets)
+        first = np.concatenate(([0], np.cumsum([len(sets[i]) for i in some])))[:-1]
+        lo[some], hi[some] = np.add.reduceat(mix(every), first), np.add.reduceat(mix(every ^ _SEEDS[0]), first)
     keys = mix((code.reshape(n, bands, ROWS) * _BAND_ODD[:bands]).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
     folded = np.zeros((n, 128), dtype=np.uint8)
     folded[:, : min(128, bands * ROWS)] = (mix(code + _SEEDS[1]) & np.uint64(1))[:, :128]
