@@ -154,6 +154,40 @@ def test_passages_inside_other_paragraphs(spark):
         assert mine[r.start : r.start + r.length] in first and r.removed == (r.doc_id % 2 == 1)
 
 
+def words_seen_before(texts, n):
+    """For each text the runs (begin, end) of words that lie in n words in a row which occur earlier."""
+    seen, out = {}, {}
+    for d, t in sorted(texts.items()):
+        w, runs = words(t), []
+        for i in range(len(w) - n + 1):
+            if seen.setdefault(tuple(w[i : i + n]), (d, i)) != (d, i):
+                if runs and i <= runs[-1][1] - n + 1:
+                    runs[-1][1] = i + n
+                else:
+                    runs.append([i, i + n])
+        out[d] = runs
+    return out
+
+
+@pytest.mark.parametrize("period", [1, 3, 6, 7, 19, 20, 23])
+def test_text_that_repeats_itself_is_found_whole(spark, period):
+    rng = random.Random(period)
+    word = lambda: "".join(rng.choice("abcdéfgh") for _ in range(7))
+    fill = lambda n: [word() for _ in range(n)]
+    line = fill(period)
+    texts = {0: fill(30) + (line * 400)[:380] + fill(30), 1: fill(25) + (line * 400)[2:330] + fill(40), 2: fill(90)}
+    texts = {d: " ".join(w) for d, w in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    gone = {d: set() for d in texts}
+    for r in substring_dedup.repeated_passages(docs).filter("removed").collect():
+        at = len(words(texts[r.doc_id][: r.start]))
+        gone[r.doc_id] |= set(range(at, at + len(words(texts[r.doc_id][r.start : r.start + r.length]))))
+    sure, possible = words_seen_before(texts, 51), words_seen_before(texts, 32)
+    assert len(sure[0]) == len(sure[1]) == 1 and not possible[2]
+    for d in texts:
+        assert {i for a, b in sure[d] for i in range(a + 19, b - 19)} <= gone[d] <= {i for a, b in possible[d] for i in range(a, b)}
+
+
 def test_passages_of_given_documents(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id for r in substring_dedup.op1_substring_dedup(spark, SF).filter("removed and kind = 'passage'").collect()}

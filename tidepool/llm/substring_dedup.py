@@ -100,7 +100,8 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_word
 def _windows(words: int, reach: int):
     """Windows of `words` words that begin at anchors: places whose hash of four words is the least of some `reach`
     neighbouring ones. A passage of `words` + `reach` - 1 words or more holds at least one such window, wherever it
-    stands, and the same one in every copy."""
+    stands, and the same one in every copy. Anchors of a text lie at most `reach` words apart, so neighbouring windows
+    overlap if `reach` is at most `words`; what follows the first of equal windows in a row is one span of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,14 +124,15 @@ def _windows(words: int, reach: int):
                     for j in range(words):
                         lo += hashes[p + j] * _WINDOW_ODD[0, j]
                         hi += hashes[p + j] * _WINDOW_ODD[1, j]
-                    # a text that repeats itself has equal windows at every place: every reach-th of a run will do
-                    new = np.concatenate(([True], (lo[1:] != lo[:-1]) | (o[1:] != o[:-1]))) if len(p) else np.zeros(0, bool)
-                    begun = p[np.flatnonzero(new)][np.cumsum(new) - 1] if len(p) else p
-                    kept = (p - begun) % reach == 0
-                    p, o, lo, hi = p[kept], o[kept], lo[kept], hi[kept]
+                    # a text that repeats itself has runs of equal windows: the first is one row, all others together one span
+                    new = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (o[1:] != o[:-1])
+                    begins = np.flatnonzero(np.concatenate(([True], new)))
+                    ends = np.concatenate((begins[1:], [len(p)])) - 1
+                    more = ends > begins
+                    x, y = np.concatenate((begins, begins[more] + 1)), np.concatenate((begins, ends[more]))
                     yield pa.RecordBatch.from_pydict({
-                        "lo": pa.array(mix(lo).view(np.int64)), "hi": pa.array(mix(hi).view(np.int64)), "doc_id": docs.take(pa.array(o + a)),
-                        "start": pa.array(first[p].astype(np.int64)), "stop": pa.array(last[p + words - 1].astype(np.int64)),
+                        "lo": pa.array(mix(lo[x]).view(np.int64)), "hi": pa.array(mix(hi[x]).view(np.int64)), "doc_id": docs.take(pa.array(o[x] + a)),
+                        "start": pa.array(first[p[x]].astype(np.int64)), "stop": pa.array(last[p[y] + words - 1].astype(np.int64)),
                     })
 
     return run
@@ -142,8 +144,8 @@ def repeated_passages(docs: DataFrame, words: int = 32, reach: int = 20) -> Data
 
     Anchored windows are grouped by a 128-bit hash of their words; every passage of `words` + `reach` - 1 words that
     occurs twice is found; up to `reach` - 1 words at either end may lie outside its windows. The occurrence that is earliest by doc_id and place stays. Windows that overlap or touch
-    and fare alike are one passage. Of equal windows in a row, as in a text of one word over and over, every
-    `reach`-th counts. Nulls, empty and short texts give no row.
+    and fare alike are one passage. Equal windows in a row, as in a line over and over, all count: of the earliest
+    such run the first window stays. Nulls, empty and short texts give no row.
     """
     rows = docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(_windows(words, reach), "lo long, hi long, doc_id long, start long, stop long")
     firsts = rows.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
