@@ -108,6 +108,27 @@ def test_near_duplicates_of_awkward_rows(awkward, nothing):
     assert minhash_dedup.near_duplicates(nothing).count() == 0
 
 
+def test_stage_keeps_one_row_of_each_group(spark, awkward, nothing):
+    rng = random.Random(9)
+    fill = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b, c, d, e = (fill(100) for _ in range(5))
+    rows = [
+        (1, a, "x"), (5, a + " more", "x"), (None, a, "x"),  # copies of an earlier document
+        (2, b, "z"), (2, b, "y"), (2, c, "x"),  # equal rows, and another text of their id
+        (None, d, "x"), (None, d, "x"), (None, e, "x"),  # without an id, two of them equal
+        (1, c + " more", "x"),  # an earlier copy under an id that is kept for another text
+        (None, None, "x"), (None, "", "x"), (3, " ", "x"), (3, " ", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = minhash_dedup.stage(spark, docs, SF)
+    want = [(1, a, "x"), (2, b, "y"), (None, d, "x"), (None, e, "x"), (1, c + " more", "x"), *rows[-4:]]
+    assert got.columns == docs.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    out = minhash_dedup.stage(spark, awkward, SF)
+    texts = [r.text for r in awkward.collect()]
+    assert out.columns == awkward.columns and sorted(repr(r.text) for r in out.collect()) == sorted(map(repr, set(texts)))
+    assert minhash_dedup.stage(spark, nothing, SF).count() == 0
+
+
 def test_repeated_paragraphs(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))

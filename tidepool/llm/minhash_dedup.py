@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, materialised, shingle_sets, table, word_hashes
@@ -18,7 +18,7 @@ def _sketches(k: int):
             raw = folded_bytes(batch.column("text").to_pylist())
             for a, b in chunks(raw):
                 sets = shingle_sets(*word_hashes(raw[a:b], SPACED_WORDS), k)
-                yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id").slice(a, b - a)} | sketch_columns(sets))
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(a, b - a)} | sketch_columns(sets))
 
     return run
 
@@ -29,11 +29,24 @@ def _sets(k: int):
             raw = folded_bytes(batch.column("text").to_pylist())
             for a, b in chunks(raw):
                 sets = shingle_sets(*word_hashes(raw[a:b], SPACED_WORDS), k)
-                yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id").slice(a, b - a), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(a, b - a), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return run
 
 
+def _components(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, component, n) of every row (id, text), of any ordered type of id; rows of one id should have one text."""
+    kind = rows.schema["id"].dataType.simpleString()
+    sketches = materialised(rows.mapInArrow(_sketches(k), f"id {kind}, {SKETCH_FIELDS}"), "sketches")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = rows.join(if_small(materialised(ids, "ids")), "id", "left_semi")
+        return wanted.mapInArrow(_sets(k), f"id {kind}, shingles binary").dropDuplicates(["id"])
+
+    found = classes(sketches.select("id", "n", "lo", "hi", "bits0", "bits1", "bands"), sets_of, percent)
+    return found.union(sketches.filter("n = 0").select("id", F.col("id").alias("component"), F.lit(0).cast("long").alias("n")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
@@ -43,17 +56,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     null doc_id take no part. Rows of one doc_id are given one row each, in one component if their sets are alike.
     Other columns are ignored.
     """
-    rows = docs.select("doc_id", "text").filter("doc_id is not null")
-    sketches = materialised(rows.mapInArrow(_sketches(k), f"id long, {SKETCH_FIELDS}"), "sketches")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        keys = if_small(materialised(ids.withColumnRenamed("id", "doc_id"), "ids"))
-        wanted = rows.join(keys, "doc_id", "left_semi")
-        return wanted.mapInArrow(_sets(k), "id long, shingles binary").dropDuplicates(["id"])
-
-    found = classes(sketches.select("id", "n", "lo", "hi", "bits0", "bits1", "bands"), sets_of, percent)
-    empty = sketches.filter("n = 0").select("id", F.col("id").alias("component"), F.lit(0).cast("long").alias("n"))
-    return found.union(empty).select(
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    return _components(rows, k, percent).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
     )
 
@@ -62,7 +66,30 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def _key() -> Column:
+    """Orders rows by doc_id with nulls last, then by a fingerprint of the text. No part is null."""
+    of_id, of_text = F.coalesce("doc_id", F.lit(0).cast("long")), F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), of_id.alias("doc_id"), of_text.alias("text"))
+    return key.cast("struct<none: boolean, doc_id: bigint, text: binary>")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near copies; all columns stay.
+
+    Every row counts by itself and by its own text, whether or not it has a doc_id or shares one. The row that is
+    first by doc_id, nulls last, and then by a fingerprint of its text stays; of rows equal in both, the least by the
+    other columns. A row with a null doc_id goes only if another row near to it stays. Rows without words all stay.
+    """
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.filter(worded).withColumn("__key", _key())
+    found = _components(keyed.select(F.col("__key").alias("id"), "text"), k, percent)
+    kept = materialised(found.filter("id = component").groupBy(F.col("id").alias("__key")).agg(F.count("*").alias("c")), "kept")
+    single = keyed.join(kept.filter("c = 1"), "__key", "left_semi")
+    equal = keyed.join(if_small(kept.filter("c > 1")), "__key", "left_semi")
+    first = equal.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return docs.filter(~worded).union(single.select(*docs.columns)).union(first)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Keeps one document of each group of near copies, as one_of_each says."""
+    return one_of_each(docs)
