@@ -63,6 +63,24 @@ def test_decontaminated_keeps_clean_rows_as_they_are(spark, awkward, nothing):
     assert decontaminate.judged(awkward, bench.filter("false")).filter("n_hit > 0 or contaminated").count() == 0
 
 
+@pytest.mark.parametrize("size", [2_000_000, 4_000])
+def test_long_matches_are_cut_from_documents_that_stay(spark, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", size)
+    fill = lambda n, seed: " ".join(f"b日{random.Random(seed * 100_003 + i).randrange(10**9)}😀" for i in range(n))
+    item, other = fill(300, 1), fill(80, 2)
+    part = lambda a, b: " ".join(item.split(" ")[a:b])
+    a, b, c = fill(12_000, 3), fill(8_000, 4), fill(3_000, 5)
+    texts = {
+        0: (f"{a} {item.upper()}, {b}", f"{a} , {b}"), 1: (f"{part(10, 60)} {a} {other}\n{b} {part(0, 70)}", f" {a} \n{b} "), 2: (f"{a} {part(5, 54)} {b}",) * 2,
+        3: (f"{c} {item}", None), 4: (c, c), 5: (None, None), 6: ("", ""),
+    }
+    docs = spark.createDataFrame([(d, t[0], 1) for d, t in texts.items()], "doc_id long, text string, n long")
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.decontaminated(docs, bench, limit=50).collect()}
+    assert got == {d: t[1] for d, t in texts.items() if d != 3}
+    assert {r.doc_id: r.text for r in decontaminate.decontaminated(docs, bench).collect()} == {d: t[0] for d, t in texts.items() if d != 3}
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     sf = SF.replace("0.001", "0.1")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

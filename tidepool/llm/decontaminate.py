@@ -11,12 +11,14 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import PLAIN_WORDS, chunks, folded_bytes, table, word_hashes
+from tidepool.llm.common import PLAIN_WORDS, chunks, folded_bytes, placed_word_hashes, table, word_hashes
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton, so that what is broadcast has a bound. More text makes more automata,
 #: each with a pass of its own.
 AUTOMATON_BYTES = 2_000_000
+#: The pipeline cuts matches of so many words or more from documents that stay.
+LONG_MATCH = 50
 
 
 class SuffixAutomaton:
@@ -112,6 +114,23 @@ class SuffixAutomaton:
                 if matched >= length:
                     yield i + 1, length, u
 
+    def longest(self, words: Sequence[int], least: int) -> Iterator[tuple[int, int]]:
+        """(begin, end) of each match of at least `least` words that no word before or after it extends."""
+        state = matched = 0
+        for i, w in enumerate(words):
+            if matched >= least and w not in self.next[state]:
+                yield i - matched, i
+            while state and w not in self.next[state]:
+                state = self.link[state]
+                matched = self.length[state]
+            if w in self.next[state]:
+                state = self.next[state][w]
+                matched += 1
+            else:
+                matched = 0
+        if matched >= least:
+            yield len(words) - matched, len(words)
+
 
 class Matcher:
     """The automaton of some items with the vocabulary that maps word hashes to ids."""
@@ -125,15 +144,27 @@ class Matcher:
         self.automaton = SuffixAutomaton(sequences, window)
         self.shortest = min([window, *(len(s) for _, s in sequences if s)])
 
-    def scan(self, raw: Sequence[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
-        """For each text its number of words, disjoint hit spans in words, and the items that occur."""
-        hashes, bounds = word_hashes(raw, PLAIN_WORDS)
+    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, and which of them are in the vocabulary."""
         if len(self.vocabulary):
             ids = np.searchsorted(self.vocabulary, hashes)
             ids[ids == len(self.vocabulary)] = 0
             known = self.vocabulary[ids] == hashes
         else:
             ids, known = np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
+        return ids, known
+
+    def long_matches(self, text: bytes, least: int) -> list[tuple[int, int]]:
+        """Begin and end in code points of the longest matches, of at least `least` words; overlapping ones are one."""
+        hashes, _, first, last = placed_word_hashes([text], PLAIN_WORDS)
+        ids, known = self._known(hashes)
+        found = self.automaton.longest(np.where(known, ids, -1).tolist(), least)
+        return merged([(int(first[a]), int(last[b - 1])) for a, b in found])
+
+    def scan(self, raw: Sequence[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+        """For each text its number of words, disjoint hit spans in words, and the items that occur."""
+        hashes, bounds = word_hashes(raw, PLAIN_WORDS)
+        ids, known = self._known(hashes)
         # a word outside the vocabulary resets the automaton, so only runs of known words can match
         cut = np.zeros(len(hashes) + 1, dtype=bool)
         cut[bounds] = True
@@ -175,14 +206,15 @@ def _matcher(key: str, items: Broadcast, window: int) -> Matcher:
     return _MATCHERS[key]
 
 
-def _pass(key: str, items: Broadcast, window: int):
-    """Adds to __n_words, __spans (begin, end, begin, end, ... in words) and __items."""
+def _pass(key: str, items: Broadcast, window: int, least: int | None):
+    """Adds to __n_words, __spans (begin, end, begin, end, ... in words) and __items, and to __matches with `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(key, items, window)
         for batch in batches:
             raw = folded_bytes(batch.column("text").to_pylist())
             before = batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()
+            places = batch.column("__matches").to_pylist() if least else []
             words, spans, names = [], [], []
             for a, b in chunks(raw):
                 for i, (n, found, seen) in enumerate(matcher.scan(raw[a:b]), a):
@@ -190,29 +222,38 @@ def _pass(key: str, items: Broadcast, window: int):
                     words.append(n)
                     spans.append([x for s in merged([*zip(old[::2], old[1::2], strict=True), *found]) for x in s])
                     names.append(sorted({*before[1][i], *seen}))
+                    if least and any(y - x >= least for x, y in found):
+                        old = places[i]
+                        places[i] = [x for s in merged([*zip(old[::2], old[1::2], strict=True), *matcher.long_matches(raw[i], least)]) for x in s]
             new = {"__n_words": pa.array(words, pa.int64()), "__spans": pa.array(spans, pa.list_(pa.int64())), "__items": pa.array(names, pa.list_(pa.string()))}
+            new |= {"__matches": pa.array(places, pa.list_(pa.int64()))} if least else {}
             yield pa.RecordBatch.from_pydict({f.name: new.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)})
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int | None = None) -> DataFrame:
     """docs with __n_words, __spans (hit words as begin, end pairs in a flat list) and __items (ids as text).
 
     Words are lower-cased in A-Z and split at ASCII bytes other than letters and digits. A window is `window`
     consecutive words of an item, or the whole of a shorter one. Null and empty texts have no words; items with a
-    null id or without words never match; repeated rows are judged one by one.
+    null id or without words never match; repeated rows are judged one by one. With `least`, __matches is a flat list
+    of begin and end in code points of the longest matches of at least so many words; overlapping ones are one.
     """
+    if least is not None and least < window:
+        raise ValueError("least must not be below the window")
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("words")).filter("item is not null and words is not null")
     total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = total // AUTOMATON_BYTES + 1
     out = docs.select("*", F.lit(0).cast("long").alias("__n_words"), F.expr("cast(array() as array<bigint>)").alias("__spans"), F.expr("cast(array() as array<string>)").alias("__items"))
+    if least:
+        out = out.withColumn("__matches", F.expr("cast(array() as array<bigint>)"))
     for part in range(parts):
         own = items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).collect()  # at most about AUTOMATON_BYTES
         sent = spark.sparkContext.broadcast([(r.item, r.words.encode("utf-8").lower()) for r in own])
         key = hashlib.sha256(repr([window, sent.value]).encode()).hexdigest()
-        out = out.mapInArrow(_pass(key, sent, window), out.schema)
+        out = out.mapInArrow(_pass(key, sent, window, least), out.schema)
     return out
 
 
@@ -233,11 +274,18 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
-    """docs without the rows of which at least `share` of the words is hit; all other rows stay as they are."""
-    found = contamination(docs, benchmark, window)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05, limit: int | None = None) -> DataFrame:
+    """docs without the rows of which at least `share` of the words is hit. With `limit`, the longest matches of at
+    least so many words are cut from the texts of the others; otherwise they stay as they are."""
+    found = contamination(docs, benchmark, window, limit)
     hits = n_hit()
-    return found.filter(~((hits > 0) & (hits >= F.lit(share) * F.col("__n_words")))).drop("__n_words", "__spans", "__items")
+    left = found.filter(~((hits > 0) & (hits >= F.lit(share) * F.col("__n_words"))))
+    if limit:
+        edges = left.withColumn("__edges", F.expr("concat(array(0L), __matches, array(cast(length(text) as bigint)))"))
+        piece = "substring(text, cast(__edges[2 * i] + 1 as int), cast(__edges[2 * i + 1] - __edges[2 * i] as int))"
+        cut = F.expr(f"array_join(transform(sequence(0, cast(size(__matches) / 2 as int)), i -> {piece}), '')")
+        left = edges.withColumn("text", F.when(F.size("__matches") > 0, cut).otherwise(F.col("text")))
+    return left.select(*docs.columns)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,5 +293,5 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the benchmark contaminates."""
-    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Drops documents that the benchmark contaminates, and cuts long matches from the others."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"), limit=LONG_MATCH)
