@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import SF
-from tidepool.llm import line_dedup, minhash_dedup, near_dup, substring_dedup
+from tidepool.llm import common, line_dedup, minhash_dedup, near_dup, substring_dedup
 
 
 def lower(text):
@@ -76,8 +76,13 @@ def test_near_duplicates_of_given_documents(spark):
 
 
 def test_wide_buckets_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "WIDE_BUCKET", 1)
-    texts = near_copies(3)
+    monkeypatch.setattr(near_dup, "BLOCK", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common.salted_join, "__defaults__", (3, None))
+    rng = random.Random(31)
+    template = [f"t{rng.randrange(10**6)}" for _ in range(88)]
+    family = [" ".join([*template, *(f"f{i}x{rng.randrange(10**6)}" for _ in range(12 if i % 3 else 4))]) for i in range(40)]
+    texts = near_copies(3) + family
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs, 4).collect()}
     assert got == classes({i: shingles(t, 4) for i, t in enumerate(texts)})

@@ -1,13 +1,16 @@
 """Shared helpers of the training-data operators: tables, materialised steps and batch-wise word hashing.
 
-Word hashing works on whole Arrow batches with numpy. A word's 64-bit hash is the sum of one random number
-for each (position, byte), then mixed; words are split at byte classes, which is exact for UTF-8 because
-both word patterns in use treat every non-ASCII character as part of a word.
+Word hashing works on whole Arrow batches with numpy. A word's 64-bit hash is the sum of the mixed values of its
+8-byte blocks, each mixed with its place, mixed once more with the word's length, so bytes and blocks that change
+places change the hash. Words are split at byte classes, which is exact for UTF-8 because both word patterns in use
+treat every non-ASCII character as part of a word.
 """
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
+import threading
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -19,7 +22,6 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 _RANDOM = np.random.default_rng(20240501)
-_BYTE_AT = _RANDOM.integers(0, 2**64, size=256 * 256, dtype=np.uint64)
 _ODD = _RANDOM.integers(0, 2**64, size=64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -28,29 +30,94 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share, as the session names it. Where it names none, a folder in the
+    warehouse is taken, which they share as well."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-steps-")
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared-steps"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+_STEPS: dict[str, SparkSession] = {}
+_SCOPE = threading.local()
+
+
+def _drop(paths: Sequence[str]) -> None:
+    """Deletes step folders, wherever they are; one that is gone already is no error."""
+    for path in paths:
+        spark = _STEPS.pop(path, None)
+        if spark is not None:
+            with contextlib.suppress(Exception):  # at exit the session may have ended
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+atexit.register(lambda: _drop(list(_STEPS)))
+
+
+@contextlib.contextmanager
+def steps_until_written() -> Iterator[None]:
+    """Steps written inside are deleted at the end. For callers that write their result within."""
+    before, _SCOPE.paths = getattr(_SCOPE, "paths", None), []
+    try:
+        yield
+    finally:
+        _drop(_SCOPE.paths)
+        _SCOPE.paths = before
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors. The folder is
+    deleted when the surrounding `steps_until_written` or the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/steps/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STEPS[path] = spark
+    if getattr(_SCOPE, "paths", None) is not None:
+        _SCOPE.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Most rows of keys that are broadcast (some tens of megabytes); more are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """For each name one that df has no column of, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Most bytes of keys that are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 32_000_000
+#: Rows of one key that one task may read; a key with more is dealt over several.
+HOT_ROWS = 20_000
 
 
 def if_small(keys: DataFrame) -> DataFrame:
-    """keys marked for broadcast where they are counted to be few. Call it on materialised keys."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    """keys marked for broadcast where rows, strings and arrays together are counted to be few bytes. Call it on
+    materialised keys."""
+    wide = [F.octet_length(c) if t in ("string", "binary") else F.size(c) * 12 for c, t in keys.dtypes if t in ("string", "binary") or t.startswith("array")]
+    size = F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(24 + 8 * len(keys.columns))).cast("long"))
+    return F.broadcast(keys) if (keys.agg(size).first()[0] or 0) <= BROADCAST_BYTES else keys
+
+
+def salted_join(many: DataFrame, one: DataFrame, on: str, hot: int = HOT_ROWS, count: str | None = None) -> DataFrame:
+    """Inner join of many rows a key with `one`, which has few. A key of more than `hot` rows in `many` is dealt over
+    several tasks, and its rows of `one` are repeated in each. `count` names the column of `one` that holds each key's
+    number of rows; without it they are counted, which reads `many` once more."""
+    (salt,) = unused(many.join(one.limit(0), on), "salt")
+    counted = one.select(on, F.col(count).alias(salt)) if count else many.groupBy(on).agg(F.count("*").alias(salt))
+    often = counted.filter(F.col(salt) > hot).withColumn(salt, F.ceil(F.col(salt) / hot).cast("int"))
+    if often.isEmpty():
+        return many.join(one, on)
+    often = if_small(materialised(often, "hot"))
+    share = F.pmod(F.xxhash64(*[c for c in many.columns if c != on]), F.coalesce(salt, F.lit(1))).cast("int")
+    dealt = many.join(often, on, "left").withColumn(salt, share)
+    copies = one.join(often, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salt, F.lit(1)) - 1)))
+    return dealt.join(copies, [on, salt]).drop(salt)
 
 
 def bucket_of(column: str, modulus: int) -> Column:
@@ -115,12 +182,7 @@ def placed_word_hashes(raw: Sequence[bytes], words: np.ndarray) -> tuple[np.ndar
     bounds = np.searchsorted(starts, text_starts)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), bounds, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    lengths = ends - starts
-    total = int(lengths.sum())
-    first = np.cumsum(lengths) - lengths
-    at = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
-    values = _BYTE_AT[((at & 255) << 8) | buf[inside]]
-    hashes = mix(np.add.reduceat(values, first) + lengths.astype(np.uint64))
+    hashes = _hashed(buf, starts, ends - starts)
     if (buf < 0x80).all():
         point, origin = np.arange(len(buf) + 1), text_starts
     else:
@@ -130,6 +192,26 @@ def placed_word_hashes(raw: Sequence[bytes], words: np.ndarray) -> tuple[np.ndar
     return hashes, bounds, point[starts] - own, point[ends] - own
 
 
+_KEEP = np.array([0, *((1 << (8 * n)) - 1 for n in range(1, 9))], dtype=np.uint64)
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashed(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the words at the given starts. A word is read in blocks of eight bytes, the last one cut to length."""
+    padded = np.concatenate((buf, np.zeros(8, dtype=np.uint8)))
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(buf) + 1,), strides=(1,))
+    total = mix((eight[starts] & _KEEP[np.minimum(lengths, 8)]) ^ _PLACE)
+    if len(longer := np.flatnonzero(lengths > 8)):
+        blocks = (lengths[longer] - 1) // 8
+        first = np.cumsum(blocks) - blocks
+        at = np.arange(int(blocks.sum()), dtype=np.int64) - np.repeat(first, blocks) + 1
+        begin = np.repeat(starts[longer], blocks) + 8 * at
+        left = np.repeat(lengths[longer], blocks) - 8 * at
+        value = mix((eight[begin] & _KEEP[np.minimum(left, 8)]) ^ mix((at + 1).astype(np.uint64) * _PLACE))
+        total[longer] += np.add.reduceat(value, first)
+    return mix(total ^ (lengths.astype(np.uint64) * _PLACE))
+
+
 def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
     """Each text's sorted distinct k-word shingles as hashes; fewer words count as one shingle, none as no shingle."""
     n = len(hashes)

@@ -43,7 +43,7 @@ def _components(rows: DataFrame, k: int, percent: int) -> DataFrame:
         wanted = rows.join(if_small(materialised(ids, "ids")), "id", "left_semi")
         return wanted.mapInArrow(_sets(k), f"id {kind}, shingles binary").dropDuplicates(["id"])
 
-    found = classes(sketches.select("id", "n", "lo", "hi", "bits0", "bits1", "bands"), sets_of, percent)
+    found = classes(sketches.select("id", "n", "lo", "hi", "registers"), sets_of, percent)
     return found.union(sketches.filter("n = 0").select("id", F.col("id").alias("component"), F.lit(0).cast("long").alias("n")))
 
 

@@ -2,15 +2,17 @@
 
 Every register of a sketch is a true min-wise sample: rounds of bucketed hashing go on until no register is
 empty, so short texts are sketched as faithfully as long ones. A register keeps the round, the leading-zero
-count of the minimum and ten mantissa bits.
+count of the minimum and ten mantissa bits, in 16 bits. Registers are stored with their text once; bands are cut
+from them, and similarities are estimated on them, corrected for registers that agree by chance.
 
-Candidates that share a band are never paired with each other in full. Texts with equal sets are one node.
+Candidates that share a band are not paired with each other in full. Texts with equal sets are one node.
 Each set is first tried against one of its buckets' smallest ids. In buckets that then hold several components,
 a set can only be linked if enough of its shingles occur in any other set there; that bound drops sets which
 share a passage but not a text, and copies that were changed too much. The rest is tried against the bucket's
-set of most shared shingles, and only what is still apart is compared, the largest component once against the
-others, after a bound on what they can have in common from what each shares with that set. Very wide buckets
-are dealt again by a second band. All links are confirmed on full sets, and nothing that may be linked is dropped.
+set of most shared shingles. What is still apart is dealt into blocks; two blocks meet in one task, which compares
+registers and gives on only pairs that may reach the similarity, however wide a bucket is. All links are confirmed
+on full sets. What banding and the estimate may lose: a pair at similarity 0.8 has no common band once in twenty
+million (32 bands of 4), and an estimate six standard deviations too low about once in a billion.
 """
 
 from __future__ import annotations
@@ -18,21 +20,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import materialised, mix
+from tidepool.llm.common import materialised, mix, salted_join
 
 MANTISSA_BITS = 10
 #: 32 bands of 4 miss a pair at similarity 0.8 once in twenty million.
 BANDS, ROWS = 32, 4
-#: Bucket members outside its largest component, beyond which the bucket is dealt again by a second band.
-WIDE_BUCKET = 10_000
+#: Members of a bucket that one block holds on average.
+BLOCK = 4000
 _SEEDS = np.random.default_rng(7).integers(0, 2**64, size=4096, dtype=np.uint64)
-_BAND_ODD = np.random.default_rng(11).integers(0, 2**64, size=(64, ROWS), dtype=np.uint64) | np.uint64(1)
 
-SKETCH_FIELDS = "n long, lo long, hi long, bits0 long, bits1 long, bands array<long>"
+SKETCH_FIELDS = "n long, lo long, hi long, registers binary"
 
 
 def registers_of_all(sets: list[np.ndarray], count: int) -> np.ndarray:
@@ -65,17 +67,31 @@ def registers_of(shingles: np.ndarray, count: int) -> np.ndarray:
 
 
 def compressed(regs: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers: round, leading zeros of the 32-bit minimum, and the bits after the first one."""
+    """HyperMinHash registers of 16 bits: leading zeros of the 32-bit minimum (6 bits), and the 10 bits after the
+    first one. Rounds after the first are mixed in."""
     rounds, low = regs >> np.uint64(32), regs & np.uint64(0xFFFFFFFF)
     exponent = np.frexp(low.astype(np.float64))[1]  # bits up to the first one
     zeros = (32 - exponent).astype(np.uint64)
     after = low << (zeros + np.uint64(1))
     mantissa = (after & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - MANTISSA_BITS)
-    return (rounds << np.uint64(16)) | (zeros << np.uint64(MANTISSA_BITS)) | mantissa
+    code = (zeros << np.uint64(MANTISSA_BITS)) | mantissa
+    return np.where(rounds == 0, code, mix(code | (rounds << np.uint64(16)))).astype(np.uint16)
+
+
+def by_chance() -> float:
+    """How often registers of different minima agree: equal zeros (a third of all pairs), then equal mantissas."""
+    return 2.0**-MANTISSA_BITS / 3
+
+
+def least_agreeing(percent: int, registers: int) -> int:
+    """Agreeing registers of a pair whose similarity, estimated as (agreeing / all - c) / (1 - c) with chance c, lies
+    six standard deviations below the given one."""
+    p = percent / 100 * (1 - by_chance()) + by_chance()
+    return max(0, int(registers * p - 6 * (registers * p * (1 - p)) ** 0.5))
 
 
 def sketch_columns(sets: list[np.ndarray], bands: int = BANDS) -> dict[str, pa.Array]:
-    """Set size, a 128-bit fingerprint of the set, one folded bit of each register, and the band keys."""
+    """Set size, a 128-bit fingerprint of the set, and its registers."""
     n = len(sets)
     code = compressed(registers_of_all(sets, bands * ROWS))
     lo, hi = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
@@ -83,32 +99,41 @@ def sketch_columns(sets: list[np.ndarray], bands: int = BANDS) -> dict[str, pa.A
         every = np.concatenate(sets)
         first = np.concatenate(([0], np.cumsum([len(sets[i]) for i in some])))[:-1]
         lo[some], hi[some] = np.add.reduceat(mix(every), first), np.add.reduceat(mix(every ^ _SEEDS[0]), first)
-    keys = mix((code.reshape(n, bands, ROWS) * _BAND_ODD[:bands]).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
-    folded = np.zeros((n, 128), dtype=np.uint8)
-    folded[:, : min(128, bands * ROWS)] = (mix(code + _SEEDS[1]) & np.uint64(1))[:, :128]
-    bits = np.packbits(folded, axis=1).view(np.int64)
-    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * bands)
-    return {
-        "n": pa.array([len(s) for s in sets], pa.int64()),
-        "lo": pa.array(lo.view(np.int64)), "hi": pa.array(hi.view(np.int64)),
-        "bits0": pa.array(np.ascontiguousarray(bits[:, 0])), "bits1": pa.array(np.ascontiguousarray(bits[:, 1])),
-        "bands": pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())),
-    }
-
-
-def differing_bits(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}.bits0").bitwiseXOR(F.col(f"{b}.bits0"))) + F.bit_count(
-        F.col(f"{a}.bits1").bitwiseXOR(F.col(f"{b}.bits1"))
-    )
+    offsets = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * (2 * bands * ROWS)).tobytes())
+    registers = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(code).tobytes())])
+    return {"n": pa.array([len(s) for s in sets], pa.int64()), "lo": pa.array(lo.view(np.int64)), "hi": pa.array(hi.view(np.int64)), "registers": registers}
+
+
+def band_keys(bands: int) -> Column:
+    """A key of each band's registers."""
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.expr("registers").substr(b * (2 * ROWS) + 1, F.lit(2 * ROWS))))
 
 
-def may_reach(a: str, b: str, percent: int, bands: int = BANDS) -> Column:
-    """Whether two sketches may reach the similarity: by set sizes, and by the Jaccard similarity estimated from
-    folded register bits. Unequal registers collide in half of all bits, so corrected for collisions
-    J = 2 * agreeing - 1; six standard deviations are allowed."""
-    size = (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent)
-    p, registers = (1 - percent / 100) / 2, min(128, bands * ROWS)
-    return size & (differing_bits(a, b) <= int(registers * p + 6 * (registers * p * (1 - p)) ** 0.5))
+def near_size(a: str, b: str, percent: int) -> Column:
+    """Whether two set sizes allow the similarity."""
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+
+
+def _agreeing(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("registers_a", "registers_b"))
+            agree = (x == y).sum(axis=1)
+            keep = np.flatnonzero(agree >= least)
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a").take(pa.array(keep)), "b": batch.column("b").take(pa.array(keep)), "agreeing": pa.array(agree[keep])})
+
+    return run
+
+
+def promising(pairs: DataFrame, reps: DataFrame, percent: int, bands: int) -> DataFrame:
+    """(a, b, agreeing) of the pairs (a, b) that may reach the similarity, by set sizes and registers. reps: id, n,
+    registers. `a` may be the same in many pairs."""
+    side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"registers_{c}"))
+    met = salted_join(pairs.join(side("b"), "b"), side("a"), "a").filter(near_size("n_a", "n_b", percent))
+    fields = pairs.select("a", "b", F.lit(0).cast("long").alias("agreeing")).schema
+    return met.select("a", "b", "registers_a", "registers_b").mapInArrow(_agreeing(least_agreeing(percent, bands * ROWS)), fields)
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,10 +149,10 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with the number of common shingles (both) and the sizes of their full sets, of `sets` (id,
-    shingles)."""
+    shingles). `a` may be the same in many pairs."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    met = salted_join(pairs.join(right, "b"), left, "a", 2000).select("a", "b", "set_a", "set_b")
     counted = pairs.select("a", "b", *[F.lit(0).cast("long").alias(c) for c in ("both", "n_a", "n_b")]).schema
     return materialised(met.mapInArrow(_common, counted), "measured")
 
@@ -197,39 +222,37 @@ def classes(sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
     """
     some = sketches.filter("n > 0")
     reps = materialised(
-        some.groupBy("lo", "hi", "n").agg(F.min(F.struct("id", "bits0", "bits1", "bands")).alias("r")).select("lo", "hi", "n", "r.*"),
+        some.groupBy("lo", "hi", "n").agg(F.min(F.struct("id", "registers")).alias("r")).select("lo", "hi", "n", "r.*"),
         "representatives",
     )
-    rows = reps.select("id", F.explode("bands").alias("key")).repartition("key")
-    pivots = rows.groupBy("key").agg(F.min("id").alias("p"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    shared = rows.join(pivots, "key").select("key", "id", "p")
-    sketch = F.struct("id", "n", "bits0", "bits1")
-    of_id = reps.select("id", sketch.alias("x"))
-    of_pivot = reps.select(F.col("id").alias("p"), F.struct("id", "n", "bits0", "bits1").alias("y"))
-    shared = materialised(shared.join(of_id, "id").select("key", "id", "x", "p"), "shared")
+    rows = reps.select("id", F.explode(band_keys(bands)).alias("key"))
+    pivots = materialised(rows.groupBy("key").agg(F.min("id").alias("p"), F.count("*").alias("c")).filter("c > 1"), "pivots")
+    shared = materialised(salted_join(rows, pivots, "key", count="c").drop("c"), "shared")
 
     # first, each set against its buckets' smallest ids: the one that looks most alike
-    tried = shared.filter(F.col("id") != F.col("p")).select("id", "x", "p").distinct().join(of_pivot, "p").filter(may_reach("x", "y", percent, bands))
-    best = tried.groupBy(F.col("id").alias("b")).agg(F.min(F.struct(differing_bits("x", "y").alias("d"), F.col("p").alias("a"))).alias("best"))
+    met = shared.filter(F.col("id") != F.col("p")).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
+    tried = promising(materialised(met, "met"), reps, percent, bands)
+    best = tried.groupBy("b").agg(F.min(F.struct((-F.col("agreeing")).alias("d"), "a")).alias("best"))
     pairs = materialised(best.select("best.a", "b"), "pairs")
     links = linked(measured(pairs, materialised(sets_of(_ids(pairs)), "sets")), percent)
     found = components(links)
 
     # then what is left in buckets of several components, by how many of its shingles any other set there has
-    open_ = materialised(_open(shared.select("key", "id", "x"), found), "open")
-    sizes = open_.select("id", F.col("x.n").alias("n")).distinct()
+    open_ = materialised(_open(shared.select("key", "id"), found), "open")
+    sizes = open_.select("id").distinct().join(reps.select("id", "n"), "id")
     sets = materialised(sets_of(sizes.select("id")), "sets")
-    met = materialised(met_shingles(sets, sizes).join(sizes, "id").filter(F.col("met") * 100 >= F.col("n") * percent).select("id", "met"), "met")
-    live = open_.select("key", "id", "x").join(met, "id").select("key", "id", F.struct("x.*", "met").alias("x"))
-    centres = live.groupBy("key").agg(F.max_by("x", F.struct(F.col("x.met") / F.col("x.n"), F.xxhash64("id"))).alias("y"))
-    live = materialised(live.join(centres, "key").select("key", "id", "x", F.col("y.id").alias("centre"), (may_reach("x", "y", percent, bands) & (F.col("x.id") != F.col("y.id"))).alias("near")), "live")
-    tried = measured(materialised(live.filter("near").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs"), sets)
+    met = materialised(met_shingles(sets, sizes).join(sizes, "id").filter(F.col("met") * 100 >= F.col("n") * percent).select("id", "n", "met"), "met")
+    live = materialised(open_.select("key", "id").join(met, "id"), "live")
+    centres = materialised(live.groupBy("key").agg(F.max_by("id", F.struct(F.col("met") / F.col("n"), F.xxhash64("id"))).alias("centre"), F.count("*").alias("c")), "centres")
+    centred = materialised(salted_join(live, centres, "key", count="c").drop("c"), "centred")
+    wanted = materialised(centred.filter(F.col("id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "wanted")
+    tried = measured(materialised(promising(wanted, reps, percent, bands).select("a", "b"), "pairs"), sets)
     links = links.unionByName(linked(tried, percent))
     found = components(links)
 
     counts = tried.select(F.col("a").alias("centre"), F.col("b").alias("id"), "both")
-    central = F.when(F.col("id") == F.col("centre"), F.col("x.n")).otherwise(F.col("both"))
-    known = live.join(counts, ["centre", "id"], "left").select("key", "id", F.struct("x.*", central.alias("central")).alias("x"))
+    central = F.when(F.col("id") == F.col("centre"), F.col("n")).otherwise(F.col("both"))
+    known = centred.join(counts, ["centre", "id"], "left").select("key", "id", "n", "met", central.alias("central"))
     rest = materialised(_between_components(_open(known, found), reps, percent, bands), "pairs")
     if not rest.isEmpty():
         found = components(links.unionByName(linked(measured(rest, sets), percent)))
@@ -241,39 +264,51 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def _may_share(a: str, b: str, percent: int, bands: int) -> Column:
-    """may_reach, and whether the sets can have enough in common: at most what both share with their bucket's centre,
-    and of their other shingles those that some set there has too. Without the former, all such shingles count."""
-    met = F.least(F.col(f"{a}.met"), F.col(f"{b}.met"))
-    beside = F.least(F.col(f"{a}.met") - F.col(f"{a}.central"), F.col(f"{b}.met") - F.col(f"{b}.central"))
-    most = F.least(met, F.coalesce(F.least(F.col(f"{a}.central"), F.col(f"{b}.central")) + beside, met))
-    known = F.col(f"{a}.central").isNotNull() & F.col(f"{b}.central").isNotNull()
-    most = F.when(known, most).otherwise(met)
-    return (most * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - most) * percent) & may_reach(a, b, percent, bands)
-
-
 def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows (key, id, x) of buckets that hold several components, with their own component, the bucket's largest
-    one (top), and how many rows are outside it (others)."""
-    members = rows.join(found, "id", "left").select("key", "id", "x", F.coalesce("component", "id").alias("component"))
+    """The rows (key, id, ...) of buckets that hold several components, with their own component and how many rows
+    their bucket has (members)."""
+    members = rows.join(found, "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("component"))
+    members = materialised(members, "members")
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("all")).filter("parts > 1")
-    return members.join(mixed.select("key", F.col("top.component").alias("top"), (F.col("all") - F.col("top.c")).alias("others")), "key")
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("members")).filter("parts > 1").select("key", "members")
+    return salted_join(members, materialised(mixed, "mixed"), "key", count="members")
+
+
+def _block_pairs(percent: int, least: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of the two blocks' members that lie in different components and may reach the similarity: by sizes,
+        by registers, and by what they can have in common, which is at most what both share with their bucket's
+        centre, and of their other shingles those that some set there has too."""
+        size, met, part = rows["n"].to_numpy(np.int64), rows["met"].to_numpy(np.int64), pd.factorize(rows["part"])[0]
+        central, known = rows["central"].fillna(0).to_numpy(np.int64), rows["central"].notna().to_numpy()
+        registers = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(len(rows), -1)
+        mine, other = np.flatnonzero(rows["side"] == key[1]), np.flatnonzero(rows["side"] == key[2])
+        a, b = [], []
+        for i in mine:
+            at = other[(part[other] != part[i]) & ((other > i) if key[1] == key[2] else True)]
+            most = np.minimum(met[at], met[i])
+            through = np.minimum(central[at], central[i]) + np.minimum(met[at] - central[at], met[i] - central[i])
+            most = np.where(known[at] & known[i], np.minimum(most, through), most)
+            at = at[(size[at] * 100 >= size[i] * percent) & (size[i] * 100 >= size[at] * percent) & (most * 100 >= (size[at] + size[i] - most) * percent)]
+            at = at[(registers[at] == registers[i]).sum(axis=1) >= least]
+            a += [i] * len(at)
+            b += at.tolist()
+        return pd.DataFrame({"a": rows["name"].to_numpy()[a], "b": rows["name"].to_numpy()[b]})
+
+    return run
 
 
 def _between_components(open_: DataFrame, reps: DataFrame, percent: int, bands: int) -> DataFrame:
-    """Pairs of a bucket's members that lie in different components and may reach the similarity; of the buckets that
-    two members share, only the first one pairs them."""
-
-    def pairs(rows: DataFrame, once: Column) -> DataFrame:
-        a = rows.filter(F.col("component") != F.col("top")).select("key", F.col("x").alias("a"), F.col("bands").alias("bands_a"), F.col("component").alias("ca"))
-        b = rows.select("key", F.col("x").alias("b"), F.col("bands").alias("bands_b"), F.col("component").alias("cb"), "top")
-        met = a.join(b, "key").filter(F.col("ca") != F.col("cb")).filter((F.col("cb") == F.col("top")) | (F.col("a.id") < F.col("b.id")))
-        return met.filter(_may_share("a", "b", percent, bands)).filter(once).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
-
-    first = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("key")
-    rows = open_.join(reps.select("id", "bands"), "id")
-    wide = rows.filter(F.col("others") > WIDE_BUCKET)
-    dealt = wide.select("key", "x", "bands", "component", "top", F.explode("bands").alias("band")).filter(F.col("band") != F.col("key"))
-    dealt = dealt.select(F.xxhash64("key", "band").alias("key"), "x", "bands", "component", "top")
-    return pairs(rows.filter(F.col("others") <= WIDE_BUCKET), first).union(pairs(dealt, F.lit(True))).distinct()
+    """Pairs of a bucket's members that lie in different components and may reach the similarity. A bucket's members
+    are dealt into blocks of about BLOCK, and every two blocks meet in one group."""
+    kind = open_.schema["id"].dataType
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    sides = open_.select("key", "id", "n", "met", "central", "component", own.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    sides = sides.withColumns({"x": F.least("side", "with"), "y": F.greatest("side", "with")}).join(reps.select("id", "registers"), "id")
+    # groups carry ids as JSON, which pandas keeps as they are
+    named = sides.select("key", "x", "y", F.to_json(F.struct("id")).alias("name"), "n", "met", "central", F.to_json(F.struct("component")).alias("part"), "side", "registers")
+    found = named.groupBy("key", "x", "y").applyInPandas(_block_pairs(percent, least_agreeing(percent, bands * ROWS)), "a string, b string").distinct()
+    back = lambda c: F.from_json(c, f"struct<id: {kind.simpleString()}>")["id"].alias(c)
+    ends = found.select(back("a"), back("b"))
+    return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
