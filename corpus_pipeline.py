@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.llm import decontaminate, line_dedup, minhash_dedup, packing, toxicity
-from tidepool.llm.common import shared_dir, table
+from tidepool.llm.common import shared_dir, steps_until_written, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -25,6 +25,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
+        with steps_until_written():
+            stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
         docs = spark.read.parquet(f"{where}/{name}")
     return docs
