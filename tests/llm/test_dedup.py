@@ -220,9 +220,48 @@ def test_passages_of_given_documents(spark):
     assert repeated_windows(texts, 51) <= got <= repeated_windows(texts, 32)
 
 
+def paragraphs(text):
+    """(first line, words) of long lines and of blocks of short ones."""
+
+    def closes(line):
+        hashes, bounds = common.word_hashes([line.encode().lower()], common.SPACED_WORDS)
+        return bool(substring_dedup._closing(hashes, bounds)[0])
+
+    out, block = [], []
+    for n, line in enumerate([*(text or "").split("\n"), ""]):
+        if block and not 0 < len(words(line)) < 50:
+            out.append((block[0][0], " ".join(x for _, x in block)))
+            block = []
+        if len(words(line)) >= 50:
+            out.append((n, line))
+        elif words(line):
+            block.append((n, line))
+            if closes(line):
+                out.append((block[0][0], " ".join(x for _, x in block)))
+                block = []
+    return [(n, p) for n, p in out if len(words(p)) >= 50]
+
+
+def test_near_copies_of_short_lines_are_found(spark):
+    rng = random.Random(15)
+    fill = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    lines = [fill(20) for _ in range(24)]
+    changed = [f"{x} more" if i % 2 else x for i, x in enumerate(lines)]  # no 32 words in a row stay
+    docs = spark.createDataFrame([(0, "\n".join([fill(9), *lines])), (1, "\n".join([*changed, fill(70)])), (2, fill(400))], "doc_id long, text string")
+    got = substring_dedup.repeated_paragraphs(docs).collect()
+    gone = [r for r in got if r.removed]
+    assert gone and {r.doc_id for r in gone} == {1} and {r.first_doc_id for r in got} == {0}
+
+
+def test_result_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one, many = (sorted(map(tuple, substring_dedup.repeats(d).collect()), key=repr) for d in (docs.coalesce(1), docs.orderBy(docs.doc_id % 7, docs.doc_id.desc()).repartition(13)))
+    assert one == many and one
+
+
 def test_repeated_paragraphs_of_given_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    sets = {(r.doc_id, n): shingles(p, 5) for r in docs for n, p in enumerate((r.text or "").split("\n")) if len(words(p)) >= 50}
+    sets = {(r.doc_id, n): shingles(p, 5) for r in docs for n, p in paragraphs(r.text)}
     want = {k: c for k, c in classes(sets).items()}
     sizes = {c: list(want.values()).count(c) for c in want.values()}
     got = {(r.doc_id, r.paragraph): (r.first_doc_id, r.first_paragraph) for r in substring_dedup.repeated_paragraphs(spark.read.parquet(f"{SF}/documents.parquet")).collect()}

@@ -214,13 +214,18 @@ def _hashed(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
     """Each text's sorted distinct k-word shingles as hashes; fewer words count as one shingle, none as no shingle."""
+    return shingles_between(hashes, bounds[:-1], bounds[1:], k)
+
+
+def shingles_between(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, k: int) -> list[np.ndarray]:
+    """shingle_sets of given runs of words."""
     n = len(hashes)
     rolled = np.zeros(max(0, n - k + 1), dtype=np.uint64)
     for j in range(k):
         rolled += hashes[j : n - k + 1 + j] * _ODD[j]
     rolled = mix(rolled)
     out = []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+    for a, b in zip(begins, ends, strict=True):
         if b - a >= k:
             out.append(np.unique(rolled[a : b - k + 1]))
         elif b > a:

@@ -1,7 +1,8 @@
 """Passages repeated within or across documents (operator 1).
 
-Near copies of paragraphs are found by MinHash banding. A passage that was set into other paragraphs has no paragraph
-of its own there, so windows at content-defined anchors find it as well, by equality.
+Near copies of paragraphs are found by MinHash banding: long lines, and blocks of neighbouring short lines. A passage
+that was set into other paragraphs has no paragraph of its own there, so windows at content-defined anchors find it as
+well, by equality: windows overlap, so near matches of them would link every text with itself.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, materialised, mix, placed_word_hashes, shingle_sets, table, word_hashes
+from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, materialised, mix, placed_word_hashes, salted_join, shingles_between, table, unused, word_hashes
 from tidepool.llm.near_dup import SKETCH_FIELDS, classes, sketch_columns
 
 #: Bands of four registers; a pair at similarity 0.8 is missed once in forty thousand, at 0.9 never in practice.
@@ -24,24 +25,46 @@ _ANCHOR_ODD, _WINDOW_ODD = _ODD_NUMBERS[0], _ODD_NUMBERS[1:]
 _ID = pa.struct([("doc_id", pa.int64()), ("part", pa.int32())])
 
 
-def _paragraph_sets(texts: list[str | None], k: int, min_words: int, wanted: list[list[int]] | None = None) -> Iterator[tuple[list[tuple[int, int, int, int]], list[np.ndarray]]]:
-    """For each chunk of texts: (row, part, start, length) and the shingle set of every paragraph long enough."""
+def _closing(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The lines after which a block of short lines ends: on average one in four, chosen by the least of their words'
+    hashes, so that copies are cut alike whatever stands before them, and mostly where a few words differ too."""
+    out, some = np.zeros(len(bounds) - 1, dtype=bool), np.flatnonzero(np.diff(bounds))
+    if len(some):
+        out[some] = (mix(np.minimum.reduceat(mix(hashes), bounds[some])) & np.uint64(3)) == 0
+    return out
+
+
+def _paragraphs(texts: list[str | None], a: int, b: int, lines: list[bytes], hashes: np.ndarray, bounds: np.ndarray, min_words: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(row, first line, start, length, first word, one past the last) of the paragraphs of at least `min_words` words.
+    A line of so many words is one; shorter lines in a row are joined up to a blank line, a long one, or a closing one."""
+    bounds_, closing, at = bounds.tolist(), _closing(hashes, bounds).tolist(), 0
+    for i in range(a, b):
+        start, block = 0, None
+        for part, line in enumerate((texts[i] or "").split("\n")):
+            first, last, stop = bounds_[at], bounds_[at + 1], start + len(line)
+            words = last - first
+            if block and not 0 < words < min_words:
+                yield i, *block
+                block = None
+            if words >= min_words:
+                yield i, part, start, stop - start, first, last
+            elif words:
+                block = (part, start, stop - start, first, last) if block is None else (block[0], block[1], stop - block[1], block[3], last)
+                if closing[at]:
+                    yield i, *block
+                    block = None
+            start, at = stop + 1, at + 1
+        if block:
+            yield i, *block
+
+
+def _paragraph_sets(texts: list[str | None], k: int, min_words: int, wanted: list[set[int]] | None = None) -> Iterator[tuple[list[tuple[int, int, int, int]], list[np.ndarray]]]:
+    """For each chunk of texts: (row, first line, start, length) and the shingle set of every paragraph long enough."""
     for a, b in chunks(raw := folded_bytes(texts)):
-        where, lines = [], []
-        for i in range(a, b):
-            start = 0
-            for part, line in enumerate((texts[i] or "").split("\n")):
-                if wanted is None or part in wanted[i]:
-                    where.append((i, part, start, len(line)))
-                start += len(line) + 1
-            parts = raw[i].split(b"\n")
-            lines += parts if wanted is None else [p for n, p in enumerate(parts) if n in wanted[i]]
-        if not lines:
-            continue
+        lines = [line for i in range(a, b) for line in raw[i].split(b"\n")]
         hashes, bounds = word_hashes(lines, SPACED_WORDS)
-        enough = np.flatnonzero(np.diff(bounds) >= min_words)
-        sets = shingle_sets(hashes, bounds, k)
-        yield [where[i] for i in enough], [sets[i] for i in enough]
+        found = [p for p in _paragraphs(texts, a, b, lines, hashes, bounds, min_words) if p[5] - p[4] >= min_words and (wanted is None or p[1] in wanted[p[0]])]
+        yield [p[:4] for p in found], shingles_between(hashes, [p[4] for p in found], [p[5] for p in found], k)
 
 
 def _ids(batch: pa.RecordBatch, where: list[tuple[int, int, int, int]]) -> pa.Array:
@@ -73,7 +96,8 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_word
     """Every paragraph of at least `min_words` words that has a near copy: doc_id, paragraph, start, length (code
     points), first_doc_id, first_paragraph, removed.
 
-    Paragraphs are lines; near copies share `percent` of their distinct k-word shingles (words split at spaces,
+    Paragraphs are lines, or blocks of shorter lines in a row, which end at blank lines, long ones, and about every
+    fourth one, chosen by its words; a block is named by its first line. Near copies share `percent` of their distinct k-word shingles (words split at spaces,
     A-Z lower-cased). The earliest paragraph of each connected group, by doc_id and place, stays; the others are
     removed. Null, empty and short texts give no row; rows with a null doc_id take no part; rows that repeat a
     doc_id count as one document for their ids. Other columns are ignored.
@@ -97,42 +121,49 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_word
     )
 
 
+def _anchors(hashes: np.ndarray, bounds: np.ndarray, words: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places, in order, whose hash of four words is the least of some `reach` neighbouring ones of the same text and
+    that `words` words of it follow from; and the text of each."""
+    n = len(hashes) - 3
+    if n < reach:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    local = mix(sum((hashes[j : n + j] * _ANCHOR_ODD[j] for j in range(4)), np.zeros(n, np.uint64)))
+    begin = np.arange(n - reach + 1)
+    least = begin + np.lib.stride_tricks.sliding_window_view(local, reach).argmin(axis=1)
+    owner = np.searchsorted(bounds, begin, side="right") - 1
+    at = np.unique(least[begin + reach + 3 <= bounds[owner + 1]])
+    owner = np.searchsorted(bounds, at, side="right") - 1
+    fits = at + words <= bounds[owner + 1]
+    return at[fits], owner[fits]
+
+
 def _windows(words: int, reach: int):
-    """Windows of `words` words that begin at anchors: places whose hash of four words is the least of some `reach`
-    neighbouring ones. A passage of `words` + `reach` - 1 words or more holds at least one such window, wherever it
-    stands, and the same one in every copy. Anchors of a text lie at most `reach` words apart, so neighbouring windows
-    overlap if `reach` is at most `words`; what follows the first of equal windows in a row is one span of them."""
+    """Windows of `words` words that begin at anchors. A passage of `words` + `reach` - 1 words or more holds at least
+    one such window, wherever it stands, and the same one in every copy. Anchors of a text lie at most `reach` words
+    apart, so neighbouring windows overlap if `reach` is at most `words`; what follows the first of equal windows in a
+    row is one span of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, raw = batch.column("doc_id"), folded_bytes(batch.column("text").to_pylist())
             for a, b in chunks(raw):
                 hashes, bounds, first, last = placed_word_hashes(raw[a:b], SPACED_WORDS)
-                n = len(hashes) - 3
-                if n < reach:
-                    hashes = np.concatenate((hashes, np.zeros(max(0, reach - n), np.uint64)))
-                    n = len(hashes) - 3
-                local = mix(sum((hashes[j : n + j] * _ANCHOR_ODD[j] for j in range(4)), np.zeros(n, np.uint64)))
-                least = np.lib.stride_tricks.sliding_window_view(local, reach).argmin(axis=1)
-                at = np.unique(least + np.arange(len(least)))
-                owner = np.searchsorted(bounds, at, side="right") - 1
-                fits = (owner < b - a) & (at + words <= bounds[np.minimum(owner + 1, b - a)])
-                at, owner = at[fits], owner[fits]
-                for i in range(0, len(at), 50_000):
-                    p, o = at[i : i + 50_000], owner[i : i + 50_000]
-                    lo, hi = np.zeros(len(p), np.uint64), np.zeros(len(p), np.uint64)
-                    for j in range(words):
-                        lo += hashes[p + j] * _WINDOW_ODD[0, j]
-                        hi += hashes[p + j] * _WINDOW_ODD[1, j]
-                    # a text that repeats itself has runs of equal windows: the first is one row, all others together one span
-                    new = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (o[1:] != o[:-1])
-                    begins = np.flatnonzero(np.concatenate(([True], new)))
-                    ends = np.concatenate((begins[1:], [len(p)])) - 1
-                    more = ends > begins
-                    x, y = np.concatenate((begins, begins[more] + 1)), np.concatenate((begins, ends[more]))
+                at, owner = _anchors(hashes, bounds, words, reach)
+                lo, hi = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+                for j in range(words):
+                    lo += hashes[at + j] * _WINDOW_ODD[0, j]
+                    hi += hashes[at + j] * _WINDOW_ODD[1, j]
+                # a text that repeats itself has runs of equal windows: the first is one row, all others together one span
+                new = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (owner[1:] != owner[:-1])
+                begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), new)))
+                ends = np.concatenate((begins[1:], [len(at)])) - 1
+                more = ends > begins
+                x, y = np.concatenate((begins, begins[more] + 1)), np.concatenate((begins, ends[more]))
+                for i in range(0, len(x), 50_000):
+                    p, q = x[i : i + 50_000], y[i : i + 50_000]
                     yield pa.RecordBatch.from_pydict({
-                        "lo": pa.array(mix(lo[x]).view(np.int64)), "hi": pa.array(mix(hi[x]).view(np.int64)), "doc_id": docs.take(pa.array(o[x] + a)),
-                        "start": pa.array(first[p[x]].astype(np.int64)), "stop": pa.array(last[p[y] + words - 1].astype(np.int64)),
+                        "lo": pa.array(mix(lo[p]).view(np.int64)), "hi": pa.array(mix(hi[p]).view(np.int64)), "doc_id": docs.take(pa.array(owner[p] + a)),
+                        "start": pa.array(first[at[p]].astype(np.int64)), "stop": pa.array(last[at[q] + words - 1].astype(np.int64)),
                     })
 
     return run
@@ -148,8 +179,10 @@ def repeated_passages(docs: DataFrame, words: int = 32, reach: int = 20) -> Data
     such run the first window stays. Nulls, empty and short texts give no row.
     """
     rows = docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(_windows(words, reach), "lo long, hi long, doc_id long, start long, stop long")
-    firsts = rows.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = materialised(rows.join(firsts, ["lo", "hi"]).select("doc_id", "start", "stop", "first", (F.struct("doc_id", "start") != F.col("first")).alias("removed")), "windows")
+    rows = rows.withColumn("window", F.struct("lo", "hi")).drop("lo", "hi")
+    firsts = rows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    met = salted_join(rows, materialised(firsts, "first_windows"), "window", count="n")
+    found = materialised(met.select("doc_id", "start", "stop", "first", (F.struct("doc_id", "start") != F.col("first")).alias("removed")), "windows")
     alike = W.partitionBy("doc_id", "removed").orderBy("start", "stop")
     apart = F.col("start") > F.coalesce(F.max("stop").over(alike.rowsBetween(W.unboundedPreceding, -1)), F.lit(-2)) + 1
     numbered = found.withColumn("passage", F.sum(apart.cast("int")).over(alike.rowsBetween(W.unboundedPreceding, 0)))
@@ -167,24 +200,28 @@ def repeats(docs: DataFrame) -> DataFrame:
     return lines.select(*columns).union(passages.select(*columns))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
-            at, parts = 0, []
-            for start, stop in sorted((s["start"], s["start"] + s["length"]) for s in spans or ()):
-                parts.append((text or "")[at : max(at, start)])
-                at = max(at, stop)
-            texts.append(text if not spans else "".join([*parts, text[at:]]))
-        yield pa.RecordBatch.from_pydict({f.name: pa.array(texts, pa.string()) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema)})
+def _cut(gone: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(gone).to_pylist(), strict=True):
+                at, parts = 0, []
+                for start, stop in sorted((s["start"], s["start"] + s["length"]) for s in spans or ()):
+                    parts.append((text or "")[at : max(at, start)])
+                    at = max(at, stop)
+                texts.append(text if not spans else "".join([*parts, text[at:]]))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema)], schema=batch.schema)
+
+    return run
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with removed paragraphs and passages cut from their texts; all rows and columns stay. Rows that share a
     doc_id are cut alike, so texts of one id should be one text."""
-    gone = repeats(docs).filter("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("__gone"))
-    joined = docs.join(gone, "doc_id", "left").select(*docs.columns, "__gone")
-    return joined.mapInArrow(_cut, joined.schema).select(*docs.columns)
+    (gone,) = unused(docs, "gone")
+    spans = repeats(docs).filter("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias(gone))
+    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, gone)
+    return joined.mapInArrow(_cut(gone), joined.schema).select(*docs.columns)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
