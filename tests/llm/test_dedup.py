@@ -276,7 +276,7 @@ def test_repeated_paragraphs_of_awkward_rows(awkward, nothing):
     assert out.columns == awkward.columns and out.count() == awkward.count()
 
 
-def removed(texts):
+def removed(texts, fuzzy=8):
     """Lines that go, by comparing every line with all earlier ones."""
     lines = [(d, n, words(line)) for d, t in sorted(texts.items()) for n, line in enumerate((t or "").split("\n"))]
     lines = [x for x in lines if x[2]]
@@ -289,13 +289,14 @@ def removed(texts):
         if first[w] < (d, n):
             out.add((d, n, *first[w], True))
             continue
-        near = [at for v, at in first.items() if at < first[w] and v != w and min(len(v), len(w)) >= line_dedup.FUZZY_WORDS and line_dedup.within_one_word([x.encode() for x in v], [x.encode() for x in w])]
+        near = [at for v, at in first.items() if at < first[w] and v != w and min(len(v), len(w)) >= fuzzy and line_dedup.within_one_word([x.encode() for x in v], [x.encode() for x in w])]
         if near:
             out.add((d, n, *min(near), False))
     return out
 
 
-def test_removed_lines_against_brute_force(spark):
+@pytest.mark.parametrize("fuzzy", [8, 3, 1])
+def test_removed_lines_against_brute_force(spark, fuzzy):
     rng = random.Random(11)
     base = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"]) for _ in range(rng.randint(1, 14))) for _ in range(40)]
     texts = {}
@@ -313,8 +314,8 @@ def test_removed_lines_against_brute_force(spark):
             lines.append(" ".join(w).upper() if rng.random() < 0.2 else " ".join(w))
         texts[d] = "\n".join(lines)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {(r.doc_id, r.line, r.first_doc_id, r.first_line, r.equal) for r in line_dedup.removed_lines(docs).collect()}
-    assert got == removed(texts)
+    got = {(r.doc_id, r.line, r.first_doc_id, r.first_line, r.equal) for r in line_dedup.removed_lines(docs, fuzzy).collect()}
+    assert got == removed(texts, fuzzy)
 
 
 def test_edit_distance_of_one_word():
@@ -323,6 +324,20 @@ def test_edit_distance_of_one_word():
         assert line_dedup.within_one_word(split(a), split(b)) is near
 
 
+def test_long_words_and_texts_without_spaces_are_told_apart(spark):
+    """Words whose blocks or distant bytes change places, and repeated patterns, must not be taken for equal."""
+    x, cjk = "x" * 255, ["日本語" * 30 + chr(0x4E00 + i) for i in range(8)]
+    turn = [0]
+    while len(turn) < 2048:
+        turn += [1 - t for t in turn]
+    pattern = lambda flip: " ".join("ab"[t ^ flip] for t in turn)
+    texts = {0: f"A{x}B", 1: f"B{x}A", 2: "".join(cjk), 3: "".join(reversed(cjk)), 4: pattern(0), 5: pattern(1), 6: "".join("ab"[t] for t in turn), 7: "".join("ab"[1 - t] for t in turn)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs, 4).collect()} == classes({d: shingles(t, 4) for d, t in texts.items()})
+    assert line_dedup.removed_lines(docs).count() == 0
+    assert substring_dedup.repeats(docs.filter("doc_id not in (4, 5)")).count() == 0
+
+
 def test_lines_of_awkward_rows(spark, awkward, nothing):
     assert line_dedup.removed_lines(nothing).count() == 0
     out = line_dedup.without_repeated_lines(awkward)

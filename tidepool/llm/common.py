@@ -170,8 +170,9 @@ def word_hashes(raw: Sequence[bytes], words: np.ndarray) -> tuple[np.ndarray, np
     return placed_word_hashes(raw, words)[:2]
 
 
-def placed_word_hashes(raw: Sequence[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """word_hashes, and each word's first and one past its last code point in its text."""
+def _words(raw: Sequence[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with a newline after each as one buffer, where each text begins (len(raw) + 1 entries), and the first
+    and one past the last byte of each word and its hash."""
     buf = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     inside = words[buf]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -179,10 +180,16 @@ def placed_word_hashes(raw: Sequence[bytes], words: np.ndarray) -> tuple[np.ndar
         edges = np.concatenate(([0], edges))
     starts, ends = edges[::2], edges[1::2]
     text_starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in raw])))
+    hashes = _hashed(buf, starts, ends - starts) if len(starts) else np.zeros(0, dtype=np.uint64)
+    return buf, text_starts, starts, ends, hashes
+
+
+def placed_word_hashes(raw: Sequence[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes, and each word's first and one past its last code point in its text."""
+    buf, text_starts, starts, ends, hashes = _words(raw, words)
     bounds = np.searchsorted(starts, text_starts)
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), bounds, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    hashes = _hashed(buf, starts, ends - starts)
+        return hashes, bounds, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     if (buf < 0x80).all():
         point, origin = np.arange(len(buf) + 1), text_starts
     else:
@@ -192,6 +199,16 @@ def placed_word_hashes(raw: Sequence[bytes], words: np.ndarray) -> tuple[np.ndar
     return hashes, bounds, point[starts] - own, point[ends] - own
 
 
+def line_word_hashes(raw: Sequence[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, where each line's words begin (one more entry), each line's text, and where each text's
+    lines begin (one more entry). Newlines must not be parts of words."""
+    buf, text_starts, starts, _, hashes = _words(raw, words)
+    line_starts = np.concatenate(([0], np.flatnonzero(buf == 10) + 1))  # the last one is the buffer's end
+    firsts = np.searchsorted(line_starts, text_starts)
+    owner = np.repeat(np.arange(len(raw)), np.diff(firsts))
+    return hashes, np.searchsorted(starts, line_starts), owner, firsts
+
+
 _KEEP = np.array([0, *((1 << (8 * n)) - 1 for n in range(1, 9))], dtype=np.uint64)
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 

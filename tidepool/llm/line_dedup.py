@@ -9,106 +9,116 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, materialised, mix, table, word_hashes
+from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, line_word_hashes, materialised, mix, salted_join, table, unused
 
-#: Lines of fewer words are only compared for equality: one word of a short line is too large a part of it.
+#: Words from which on one word of a line may differ; of a shorter line one word is too large a part.
 FUZZY_WORDS = 8
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = 0x9E3779B97F4A7C15
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
 
-def _sequence_powers(n: int) -> np.ndarray:
-    out = np.empty(n, dtype=np.uint64)
-    out[0] = 1
-    np.multiply.accumulate(np.full(n - 1, _ODD, dtype=np.uint64), out=out[1:]) if n > 1 else None
-    return out
-
-
-def _prefixes(hashes: np.ndarray, powers: np.ndarray) -> np.ndarray:
-    """Sums of word hashes times the power of their place: differences give any run's hash."""
-    out = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * powers[: len(hashes)], out=out[1:])
-    return out
-
-
-def _lines_of(texts: list[str | None], wanted: list[set[int]] | None = None) -> Iterator[tuple[list[tuple[int, int]], list[bytes], np.ndarray, np.ndarray]]:
-    """For each chunk of texts: (row, line number) and bytes of its lines, their word hashes and bounds."""
-    raw = folded_bytes(texts)
-    for a, b in chunks(raw):
-        where, lines = [], []
-        for i in range(a, b):
-            for n, line in enumerate(raw[i].split(b"\n")):
-                if wanted is None or n in wanted[i]:
-                    where.append((i, n))
-                    lines.append(line)
-        if lines:
-            yield where, lines, *word_hashes(lines, SPACED_WORDS)
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line with words: its place, a 128-bit fingerprint of its words, and the hashes of its halves. Two lines
-    within one word of each other share their first or last half at the shorter one's half length."""
-    for batch in batches:
-        docs = batch.column("doc_id")
-        for where, _, hashes, bounds in _lines_of(batch.column("text").to_pylist()):
-            powers = _sequence_powers(int(np.diff(bounds).max(initial=1)) + 1)
-            inverse = np.uint64(pow(int(_ODD), -1, 2**64))
-            rows, lo, hi, sizes, halves = [], [], [], [], []
-            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                n = b - a
-                if not n:
-                    continue
-                h = hashes[a:b]
-                sums = _prefixes(h, powers)
-                rows.append(i)
-                sizes.append(n)
-                lo.append(sums[n])
-                hi.append((mix(h ^ _SALT) * powers[:n]).sum(dtype=np.uint64))
-                keys = []
-                if n >= FUZZY_WORDS:
-                    for half in {n // 2, (n - 1) // 2}:
-                        tail = (sums[n] - sums[n - half]) * np.uint64(pow(int(inverse), n - half, 2**64))
-                        keys += [sums[half] + np.uint64(2 * half), tail + np.uint64(2 * half + 1)]
-                halves.append(keys)
-            if not rows:
-                continue
-            flat = mix(np.array([k for ks in halves for k in ks], dtype=np.uint64)).view(np.int64)
-            offsets = np.concatenate(([0], np.cumsum([len(k) for k in halves]))).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": docs.take(pa.array([where[i][0] for i in rows], pa.int64())), "line": pa.array([where[i][1] for i in rows], pa.int64()),
-                "n": pa.array(sizes, pa.int64()), "lo": pa.array(mix(np.array(lo, np.uint64)).view(np.int64)), "hi": pa.array(mix(np.array(hi, np.uint64)).view(np.int64)),
-                "halves": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-            })
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    out, value = [], 1
+    for _ in range(n):
+        out.append(value)
+        value = value * base % 2**64
+    return np.array(out, dtype=np.uint64)
+
+
+class _Lines:
+    """The words of a chunk's lines with running sums of word hashes times a power of their place in the line, of
+    which differences give the hash of any run of a line's words."""
+
+    def __init__(self, raw: list[bytes]):
+        self.hashes, self.bounds, self.owner, self.firsts = line_word_hashes(raw, SPACED_WORDS)
+        self.n = np.diff(self.bounds)
+        self.number = np.arange(len(self.n)) - self.firsts[self.owner]
+        self.place = np.arange(len(self.hashes)) - np.repeat(self.bounds[:-1], self.n)
+        longest = int(self.n.max(initial=0)) + 1
+        powers, self.inverse = _powers(_ODD, longest), _powers(pow(_ODD, -1, 2**64), longest)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hashes * powers[self.place], dtype=np.uint64)))
+
+    def identity(self, salt: np.uint64) -> np.ndarray:
+        """A 64-bit fingerprint of each line's words and their places."""
+        each = mix(self.hashes ^ mix(self.place.astype(np.uint64) * _SALT + salt))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)))
+        return mix(sums[self.bounds[1:]] - sums[self.bounds[:-1]] + self.n.astype(np.uint64))
+
+    def halves(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (lines, 4) of the first and last halves of lines of at least `least` words, and which of them count.
+        Two lines within one word of each other share their first or last half at the shorter one's half length."""
+        a, b = self.bounds[:-1], self.bounds[1:]
+        keys = []
+        for half in (self.n // 2, np.maximum(self.n - 1, 0) // 2):
+            size = 2 * half.astype(np.uint64)
+            keys.append(self.sums[a + half] - self.sums[a] + size)
+            keys.append((self.sums[b] - self.sums[b - half]) * self.inverse[self.n - half] + size + np.uint64(1))
+        fuzzy = (self.n >= least) & (self.n > 0)
+        return mix(np.stack(keys, axis=1)), np.stack([fuzzy, fuzzy, fuzzy & (self.n % 2 == 0), fuzzy & (self.n % 2 == 0)], axis=1)
+
+    def wanted(self, of_text: list[list[int]]) -> np.ndarray:
+        """Which lines are among the numbers given for each text."""
+        out = np.zeros(len(self.n), dtype=bool)
+        at = [self.firsts[i] + np.asarray(x, dtype=np.int64) for i, x in enumerate(of_text) if x]
+        out[np.concatenate(at) if at else []] = True
+        return out
+
+
+def _occurrences(least: int):
+    """Each line with words: its place, a 128-bit fingerprint of its words, and the keys of its halves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, raw = batch.column("doc_id"), folded_bytes(batch.column("text").to_pylist())
+            for a, b in chunks(raw):
+                lines = _Lines(raw[a:b])
+                rows = np.flatnonzero(lines.n)
+                keys, counting = lines.halves(least)
+                counting = counting[rows]
+                offsets = np.concatenate(([0], np.cumsum(counting.sum(axis=1)))).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": docs.take(pa.array(lines.owner[rows] + a)), "line": pa.array(lines.number[rows]), "n": pa.array(lines.n[rows]),
+                    "lo": pa.array(lines.identity(np.uint64(1))[rows].view(np.int64)), "hi": pa.array(lines.identity(np.uint64(2))[rows].view(np.int64)),
+                    "halves": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[rows][counting].view(np.int64))),
+                })
+
+    return run
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The deletion neighbourhood: a key for the line as it is (place -1) and for the line without each word."""
     for batch in batches:
-        docs, wanted = batch.column("doc_id"), [set(x) for x in batch.column("lines").to_pylist()]
-        for where, _, hashes, bounds in _lines_of(batch.column("text").to_pylist(), wanted):
-            powers = _sequence_powers(int(np.diff(bounds).max(initial=1)) + 1)
-            inverse = np.uint64(pow(int(_ODD), -1, 2**64))
-            keys, places, owners = [], [], []
-            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                n = b - a
-                sums = _prefixes(hashes[a:b], powers)
-                without = sums[:-1] + (sums[n] - sums[1:]) * inverse
-                keys.append(np.concatenate((sums[n:], without)) + np.concatenate(([n], np.full(n, n - 1))).astype(np.uint64))
-                places.append(np.arange(-1, n))
-                owners.append(np.full(n + 1, i))
-            owner = np.concatenate(owners)
-            row, line = np.array([w[0] for w in where])[owner], np.array([w[1] for w in where])[owner]
-            out = {"key": pa.array(mix(np.concatenate(keys)).view(np.int64)), "place": pa.array(np.concatenate(places).astype(np.int32)), "doc_id": docs.take(pa.array(row)), "line": pa.array(line.astype(np.int64))}
-            table_ = pa.RecordBatch.from_pydict(out)
-            for at in range(0, table_.num_rows, 100_000):
-                yield table_.slice(at, 100_000)
+        docs, wanted = batch.column("doc_id"), batch.column("lines").to_pylist()
+        raw = folded_bytes(batch.column("text").to_pylist())
+        for a, b in chunks(raw):
+            lines = _Lines(raw[a:b])
+            own = lines.wanted(wanted[a:b]) & (lines.n > 0)
+            rows = np.flatnonzero(own)
+            word = np.flatnonzero(np.repeat(own, lines.n))
+            line = np.repeat(np.arange(len(lines.n)), lines.n)[word]
+            start, stop, size = lines.bounds[line], lines.bounds[line + 1], lines.n.astype(np.uint64)
+            without = lines.sums[word] - lines.sums[start] + (lines.sums[stop] - lines.sums[word + 1]) * lines.inverse[np.ones(len(word), int)] if len(word) else np.zeros(0, np.uint64)
+            keys = np.concatenate((lines.sums[lines.bounds[rows + 1]] - lines.sums[lines.bounds[rows]] + size[rows], without + size[line] - np.uint64(1)))
+            places = np.concatenate((np.full(len(rows), -1), lines.place[word])).astype(np.int32)
+            line = np.concatenate((rows, line))
+            for i in range(0, len(line), 100_000):
+                part = line[i : i + 100_000]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(mix(keys[i : i + 100_000]).view(np.int64)), "place": pa.array(places[i : i + 100_000]), "doc_id": docs.take(pa.array(lines.owner[part] + a)), "line": pa.array(lines.number[part])})
 
 
 def _line_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        docs, wanted = batch.column("doc_id"), [set(x) for x in batch.column("lines").to_pylist()]
-        for where, lines, _, _ in _lines_of(batch.column("text").to_pylist(), wanted):
-            yield pa.RecordBatch.from_pydict({"doc_id": docs.take(pa.array([w[0] for w in where], pa.int64())), "line": pa.array([w[1] for w in where], pa.int64()), "words": pa.array(lines, pa.binary())})
+        docs, wanted = batch.column("doc_id"), batch.column("lines").to_pylist()
+        raw = folded_bytes(batch.column("text").to_pylist())
+        rows, numbers, words = [], [], []
+        for i, (text, own) in enumerate(zip(raw, wanted, strict=True)):
+            lines = text.split(b"\n")
+            rows += [i] * len(own)
+            numbers += own
+            words += [lines[n] for n in own]
+        for i in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_pydict({"doc_id": docs.take(pa.array(rows[i : i + 10_000], pa.int64())), "line": pa.array(numbers[i : i + 10_000], pa.int64()), "words": pa.array(words[i : i + 10_000], pa.binary())})
 
 
 def within_one_word(a: list[bytes], b: list[bytes]) -> bool:
@@ -124,64 +134,73 @@ def within_one_word(a: list[bytes], b: list[bytes]) -> bool:
 _SPACES = bytes.maketrans(b"\x0b\x0c\r\t\n", b"     ")
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        split = [[w for w in x.translate(_SPACES).split(b" ") if w] for x in batch.column("words_a").to_pylist()], [[w for w in x.translate(_SPACES).split(b" ") if w] for x in batch.column("words_b").to_pylist()]
-        keep = pa.array([within_one_word(a, b) for a, b in zip(*split, strict=True)], pa.bool_())
-        yield batch.select(["later", "earlier"]).filter(keep)
+def _split(line: bytes) -> list[bytes]:
+    return [w for w in line.translate(_SPACES).split(b" ") if w]
+
+
+def _verified(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(map(_split, batch.column("words_a").to_pylist()), map(_split, batch.column("words_b").to_pylist()), strict=True)
+            keep = pa.array([min(len(a), len(b)) >= least and within_one_word(a, b) for a, b in both], pa.bool_())
+            yield batch.select(["later", "earlier"]).filter(keep)
+
+    return run
 
 
 _AT = "struct<doc_id: long, line: long>"
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """doc_id, line, n_words, first_doc_id, first_line, equal of every line that goes.
 
     A line goes if an earlier line (by doc_id, then line number) has the same words, or words within one insertion,
-    deletion or replacement, both lines having FUZZY_WORDS words or more. first_* names the earliest such line,
-    equal ones before others. Words are split at spaces, A-Z lower-cased. Lines without words, null and empty texts
-    give no row; rows with a null doc_id take no part; rows that repeat a doc_id repeat its lines' places. Columns
-    other than doc_id and text are ignored.
+    deletion or replacement, both lines having at least `fuzzy_words` words (1 for all lines). first_* names the
+    earliest such line, equal ones before others. Words are split at spaces, A-Z lower-cased. Lines without words,
+    null and empty texts give no row; rows with a null doc_id take no part; rows that repeat a doc_id repeat its
+    lines' places. Columns other than doc_id and text are ignored.
     """
     rows = docs.select("doc_id", "text").filter("doc_id is not null")
     fields = "doc_id long, line long, n long, lo long, hi long, halves array<long>"
-    lines = materialised(rows.mapInArrow(_occurrences, fields), "lines")
+    lines = materialised(rows.mapInArrow(_occurrences(fuzzy_words), fields).withColumn("words", F.struct("lo", "hi", "n")).drop("lo", "hi"), "lines")
     at = F.struct("doc_id", "line")
-    firsts = materialised(lines.groupBy("lo", "hi", "n").agg(F.min(F.struct(at.alias("at"), "halves")).alias("m")).select("lo", "hi", "n", "m.at", "m.halves"), "firsts")
+    firsts = materialised(lines.groupBy("words").agg(F.min(F.struct(at.alias("at"), "halves")).alias("m"), F.count("*").alias("c")).select("words", "m.at", "m.halves", "c"), "firsts")
 
-    halves = firsts.select("at", F.explode("halves").alias("key")).repartition("key")
-    met = halves.join(halves.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key").select("at.doc_id", "at.line")
+    halves = firsts.select("at", F.explode("halves").alias("key"))
+    common = halves.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    met = salted_join(halves, materialised(common, "halves"), "key", count="c").select("at.doc_id", "at.line")
     places = if_small(materialised(met.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "places"))
     near = materialised(rows.join(places, "doc_id").select("doc_id", "text", "lines"), "near")
     words = near.mapInArrow(_line_words, "doc_id long, line long, words binary").select(at.alias("at"), "words").dropDuplicates(["at"])
 
-    variants = near.mapInArrow(_variants, "key long, place int, doc_id long, line long").repartition("key")
-    variants = variants.select("key", "place", at.alias("at"))
-    replaced = variants.filter("place >= 0").groupBy("key", "place").agg(F.min("at").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    by_place = variants.join(replaced, ["key", "place"]).filter(F.col("at") > F.col("first")).select(F.col("at").alias("later"), F.col("first").alias("earlier"))
+    variants = materialised(near.mapInArrow(_variants, "key long, place int, doc_id long, line long").select("key", "place", at.alias("at")), "variants")
+    gap = variants.filter("place >= 0").select(F.struct("key", "place").alias("gap"), "at")
+    replaced = gap.groupBy("gap").agg(F.min("at").alias("first"), F.count("*").alias("c")).filter("c > 1")
+    by_place = salted_join(gap, materialised(replaced, "replaced"), "gap", count="c").filter(F.col("at") > F.col("first")).select(F.col("at").alias("later"), F.col("first").alias("earlier"))
     whole = variants.filter("place = -1").select("key", F.col("at").alias("whole"))
-    by_length = variants.filter("place >= 0").join(whole, "key").select(F.greatest("at", "whole").alias("later"), F.least("at", "whole").alias("earlier"))
+    shorter = variants.filter("place >= 0").select("key", "at")
+    by_length = salted_join(shorter.join(whole.select("key").distinct(), "key", "left_semi"), whole, "key").select(F.greatest("at", "whole").alias("later"), F.least("at", "whole").alias("earlier"))
     pairs = materialised(by_place.union(by_length).filter("later <> earlier").distinct(), "pairs")
-    texts = pairs.join(words.select(F.col("at").alias("later"), F.col("words").alias("words_a")), "later").join(words.select(F.col("at").alias("earlier"), F.col("words").alias("words_b")), "earlier")
-    good = texts.select("later", "earlier", "words_a", "words_b").mapInArrow(_verified, f"later {_AT}, earlier {_AT}")
+    texts = salted_join(pairs.join(words.select(F.col("at").alias("later"), F.col("words").alias("words_b")), "later"), words.select(F.col("at").alias("earlier"), F.col("words").alias("words_a")), "earlier", 2000)
+    good = texts.select("later", "earlier", "words_a", "words_b").mapInArrow(_verified(fuzzy_words), f"later {_AT}, earlier {_AT}")
     earliest = good.groupBy(F.col("later").alias("at")).agg(F.min("earlier").alias("near"))
 
-    known = firsts.select("lo", "hi", "n", "at").join(earliest, "at", "left")
-    placed = lines.select("doc_id", "line", "lo", "hi", "n").join(known, ["lo", "hi", "n"])
+    known = materialised(firsts.select("words", "at", "c").join(earliest, "at", "left").filter("c > 1 or near is not null"), "known")
+    placed = salted_join(lines.select("doc_id", "line", "words"), known, "words", count="c")
     equal = F.struct("doc_id", "line") != F.col("at")
     first = F.when(equal, F.col("at")).otherwise(F.col("near"))
-    return placed.filter(equal | F.col("near").isNotNull()).select("doc_id", "line", F.col("n").alias("n_words"), first["doc_id"].alias("first_doc_id"), first["line"].alias("first_line"), equal.alias("equal"))
+    return placed.filter(equal | F.col("near").isNotNull()).select("doc_id", "line", F.col("words.n").alias("n_words"), first["doc_id"].alias("first_doc_id"), first["line"].alias("first_line"), equal.alias("equal"))
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """docs with the lines that go cut from their texts. Rows of which no line with words is left go too; rows whose
     text had no words from the start, or whose doc_id is null, stay as they are."""
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
-    joined = docs.join(gone, "doc_id", "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i.cast("long")))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("text", text)
-    left = F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    (gone,) = unused(docs, "gone")
+    lines = removed_lines(docs, fuzzy_words).groupBy("doc_id").agg(F.collect_set("line").alias(gone))
+    joined = docs.join(lines, "doc_id", "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i.cast("long")))
+    out = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    left = F.col(gone).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.filter(left).select(*docs.columns)
 
 
@@ -190,5 +209,6 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated lines from the texts."""
+    """Cuts repeated lines from the texts, as without_repeated_lines says: null ids and texts stay, of equal lines the
+    one first by doc_id and place stays, and rows that repeat a doc_id are cut alike."""
     return without_repeated_lines(docs)
