@@ -96,7 +96,7 @@ def test_toxicity_learns_and_folds(spark):
     labels = spark.createDataFrame([(i, int(i >= 200)) for i in range(300)] + [(5, 1), (None, 1), (6, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     tests = spark.createDataFrame([(1, "such a V1l3th1ng"), (2, "such a ѵilething vіlethіng"), (3, "a fine thing"), (4, None), (5, "")], "doc_id long, text string")
-    score = {r.doc_id: r["__toxicity"] for r in toxicity.scored(tests, model).collect()}
+    score = {r.doc_id: r["toxicity"] for r in toxicity.scored(tests, model).collect()}
     assert score[1] > 0.5 and score[3] < 0.5 and score[3] == score[4] == score[5]
 
 
@@ -107,11 +107,34 @@ def test_exception_phrases_do_not_count():
     assert toxicity.features(toxicity.folded("it is not vile at all"), found)[2] == 0.0
 
 
+def naive_matches(text, lexicon):
+    """By every place where a word begins: its longest entry, if no phrase that holds the word is there."""
+    out = {}
+    for i, c in enumerate(text):
+        own = [e for e in lexicon.entries if c == " " and text.startswith(e, i)]
+        inside = any(text.startswith(f" {p} ", j) and j <= i < j + len(p) + 1 for p in lexicon.exceptions for j in range(i + 1))
+        if own and not inside:
+            out[i] = lexicon.entries[max(own, key=len)]
+    return out
+
+
+def test_matches_equal_a_naive_search():
+    rng = random.Random(12)
+    lexicon = toxicity.Lexicon({" vile": 3.0, " vile ": 5.0, " nasty ": 2.0, " na": 1.0, " n": 0.5}, frozenset({"not vile", "so so", "nasty nasty"}))
+    found = lexicon.automaton()
+    for _ in range(2000):
+        text = toxicity.folded(" ".join(rng.choice(["vile", "nasty", "not", "so", "villa", "vilest", "n", "nap", ""]) for _ in range(rng.randint(0, 9))))
+        assert toxicity.matches(text, found) == naive_matches(text, lexicon), text
+    assert sum(toxicity.matches(toxicity.folded("vile nasty vile nasty"), found).values()) == 14.0
+    assert sum(toxicity.matches(toxicity.folded("not vile nasty"), found).values()) == 2.0
+    assert toxicity.folded("𝐯𝐢𝐥𝐞 ｎａｓｔｙ") == " vile nasty "
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, nothing):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(awkward, labels)
     out = toxicity.scored(awkward, model)
-    assert out.count() == awkward.count() and out.filter("__toxicity >= 0.5").count() == 0
+    assert out.count() == awkward.count() and out.filter("toxicity >= 0.5").count() == 0
     assert toxicity.scored(nothing, model).count() == 0 and toxicity.fit(nothing, labels).entries == {}
 
 
@@ -151,9 +174,9 @@ def test_languages_of_awkward_rows(spark, awkward, nothing):
     net = language_id.train(np.tile(np.arange(64, dtype=np.uint8), (4, 1)) + 60, np.array([0, 1, 0, 1]), ["de", "en"], steps=2)
     assert [language_id.has_letter(t) for t in (None, "", "12 ²½", "1a", "é", "日")] == [False, False, False, True, True, True]
     rows = {(r.doc_id, r.text): r for r in language_id.predicted(awkward, net).collect()}
-    assert rows[0, None]["__lang"] == rows[1, ""]["__lang"] == "und" and rows[3, "one"]["__lang"] in ("de", "en")
+    assert rows[0, None]["lang_pred"] == rows[1, ""]["lang_pred"] == "und" and rows[3, "one"]["lang_pred"] in ("de", "en")
     assert language_id.predicted(nothing, net).count() == 0 and language_id.fit(nothing) is None
-    assert language_id.predicted(awkward, None).filter(F.col("__lang") != "und").count() == 0
+    assert language_id.predicted(awkward, None).filter(F.col("lang_pred") != "und").count() == 0
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

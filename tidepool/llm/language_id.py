@@ -217,7 +217,7 @@ def has_letter(text: str | None) -> bool:
     return any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text or ""))  # the pattern also takes signs like ²
 
 
-def _predict(net: Network | None):
+def _predict(net: Network | None, names: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -231,20 +231,20 @@ def _predict(net: Network | None):
                     for j, q in zip(rows[at:end], p, strict=True):
                         lang[j], score[j] = net.languages[int(q.argmax())], float(q.max())
                     at, size = end, 0
-            new = {"__lang": pa.array(lang, pa.string()), "__score": pa.array(score, pa.float64())}
-            yield pa.RecordBatch.from_pydict({f.name: new.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)})
+            new = dict(zip(names, (pa.array(lang, pa.string()), pa.array(score, pa.float64())), strict=True))
+            yield pa.RecordBatch.from_arrays([new.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], schema=batch.schema)
 
     return run
 
 
-def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs with __lang and __score, the pooled probability of that language. Null texts and texts without a letter
-    are `und` with score 0; every row is judged from its text alone."""
-    out = docs.withColumns({"__lang": F.lit(UNKNOWN), "__score": F.lit(0.0)})
-    return out.mapInArrow(_predict(net), out.schema)
+def predicted(docs: DataFrame, net: Network | None, names: Sequence[str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its pooled probability as columns of the given names, which docs must not have. Null
+    texts and texts without a letter are `und` with score 0; every row is judged from its text alone."""
+    out = docs.withColumns({names[0]: F.lit(UNKNOWN), names[1]: F.lit(0.0)})
+    return out.mapInArrow(_predict(net, names), out.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predicted(docs.select("doc_id", "text"), fit(docs))
-    return found.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return found.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -13,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import bucket_of, materialised, table
+from tidepool.llm.common import bucket_of, materialised, table, unused
 
 #: Labelled rows that the lexicon and its calibration are learned from: those with the lowest hashes.
 LABELLED_ROWS = 8000
-#: Entries of a lexicon, those of most evidence first.
+#: Entries of a lexicon, and exception phrases, those of most evidence first.
 ENTRIES = 2000
 #: Toxic documents an entry must occur in, and its least log odds ratio.
 LEAST_DOCUMENTS, LEAST_LOG_ODDS = 4, 2.5
@@ -40,8 +41,12 @@ _FOLD |= {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
 
 
 def folded(text: str | None) -> str:
-    """Lower case, look-alikes and digits as letters, ASCII punctuation as spaces, a space at both ends."""
-    return f" {(text or '').lower().translate(_FOLD)} "
+    """Compatibility forms (such as mathematical letters) and look-alikes as plain letters, lower case, digits as
+    letters, ASCII punctuation as spaces, a space at both ends."""
+    text = text or ""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    return f" {text.lower().translate(_FOLD)} "
 
 
 @dataclass
@@ -55,27 +60,39 @@ class Lexicon:
     slopes: tuple[float, ...] = (0.0, 0.0, 0.0)
 
     def automaton(self) -> ahocorasick.Automaton | None:
+        """Values are (length, weight, exception) of every entry and phrase."""
         if not self.entries:
             return None
         found = ahocorasick.Automaton()
-        for phrase in self.exceptions:
-            found.add_word(f" {phrase} ", 0.0)
-        for entry, weight in self.entries.items():
-            found.add_word(entry, weight)
+        words = {f" {phrase} ": (len(phrase) + 2, 0.0, True) for phrase in self.exceptions}
+        for entry, value in ({e: (len(e), w, False) for e, w in self.entries.items()} | words).items():
+            found.add_word(entry, value)
         found.make_automaton()
         return found
 
 
+def matches(text: str, automaton: ahocorasick.Automaton) -> dict[int, float]:
+    """The weight of each word of a folded text that an entry matches, by the place of the space before it. All
+    matches are taken, so that neighbours may share a space; of a word's entries the longest counts, and a word
+    inside an exception phrase counts for nothing."""
+    longest: dict[int, tuple[int, float]] = {}
+    excepted: set[int] = set()
+    for end, (length, weight, exception) in automaton.iter(text):
+        start = end - length + 1
+        if exception:
+            excepted.update(i for i in range(start, end) if text[i] == " ")
+        elif longest.get(start, (0, 0.0))[0] < length:
+            longest[start] = length, weight
+    return {start: weight for start, (_, weight) in longest.items() if start not in excepted}
+
+
 def features(text: str, automaton: ahocorasick.Automaton | None) -> tuple[float, float, float]:
-    """Summed weight on a log scale, weight per hundred characters on a log scale, and the largest weight. Of
-    overlapping entries and exceptions the longest counts; an exception weighs nothing."""
+    """Summed weight on a log scale, weight per hundred characters on a log scale, and the largest weight."""
     if automaton is None:
         return 0.0, 0.0, 0.0
-    total = most = 0.0
-    for _, weight in automaton.iter_long(text):
-        total += weight
-        most = max(most, weight)
-    return math.log1p(total), math.log1p(100 * total / len(text)), most
+    weights = matches(text, automaton).values()
+    total = math.fsum(weights)
+    return math.log1p(total), math.log1p(100 * total / len(text)), max(weights, default=0.0)
 
 
 def _terms(text: str) -> set[str]:
@@ -138,57 +155,81 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Lexico
     strong = terms.filter(F.col("toxic") >= LEAST_DOCUMENTS).filter(odds >= LEAST_LOG_ODDS)
     chosen = strong.orderBy((odds * F.sqrt("toxic")).desc(), "term").limit(ENTRIES).collect()
     lexicon = Lexicon(_choose(chosen, n_toxic, n_clean))
-    texts = [(folded(r.text), r.toxic) for r in sample.orderBy(F.xxhash64("text")).limit(rows // 2).toLocalIterator()]
-    lexicon.exceptions = _exceptions(texts, lexicon)
-    automaton = lexicon.automaton()
-    x = np.array([features(t, automaton) for t, _ in texts])
-    lexicon.bias, lexicon.slopes = _calibrate(x, np.array([float(y) for _, y in texts]))
+    lexicon.exceptions = _exceptions(sample, lexicon)
+    fields = "x array<double>, toxic long"
+    rows_ = sample.mapInArrow(_labelled_features(lexicon), fields).toArrow()  # three numbers of at most `rows` texts
+    x = np.array(rows_.column("x").to_pylist(), dtype=np.float64).reshape(-1, 3)
+    order = np.lexsort((rows_.column("toxic").to_numpy(), *x.T))
+    lexicon.bias, lexicon.slopes = _calibrate(x[order], rows_.column("toxic").to_numpy()[order].astype(np.float64))
     return lexicon
 
 
-def _exceptions(texts: list[tuple[str, int]], lexicon: Lexicon) -> frozenset[str]:
+def _labelled_features(lexicon: Lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            x = [features(folded(t.as_py()), automaton) for t in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "toxic": batch.column("toxic").cast(pa.int64())})
+
+    return run
+
+
+def _phrases(lexicon: Lexicon):
+    """Phrases of a matched word and the word before it, with how many toxic and clean texts they occur in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, seen = lexicon.automaton(), (Counter[str](), Counter[str]())
+        for batch in batches:
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                text, phrases = folded(text.as_py()), set()
+                for start in matches(text, automaton):
+                    words = text[max(0, start - 40) : text.find(" ", start + 1)].split()
+                    if len(words) >= 2 and start > 40:
+                        phrases.add(" ".join(words[-2:]))
+                seen[toxic].update(phrases)
+        every = list({*seen[0], *seen[1]})
+        yield pa.RecordBatch.from_pydict({"phrase": pa.array(every, pa.string()), "toxic": pa.array([seen[1][p] for p in every], pa.int64()), "clean": pa.array([seen[0][p] for p in every], pa.int64())})
+
+    return run
+
+
+def _exceptions(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
     """Phrases of an entry's word and the word before it that occur in clean documents (three at least) and in no
     toxic one, although the entry itself speaks for toxicity."""
-    automaton, seen = lexicon.automaton(), (Counter[str](), Counter[str]())
-    if automaton is None:
+    if not lexicon.entries:
         return frozenset()
-    for text, toxic in texts:
-        phrases = set()
-        for end, _ in automaton.iter_long(text):
-            start = text.rfind(" ", 0, end)  # the space before the word, or the one before its end
-            stop = text.find(" ", start + 1)
-            words = text[max(0, start - 40) : stop].split()
-            if len(words) >= 2 and start > 40:
-                phrases.add(" ".join(words[-2:]))
-        seen[toxic].update(phrases)
-    return frozenset(p for p, n in seen[0].items() if n >= 3 and not seen[1][p])
-
-
-def _score(lexicon: Lexicon):
+    counts = sample.mapInArrow(_phrases(lexicon), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = counts.filter("clean >= 3 and toxic = 0").orderBy(F.desc("clean"), "phrase").limit(ENTRIES).collect()
+    return frozenset(r.phrase for r in found)
+
+
+def _score(lexicon: Lexicon, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
             x = [features(folded(t.as_py()), automaton) for t in batch.column("text")]
             z = lexicon.bias + np.array(x, dtype=np.float64).reshape(-1, 3) @ np.array(lexicon.slopes)
             score = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            yield pa.RecordBatch.from_pydict({f.name: score if f.name == "__toxicity" else batch.column(i) for i, f in enumerate(batch.schema)})
+            yield pa.RecordBatch.from_arrays([score if f.name == name else batch.column(i) for i, f in enumerate(batch.schema)], schema=batch.schema)
 
     return run
 
 
-def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs with __toxicity, the probability of being toxic. Null and empty texts have that of a text without any
-    entry. Every row, repeated or not, is scored from its text alone."""
-    out = docs.withColumn("__toxicity", F.lit(0.0))
-    return out.mapInArrow(_score(lexicon), out.schema)
+def scored(docs: DataFrame, lexicon: Lexicon, name: str = "toxicity") -> DataFrame:
+    """docs with the probability of being toxic as a column of the given name, which docs must not have. Null and
+    empty texts have that of a text without any entry. Every row, repeated or not, is scored from its text alone."""
+    out = docs.withColumn(name, F.lit(0.0))
+    return out.mapInArrow(_score(lexicon, name), out.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), F.col("__toxicity").alias("score"), (F.col("__toxicity") >= 0.5).cast("int").alias("predicted"))
+    found = scored(docs, fit(docs, table(spark, sf_dir, "labels")), "score")
+    return found.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are predicted toxic."""
-    return scored(docs, fit(docs, table(spark, sf_dir, "labels"))).filter("__toxicity < 0.5").drop("__toxicity")
+    """Drops documents that are predicted toxic. Null and empty texts and null ids stay; each of repeated rows is
+    judged from its own text."""
+    (name,) = unused(docs, "toxicity")
+    return scored(docs, fit(docs, table(spark, sf_dir, "labels")), name).filter(F.col(name) < 0.5).drop(name)
