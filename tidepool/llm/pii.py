@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents with digits or @ that the field is trained on (those with the lowest hashes), and regions of them.
+#: What the field looks for: the kinds of the patterns, and passwords, tokens and access keys.
+LABELS = (*KINDS, "secret")
+#: Documents with digits or @ that the field is trained on (those with the lowest hashes); half the
+#: regions of them that are learned from, each also in another writing.
 TRAINING_DOCUMENTS, TRAINING_REGIONS = 1500, 500
 EPOCHS, RATE = 6, 0.3
 #: Most tokens of an entity, and how far apart two anchors of one region may be.
@@ -29,6 +32,11 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# Writings of secrets that the field is taught with; it generalises from their features.
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:(?i:password|passwd|token|secret|api_?key)\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9]{8,})|(AKIA[0-9A-Z]{12,}))(?![A-Za-z0-9_])")
+_RUN = re.compile(r"(?<![^\W_])[A-Za-z0-9]{8,}(?![^\W_])")
+_NAMED = re.compile(r"(?i:pass|pwd|token|secret|key|auth|credential)[a-z_-]{0,6}\W{0,4}\Z")
+
 _DIGIT = re.compile(r"[0-9]")
 _ANCHOR = re.compile(r"[0-9@]+")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s|[^\s]")
@@ -73,21 +81,41 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def runs(text: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of eight or more letters and digits, with at least one of each, as secrets are."""
+    for m in _RUN.finditer(text, start, len(text) if end is None else end):
+        if _DIGIT.search(m.group()) and not m.group().isdigit():
+            yield m.start(), m.end()
+
+
+def _word_around(text: str, start: int, end: int) -> tuple[int, int]:
+    """The stretch with letters and digits that touch it, at most 64 on each side."""
+    low, high = max(0, start - 64), min(len(text), end + 64)
+    while start > low and text[start - 1].isalnum():
+        start -= 1
+    while end < high and text[end].isalnum():
+        end += 1
+    return start, end
+
+
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around digits and @ with a few characters on both sides, apart from each other."""
+    """Stretches around words with digits or @ with a few characters on both sides, apart from each other."""
     start = end = -1
     for m in _ANCHOR.finditer(text):
-        if end >= 0 and m.start() - end > 2 * GAP:
+        if m.end() <= end:
+            continue
+        low, high = _word_around(text, m.start(), m.end())
+        if end >= 0 and low - end > 2 * GAP:
             yield max(0, start - GAP), min(len(text), end + GAP)
-            start = m.start()
+            start = low
         elif end < 0:
-            start = m.start()
-        end = m.end()
+            start = low
+        end = max(end, high)
     if end >= 0:
         yield max(0, start - GAP), min(len(text), end + GAP)
 
 
-FEATURES = 30
+FEATURES = 40
 
 
 def _features(text: str, start: int, end: int) -> np.ndarray:
@@ -99,6 +127,8 @@ def _features(text: str, start: int, end: int) -> np.ndarray:
     local, _, domain = s.partition("@")
     quads = len(parts) == 4 and all(p.isdigit() for p in parts)
     spaced = [len(p) for p in re.split(r"[^0-9]+", s) if p]
+    run = n < len(s) and n > 0 and s.isascii() and s.isalnum()
+    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:])) if run else 0
     x = (
         1, "@" in s, s.count("@") == 1 and bool(local) and _DOMAIN.fullmatch(domain) is not None, bool(re.search("[^\\W\\d_]", s)),
         s[0] == "+", s[0] == "(", "(" in s and ")" in s, "(" in s and ")" not in s, " " in s, "-" in s, "." in s,
@@ -107,6 +137,8 @@ def _features(text: str, start: int, end: int) -> np.ndarray:
         before.isalnum() or before in ("_", "@"), after.isalnum() or after in ("_", "@"), before in ("=", '"', "+", "#", "$"),
         after == "." and text[end + 1 : end + 2].isalnum(), before in (".", "-", "(") and text[start - 2 : start - 1].isalnum(),
         spaced[-2:] == [3, 4], len(spaced) > 2 and len(set(spaced)) == 1, after in (")", "-") and text[end + 1 : end + 2].isdigit(),
+        run, run and len(s) >= 12, run and len(s) >= 16, run and len(s) >= 24, run and changes >= 3, run and changes >= 6, run and s.isupper(), run and not s.isupper() and not s.islower(),
+        run and _NAMED.search(text, max(0, start - 16), start) is not None, run and before in ("=", ":", '"', "'"),
     )
     return np.array(x, dtype=np.float64)
 
@@ -136,6 +168,9 @@ class Region:
                     if signs[j] == signs[i] and (c.isalpha() or heads[j - 1].isalpha()):
                         continue
                     candidates.append((i, j))
+        first, last = {a: i for i, (a, _) in enumerate(tokens)}, {b: i + 1 for i, (_, b) in enumerate(tokens)}
+        known = set(candidates)
+        candidates += [c for a, b in runs(text, start, end) if a in first and b in last and (c := (first[a], last[b])) not in known]
         x = np.array([_features(text, tokens[i][0], tokens[j - 1][1]) for i, j in candidates]).reshape(-1, FEATURES)
         plain = np.array([[c.isalpha() or c.isspace(), d, not (d or c.isalpha() or c.isspace())] for c, d in zip(heads, digit, strict=True)], dtype=np.float64)
         return cls(tokens, candidates, x, plain.reshape(-1, 3))
@@ -153,9 +188,9 @@ class SemiMarkovField:
     """Scores of segmentations: whole-span weights of each kind, weights of tokens outside entities, and weights of
     neighbouring segments' labels (0 outside, then the kinds)."""
 
-    spans: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, len(KINDS))))
+    spans: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, len(LABELS))))
     outside: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    moves: np.ndarray = field(default_factory=lambda: np.zeros((len(KINDS) + 1, len(KINDS) + 1)))
+    moves: np.ndarray = field(default_factory=lambda: np.zeros((len(LABELS) + 1, len(LABELS) + 1)))
 
     def _into(self, r: Region) -> list[list[int]]:
         into: list[list[int]] = [[] for _ in range(len(r.tokens) + 1)]
@@ -165,7 +200,7 @@ class SemiMarkovField:
 
     def best(self, r: Region) -> list[tuple[int, int, int]]:
         """(first token, one past the last, kind) of the entities of the best segmentation."""
-        n, labels = len(r.tokens), len(KINDS) + 1
+        n, labels = len(r.tokens), len(LABELS) + 1
         score, out = r.x @ self.spans, r.plain @ self.outside
         best = np.full((n + 1, labels), -np.inf)
         best[0, 0] = 0
@@ -193,7 +228,7 @@ class SemiMarkovField:
 
     def step(self, r: Region, gold: dict[tuple[int, int], int], rate: float) -> None:
         """One gradient step on the log likelihood of the gold entities, by forward and backward sums."""
-        n, labels = len(r.tokens), len(KINDS) + 1
+        n, labels = len(r.tokens), len(LABELS) + 1
         score, out, into = r.x @ self.spans, r.plain @ self.outside, self._into(r)
         forth, back = np.full((n + 1, labels), -np.inf), np.full((n + 1, labels), -np.inf)
         forth[0, 0], back[n] = 0, 0
@@ -241,7 +276,7 @@ def gold_of(r: Region, spans: Sequence[Span]) -> dict[tuple[int, int], int]:
     out, free, candidates = {}, 0, set(r.candidates)
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
         if a in starts and b in ends and starts[a] >= free and (starts[a], ends[b]) in candidates:
-            out[starts[a], ends[b]] = KINDS.index(kind)
+            out[starts[a], ends[b]] = LABELS.index(kind)
             free = ends[b]
     return out
 
@@ -253,22 +288,40 @@ def labelled(text: str) -> list[Span]:
     blank = text
     for _, a, b in first:
         blank = blank[:a] + "|" * (b - a) + blank[b:]
-    return sorted(first + [s for s in base_spans(blank) if s[0] in ("card", "phone")], key=lambda s: s[1])
+    named = [("secret", *m.span(1 if m.group(1) else 2)) for m in _SECRET.finditer(text)]
+    named = [s for s in named if _DIGIT.search(text[s[1] : s[2]]) and not text[s[1] : s[2]].isdigit()]
+    return sorted(first + named + [s for s in base_spans(blank) if s[0] in ("card", "phone")], key=lambda s: s[1])
 
 
-def _varied(text: str, spans: Sequence[Span], turn: int) -> tuple[str, list[Span]]:
-    """The text with one found card or phone number written in another usual way that the patterns may miss."""
-    for kind, a, b in spans:
-        digits = "".join(c for c in text[a:b] if c.isdigit())
+#: Ways to write a phone number of three parts, and what to put between a card number's four groups.
+_PHONES, _CARD_GAPS = ("({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "{0} {1} {2}"), (" ", ".", "-", "/")
+#: Ordinary runs of letters and digits, which are no secrets.
+_PLAIN_RUNS = ("section12b", "model2000x", "covid19cases", "version10", "2ndedition", "mp3player", "windows95", "chapter7page12", "h264video", "20thcentury")
+
+
+def _varied(text: str, spans: Sequence[Span], turn: int, rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """The text with one labelled span written in another usual way that the patterns may miss, or with a secret
+    replaced by another one, or by an ordinary run, which then is no span."""
+    order = [*range(turn % max(1, len(spans)), len(spans)), *range(turn % max(1, len(spans)))]
+    for at in order:
+        kind, a, b = spans[at]
+        digits, gone = "".join(c for c in text[a:b] if c.isdigit()), False
         if kind == "phone" and len(digits) >= 10:
-            x, y, z = digits[-10:-7], digits[-7:-4], digits[-4:]
-            new = (f"({x}) {y}-{z}", f"{x}-{y}-{z}", f"{x}.{y}.{z}")[turn % 3]
+            new = _PHONES[turn % 4].format(digits[-10:-7], digits[-7:-4], digits[-4:])
         elif kind == "card" and len(digits) == 16:
-            new = " .-"[turn % 3].join(digits[i : i + 4] for i in range(0, 16, 4))
+            new = _CARD_GAPS[turn % 4].join(digits[i : i + 4] for i in range(0, 16, 4))
+        elif kind == "secret" and (gone := turn % 3 == 0):
+            new = _PLAIN_RUNS[turn // 3 % len(_PLAIN_RUNS)]
+        elif kind == "secret":
+            letters = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMN23456789")[turn % 3]
+            new = "".join(rng.choice(list(letters), int(rng.integers(12, 44))))
+            new = new if _DIGIT.search(new) and not new.isdigit() else f"a1{new}"
         else:
             continue
-        moved = [(k, s + (len(new) - (b - a)) * (s > a), e + (len(new) - (b - a)) * (e >= b)) for k, s, e in spans]
-        return text[:a] + new + text[b:], moved
+        before = text[:a].rsplit("=", 1)[0].rsplit(":", 1)[0] + " " if gone else text[:a]
+        moved = [(k, s, e) for k, s, e in spans if e <= len(before)] + [(kind, len(before), len(before) + len(new))] * (not gone)
+        shift = len(before) + len(new) - b
+        return before + new + text[b:], moved + [(k, s + shift, e + shift) for k, s, e in spans if s >= b]
     return text, list(spans)
 
 
@@ -282,7 +335,7 @@ def train(texts: Sequence[str]) -> SemiMarkovField:
             part = t[start:end]
             spans = labelled(part)
             for turn in range(1 + bool(spans)):
-                text, own = (part, spans) if not turn else _varied(part, spans, len(samples))
+                text, own = (part, spans) if not turn else _varied(part, spans, len(samples) // 2, rng)
                 r = Region.of(text, 0, len(text))
                 if r.candidates and len(r.tokens) < 400:
                     samples.append((r, gold_of(r, own)))
@@ -297,7 +350,7 @@ def fit(docs: DataFrame, documents: int = TRAINING_DOCUMENTS) -> SemiMarkovField
     """Trained on the regions of at most `documents` texts with a digit or @; without any it adds no spans."""
     anchored = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
     ids = anchored.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)  # ids first: few bytes are sorted
-    rows = anchored.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_region_texts, "part string").limit(4 * TRAINING_REGIONS).toArrow()
+    rows = anchored.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_region_texts, "part string").orderBy(F.xxhash64("part"), "part").limit(4 * TRAINING_REGIONS).toArrow()
     return train(rows.column("part").to_pylist())
 
 
@@ -319,31 +372,37 @@ def spans_of(text: str, model: SemiMarkovField) -> tuple[list[Span], list[Span]]
         for i, j, k in model.best(r):
             a, b = r.tokens[i][0], r.tokens[j - 1][1]
             if all(b <= s[1] or a >= s[2] for s in own):
-                added.append((KINDS[k], a, b))
-    return base, sorted({*base, *added}, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+                added.append((LABELS[k], a, b))
+    return base, sorted({*base, *added}, key=lambda s: (s[1], LABELS.index(s[0]), s[2]))
+
+
+#: The fields of a document's personal data.
+FOUND = "struct<base: string, spans: string, " + ", ".join(f"n_{k}: bigint" for k in (*LABELS, "spans")) + ">"
+
 
+def _find(model: SemiMarkovField, name: str):
+    names = ["base", "spans", *(f"n_{k}" for k in (*LABELS, "spans"))]
 
-def _find(model: SemiMarkovField):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, every, counts = [], [], [[] for _ in KINDS]
+            rows: list[tuple] = []
             for t in batch.column("text"):
-                own, all_ = spans_of(t.as_py() or "", model)
-                base.append(",".join(f"{k}:{a}:{b}" for k, a, b in own))
-                every.append(",".join(f"{k}:{a}:{b}" for k, a, b in all_))
-                for n, kind in zip(counts, KINDS, strict=True):
-                    n.append(sum(s[0] == kind for s in own))
-            new = {"__base": pa.array(base, pa.string()), "__spans": pa.array(every, pa.string())} | {f"__n_{k}": pa.array(n, pa.int64()) for k, n in zip(KINDS, counts, strict=True)}
-            yield pa.RecordBatch.from_pydict({f.name: new.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)})
+                own, every = spans_of(t.as_py() or "", model)
+                joined = (",".join(f"{k}:{a}:{b}" for k, a, b in spans) for spans in (own, every))
+                rows.append((*joined, *(sum(s[0] == k for s in own) for k in KINDS), sum(s[0] == "secret" for s in every), len(every)))
+            columns = [pa.array(c, pa.string() if i < 2 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))] if rows else [pa.array([], pa.string() if i < 2 else pa.int64()) for i in range(len(names))]
+            new = pa.StructArray.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([new if f.name == name else batch.column(i) for i, f in enumerate(batch.schema)], names=batch.schema.names)
 
     return run
 
 
-def found(docs: DataFrame, model: SemiMarkovField) -> DataFrame:
-    """docs with __base and __spans (kind:start:end in code points, comma-joined) and the base counts __n_<kind>.
-    Null and empty texts have none; every row is searched on its own."""
-    out = docs.withColumns({"__base": F.lit(""), "__spans": F.lit("")} | {f"__n_{k}": F.lit(0).cast("long") for k in KINDS})
-    return out.mapInArrow(_find(model), out.schema)
+def found(docs: DataFrame, model: SemiMarkovField, name: str = "found") -> DataFrame:
+    """docs with a column of the given name, which docs must not have: base and spans (kind:start:end in code points,
+    comma-joined), counts of the base kinds, of secrets, and of all spans. Null and empty texts have none; every row
+    is searched on its own."""
+    out = docs.withColumn(name, F.lit(None).cast(FOUND))
+    return out.mapInArrow(_find(model, name), out.schema)
 
 
 def masked(docs: DataFrame, model: SemiMarkovField) -> DataFrame:
@@ -359,13 +418,13 @@ def masked(docs: DataFrame, model: SemiMarkovField) -> DataFrame:
                         parts += [t[done:a], f"[{kind}]"]
                     done = max(done, b)
                 out.append(None if t is None else "".join([*parts, t[done:]]))
-            yield pa.RecordBatch.from_pydict({f.name: pa.array(out, pa.string()) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema)})
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema)], schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = found(docs, fit(docs))
-    counts = [F.col(f"__n_{k}").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2("__base", 256).alias("base_sha256"), F.col("__spans").alias("spans"))
+    out = found(docs, fit(docs)).select("doc_id", "found.*")
+    counts = [F.col(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_secret", "n_spans")
