@@ -43,8 +43,9 @@ def test_contamination_of_given_documents(spark):
     assert {r[0]: tuple(r[1:]) for r in decontaminate.op4_benchmark_decontamination(spark, SF).collect()} == want
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 60])
-def test_contamination_with_short_and_nested_items(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("passes", "limit"), [(2_000_000, 2_000_000), (60, 60), (2_000_000, 20)])
+def test_contamination_with_short_and_nested_items(spark, monkeypatch, passes, limit):
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", passes)
     monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", limit)
     rng = random.Random(2)
     line = lambda n: " ".join(rng.choice("ab") for _ in range(n))
@@ -65,7 +66,7 @@ def test_decontaminated_keeps_clean_rows_as_they_are(spark, awkward, nothing):
 
 @pytest.mark.parametrize("size", [2_000_000, 4_000])
 def test_long_matches_are_cut_from_documents_that_stay(spark, monkeypatch, size):
-    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", size)
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", size)
     fill = lambda n, seed: " ".join(f"b日{random.Random(seed * 100_003 + i).randrange(10**9)}😀" for i in range(n))
     item, other = fill(300, 1), fill(80, 2)
     part = lambda a, b: " ".join(item.split(" ")[a:b])

@@ -208,6 +208,26 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_lines(table(spark, sf_dir, "documents"))
 
 
+_LOWER = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6_SQL = f"""
+with t as (select doc_id, string_split(text, chr(10)) as parts from documents where doc_id is not null and text is not null),
+l as (select doc_id, i - 1 as line, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as ws from (select doc_id, unnest(range(1, len(parts) + 1)) as i, unnest(parts) as line from t)),
+lines as (select *, array_to_string(ws, ' ') as k, len(ws) as n from l where len(ws) > 0),
+firsts as (select k, any_value(ws) as ws, any_value(n) as n, min((doc_id, line)) as pos from lines group by k),
+v as (select pos, n, i, array_to_string(list_concat(ws[1 : i - 1], ws[i + 1 : n]), ' ') as k from (select pos, n, ws, unnest(range(1, n + 1)) as i from firsts where n >= {FUZZY_WORDS})),
+pairs as (
+  select a.pos as x, b.pos as y from v a join v b on a.n = b.n and a.i = b.i and a.k = b.k and a.pos <> b.pos
+  union all select v.pos, f.pos from v join firsts f on f.k = v.k and f.n = v.n - 1 and f.n >= {FUZZY_WORDS}
+  union all select f.pos, v.pos from v join firsts f on f.k = v.k and f.n = v.n - 1 and f.n >= {FUZZY_WORDS}
+),
+near as (select x as pos, min(y) as near from pairs where y < x group by x)
+select doc_id, line, n as n_words, case when same then f1 else n1 end as first_doc_id, case when same then f2 else n2 end as first_line, same as equal from (
+  select doc_id, line, lines.n, (doc_id, line) <> pos as same, pos[1] as f1, pos[2] as f2, near[1] as n1, near[2] as n2, near is not null as has
+  from lines join (select k, pos from firsts) f using (k) left join near using (pos)) where same or has
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated lines from the texts, as without_repeated_lines says: null ids and texts stay, of equal lines the
     one first by doc_id and place stays, and rows that repeat a doc_id are cut alike."""

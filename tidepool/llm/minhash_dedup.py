@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, materialised, shingle_sets, table, word_hashes
+from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, materialised, shingle_sets, table, unused, word_hashes
 from tidepool.llm.near_dup import SKETCH_FIELDS, classes, sketch_columns
 
 
@@ -66,6 +66,22 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = f"""
+with recursive d as materialized (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as ws from documents where doc_id is not null),
+s as materialized (select distinct doc_id, array_to_string(ws[i : i + 3], ' ') as k from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) as i from d where len(ws) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+links as materialized (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.k = y.k and x.doc_id <> y.doc_id group by 1, 2)
+  join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)
+),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.c, d.doc_id)) as component_id, d.doc_id <= coalesce(m.c, d.doc_id) as kept
+from d left join n on n.doc_id = d.doc_id left join (select a, min(b) as c from reach group by a) m on m.a = d.doc_id
+"""
+
+
 def _key() -> Column:
     """Orders rows by doc_id with nulls last, then by a fingerprint of the text. No part is null."""
     of_id, of_text = F.coalesce("doc_id", F.lit(0).cast("long")), F.unhex(F.md5(F.coalesce("text", F.lit(""))))
@@ -81,15 +97,16 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     other columns. A row with a null doc_id goes only if another row near to it stays. Rows without words all stay.
     """
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.filter(worded).withColumn("__key", _key())
-    found = _components(keyed.select(F.col("__key").alias("id"), "text"), k, percent)
-    kept = materialised(found.filter("id = component").groupBy(F.col("id").alias("__key")).agg(F.count("*").alias("c")), "kept")
-    single = keyed.join(kept.filter("c = 1"), "__key", "left_semi")
-    equal = keyed.join(if_small(kept.filter("c > 1")), "__key", "left_semi")
-    first = equal.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    key, row = unused(docs, "key", "row")
+    keyed = docs.filter(worded).withColumn(key, _key())
+    found = _components(keyed.select(F.col(key).alias("id"), "text"), k, percent)
+    kept = materialised(found.filter("id = component").groupBy(F.col("id").alias(key)).agg(F.count("*").alias("c")), "kept")
+    single = keyed.join(kept.filter("c = 1").select(key), key, "left_semi")
+    equal = keyed.join(if_small(kept.filter("c > 1").select(key)), key, "left_semi")
+    first = equal.groupBy(key).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
     return docs.filter(~worded).union(single.select(*docs.columns)).union(first)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, as one_of_each says."""
+    """Keeps one document of each group of near copies, as one_of_each says, with five-word shingles."""
     return one_of_each(docs)

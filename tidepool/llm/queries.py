@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm.decontaminate import op4_benchmark_decontamination
+from tidepool.llm.decontaminate import OP4_SQL, op4_benchmark_decontamination
 from tidepool.llm.language_id import op9_language_id
-from tidepool.llm.line_dedup import op6_line_dedup
-from tidepool.llm.minhash_dedup import op3_minhash_near_dedup
+from tidepool.llm.line_dedup import OP6_SQL, op6_line_dedup
+from tidepool.llm.minhash_dedup import OP3_SQL, op3_minhash_near_dedup
 from tidepool.llm.packing import op5_packing
 from tidepool.llm.pii import op10_pii
 from tidepool.llm.sharding import op8_sharding
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_pii": op10_pii,
 }
-SQL = {"op2_exact_topk": OP2_SQL}
+SQL = {"op2_exact_topk": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL}
