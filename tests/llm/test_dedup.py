@@ -107,7 +107,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_near_duplicates_of_awkward_rows(awkward, nothing):
     rows = minhash_dedup.near_duplicates(awkward).collect()
-    assert len(rows) == awkward.count()
+    assert len(rows) == awkward.filter("doc_id is not null").count()
     by = {(r.doc_id, r.n_shingles): r for r in rows}
     assert by[0, 0].kept and by[1, 0].component_id == 1 and not by[4, 1].kept and by[4, 1].component_id == 1
     assert minhash_dedup.near_duplicates(nothing).count() == 0
@@ -130,7 +130,7 @@ def test_stage_keeps_one_row_of_each_group(spark, awkward, nothing):
     assert got.columns == docs.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     out = minhash_dedup.stage(spark, awkward, SF)
     texts = [r.text for r in awkward.collect()]
-    assert out.columns == awkward.columns and sorted(repr(r.text) for r in out.collect()) == sorted(map(repr, set(texts)))
+    assert out.columns == awkward.columns and sorted(repr(r.text) for r in out.collect()) == sorted(map(repr, [*{t for t in texts if words(t)}, *(t for t in texts if not words(t))]))
     assert minhash_dedup.stage(spark, nothing, SF).count() == 0
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import struct
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from tests.conftest import SF
 from tidepool.llm import packing, sharding, topk
@@ -65,6 +68,28 @@ def test_shards(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_are_the_winners_of_the_law(spark):
+    """Every key's shard recomputed with another implementation of the hash."""
+    weights = [1.0, 2.5, 1.0, 0.5]
+
+    def winner(key):
+        def score(shard):
+            h = xxhash.xxh64(struct.pack("<i", shard), seed=xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()).intdigest()
+            return -weights[shard] / math.log(((h >> 11) + 0.5) / 2.0**53)
+
+        return max(range(4), key=score)
+
+    docs = spark.createDataFrame([(i * i - 50, "x") for i in range(500)], "doc_id long, text string")
+    assert all(r.shard == winner(r.doc_id) for r in sharding.sharded(docs, weights).collect())
+
+
+def test_blocks_of_queries_are_freed_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    rows = [(i, [float(i * 7 % 11), float(i % 5)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert found(topk.top_k(df, df.filter("vec_id % 10 = 0"))) == scores(rows, [r for r in rows if r[0] % 10 == 0], 5)
+
+
 def test_shards_by_weight_and_by_key_alone(spark):
     ids = spark.range(20_000).selectExpr("id as doc_id", "cast(id as string) as text")
     counts = {r.shard: r["count"] for r in sharding.sharded(ids, [1.0, 3.0]).groupBy("shard").count().collect()}

@@ -279,8 +279,8 @@ def _pass(key: str, items: Broadcast, window: int, least: int | None, name: str)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int | None = None, name: str = "contamination") -> DataFrame:
-    """docs with a column of the given name, which docs must not have: n_words, spans (hit words as begin, end pairs in
-    a flat list), items (ids as text) and matches.
+    """docs with a column of the given name, with underscores after it where docs has such a column: n_words, spans
+    (hit words as begin, end pairs in a flat list), items (ids as text) and matches.
 
     Words are lower-cased in A-Z and split at ASCII bytes other than letters and digits. A window is `window`
     consecutive words of an item, or the whole of a shorter one. Null and empty texts have no words; items with a
@@ -289,7 +289,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     """
     if least is not None and least < window:
         raise ValueError("least must not be below the window")
-    spark = docs.sparkSession
+    spark, (name,) = docs.sparkSession, unused(docs, name)
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("words")).filter("item is not null and words is not null")
     total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = total // PASS_BYTES + 1

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import bucket_of, table
+from tidepool.llm.common import bucket_of, table, unused
 
 #: Documents that the network is trained on (those with the lowest hashes) and windows taken from all over each.
 TRAINING_DOCUMENTS, WINDOWS_A_DOCUMENT = 2000, 6
@@ -238,8 +238,10 @@ def _predict(net: Network | None, names: Sequence[str]):
 
 
 def predicted(docs: DataFrame, net: Network | None, names: Sequence[str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with the language and its pooled probability as columns of the given names, which docs must not have. Null
-    texts and texts without a letter are `und` with score 0; every row is judged from its text alone."""
+    """docs with the language and its pooled probability as columns of the given names, with underscores after them
+    where docs has such columns. Null texts and texts without a letter are `und` with score 0; every row is judged
+    from its text alone."""
+    names = unused(docs, *names)
     out = docs.withColumns({names[0]: F.lit(UNKNOWN), names[1]: F.lit(0.0)})
     return out.mapInArrow(_predict(net, names), out.schema)
 

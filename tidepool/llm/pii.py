@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import table
+from tidepool.llm.common import table, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the field looks for: the kinds of the patterns, and passwords, tokens and access keys.
@@ -398,9 +398,10 @@ def _find(model: SemiMarkovField, name: str):
 
 
 def found(docs: DataFrame, model: SemiMarkovField, name: str = "found") -> DataFrame:
-    """docs with a column of the given name, which docs must not have: base and spans (kind:start:end in code points,
-    comma-joined), counts of the base kinds, of secrets, and of all spans. Null and empty texts have none; every row
-    is searched on its own."""
+    """docs with a column of the given name, with underscores after it where docs has such a column: base and spans
+    (kind:start:end in code points, comma-joined), counts of the base kinds, of secrets, and of all spans. Null and
+    empty texts have none; every row is searched on its own."""
+    (name,) = unused(docs, name)
     out = docs.withColumn(name, F.lit(None).cast(FOUND))
     return out.mapInArrow(_find(model, name), out.schema)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import table
+from tidepool.llm.common import table, unused
 
 #: Rows that one slot-numbering group holds on average.
 ROWS_A_GROUP = 4096
@@ -56,8 +56,9 @@ def sharded(docs: DataFrame, weights: Sequence[float], new_weight: float = 1.0)
 
 
 def write_shards(docs: DataFrame, path: str, weights: Sequence[float]) -> None:
-    """Writes docs as Parquet partitioned by shard."""
-    docs.withColumn("shard", rendezvous_shard(F.col("doc_id"), weights)).repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(64))).write.partitionBy("shard").parquet(path)
+    """Writes docs as Parquet partitioned by shard (shard_ where docs has such a column)."""
+    (shard,) = unused(docs, "shard")
+    docs.withColumn(shard, rendezvous_shard(F.col("doc_id"), weights)).repartition(F.col(shard), F.pmod(F.xxhash64("doc_id"), F.lit(64))).write.partitionBy(shard).parquet(path)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

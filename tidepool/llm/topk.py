@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import table
+from tidepool.llm.common import materialised, table
 
 TOP = 5
 SCALE = 256
@@ -113,12 +113,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, scale: int = S
     Rows with a null id, a null or empty vector, or null, infinite or NaN components take no part; queries meet
     vectors of their own dimension only. Repeated query ids count once, repeated vectors are ranked one by one.
     Queries go in blocks of at most QUERY_BLOCK, each one pass over all vectors in which every task keeps its own
-    best; products must fit 63 bits. A table without queries gives no rows.
+    best; of several blocks each is searched, written and freed before the next. Products must fit 63 bits. A table without queries gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     asked = queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter("vec_id is not null and embedding is not null")
     parts = asked.count() // (QUERY_BLOCK // 2) + 1
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= top)
     found = None
     for part in range(parts):
         block = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).dropDuplicates(["vec_id"]).toArrow()
@@ -126,12 +127,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, scale: int = S
             continue
         ids = block.column("vec_id").combine_chunks()
         sent = spark.sparkContext.broadcast(quantised(ids, block.column("embedding").combine_chunks(), scale))
-        own = rows.mapInArrow(_search(sent, scale, top), "query_id long, vec_id long, score long")
+        own = ranked(rows.mapInArrow(_search(sent, scale, top), "query_id long, vec_id long, score long"))
+        if parts > 1:  # one block at a time on the driver and the executors
+            own = materialised(own, "best")
+            sent.destroy()
         found = own if found is None else found.union(own)
     if found is None:
-        found = rows.filter("false").select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+        found = ranked(rows.filter("false").select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,8 +216,10 @@ def _score(lexicon: Lexicon, name: str):
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, name: str = "toxicity") -> DataFrame:
-    """docs with the probability of being toxic as a column of the given name, which docs must not have. Null and
-    empty texts have that of a text without any entry. Every row, repeated or not, is scored from its text alone."""
+    """docs with the probability of being toxic as a column of the given name, with underscores after it where docs
+    has such a column. Null and empty texts have that of a text without any entry. Every row, repeated or not, is
+    scored from its text alone."""
+    (name,) = unused(docs, name)
     out = docs.withColumn(name, F.lit(0.0))
     return out.mapInArrow(_score(lexicon, name), out.schema)
 
