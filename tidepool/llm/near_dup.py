@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,18 +121,17 @@ def _agreeing(least: int):
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("registers_a", "registers_b"))
             agree = (x == y).sum(axis=1)
             keep = np.flatnonzero(agree >= least)
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a").take(pa.array(keep)), "b": batch.column("b").take(pa.array(keep)), "agreeing": pa.array(agree[keep])})
+            yield batch.select(["a", "b"]).take(pa.array(keep))
 
     return run
 
 
 def promising(pairs: DataFrame, reps: DataFrame, percent: int, bands: int) -> DataFrame:
-    """(a, b, agreeing) of the pairs (a, b) that may reach the similarity, by set sizes and registers. reps: id, n,
+    """The pairs (a, b) that may reach the similarity, by set sizes and registers. reps: id, n,
     registers. `a` may be the same in many pairs."""
     side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"registers_{c}"))
     met = salted_join(pairs.join(side("b"), "b"), side("a"), "a").filter(near_size("n_a", "n_b", percent))
-    fields = pairs.select("a", "b", F.lit(0).cast("long").alias("agreeing")).schema
-    return met.select("a", "b", "registers_a", "registers_b").mapInArrow(_agreeing(least_agreeing(percent, bands * ROWS)), fields)
+    return met.select("a", "b", "registers_a", "registers_b").mapInArrow(_agreeing(least_agreeing(percent, bands * ROWS)), pairs.select("a", "b").schema)
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,11 +227,8 @@ def classes(sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
     pivots = materialised(rows.groupBy("key").agg(F.min("id").alias("p"), F.count("*").alias("c")).filter("c > 1"), "pivots")
     shared = materialised(salted_join(rows, pivots, "key", count="c").drop("c"), "shared")
 
-    # first, each set against its buckets' smallest ids: the one that looks most alike
-    met = shared.filter(F.col("id") != F.col("p")).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
-    tried = promising(materialised(met, "met"), reps, percent, bands)
-    best = tried.groupBy("b").agg(F.min(F.struct((-F.col("agreeing")).alias("d"), "a")).alias("best"))
-    pairs = materialised(best.select("best.a", "b"), "pairs")
+    # first, each set against the one of its buckets' smallest ids that it shares most bands with
+    pairs = materialised(promising(_most_met(shared, "p"), reps, percent, bands), "pairs")
     links = linked(measured(pairs, materialised(sets_of(_ids(pairs)), "sets")), percent)
     found = components(links)
 
@@ -245,8 +240,7 @@ def classes(sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
     live = materialised(open_.select("key", "id").join(met, "id"), "live")
     centres = materialised(live.groupBy("key").agg(F.max_by("id", F.struct(F.col("met") / F.col("n"), F.xxhash64("id"))).alias("centre"), F.count("*").alias("c")), "centres")
     centred = materialised(salted_join(live, centres, "key", count="c").drop("c"), "centred")
-    wanted = materialised(centred.filter(F.col("id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "wanted")
-    tried = measured(materialised(promising(wanted, reps, percent, bands).select("a", "b"), "pairs"), sets)
+    tried = measured(materialised(promising(_most_met(centred, "centre"), reps, percent, bands), "pairs"), sets)
     links = links.unionByName(linked(tried, percent))
     found = components(links)
 
@@ -260,6 +254,13 @@ def classes(sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
     return some.select("id", "lo", "hi", "n").join(of_rep, ["lo", "hi", "n"]).select("id", "component", "n")
 
 
+def _most_met(rows: DataFrame, other: str) -> DataFrame:
+    """(a, b): each id b with the other one a that it meets in most rows."""
+    times = rows.filter(F.col("id") != F.col(other)).groupBy(F.col("id").alias("b"), F.col(other).alias("a")).agg(F.count("*").alias("c"))
+    best = times.groupBy("b").agg(F.min(F.struct((-F.col("c")).alias("c"), "a")).alias("best"))
+    return materialised(best.select("best.a", "b"), "met")
+
+
 def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
@@ -274,26 +275,71 @@ def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
     return salted_join(members, materialised(mixed, "mixed"), "key", count="members")
 
 
+#: Pairs of one block that are looked at together.
+PAIRS_AT_ONCE = 500_000
+
+
+def _pairs_of(rows: pa.Table, percent: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs in each group of rows (key, x, y, side; sorted) that lie in different components and may
+    reach the similarity: by sizes, by registers, and by what they can have in common, which is at most what both
+    share with their bucket's centre, and of their other shingles those that some set there has too. Of the bands that
+    a pair shares, only the first one's bucket gives it."""
+    key, x, y, side, size, met, part = (rows.column(c).to_numpy() for c in ("key", "x", "y", "side", "n", "met", "part"))
+    central = rows.column("central").to_numpy()  # -1 where unknown
+    registers = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(len(key), -1)
+    bands = registers.view(np.uint64)  # four registers of 16 bits
+    starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+    lengths = np.diff(np.concatenate((starts, [len(key)])))
+    group = np.repeat(np.arange(len(starts)), lengths)
+    common = np.logical_and.reduceat(bands == bands[starts[group]], starts, axis=0).argmax(axis=1)
+    ends = (starts + lengths)[group]
+    # partners of a row: those after it in its own block, or the whole other block, which is sorted behind it
+    firsts = np.add.reduceat((side == x).astype(np.int64), starts)
+    low = np.where(x == y, np.arange(len(key)) + 1, np.where(side == x, (starts + firsts)[group], ends))
+    counts = ends - low
+    upto = np.cumsum(counts)
+    i = 0
+    while i < len(key):
+        stop = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS_AT_ONCE, side="right")))
+        c = counts[i:stop]
+        a = np.repeat(np.arange(i, stop), c)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c) + low[a]
+        i = stop
+        keep = (part[a] != part[b]) & (size[a] * 100 >= size[b] * percent) & (size[b] * 100 >= size[a] * percent)
+        a, b = a[keep], b[keep]
+        most = np.minimum(met[a], met[b])
+        through = np.minimum(central[a], central[b]) + np.minimum(met[a] - central[a], met[b] - central[b])
+        most = np.where((central[a] >= 0) & (central[b] >= 0), np.minimum(most, through), most)
+        keep = most * 100 >= (size[a] + size[b] - most) * percent
+        a, b = a[keep], b[keep]
+        keep = (bands[a] == bands[b]).argmax(axis=1) == common[group[a]]
+        a, b = a[keep], b[keep]
+        keep = (registers[a] == registers[b]).sum(axis=1) >= least
+        yield a[keep], b[keep]
+
+
 def _block_pairs(percent: int, least: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of the two blocks' members that lie in different components and may reach the similarity: by sizes,
-        by registers, and by what they can have in common, which is at most what both share with their bucket's
-        centre, and of their other shingles those that some set there has too."""
-        size, met, part = rows["n"].to_numpy(np.int64), rows["met"].to_numpy(np.int64), pd.factorize(rows["part"])[0]
-        central, known = rows["central"].fillna(0).to_numpy(np.int64), rows["central"].notna().to_numpy()
-        registers = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(len(rows), -1)
-        mine, other = np.flatnonzero(rows["side"] == key[1]), np.flatnonzero(rows["side"] == key[2])
-        a, b = [], []
-        for i in mine:
-            at = other[(part[other] != part[i]) & ((other > i) if key[1] == key[2] else True)]
-            most = np.minimum(met[at], met[i])
-            through = np.minimum(central[at], central[i]) + np.minimum(met[at] - central[at], met[i] - central[i])
-            most = np.where(known[at] & known[i], np.minimum(most, through), most)
-            at = at[(size[at] * 100 >= size[i] * percent) & (size[i] * 100 >= size[at] * percent) & (most * 100 >= (size[at] + size[i] - most) * percent)]
-            at = at[(registers[at] == registers[i]).sum(axis=1) >= least]
-            a += [i] * len(at)
-            b += at.tolist()
-        return pd.DataFrame({"a": rows["name"].to_numpy()[a], "b": rows["name"].to_numpy()[b]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            ids = rows.column("id").combine_chunks()
+            for a, b in _pairs_of(rows, percent, least) if rows.num_rows else ():
+                yield pa.RecordBatch.from_pydict({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
+
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = (pa.concat_tables([rest, rows]) if rest is not None else rows).combine_chunks()
+            if not rows.num_rows:
+                continue
+            same = np.ones(rows.num_rows, dtype=bool)
+            for c in ("key", "x", "y"):
+                value = rows.column(c).to_numpy()
+                same &= value == value[-1]
+            begun = int(np.flatnonzero(~same).max(initial=-1)) + 1
+            yield from pairs(rows.slice(0, begun))  # the last group may go on in the next batch
+            rest = rows.slice(begun)
+        if rest is not None:
+            yield from pairs(rest)
 
     return run
 
@@ -301,14 +347,12 @@ def _block_pairs(percent: int, least: int):
 def _between_components(open_: DataFrame, reps: DataFrame, percent: int, bands: int) -> DataFrame:
     """Pairs of a bucket's members that lie in different components and may reach the similarity. A bucket's members
     are dealt into blocks of about BLOCK, and every two blocks meet in one group."""
-    kind = open_.schema["id"].dataType
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    sides = open_.select("key", "id", "n", "met", "central", "component", own.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-    sides = sides.withColumns({"x": F.least("side", "with"), "y": F.greatest("side", "with")}).join(reps.select("id", "registers"), "id")
-    # groups carry ids as JSON, which pandas keeps as they are
-    named = sides.select("key", "x", "y", F.to_json(F.struct("id")).alias("name"), "n", "met", "central", F.to_json(F.struct("component")).alias("part"), "side", "registers")
-    found = named.groupBy("key", "x", "y").applyInPandas(_block_pairs(percent, least_agreeing(percent, bands * ROWS)), "a string, b string").distinct()
-    back = lambda c: F.from_json(c, f"struct<id: {kind.simpleString()}>")["id"].alias(c)
-    ends = found.select(back("a"), back("b"))
-    return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = F.coalesce("central", F.lit(-1).cast("long")).alias("central")
+    sides = open_.select("key", "id", "n", "met", known, F.xxhash64("component").alias("part"), own.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    sides = sides.withColumns({"x": F.least("side", "with"), "y": F.greatest("side", "with")}).drop("with").join(reps.select("id", "registers"), "id")
+    dealt = sides.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
+    fields = open_.select(F.col("id").alias("a"), F.col("id").alias("b")).schema
+    found = dealt.mapInArrow(_block_pairs(percent, least_agreeing(percent, bands * ROWS)), fields)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
