@@ -8,8 +8,8 @@ from them, and similarities are estimated on them, corrected for registers that
 Candidates that share a band are not paired with each other in full. Texts with equal sets are one node.
 Each set is first tried against one of its buckets' smallest ids. In buckets that then hold several components,
 a set can only be linked if enough of its shingles occur in any other set there; that bound drops sets which
-share a passage but not a text, and copies that were changed too much. The rest is tried against the bucket's
-set of most shared shingles. What is still apart is dealt into blocks; two blocks meet in one task, which compares
+share a passage but not a text, and copies that were changed too much. The rest is tried against that of its
+buckets' sets which shares the largest part of its shingles. What is still apart is dealt into blocks; two blocks meet in one task, which compares
 registers and gives on only pairs that may reach the similarity, however wide a bucket is. All links are confirmed
 on full sets. What banding and the estimate may lose: a pair at similarity 0.8 has no common band once in twenty
 million (32 bands of 4), and an estimate six standard deviations too low about once in a billion.
@@ -238,16 +238,23 @@ def classes(sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
     sets = materialised(sets_of(sizes.select("id")), "sets")
     met = materialised(met_shingles(sets, sizes).join(sizes, "id").filter(F.col("met") * 100 >= F.col("n") * percent).select("id", "n", "met"), "met")
     live = materialised(open_.select("key", "id").join(met, "id"), "live")
-    centres = materialised(live.groupBy("key").agg(F.max_by("id", F.struct(F.col("met") / F.col("n"), F.xxhash64("id"))).alias("centre"), F.count("*").alias("c")), "centres")
-    centred = materialised(salted_join(live, centres, "key", count="c").drop("c"), "centred")
-    tried = measured(materialised(promising(_most_met(centred, "centre"), reps, percent, bands), "pairs"), sets)
+    order = F.struct((F.col("met") / F.col("n")).alias("met"), F.xxhash64("id").alias("hash"))
+    best = F.max(F.struct(order.alias("order"), "id")).alias("best")
+    centres = materialised(live.groupBy("key").agg(best, F.count("*").alias("c")), "centres")
+    centred = salted_join(live.select("key", "id"), centres, "key", count="c").groupBy("id").agg(F.max("best")["id"].alias("centre"))
+    centred = materialised(centred.join(met, "id"), "centred")
+    tried = measured(materialised(centred.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")), "pairs"), sets)
     links = links.unionByName(linked(tried, percent))
     found = components(links)
 
-    counts = tried.select(F.col("a").alias("centre"), F.col("b").alias("id"), "both")
-    central = F.when(F.col("id") == F.col("centre"), F.col("n")).otherwise(F.col("both"))
-    known = centred.join(counts, ["centre", "id"], "left").select("key", "id", "n", "met", central.alias("central"))
-    rest = materialised(_between_components(_open(known, found), reps, percent, bands), "pairs")
+    central = tried.select(F.col("b").alias("id"), F.col("both").alias("central"))
+    known = centred.join(central, "id", "left").select("id", F.xxhash64("centre").alias("centre"), F.coalesce("central", "n").alias("central"))
+    known = live.join(known, "id")
+    # each set's likeliest partner in another component first, which joins most of them; then all that are still apart
+    likeliest = materialised(_between_components(_open(known, found), reps, percent, bands, True), "likeliest")
+    links = links.unionByName(linked(measured(likeliest, sets), percent))
+    found = components(links)
+    rest = materialised(_between_components(_open(known, found), reps, percent, bands, False), "pairs")
     if not rest.isEmpty():
         found = components(links.unionByName(linked(measured(rest, sets), percent)))
     of_rep = reps.join(found, "id", "left").select("lo", "hi", "n", F.coalesce("component", "id").alias("component"))
@@ -279,13 +286,13 @@ def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
 PAIRS_AT_ONCE = 500_000
 
 
-def _pairs_of(rows: pa.Table, percent: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_of(rows: pa.Table, percent: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places of the pairs in each group of rows (key, x, y, side; sorted) that lie in different components and may
     reach the similarity: by sizes, by registers, and by what they can have in common, which is at most what both
-    share with their bucket's centre, and of their other shingles those that some set there has too. Of the bands that
-    a pair shares, only the first one's bucket gives it."""
+    share with their centre if that is the same, and of their other shingles those that some set there has too. Of the bands that
+    a pair shares, only the first one's bucket gives it. The third array counts agreeing registers."""
     key, x, y, side, size, met, part = (rows.column(c).to_numpy() for c in ("key", "x", "y", "side", "n", "met", "part"))
-    central = rows.column("central").to_numpy()  # -1 where unknown
+    centre, central = rows.column("centre").to_numpy(), rows.column("central").to_numpy()
     registers = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(len(key), -1)
     bands = registers.view(np.uint64)  # four registers of 16 bits
     starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
@@ -308,22 +315,28 @@ def _pairs_of(rows: pa.Table, percent: int, least: int) -> Iterator[tuple[np.nda
         keep = (part[a] != part[b]) & (size[a] * 100 >= size[b] * percent) & (size[b] * 100 >= size[a] * percent)
         a, b = a[keep], b[keep]
         most = np.minimum(met[a], met[b])
-        through = np.minimum(central[a], central[b]) + np.minimum(met[a] - central[a], met[b] - central[b])
-        most = np.where((central[a] >= 0) & (central[b] >= 0), np.minimum(most, through), most)
+        through = np.minimum(central[a], central[b]) + np.maximum(np.minimum(met[a] - central[a], met[b] - central[b]), 0)
+        most = np.where(centre[a] == centre[b], np.minimum(most, through), most)
         keep = most * 100 >= (size[a] + size[b] - most) * percent
         a, b = a[keep], b[keep]
         keep = (bands[a] == bands[b]).argmax(axis=1) == common[group[a]]
         a, b = a[keep], b[keep]
-        keep = (registers[a] == registers[b]).sum(axis=1) >= least
-        yield a[keep], b[keep]
+        agreeing = (registers[a] == registers[b]).sum(axis=1)
+        keep = agreeing >= least
+        yield a[keep], b[keep], agreeing[keep]
 
 
-def _block_pairs(percent: int, least: int):
+def _block_pairs(percent: int, least: int, best: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             ids = rows.column("id").combine_chunks()
-            for a, b in _pairs_of(rows, percent, least) if rows.num_rows else ():
-                yield pa.RecordBatch.from_pydict({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
+            for a, b, agreeing in _pairs_of(rows, percent, least) if rows.num_rows else ():
+                if best:  # each side's likeliest partner among these
+                    a, b, agreeing = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((agreeing, agreeing))
+                    order = np.lexsort((b, -agreeing, a))
+                    order = order[np.concatenate(([True], a[order][1:] != a[order][:-1]))[: len(order)]]
+                    a, b, agreeing = a[order], b[order], agreeing[order]
+                yield pa.RecordBatch.from_pydict({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "agreeing": pa.array(agreeing.astype(np.int64))})
 
         rest = None
         for batch in batches:
@@ -344,15 +357,17 @@ def _block_pairs(percent: int, least: int):
     return run
 
 
-def _between_components(open_: DataFrame, reps: DataFrame, percent: int, bands: int) -> DataFrame:
-    """Pairs of a bucket's members that lie in different components and may reach the similarity. A bucket's members
-    are dealt into blocks of about BLOCK, and every two blocks meet in one group."""
+def _between_components(open_: DataFrame, reps: DataFrame, percent: int, bands: int, best: bool) -> DataFrame:
+    """Pairs of a bucket's members that lie in different components and may reach the similarity, or only each one's
+    likeliest (`best`). A bucket's members are dealt into blocks of about BLOCK, and every two blocks meet in one
+    group."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    known = F.coalesce("central", F.lit(-1).cast("long")).alias("central")
-    sides = open_.select("key", "id", "n", "met", known, F.xxhash64("component").alias("part"), own.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    sides = open_.select("key", "id", "n", "met", "centre", "central", F.xxhash64("component").alias("part"), own.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
     sides = sides.withColumns({"x": F.least("side", "with"), "y": F.greatest("side", "with")}).drop("with").join(reps.select("id", "registers"), "id")
     dealt = sides.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
-    fields = open_.select(F.col("id").alias("a"), F.col("id").alias("b")).schema
-    found = dealt.mapInArrow(_block_pairs(percent, least_agreeing(percent, bands * ROWS)), fields)
+    fields = open_.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).cast("long").alias("agreeing")).schema
+    found = dealt.mapInArrow(_block_pairs(percent, least_agreeing(percent, bands * ROWS), best), fields)
+    if best:
+        found = found.groupBy("a").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
