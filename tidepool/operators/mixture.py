@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,15 +33,16 @@ def fit_share(sizes: np.ndarray, counts: np.ndarray) -> float | None:
     return float(share if small >= large else 1 - share)
 
 
-def organic_share(trades: DataFrame) -> DataFrame:
-    """pool, phi_size, trades of (pool, size). Sizes are grouped on a logarithmic grid of GRID steps a factor e with
+def organic_share(trades: DataFrame, keys: Sequence[str] = ("pool",)) -> DataFrame:
+    """The keys, phi_size, trades of (keys, size). Sizes are grouped on a logarithmic grid of GRID steps a factor e with
     their exact means, so what one task fits is bounded and hot pools are pre-aggregated."""
     cell = F.when(F.col("size") > 0, F.floor(F.ln("size") * GRID)).otherwise(F.lit(-(2**40)))
-    cells = trades.groupBy("pool", cell.alias("cell")).agg(F.avg("size").alias("size"), F.count("*").alias("n"))
+    cells = trades.groupBy(*keys, cell.alias("cell")).agg(F.avg("size").alias("size"), F.count("*").alias("n"))
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("cell")
         share = fit_share(rows["size"].to_numpy(float), rows["n"].to_numpy(float))
-        return pd.DataFrame({"pool": [key[0]], "phi_size": [share], "trades": [int(rows["n"].sum())]})
+        return pd.DataFrame({k: [v] for k, v in zip(keys, key, strict=True)} | {"phi_size": [share], "trades": [int(rows["n"].sum())]})
 
-    return cells.groupBy("pool").applyInPandas(fit, "pool string, phi_size double, trades long")
+    names = ", ".join(f"{k} {dict(trades.dtypes)[k]}" for k in keys)
+    return cells.groupBy(*keys).applyInPandas(fit, f"{names}, phi_size double, trades long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,29 +32,27 @@ def ingest_lag(ticks: DataFrame) -> DataFrame:
     return rows.withColumn("healthy", (F.col("lag_slots") <= LAG_WARN) & (F.coalesce("new_rows", F.lit(0)) > 0))
 
 
-def held(rows: DataFrame, condition: str, seconds: int) -> DataFrame:
+def held(rows: DataFrame, condition: str, seconds: int, keys: Sequence[str] = ("source",)) -> DataFrame:
     """Rows at which a condition has been true for `seconds` without a break."""
-    by = W.partitionBy("source").orderBy("t")
+    by = W.partitionBy(*keys).orderBy("t")
     runs = rows.withColumn("__run", F.count_if(~F.coalesce(F.expr(condition), F.lit(False))).over(by))
-    since = F.min(F.when(F.expr(condition), F.col("t"))).over(W.partitionBy("source", "__run"))
+    since = F.min(F.when(F.expr(condition), F.col("t"))).over(W.partitionBy(*keys, "__run"))
     return runs.withColumn("__since", since).filter(F.expr(condition) & (F.col("t") - F.col("__since") >= seconds)).drop("__run", "__since")
 
 
-def alerts(telemetry: DataFrame) -> DataFrame:
-    """(source, t, alert) of telemetry (source, t, lag_slots, slot, reconnects, decode_errors, the last two running
-    counts): lag above its limits for 5 and 2 minutes, no new slot for 10 minutes, reconnects within 15 minutes, and
-    decode errors a second within 5 minutes."""
-    over = lambda seconds: W.partitionBy("source").orderBy("t").rangeBetween(-seconds, 0)
+def alerts(telemetry: DataFrame, errors: DataFrame) -> DataFrame:
+    """(source, t, alert) of telemetry (source, t, lag_slots, slot, reconnects) and decode errors (source, event_type,
+    t, errors), of which reconnects and errors are running counts: lag above its limits, no new slot in ten minutes and
+    too many reconnects in a quarter of an hour, each held for five minutes; and more than a tenth of an error a second
+    of one event type over five minutes, held for ten."""
+    over = lambda seconds, *keys: W.partitionBy("source", *keys).orderBy("t").rangeBetween(-seconds, 0)
     rows = telemetry.select(
-        "*", (F.max("slot").over(over(600)) == F.min("slot").over(over(600))).alias("stuck"), (F.col("t") - F.min("t").over(W.partitionBy("source"))).alias("age"),
-        (F.col("reconnects") - F.min("reconnects").over(over(900))).alias("recent_reconnects"), ((F.col("decode_errors") - F.min("decode_errors").over(over(300))) / 300.0).alias("error_rate"),
+        "*", (F.max("slot").over(over(600)) == F.min("slot").over(over(600))).alias("still"), (F.col("t") - F.min("t").over(W.partitionBy("source"))).alias("age"),
+        (F.col("reconnects") - F.min("reconnects").over(over(900))).alias("recent_reconnects"),
     )
-    parts = [
-        held(rows, f"lag_slots > {LAG_WARN}", 300).withColumn("alert", F.lit("lag_warning")), held(rows, f"lag_slots > {LAG_CRITICAL}", 120).withColumn("alert", F.lit("lag_critical")),
-        rows.filter("stuck and age >= 600").withColumn("alert", F.lit("no_progress")), rows.filter(F.col("recent_reconnects") > MOST_RECONNECTS).withColumn("alert", F.lit("reconnects")),
-        rows.filter(F.col("error_rate") > MOST_ERRORS).withColumn("alert", F.lit("decode_errors")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("source", "t", "alert")
+    rates = errors.withColumn("rate", (F.col("errors") - F.min("errors").over(over(300, "event_type"))) / 300.0)
+    rules = {"lag_warning": f"lag_slots > {LAG_WARN}", "lag_critical": f"lag_slots > {LAG_CRITICAL}", "no_progress": "still and age >= 600", "reconnects": f"recent_reconnects > {MOST_RECONNECTS}"}
+    out = held(rates, f"rate > {MOST_ERRORS}", 600, ("source", "event_type")).select("source", "t", F.concat(F.lit("decode_errors:"), "event_type").alias("alert"))
+    for name, condition in rules.items():
+        out = out.unionByName(held(rows, condition, 300).select("source", "t", F.lit(name).alias("alert")))
+    return out

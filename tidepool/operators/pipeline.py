@@ -84,9 +84,9 @@ def history(bars: DataFrame, bars_day: int) -> DataFrame:
     bars: pool, bucket, volume, fee, open, high, low, close, tvl, active_tvl, as doubles. All windows share one
     partitioning and order by pool and bucket.
     """
-    hour, week = max(1, round(bars_day / 24)), 7 * bars_day
+    hour, week = round(bars_day / 24), 7 * bars_day
     diff = lambda c: (F.col(c) - F.lag(c).over(by_pool())).alias(f"{c}_change")
-    ratio = lambda k: F.try_divide(full_sum("fee", k), F.when(F.col("tvl") > 0, F.col("tvl")))
+    ratio = lambda k: F.try_divide(full_sum("fee", k), F.when(F.col("tvl") > 0, F.col("tvl"))) if k else F.lit(None).cast("double")
     rows = bars.select(
         "*", diff("volume"), diff("fee"), diff("tvl"), diff("close"), diff("active_tvl"), F.coalesce(trailing_sum("volume", bars_day), F.lit(0.0)).alias("vol_24h"),
         ratio(hour).alias("fee_tvl_1h"), ratio(bars_day).alias("fee_tvl_24h"), ratio(week).alias("fee_tvl_7d"), trend("volume", bars_day).alias("volume_trend"),
@@ -132,7 +132,8 @@ def regimes(rows: DataFrame, cfg: Config, width: int) -> DataFrame:
     """pool, bucket, regime, regime_item: the committed regime after each bar, by a fold over the pool's history.
 
     A candidate is committed once it has lasted for the persistence and the cooldown since the last change is over;
-    a kill switch commits at once. The clock is the bar's end. A pool's observations are bounded by the history
+    a kill switch commits at once. A null candidate (too little history) never commits by itself from a calm state.
+    The clock is the bar's end. A pool's observations are bounded by the history
     given, so its sorted array stays small.
 
     rows: pool, bucket, sigma_slow, sigma_fast, sufficient, and dev_peg, age_days, pegged, major, kill.
@@ -152,9 +153,9 @@ def regimes(rows: DataFrame, cfg: Config, width: int) -> DataFrame:
         s, t = acc["s"], x["t"]
         cand = _candidate(s["regime"], x, cfg)
         same = cand.eqNullSafe(s["regime"])
-        moved = ~cand.eqNullSafe(s["pending"]) | s["pending_since"].isNull()
-        waiting_since = F.when(moved, t).otherwise(s["pending_since"])
-        waited, rested = (t - waiting_since) / 60.0, (t - s["last"]) / 60.0
+        # a null candidate equals no pending one, so its waiting time is only set where another was pending before
+        waiting_since = F.when(~cand.eqNullSafe(s["pending"]), t).otherwise(s["pending_since"])
+        waited, rested = (t - F.coalesce(waiting_since, t)) / 60.0, (t - s["last"]) / 60.0
         early, cooling = waited < cfg.persistence / 60.0, F.coalesce(rested < cfg.cooldown / 60.0, F.lit(False))
         commit = state(cand, t, none, never, t)
         calm = state(s["regime"], s["since"], none, never, s["last"])
@@ -282,9 +283,9 @@ def exits(rows: DataFrame, cfg: Config) -> DataFrame:
 
 
 def signals(rows: DataFrame, cfg: Config) -> DataFrame:
-    """pool, bucket, kind of evaluated rows with exits: none for estimated rows; GATE_FAIL without regime or r_org,
-    DEGRADING on an exit, POTENTIAL at r_min or above."""
-    kind = F.when(F.col("quality") != "A", F.lit(None).cast("string")).when(F.col("regime").isNull() | F.col("r_org").isNull(), "GATE_FAIL").when(F.col("exit"), "DEGRADING").when(F.col("r_org") >= by_regime(cfg.r_min), "POTENTIAL")
+    """pool, bucket, kind of evaluated rows with exits: none for estimated rows and rows without a regime; GATE_FAIL
+    without r_org, DEGRADING on an exit, POTENTIAL at r_min or above. `windows.cooled` decides which are sent."""
+    kind = F.when((F.col("quality") != "A") | F.col("regime").isNull(), F.lit(None).cast("string")).when(F.col("r_org").isNull(), "GATE_FAIL").when(F.col("exit"), "DEGRADING").when(F.col("r_org") >= by_regime(cfg.r_min), "POTENTIAL")
     return rows.select("pool", "bucket", kind.alias("kind"), "regime", "r_org").filter("kind is not null")
 
 

@@ -6,6 +6,8 @@ zero. Every aggregate is keyed by (pool, bucket), so the joins of a bar's parts
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,12 +63,13 @@ def liquidity_bars(liquidity: DataFrame, width: int) -> DataFrame:
 def trailing_median(snapshots: DataFrame, width: int, span: int = 3600) -> DataFrame:
     """Exact decimal median of active liquidity over the `span` seconds up to each bucket's end. Nulls don't count;
     of an even number the middle two are averaged."""
-    first = bucket(F.col("t"), width)
-    rows = snapshots.filter("active_tvl is not null").select("pool", "t", "event_id", "active_tvl", F.explode(F.sequence(first, first + span - width, F.lit(width))).alias("bucket"))
+    # equal values of a bucket are counted before they are spread over the windows that see them
+    counts = snapshots.filter("active_tvl is not null").groupBy("pool", bucket(F.col("t"), width).alias("first"), "active_tvl").agg(F.count("*").alias("c"))
+    rows = counts.select("pool", "active_tvl", "c", F.explode(F.sequence(F.col("first"), F.col("first") + span - width, F.lit(width))).alias("bucket"))
     by = W.partitionBy(*KEY)
-    ranked = rows.withColumn("rn", F.row_number().over(by.orderBy("active_tvl", "t", "event_id"))).withColumn("n", F.count("*").over(by))
-    middle = ranked.filter((F.col("rn") == F.floor((F.col("n") + 1) / 2)) | (F.col("rn") == F.floor((F.col("n") + 2) / 2)))
-    return middle.groupBy(*KEY).agg((F.sum("active_tvl") / F.count("*")).cast("decimal(24,6)").alias("active_tvl_median"))
+    placed = rows.select(*KEY, "active_tvl", F.sum("c").over(by.orderBy("active_tvl")).alias("upto"), F.sum("c").over(by).alias("n"))
+    nth = lambda k: F.min(F.when(F.col("upto") >= F.floor((F.col("n") + k) / 2), F.col("active_tvl")))
+    return placed.groupBy(*KEY).agg(((nth(1) + nth(2)) / 2).cast("decimal(24,6)").alias("active_tvl_median"))
 
 
 def bars(swaps: DataFrame, snapshots: DataFrame, liquidity: DataFrame, width: int) -> DataFrame:
@@ -109,6 +112,35 @@ def touched(raw: DataFrame, built: DataFrame, width: int) -> DataFrame:
     return raw.select("pool", bucket(F.col("t"), width).alias("bucket")).distinct().join(built.select(*KEY), KEY, "left_anti")
 
 
+def rebuilt(swaps: DataFrame, snapshots: DataFrame, liquidity: DataFrame, built: DataFrame, width: int) -> DataFrame:
+    """The bars of buckets that have raw state but none in `built`, from the raw rows that they need: the buckets' own,
+    and for the median those of the hour before."""
+    keys = touched(snapshots, built, width)
+    own = lambda df: df.withColumn("bucket", bucket(F.col("t"), width)).join(keys, KEY, "left_semi").drop("bucket")
+    out = state_bars(own(snapshots), width)
+    near = keys.select("pool", F.explode(F.sequence(F.col("bucket") - 3600 + width, F.col("bucket"), F.lit(width))).alias("bucket")).distinct()
+    seen = snapshots.withColumn("bucket", bucket(F.col("t"), width)).join(near, KEY, "left_semi").drop("bucket")
+    for part in (swap_bars(own(swaps), width), liquidity_bars(own(liquidity), width), trailing_median(seen, width)):
+        out = out.join(part, KEY, "left")
+    return out
+
+
+def touched_windows(bars: DataFrame, widths: Sequence[int]) -> DataFrame:
+    """(width, pool, bucket) of the coarser bars over rebuilt ones, which have to be built again."""
+    over = F.explode(F.array(*[F.struct(F.lit(w).alias("width"), bucket(F.col("bucket"), w).alias("bucket")) for w in widths])).alias("w")
+    return bars.select("pool", over).select("w.width", "pool", "w.bucket").distinct()
+
+
+def frames(base: DataFrame, upto: str = "24h") -> dict[str, DataFrame]:
+    """Bars of 10m, 1h, 4h and 24h from 10-minute ones, which every frame reads: write them first."""
+    out = {"10m": base}
+    for name, below, width in (("1h", "10m", 3600), ("4h", "1h", 14400), ("24h", "4h", 86400)):
+        out[name] = coarser(out[below], width)
+        if name == upto:
+            break
+    return out
+
+
 def trader_concentration(swaps: DataFrame, width: int, top: int = 5) -> DataFrame:
     """Share of a bucket's volume that its `top` signers make, and the share of volume that signers trade back and
     forth: twice the smaller of a signer's buys and sells."""

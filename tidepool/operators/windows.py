@@ -100,7 +100,7 @@ def ewma(rows: DataFrame, value: str, decay: float, out: str, most: int = 20_000
     numbered = numbered.withColumn("__block", base).withColumn("__w", weighted)
     own = (1 - decay) * F.pow(F.lit(decay), (F.col("__n") - F.col("__block")).cast("double")) * F.coalesce(F.sum("__w").over(block), F.lit(0.0))
     within = numbered.withColumn("__own", own)
-    # a block starts from the block before: with `reach` rows a block, what lies further back weighs below 1e-280
+    # a block starts from the block before: with `reach` rows a block, what lies further back than two blocks weighs less than 1e-26
     ends = within.groupBy("pool", "__block").agg(F.max_by("__own", "bucket").alias("__end")).withColumn("__block", F.col("__block") + reach)
     carried = F.coalesce("__end", F.lit(0.0)) * F.pow(F.lit(decay), (F.col("__n") - F.col("__block") + 1).cast("double"))
     return within.join(ends, ["pool", "__block"], "left").withColumn(out, F.col("__own") + carried).select(*rows.columns, out)
@@ -139,7 +139,11 @@ def recent(rows: DataFrame, n: int, until: int | None = None) -> DataFrame:
 def cooled(signals: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
     """Signals that are sent: a key's first, and each one at least `seconds` after the last sent. The choice depends
     on the one before, so a key's times are folded in order."""
-    times = signals.groupBy(*keys).agg(F.array_sort(F.collect_set("t")).alias("__ts"))
+    # a time that follows the one before by `seconds` is always sent: the folds begin anew there
+    by = W.partitionBy(*keys).orderBy("t")
+    begins = F.coalesce(F.col("t") - F.lag("t").over(by) >= seconds, F.lit(True))
+    pieces = signals.select(*keys, "t").distinct().withColumn("__begins", begins.cast("int")).withColumn("__piece", F.sum("__begins").over(by))
+    times = pieces.groupBy(*keys, "__piece").agg(F.array_sort(F.collect_list("t")).alias("__ts"))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("sent"))
 
     def merge(acc: Column, t: Column) -> Column:

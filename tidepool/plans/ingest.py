@@ -233,12 +233,13 @@ def newest_slot_state(t: Tables) -> DataFrame:
     return latest_per_key(rows, ["pool"], ["slot", "event_id"])
 
 
-@query(sql("select pool, max(t // 3600) as slot, last(event_id order by t, event_id) filter (event_type = 'view') as pair, list_sort(list(event_id) filter (event_type = 'click'))::varchar as arrays, max(t) filter (event_id % 3 = 0) as block_time from e group by pool", "e"))
+@query(sql("select pool, t // 3600 as slot, last(event_id order by t, event_id) filter (event_type = 'view') as pair, coalesce(list_sort(list(event_id) filter (event_type = 'click'))::varchar, '[]') as arrays, max(t) filter (event_id % 3 = 0) as block_time from e group by pool, t // 3600", "e"))
 def grouped_state_updates(t: Tables) -> DataFrame:
-    """Account updates grouped to one state per pool: highest slot, last pair, all bin arrays, last block time."""
+    """Account updates grouped to one state per pool and slot: last pair, all bin arrays, last block time. A slot
+    bounds what one group holds."""
     kind = F.col("event_type")
-    out = t.events().groupBy("pool").agg(
-        F.max(F.floor(F.col("t") / 3600)).alias("slot"), F.max_by("event_id", F.when(kind == "view", F.struct("t", "event_id"))).alias("pair"),
+    out = t.events().groupBy("pool", F.floor(F.col("t") / 3600).alias("slot")).agg(
+        F.max_by("event_id", F.when(kind == "view", F.struct("t", "event_id"))).alias("pair"),
         F.array_sort(F.collect_list(F.when(kind == "click", F.col("event_id")))).alias("ids"), F.max(F.when(F.col("event_id") % 3 == 0, F.col("t"))).alias("block_time"),
     )
     return out.select("pool", "slot", "pair", F.concat(F.lit("["), F.concat_ws(", ", F.transform("ids", lambda x: x.cast("string"))), F.lit("]")).alias("arrays"), "block_time")

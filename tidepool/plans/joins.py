@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.operators import ranking, rollup
+from tidepool.operators import enrich, ranking, rollup
 from tidepool.operators.windows import latest_per_key
 from tidepool.plans.registry import query
 from tidepool.plans.rollup import chain_ctes
 from tidepool.plans.windows import HOURLY, hourly
+from tidepool.session import written
 from tidepool.sources.adapters import Tables, sql
 
 _TRIO = ("swaps", "snapshots", "liquidity")
@@ -45,11 +46,67 @@ def top_pools(t: Tables) -> DataFrame:
     return ranking.top(rows, "r_org", 5).select("pool", "r_org", "bin_step", "tier")
 
 
-@query(sql("select pool, bucket, r_org from ind where quality = 'A' and r_org >= 1.0 and regime = 'S'", "swaps", "pools", **HOURLY, **_IND))
+@query(sql("select pool, bucket, r_org from ind where bucket = (select max(bucket) from ind) and quality = 'A' and r_org >= 0.0 order by r_org desc nulls last, pool", "swaps", "pools", **HOURLY, **_IND))
 def potential_pools(t: Tables) -> DataFrame:
+    """Measured pools in the latest bucket, best first."""
+    rows = ranking.wanted(ranking.latest_bucket(indicators(t)), least=0.0)
+    return rows.orderBy(F.desc_nulls_last("r_org"), "pool").select("pool", "bucket", "r_org")
+
+
+@query(sql("select pool, bucket, r_org from ind where quality = 'A' and r_org >= 1.0 and regime = 'S'", "swaps", "pools", **HOURLY, **_IND))
+def potential_history(t: Tables) -> DataFrame:
+    """The same screen over all buckets."""
     return ranking.wanted(indicators(t), regime="S").select("pool", "bucket", "r_org")
 
 
+_MIN_LATEST = "(select max(bucket) from h)"
+
+
+@query(sql(f"select h.pool, h.bucket, p.token_x, p.token_y, p.tier, i.quality, h.volume, round(i.r_org, 6) as r_org from h join pools p on p.pool = h.pool join ind i on i.pool = h.pool and i.bucket = h.bucket where h.bucket = {_MIN_LATEST} order by h.volume desc nulls last, h.pool limit 20", "swaps", "pools", **HOURLY, **_IND))
+def volume_ranked_pools(t: Tables) -> DataFrame:
+    """Metrics, pools and indicators of the latest bucket, by volume."""
+    out = enrich.volume_ranked(hourly(t), t.pools(), indicators(t).select("pool", "bucket", "quality", "r_org"), 20)
+    return out.select("pool", "bucket", "token_x", "token_y", "tier", "quality", "volume", F.round("r_org", 6).alias("r_org"))
+
+
+_QUOTES = {"T0": "sol", "T1": "usdc", "T5": "usdt"}
+_DIMS = "select *, case when pool_key % 3 <> 0 then 1700000000 + pool_key end as first_liquidity_at, 1690000000 + pool_key as created_at, {0} as qx, {1} as qy from pools"
+_CASE = "case {0} " + " ".join(f"when '{m}' then '{n}'" for m, n in _QUOTES.items()) + " end"
+
+
+@query(sql("select pool, coalesce(case when qy is not null or qx is null then qy else qx end, 'other') as quote_asset, case when qy is not null or qx is null then token_x else token_y end as base_token, round((1706659200 - coalesce(first_liquidity_at, created_at)) / 86400.0, 6)::double as age_days from d", "pools", d=_DIMS.format(_CASE.format("token_x"), _CASE.format("token_y"))))
+def pool_sides(t: Tables) -> DataFrame:
+    """Quote asset, base token and age of every pool."""
+    k = F.col("pool_key")
+    pools = t.pools().withColumns({"first_liquidity_at": F.when(k % 3 != 0, 1700000000 + k), "created_at": 1690000000 + k})
+    return enrich.base_side(pools, _QUOTES, F.lit(1706659200)).select("pool", "quote_asset", "base_token", F.round("age_days", 6).alias("age_days"))
+
+
+_RAW = "select pool, t, event_id, event_id % 2 = 0 as swap_for_y, user_id * 1000 + 17 as amount_in_raw, user_id * 900 + event_id % 100 as amount_out_raw, event_id % 80 - 40 as start_bin, event_id % 80 - 40 + event_id % 3 as end_bin, 20 + event_id % 30 as fee_bps, 2 as protocol_bps from e where event_type in ('click', 'purchase')"
+_PRICES = "select 'T' || (event_id % 3) as mint, t, max(1 + v::double / 100) as usd from e where event_type = 'view' and event_id % 9 = 0 group by all"
+_ENRICHED = {
+    "raw": _RAW, "quotes": _PRICES,
+    "x": """select r.*, p.bin_step, tx.decimals as dx, ty.decimals as dy, p.token_y from raw r join pools p on p.pool = r.pool left join tokens tx on tx.mint = p.token_x left join tokens ty on ty.mint = p.token_y""",
+    "y": "select x.*, q.usd from x asof left join quotes q on q.mint = x.token_y and q.t <= x.t",
+    "z": """select *, pow(1 + bin_step / 10000.0, start_bin) * pow(10.0, dx - dy) as start_price, pow(1 + bin_step / 10000.0, end_bin) * pow(10.0, dx - dy) as end_price,
+      amount_in_raw / pow(10, case when swap_for_y then dx else dy end) as amount_in, amount_out_raw / pow(10, case when swap_for_y then dy else dx end) as amount_out from y""",
+    "u": "select *, case when swap_for_y then amount_out else amount_in end * usd as volume_usd from z",
+}
+
+
+@query(sql("select event_id, pool, round(start_price + 1e-12, 9) as start_price, round(end_price + 1e-12, 9) as end_price, round(amount_in + 1e-12, 9) as amount_in, round(amount_out + 1e-12, 9) as amount_out, round(volume_usd + 1e-12, 9) as volume_usd, round(volume_usd * (fee_bps - protocol_bps) / 10000.0 + 1e-12, 9) as fee_usd, round(volume_usd * protocol_bps / 10000.0 + 1e-12, 9) as protocol_fee_usd from u", "e", "pools", "tokens", **_ENRICHED))
+def enriched_swaps(t: Tables) -> DataFrame:
+    """Raw swaps with prices of their bins, amounts in units, and volume and fees in USD at the quote's last price."""
+    e, i = t.events(), F.col("event_id")
+    raw = e.filter(F.col("event_type").isin("click", "purchase")).select(
+        "pool", "t", "event_id", (i % 2 == 0).alias("swap_for_y"), (F.col("user_id") * 1000 + 17).alias("amount_in_raw"), (F.col("user_id") * 900 + i % 100).alias("amount_out_raw"),
+        (i % 80 - 40).alias("start_bin"), (i % 80 - 40 + i % 3).alias("end_bin"), (20 + i % 30).alias("fee_bps"), F.lit(2).alias("protocol_bps"),
+    )
+    quotes = e.filter("event_type = 'view' and event_id % 9 = 0").groupBy(F.concat(F.lit("T"), (i % 3).cast("string")).alias("mint"), "t").agg(F.max(1 + F.col("v").cast("double") / 100).alias("usd"))
+    out = enrich.enriched_swaps(raw, t.pools(), t.tokens(), quotes)
+    return out.select("event_id", "pool", *[F.round(F.col(c) + 1e-12, 9).alias(c) for c in ("start_price", "end_price", "amount_in", "amount_out", "volume_usd", "fee_usd", "protocol_fee_usd")])
+
+
 @query(sql("select pool, bucket, r_org, score from (select pool, bucket, r_org, bucket % 7 as score from ind where bucket = (select max(bucket) from ind) order by r_org desc nulls last, pool limit 10) order by score desc nulls last, r_org desc nulls last, pool limit 2", "swaps", "pools", **HOURLY, **_IND))
 def over_fetched_top(t: Tables) -> DataFrame:
     rows = ranking.latest_bucket(indicators(t)).withColumn("score", F.col("bucket") % 7)
@@ -79,9 +136,9 @@ def tier_changes(t: Tables) -> DataFrame:
     "select * from (select pool, '1h' as tf, arg_max(close::double, bucket) as c from c1h group by pool union all select pool, '4h', arg_max(close::double, bucket) from c4h group by pool union all select pool, '24h', arg_max(close::double, bucket) from c24h group by pool) pivot (first(c) for tf in ('1h', '4h', '24h'))"
     .replace("arg_max(close::double, bucket)", "last(close::double order by bucket)"), *_TRIO, **chain_ctes("24h")))
 def pool_detail(t: Tables) -> DataFrame:
-    raw = (t.swaps(), t.snapshots(), t.liquidity())
-    frames = {tf: rollup.chain(*raw, tf).select("pool", "bucket", F.col("close").cast("double").alias("close")) for tf in ("1h", "4h", "24h")}
-    return ranking.pool_detail(frames, "close")
+    base = written(rollup.bars(t.swaps(), t.snapshots(), t.liquidity(), 600), "bars_10m")
+    every = rollup.frames(base)
+    return ranking.pool_detail({tf: every[tf].select("pool", "bucket", F.col("close").cast("double").alias("close")) for tf in ("1h", "4h", "24h")}, "close")
 
 
 @query(sql("select s.pool, s.t, s.event_id as point_id, h.price::double as price, h.t as seen from snapshots s asof left join (select pool, t, max_by(price, event_id) as price from swaps group by pool, t) h on h.pool = s.pool and h.t <= s.t", *_TRIO[:2]))
@@ -131,8 +188,8 @@ def slot_times(t: Tables) -> DataFrame:
 
 @query(sql("select pool, rank_short, rank_long, rank_long - rank_short as shift from (select pool, rank() over (order by volume desc nulls last) as rank_short from c1h where bucket = (select max(bucket) from c1h)) join (select pool, rank() over (order by volume desc nulls last) as rank_long from c24h where bucket = (select max(bucket) from c24h)) using (pool)", *_TRIO, **chain_ctes("24h")))
 def rank_shift(t: Tables) -> DataFrame:
-    raw = (t.swaps(), t.snapshots(), t.liquidity())
-    return ranking.rank_shift(ranking.latest_bucket(rollup.chain(*raw, "1h")), ranking.latest_bucket(rollup.chain(*raw, "24h")), "volume")
+    every = rollup.frames(written(rollup.bars(t.swaps(), t.snapshots(), t.liquidity(), 600), "bars_10m"))
+    return ranking.rank_shift(ranking.latest_bucket(every["1h"]), ranking.latest_bucket(every["24h"]), "volume")
 
 
 @query(sql("select pool, tier from pools where tier = 1 and pool in (select pool from trades)", "pools", "trades"))
@@ -140,12 +197,14 @@ def watch_set(t: Tables) -> DataFrame:
     return t.pools().filter("tier = 1").join(t.trades().select("pool"), "pool", "left_semi").select("pool", "tier")
 
 
-@query(sql("select position_id, horizon from positions, (values (24), (72)) h(horizon) where not exists (select 1 from done d where d.position_id = positions.position_id and d.horizon = h.horizon) and position_id * 3600 <= 5000000 - horizon * 3600", "positions", done="select position_id, 24 as horizon from positions where closed"))
+@query(sql("select position_id, horizon from positions, (values (24), (72)) h(horizon) where not exists (select 1 from done d where d.position_id = positions.position_id and d.horizon = h.horizon) and 1704067200 + (position_id % 20) * 86400 <= 1705500000 - horizon * 3600", "positions", done="select position_id, 24 as horizon from positions where closed"))
 def due_for_outcome(t: Tables) -> DataFrame:
     """Positions old enough for a horizon whose outcome isn't there yet."""
     p = t.positions()
     done = p.filter("closed").select("position_id", F.lit(24).alias("horizon"))
-    asked = p.select("position_id", F.explode(F.array(F.lit(24), F.lit(72))).alias("horizon")).filter(F.col("position_id") * 3600 <= 5000000 - F.col("horizon") * 3600)
+    asked = p.select("position_id", F.explode(F.array(F.lit(24), F.lit(72))).alias("horizon"))
+    opened = F.lit(1704067200) + (F.col("position_id") % 20) * 86400
+    asked = asked.filter(opened <= 1705500000 - F.col("horizon") * 3600)
     return asked.join(done, ["position_id", "horizon"], "left_anti")
 
 

@@ -140,6 +140,23 @@ def missed_buckets(t: Tables) -> DataFrame:
     return rollup.touched(t.snapshots(), built, 300)
 
 
+_BUILT = "select distinct pool, t - t % 300 as bucket from snapshots where event_id % 3 = 0"
+
+
+@query(sql(f"select {_BARS_SHOWN}, active_bin_open, active_tvl_median::double as active_tvl_median from bars300 b where not exists (select 1 from built x where x.pool = b.pool and x.bucket = b.bucket)", *_TRIO, built=_BUILT, **bars_ctes(300)))
+def rebuilt_bars_5m(t: Tables) -> DataFrame:
+    """The bars of missed buckets, built from the raw rows that they need."""
+    built = rollup.state_bars(t.snapshots().filter("event_id % 3 = 0"), 300)
+    return shown(rollup.rebuilt(*_raw(t), built, 300))
+
+
+@query(sql("select distinct w::integer as width, b.pool, b.bucket - b.bucket % w as bucket from (select distinct pool, t - t % 300 as bucket from snapshots) b, (values (3600), (14400), (86400)) ws(w) where not exists (select 1 from built x where x.pool = b.pool and x.bucket = b.bucket)", *_TRIO, built=_BUILT))
+def windows_to_rebuild(t: Tables) -> DataFrame:
+    """Coarser bars over rebuilt ones."""
+    built = rollup.state_bars(t.snapshots().filter("event_id % 3 = 0"), 300)
+    return rollup.touched_windows(rollup.touched(t.snapshots(), built, 300), (3600, 14400, 86400))
+
+
 @query(sql(
     """select r.pool, r.top_volume::double / r.volume::double as top_share, 2 * r.back::double / r.volume::double as round_trip, r.signers, r.bucket from (
       select pool, bucket, sum(volume) as volume, sum(volume) filter (rn <= 5) as top_volume, sum(least(buy, sell)) as back, count(*) as signers from (

@@ -12,37 +12,79 @@ from tidepool.operators import ledger, mixture, ops, pipeline, ranking, rollup,
 from tidepool.plans.registry import query
 from tidepool.plans.rollup import chain_ctes, state_bars_sql
 from tidepool.plans.windows import HOURLY, hourly
+from tidepool.schemas import TIMEFRAMES, bars_a_day
+from tidepool.session import written
 from tidepool.sources.adapters import Tables, sql
 
 CFG = pipeline.Config()
-WIDTH = 3600
+#: Bars of a pool that the pipeline looks back on.
+HISTORY = 2020
 
 
-def evaluated(t: Tables) -> DataFrame:
-    """The pipeline over hourly bars; every second pool is measured, every third is a major token's."""
-    state = rollup.state_bars(t.snapshots(), WIDTH)
+def _before(rows: DataFrame) -> DataFrame:
+    """Daily figures (pool, bucket) as those of the day after, so that a bar only sees days that are over."""
+    return rows.withColumn("day", F.col("bucket") + 86400).drop("bucket")
+
+
+def evaluated(t: Tables, tf: str = "1h") -> DataFrame:
+    """The pipeline over the newest bars of one timeframe; every second pool is measured, every third is a major
+    token's. The bars are written once, as every stage reads them."""
+    width = TIMEFRAMES[tf]
+    state = rollup.state_bars(t.snapshots(), width)
     state = state.select("pool", "bucket", (F.col("tvl_close").cast("double") * 100).alias("tvl"), (F.col("active_tvl_close").cast("double") * 10).alias("active_tvl"), F.col("active_bin_close").alias("active_bin"))
-    flows = rollup.swap_bars(t.swaps(), WIDTH, traders=False).select("pool", "bucket", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")], (F.col("volume").cast("double") * 10_000).alias("volume"), (F.col("fee_milli").cast("double") * 10).alias("fee"), F.col("swap_count").alias("trades"))
-    bars = flows.join(state, ["pool", "bucket"])
-    rows = pipeline.volatility(pipeline.history(bars, 24), CFG)
+    flows = rollup.swap_bars(t.swaps(), width, traders=False).select("pool", "bucket", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")], (F.col("volume").cast("double") * 10_000).alias("volume"), (F.col("fee_milli").cast("double") * 10).alias("fee"), F.col("swap_count").alias("trades"))
+    bars = written(windows.recent(flows.join(state, ["pool", "bucket"]), HISTORY), f"bars_{tf}")
+    rows = pipeline.volatility(pipeline.history(bars, bars_a_day(tf)), CFG, correlated=tf == "5m")
     dims = t.pools().select("pool", "pool_key", "bin_step", "base_factor", "base_power", "vfc", "tier", "blacklisted")
     rows = rows.join(ranking.small(dims, dims.count()), "pool")
+    sizes = t.swaps().select("pool", (F.col("t") - F.col("t") % 86400).alias("bucket"), F.col("volume_usd").cast("double").alias("size"))
+    wash = _before(rollup.trader_concentration(t.swaps(), 86400).drop("signers"))
+    organic = _before(mixture.organic_share(sizes, ("pool", "bucket")).drop("trades"))
+    rows = rows.withColumn("day", F.col("bucket") - F.col("bucket") % 86400).join(wash, ["pool", "day"], "left").join(organic, ["pool", "day"], "left").drop("day")
     rows = rows.withColumns({
         "dev_peg": F.when(F.col("pool_key") % 4 == 0, F.abs(F.col("close") - 1) / 1000), "age_days": F.col("history_days") + F.when(F.col("pool_key") % 3 == 0, 60).otherwise(25), "pegged": F.col("pool_key") % 4 == 0,
         "major": F.col("pool_key") % 3 == 0, "kill": F.lit(False), "quality": F.when(F.col("tier") == 1, "A").otherwise("B"), "active_liquidity": F.col("active_tvl"), "protocol_share": F.lit(0.1), "disabled": F.col("blacklisted").cast("double"),
     })
-    regime = pipeline.regimes(rows.select("pool", "bucket", "sigma_slow", "sigma_fast", "sufficient", "dev_peg", "age_days", "pegged", "major", "kill"), CFG, WIDTH)
+    rows = written(rows, f"rows_{tf}")
+    regime = pipeline.regimes(rows.select("pool", "bucket", "sigma_slow", "sigma_fast", "sufficient", "dev_peg", "age_days", "pegged", "major", "kill"), CFG, width)
     rows = rows.join(regime, ["pool", "bucket"])
     before = F.lag("regime").over(windows.by_pool())
     rows = rows.withColumn("c_fill", F.when(before == "S", 0.75).otherwise(0.5))
     return pipeline.evaluate(pipeline.with_risk_inputs(rows), CFG)
 
 
+_INDICATORS = ("sigma_gk", "sigma_fast", "sigma_slow", "sigma_d", "phi_mech", "phi_org", "f_hat", "tau_a", "r_gross", "r_org", "y_fee", "vol_tvl", "fee_tvl", "fee_active_tvl", "ranking_key", "v_star")
+
+
+def _indicators(t: Tables, tf: str) -> DataFrame:
+    return evaluated(t, tf).select("pool", "bucket", "quality", "regime", "gated", "attractive", *[F.round(c, 9).alias(c) for c in _INDICATORS])
+
+
+@query()
+def indicators_5m(t: Tables) -> DataFrame:
+    """Indicators of every pool and five minutes, the daily volatility corrected for autocorrelation."""
+    return _indicators(t, "5m")
+
+
+@query()
+def indicators_10m(t: Tables) -> DataFrame:
+    return _indicators(t, "10m")
+
+
 @query()
 def indicators_1h(t: Tables) -> DataFrame:
     """Indicators of every pool and hour."""
-    names = ("sigma_gk", "sigma_fast", "sigma_slow", "sigma_d", "phi_mech", "phi_org", "f_hat", "tau_a", "r_gross", "r_org", "y_fee", "vol_tvl", "fee_tvl", "fee_active_tvl", "ranking_key", "v_star")
-    return evaluated(t).select("pool", "bucket", "quality", "regime", "gated", "attractive", *[F.round(c, 9).alias(c) for c in names])
+    return _indicators(t, "1h")
+
+
+@query()
+def indicators_4h(t: Tables) -> DataFrame:
+    return _indicators(t, "4h")
+
+
+@query()
+def indicators_24h(t: Tables) -> DataFrame:
+    return _indicators(t, "24h")
 
 
 @query()
@@ -51,12 +93,25 @@ def rationale_1h(t: Tables) -> DataFrame:
     return pipeline.rationale_rows(evaluated(t)).withColumn("observed", F.round("observed", 9))
 
 
+def _signals(t: Tables, tf: str, cooldown: int = 3600) -> DataFrame:
+    """Signals that pass the cooldown, with their rationale as text. Volume decay is not judged again here: it counts
+    as 1."""
+    rows = pipeline.exits(evaluated(t, tf).withColumn("volume_trend", F.lit(1.0)), CFG)
+    rows = written(rows.select("pool", "bucket", "quality", "regime", "r_org", "exit", F.transform(F.concat("rationale", "exit_items"), as_text).alias("why")), f"signals_{tf}")
+    due = windows.cooled(pipeline.signals(rows, CFG).select("pool", "bucket", "kind", F.col("bucket").alias("t"), F.lit(0).alias("event_id")), ["pool", "kind"], cooldown)
+    return due.select("pool", "bucket", "kind").join(rows, ["pool", "bucket"]).select("pool", "bucket", "kind", "regime", F.round("r_org", 9).alias("r_org"), "why")
+
+
 @query()
 def signals_1h(t: Tables) -> DataFrame:
-    """Signals with their rationale as text."""
-    rows = pipeline.exits(evaluated(t), CFG)
-    texts = rows.select("pool", "bucket", F.transform(F.concat("rationale", "exit_items"), as_text).alias("why"))
-    return pipeline.signals(rows, CFG).join(texts, ["pool", "bucket"]).select("pool", "bucket", "kind", "regime", F.round("r_org", 9).alias("r_org"), "why")
+    """Hourly signals."""
+    return _signals(t, "1h")
+
+
+@query()
+def signals_5m(t: Tables) -> DataFrame:
+    """Signals of five-minute bars, of which the cooldown lets one an hour and kind through."""
+    return _signals(t, "5m")
 
 
 _POOLS_F = "select pool, pool_key, bin_step / 10000.0 as s, base_factor::bigint * bin_step * 10 * case base_power when 1 then 10 else 1 end as base, 0.01 + (pool_key % 30) / 1000.0 as sd, 10000 + reserve::double * 10 as l, 50000 + pool_key * 1000.0 as vol from pools"
@@ -86,14 +141,14 @@ def organic_share(t: Tables) -> DataFrame:
     return out.select("pool", F.round("phi_size", 6).alias("phi_size"), "trades")
 
 
-_POSITIONS = "select c_custkey as position_id, 'P' || (c_custkey % 100) as pool, 1704067200 + (c_custkey % 20) * 86400 as opened_at, c_custkey % 40 as lower_bin, c_custkey % 40 + 30 as upper_bin, 100 as bin_step, 1000.0::double as size, 200.0::double as size_per_bin, 1.5::double as entry_price from customer"
+_POSITIONS = "select c_custkey as position_id, 'P' || (c_custkey % 100) as pool, 1704067200 + (c_custkey % 20) * 86400 as opened_at, case when c_custkey % 5 = 0 then 1704067200 + (c_custkey % 20 + 3) * 86400 end as closed_at, c_custkey % 40 as lower_bin, c_custkey % 40 + 30 as upper_bin, 100 as bin_step, 1000.0::double as size, 200.0::double as size_per_bin, 1.5::double as entry_price from customer"
 _MARK_CTES = {
     "sp": _POSITIONS, **HOURLY, "st": state_bars_sql(3600),
     "b": "select h.pool, h.bucket, h.close, h.fee, st.active_bin_close as active_bin, st.active_tvl_close::double as liquidity from h join st on st.pool = h.pool and st.bucket = h.bucket",
     "m0": """select position_id, sp.pool, opened_at, bucket as t, size, active_bin between lower_bin and upper_bin as in_range,
       case when active_bin between lower_bin and upper_bin and fee > 0 then fee * size_per_bin / (size_per_bin + liquidity) else 0 end as fees,
       size * pow(greatest(-(upper_bin - lower_bin) * 0.01 / 2, least((upper_bin - lower_bin) * 0.01 / 2, (close - entry_price) / entry_price)), 2) / (2 * (upper_bin - lower_bin) * 0.01) as loss
-      from sp join b on b.pool = sp.pool and bucket >= opened_at""",
+      from sp join b on b.pool = sp.pool and bucket >= opened_at and (closed_at is null or bucket < closed_at)""",
     "m": "select *, size + sum(fees) over (partition by position_id order by t rows unbounded preceding) - loss as value from m0",
 }
 
@@ -101,7 +156,7 @@ _MARK_CTES = {
 def _marks(t: Tables) -> DataFrame:
     k = F.col("position_id")
     own = t.positions().select(
-        "position_id", "pool", (F.lit(1704067200) + (k % 20) * 86400).alias("opened_at"), (k % 40).alias("lower_bin"), (k % 40 + 30).alias("upper_bin"), F.lit(100).alias("bin_step"),
+        "position_id", "pool", (F.lit(1704067200) + (k % 20) * 86400).alias("opened_at"), F.when(F.col("closed"), F.lit(1704067200) + (k % 20 + 3) * 86400).alias("closed_at"), (k % 40).alias("lower_bin"), (k % 40 + 30).alias("upper_bin"), F.lit(100).alias("bin_step"),
         F.lit(1000.0).alias("size"), F.lit(200.0).alias("size_per_bin"), F.lit(1.5).alias("entry_price"),
     )
     state = rollup.state_bars(t.snapshots(), 3600).select("pool", "bucket", F.col("active_bin_close").alias("active_bin"), F.col("active_tvl_close").cast("double").alias("liquidity"))
@@ -222,13 +277,29 @@ def ingest_lag(t: Tables) -> DataFrame:
     return ops.ingest_lag(ticks).select("source", "t", "lag_slots", "new_rows", "healthy")
 
 
-@query()
+_OVER = "over (partition by {0} order by t range between {1} preceding and current row)"
+_ALERTS = {
+    "e2": "select max(event_id) as event_id, cast(floor(epoch(ts)) as bigint) as t, max(user_id) as user_id, event_type from events group by 2, 4",
+    "tel": "select event_type as source, t, user_id * 31 % 4000 as lag_slots, t // 7200 as slot, count(*) filter (event_id % 5 = 0) over (partition by event_type order by t) as reconnects from e2",
+    "err": "select event_type as source, 'k' || (user_id % 2) as event_type, t, sum(event_id % 60) over (partition by event_type, user_id % 2 order by t) as errors from e2",
+    "conditions": f"""select source, '' as part, t, 'lag_warning' as alert, lag_slots > 750 as cond, 300 as hold from tel
+      union all select source, '', t, 'lag_critical', lag_slots > 3000, 300 from tel
+      union all select source, '', t, 'no_progress', max(slot) {_OVER.format("source", 600)} = min(slot) {_OVER.format("source", 600)} and t - min(t) over (partition by source) >= 600, 300 from tel
+      union all select source, '', t, 'reconnects', reconnects - min(reconnects) {_OVER.format("source", 900)} > 5, 300 from tel
+      union all select source, event_type, t, 'decode_errors:' || event_type, (errors - min(errors) {_OVER.format("source, event_type", 300)}) / 300.0 > 0.1, 600 from err""",
+    "runs": "select *, count(*) filter (not cond) over (partition by source, part, alert order by t) as run from conditions",
+    "since": "select *, min(t) filter (cond) over (partition by source, part, alert, run) as begun from runs",
+}
+
+
+@query(sql("select source, t, alert from since where cond and t - begun >= hold", **_ALERTS))
 def health_alerts(t: Tables) -> DataFrame:
     """Alerts on telemetry derived from the event stream."""
     e = t.events().groupBy("t", "event_type").agg(F.max("event_id").alias("event_id"), F.max("user_id").alias("user_id"))
-    w = W.partitionBy("event_type").orderBy("t")
-    rows = e.select(F.col("event_type").alias("source"), "t", (F.col("user_id") * 31 % 4000).alias("lag_slots"), F.floor(F.col("t") / 7200).alias("slot"), F.count_if(F.col("event_id") % 5 == 0).over(w).alias("reconnects"), F.sum(F.col("event_id") % 40).over(w).alias("decode_errors"))
-    return ops.alerts(rows)
+    w, part = W.partitionBy("event_type").orderBy("t"), F.concat(F.lit("k"), (F.col("user_id") % 2).cast("string"))
+    rows = e.select(F.col("event_type").alias("source"), "t", (F.col("user_id") * 31 % 4000).alias("lag_slots"), F.floor(F.col("t") / 7200).alias("slot"), F.count_if(F.col("event_id") % 5 == 0).over(w).alias("reconnects"))
+    errors = e.select(F.col("event_type").alias("source"), part.alias("event_type"), "t", F.sum(F.col("event_id") % 60).over(W.partitionBy("event_type", F.col("user_id") % 2).orderBy("t")).alias("errors"))
+    return ops.alerts(rows, errors)
 
 
 @query(sql("select position_id, json_object('r_org', value::double, 'y_fee', null) as numbers, value::double as r_org from positions", "positions").replace("json_object('r_org', value::double, 'y_fee', null)", "'{\"r_org\":' || value::double || ',\"y_fee\":null}'"))

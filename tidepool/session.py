@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -22,3 +23,13 @@ def ship_package(spark: SparkSession) -> None:
             z.write(file, file.relative_to(_ROOT.parent))
     sc.addPyFile(str(path))
     sc._tidepool_shipped = True
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder (`spark.checkpoint.dir`, or the warehouse where that is unset) and read
+    again, for frames that several branches of a plan read."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{where.rstrip('/')}/frames/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

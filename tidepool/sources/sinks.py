@@ -17,13 +17,18 @@ def new_rows(batch: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFra
     return batch.dropDuplicates(list(key)).join(target.select(*key), list(key), "left_anti")
 
 
-def append_new(batch: DataFrame, path: str, key: Sequence[str], partition: Sequence[str] = ()) -> None:
-    """Appends the batch's new rows to a parquet table, which need not exist yet."""
+def append_new(batch: DataFrame, path: str, key: Sequence[str], partition: Sequence[str] = (), time: str | None = None) -> None:
+    """Appends the batch's new rows to a parquet table, which need not exist yet. With `time`, a column of the key, only
+    the table's rows between the batch's first and last time are read, which the reader prunes by."""
     spark = batch.sparkSession
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    rows = new_rows(batch, spark.read.parquet(path), key) if there else batch.dropDuplicates(list(key))
+    target = spark.read.parquet(path) if there else None
+    if there and time:
+        first, last = batch.agg(F.min(time), F.max(time)).first()
+        target = target.filter(F.col(time).between(first, last)) if first is not None else target.limit(0)
+    rows = new_rows(batch, target, key) if there else batch.dropDuplicates(list(key))
     rows.write.mode("append").partitionBy(*partition).parquet(path)
 
 

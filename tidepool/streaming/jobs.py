@@ -27,18 +27,32 @@ def of_pools(events: DataFrame, pools: Sequence[str] | None) -> DataFrame:
     return events if pools is None else events.filter(F.col("pool").isin(*pools))
 
 
+_SIDES = ("buy_volume", "sell_volume", "fee_milli", "unique_traders")
+
+
+def _sides(swaps: DataFrame) -> list:
+    """Buy and sell volume, fees and exact distinct traders, where the stream carries what they need."""
+    if not {"swap_for_y", "fee_milli", "signer"} <= set(swaps.columns):
+        return []
+    volume = lambda sell: F.sum(F.when(F.col("swap_for_y") == sell, F.col("volume_usd")))
+    return [volume(False).alias("buy_volume"), volume(True).alias("sell_volume"), F.sum("fee_milli").alias("fee_milli"), F.size(F.collect_set("signer")).cast("long").alias("unique_traders")]
+
+
 def bars(swaps: DataFrame, width: str, late: str = "10 minutes") -> DataFrame:
     """Tumbling bars of a stream with event time `ts`; rows later than the watermark are dropped, as bars already
     built are not built again. OHLC needs (ts, event_id) order within the bar."""
     order = F.struct("ts", "event_id")
     return swaps.withWatermark("ts", late).groupBy("pool", F.window("ts", width)).agg(
-        F.sum("volume_usd").alias("volume"), F.count("*").alias("swap_count"), F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close")
-    ).select("pool", F.col("window.start").alias("bucket"), "volume", "swap_count", "open", "high", "low", "close")
+        F.sum("volume_usd").alias("volume"), F.count("*").alias("swap_count"), F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), *_sides(swaps)
+    ).select("pool", F.col("window.start").alias("bucket"), "volume", "swap_count", "open", "high", "low", "close", *_SIDES[: len(_sides(swaps))])
 
 
 def sliding(states: DataFrame, span: str, every: str, late: str = "10 minutes") -> DataFrame:
-    """Windows of `span` sampled `every` so often, with the mean and the extent of active liquidity."""
-    return states.withWatermark("ts", late).groupBy("pool", F.window("ts", span, every)).agg(F.avg("active_tvl").alias("mean"), F.max("active_tvl").alias("high"), F.count("*").alias("n"))
+    """Windows of `span` sampled `every` so often, with the exact median, the mean and the extent of active liquidity.
+    A window's values are kept until the watermark passes it."""
+    seen = states.withWatermark("ts", late).groupBy("pool", F.window("ts", span, every)).agg(F.array_sort(F.collect_list("active_tvl")).alias("values"), F.avg("active_tvl").alias("mean"), F.max("active_tvl").alias("high"), F.count("*").alias("n"))
+    nth = lambda k: F.get("values", F.floor((F.size("values") + k) / 2).cast("int") - 1)
+    return seen.select("pool", "window", ((nth(1) + nth(2)) / 2).alias("median"), "mean", "high", "n")
 
 
 def with_block_times(transactions: DataFrame, blocks: DataFrame, late: str = "2 minutes") -> DataFrame:
@@ -109,22 +123,28 @@ def averaged_variance(observations: DataFrame, decay: float) -> DataFrame:
     return observations.groupBy("pool").applyInPandasWithState(_averaged(decay), "pool string, t long, value double", "value double, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
-def _field_changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get if state.exists else None
-    out = []
-    for frame in frames:
-        for t, a, b in frame.sort_values("t")[["t", "a", "b"]].itertuples(index=False):
-            if last is not None:
-                out += [(key[0], t, f, old, new) for f, old, new in (("a", last[0], a), ("b", last[1], b)) if old != new]
-            last = (int(a), int(b))
-    if last is not None:
-        state.update(last)
-    yield pd.DataFrame(out, columns=["pool", "t", "field", "old_value", "new_value"])
-
-
-def parameter_changes(reads: DataFrame) -> DataFrame:
-    """One row per changed field of reads (pool, t, a, b); the last read survives a restart in the checkpoint."""
-    return reads.groupBy("pool").applyInPandasWithState(_field_changes, "pool string, t long, field string, old_value long, new_value long", "a long, b long", "append", GroupStateTimeout.NoTimeout)
+def _field_changes(fields: Sequence[str]) -> Callable:
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get if state.exists else None
+        out = []
+        for frame in frames:
+            for t, *values in frame.sort_values("t")[["t", *fields]].itertuples(index=False):
+                now = tuple(int(v) for v in values)
+                if last is not None:
+                    out += [(key[0], t, f, old, new) for f, old, new in zip(fields, last, now, strict=True) if old != new]
+                last = now
+        if last is not None:
+            state.update(last)
+        yield pd.DataFrame(out, columns=["pool", "t", "field", "old_value", "new_value"])
+
+    return run
+
+
+def parameter_changes(reads: DataFrame, fields: Sequence[str] = ("a", "b")) -> DataFrame:
+    """One row per changed one of the given fields of reads (pool, t, fields); the last read survives a restart in the
+    checkpoint."""
+    kept = ", ".join(f"{f} long" for f in fields)
+    return reads.groupBy("pool").applyInPandasWithState(_field_changes(fields), "pool string, t long, field string, old_value long, new_value long", kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def append_sink(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str], every: str | None = None):
