@@ -98,6 +98,12 @@ def range_bins(width: Column, step: Column) -> Column:
     return F.when(F.isnan(width) | width.isNull(), F.lit(10)).otherwise(F.greatest(bins, F.lit(10))).cast("long")
 
 
+def exit_time(half_width: Column, sigma_daily: Column, trigger: float = 1.0) -> Column:
+    """Expected days until a driftless price leaves a range that it starts in the middle of, or reaches the given
+    part of its half-width; null without volatility."""
+    return F.try_divide(F.pow(trigger * half_width, F.lit(2.0)), F.pow(sigma_daily, F.lit(2.0)))
+
+
 def phi_mechanical(sigma_daily: Column, step: Column, liquidity: Column, fill: Column, volume_24h: Column) -> Column:
     """Share of volume that is not mechanical arbitrage, within 0 and 1."""
     share = 1 - F.pow(sigma_daily / step, F.lit(2.0)) * F.try_divide(liquidity * fill, volume_24h)

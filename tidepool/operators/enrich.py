@@ -82,3 +82,21 @@ def volume_ranked(metrics: DataFrame, pools: DataFrame, indicators: DataFrame, l
     """The pools with metrics and indicators in the metrics' latest bucket, by volume."""
     latest = metrics.join(F.broadcast(metrics.agg(F.max("bucket").alias("bucket"))), "bucket")
     return latest.join(pools, "pool").join(indicators, ["pool", "bucket"]).orderBy(F.desc_nulls_last("volume"), "pool").limit(limit)
+
+
+def state_rows(updates: DataFrame) -> DataFrame:
+    """Adds total_fee_bps, active_x, active_y and bins_held to pool updates with an array of bins: the base and the
+    dynamic fee together (a missing part counts as 0; no cap here) and what the active bin holds, null where the
+    update doesn't hold that bin. updates: active_bin, base_bps, dynamic_bps, bins array<struct<bin_id, amount_x,
+    amount_y>>, null or empty where none came."""
+    active = F.get(F.filter("bins", lambda b: b["bin_id"] == F.col("active_bin")), F.lit(0))
+    fee = F.coalesce("base_bps", F.lit(0)) + F.coalesce("dynamic_bps", F.lit(0))
+    held = F.coalesce(F.size("bins"), F.lit(0))
+    return updates.withColumns({"total_fee_bps": fee, "active_x": active["amount_x"], "active_y": active["amount_y"], "bins_held": F.greatest(held, F.lit(0))})
+
+
+def state_bins(updates: DataFrame) -> DataFrame:
+    """One row per bin of an update, with whether it is the active one; updates without bins give none. updates: pool,
+    t, and as for `state_rows`."""
+    each = updates.select("pool", "t", "active_bin", F.explode("bins").alias("b"))
+    return each.select("pool", "t", "b.*", F.coalesce(F.col("b.bin_id") == F.col("active_bin"), F.lit(False)).alias("is_active"))

@@ -89,6 +89,40 @@ def as_of(points: DataFrame, history: DataFrame, value: str) -> DataFrame:
     return rows.filter("side = 1").select("pool", "t", "point_id", F.col(f"h.{value}").alias(value), F.col("h.seen").alias("seen"))
 
 
+def explained(points: DataFrame, signals: DataFrame, items: DataFrame) -> DataFrame:
+    """Each point with the last signal of its pool at or before its time, and that signal's conditions in order:
+    point_id, pool, t, signal_id, kind, seen, conditions (an array by seq; empty where the signal has none). Points
+    before any signal have nulls. Of signals at one time the largest id counts.
+
+    points: pool, t, point_id. signals: pool, t, signal_id, kind. items: signal_id, seq, and what to keep of one, few
+    for each signal.
+    """
+    last = signals.groupBy("pool", "t").agg(F.max(F.struct("signal_id", "kind")).alias("signal"))
+    found = as_of(points, last, "signal").select("point_id", "pool", "t", "signal.signal_id", "signal.kind", "seen")
+    kept = [c for c in items.columns if c not in ("signal_id", "seq")]
+    lists = items.join(found.select("signal_id").distinct(), "signal_id", "left_semi").groupBy("signal_id").agg(F.array_sort(F.collect_list(F.struct("seq", *kept))).alias("conditions"))
+    none = F.when(F.col("signal_id").isNotNull(), F.array().cast(dict(lists.dtypes)["conditions"]))
+    return found.join(lists, "signal_id", "left").withColumn("conditions", F.coalesce("conditions", none))
+
+
+def discovered(found: DataFrame, known: DataFrame, metrics: DataFrame, most: int) -> DataFrame:
+    """pool, status, action of discovered against known pools. New ones are onboarded, by name, up to `most` a sweep
+    and wait otherwise; known ones with flow metrics are refreshed; those that are missing are reported, never
+    deleted. found, known, metrics: pool (nulls are left out)."""
+    side = lambda df, name: df.select("pool").filter("pool is not null").distinct().withColumn(name, F.lit(True))
+    rows = side(found, "is_found").join(side(known, "is_known"), "pool", "full_outer").join(side(metrics, "is_measured"), "pool", "left")
+    status = F.when(F.col("is_known").isNull(), "new").when(F.col("is_found").isNull(), "missing").otherwise("known")
+    rows = rows.withColumn("status", status)
+    sweep = rows.filter("status = 'new'").select("pool").orderBy("pool").limit(most).withColumn("onboard", F.lit(True))
+    action = F.when(F.col("onboard"), "onboard").when(F.col("status") == "new", "wait").when(F.col("is_known") & F.col("is_measured"), "refresh")
+    return rows.join(sweep, "pool", "left").select("pool", "status", action.alias("action"))
+
+
+def with_params(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Rows of known pools with the pool's parameters. params: one row a pool; broadcast only where it is small."""
+    return rows.join(small(params, params.count()), "pool")
+
+
 def bins_in_range(positions: DataFrame, bins: DataFrame, size: int = 16) -> DataFrame:
     """Bins within each position's bounds: both sides are cut into blocks of `size` bins, joined on (pool, block),
     and checked, so a pool's bins meet only positions near them."""

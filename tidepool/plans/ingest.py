@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.functions import scalar
+from tidepool.functions import scalar, shapes
+from tidepool.operators import enrich
 from tidepool.operators.windows import latest_per_key
 from tidepool.plans.registry import query
 from tidepool.sources import landing, sinks
@@ -95,16 +96,15 @@ def exposure_refusals(t: Tables) -> DataFrame:
     return rows.select("position_id", code.alias("refusal"))
 
 
-_BASE58 = "^[1-9A-HJ-NP-Za-km-z]"
-
-
-@query("select conv_id, turn, text is not null and (len(list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[1-9A-HJ-NP-Za-km-z]{32,44}'))) > 0) as public_key, text is not null and (len(list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[1-9A-HJ-NP-Za-km-z]{50,}'))) > 0) as raw_key, coalesce(len(string_split(text, ' ')) in (12, 15, 18, 21, 24) and (regexp_full_match(text, '[a-z]{3,8}( [a-z]{3,8})*') or regexp_full_match(text, '[A-Z]{3,8}( [A-Z]{3,8})*')), false) as phrase from conversations")
+@query(r"select conv_id, turn, text is not null and (len(list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[1-9A-HJ-NP-Za-km-z]{32,44}'))) > 0) as public_key, text is not null and (len(list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[1-9A-HJ-NP-Za-km-z]{50,}'))) > 0) as raw_key, coalesce(len(string_split(text, ' ')) in (12, 15, 18, 21, 24) and (regexp_full_match(text, '[a-z]{3,8}( [a-z]{3,8})*') or regexp_full_match(text, '[A-Z]{3,8}( [A-Z]{3,8})*')), false) as phrase, coalesce(regexp_full_match(text, '\s*\[\s*[0-9]{1,4}\s*(,\s*[0-9]{1,4}\s*){31,}\]\s*'), false) as key_array from (select conv_id, turn, text from conversations union all select conv_id, turn + 1000000, '[' || array_to_string(list_transform(range(28 + conv_id % 8), lambda x: (x * 37 + turn) % 256), ', ') || ']' from conversations)")
 def secret_shapes(t: Tables) -> DataFrame:
-    """Texts with words of a key's shape, and texts of a recovery phrase's shape."""
-    words = F.split("text", " ")
-    any_ = lambda p: F.coalesce(F.exists(words, lambda w: w.rlike(p)), F.lit(False))
-    phrase = F.size(words).isin(12, 15, 18, 21, 24) & (F.col("text").rlike("^[a-z]{3,8}( [a-z]{3,8})*\\z") | F.col("text").rlike("^[A-Z]{3,8}( [A-Z]{3,8})*\\z"))
-    return t.raw("conversations").select("conv_id", "turn", any_(_BASE58 + "{32,44}\\z").alias("public_key"), any_(_BASE58 + "{50,}\\z").alias("raw_key"), F.coalesce(phrase, F.lit(False)).alias("phrase"))
+    """Texts with words of a key's shape, of a recovery phrase's shape, or of a key file's: beside the given texts
+    stands an array of 28 to 35 small numbers for each."""
+    given = t.raw("conversations").select("conv_id", "turn", "text")
+    numbers = F.transform(F.sequence(F.lit(0).cast("long"), 27 + F.col("conv_id") % 8), lambda x: ((x * 37 + F.col("turn")) % 256).cast("string"))
+    arrays = given.select("conv_id", (F.col("turn") + 1000000).alias("turn"), F.concat(F.lit("["), F.array_join(numbers, ", "), F.lit("]")).alias("text"))
+    text = F.col("text")
+    return given.unionByName(arrays).select("conv_id", "turn", shapes.has_public_key(text).alias("public_key"), shapes.has_raw_key(text).alias("raw_key"), shapes.is_phrase(text).alias("phrase"), shapes.is_key_array(text).alias("key_array"))
 
 
 @query(sql("select event_id, case when t // 60 > 28420000 or (known and t > 1705800000) then 'too_new' when t // 60 < 28405000 or (known and t < 1704500000) then 'too_old' else 'within' end as class from (select *, event_id % 5 <> 0 as known from e)", "e"))
@@ -142,12 +142,9 @@ def transaction_events(t: Tables) -> DataFrame:
     return landing.transaction_events(rows, "pools").select("signature", "ix_index", "pool", F.col("data").alias("event_id"))
 
 
-_TAG = bytes.fromhex("e445a52e51cb9a1d")
-
-
-def _encoded(value: str, size: int):
-    """A number as little-endian bytes."""
-    pairs = F.regexp_extract_all(F.lpad(F.hex(F.col(value)), 2 * size, "0"), F.lit("(..)"), F.lit(1))
+def _little_endian(value: Column, size: int) -> Column:
+    """A number that isn't negative as so many bytes."""
+    pairs = F.regexp_extract_all(F.lpad(F.hex(value.cast("long")), 2 * size, "0"), F.lit("(..)"), F.lit(1))
     return F.unhex(F.array_join(F.reverse(pairs), ""))
 
 
@@ -156,13 +153,81 @@ def payload_round_trip(t: Tables) -> DataFrame:
     """Events written as binary payloads and decoded again; every tenth is cut short, unknown kinds are quarantined."""
     e = t.events()
     name = F.when(F.col("event_type").isin("click", "purchase"), F.unhex(landing.discriminator("Swap"))).when(F.col("event_type") == "signup", F.unhex(landing.discriminator("AddLiquidity"))).otherwise(F.unhex(F.lit("0011223344556677")))
-    whole = F.concat(F.unhex(F.lit(_TAG.hex())), name, _encoded("t", 8), _encoded("user_id", 4))
+    whole = F.concat(F.lit(landing.EVENT_TAG), name, _little_endian(F.col("t"), 8), _little_endian(F.col("user_id"), 4))
     data = F.when(F.col("event_id") % 10 == 0, F.substring(whole, 1, 20)).otherwise(whole)
     layout = [("a", 0, 8), ("b", 8, 4)]
-    out = landing.decoded(e.select("event_id", data.alias("data")), {"Swap": layout, "AddLiquidity": layout}, _TAG)
+    out = landing.decoded(e.select("event_id", data.alias("data")), {"Swap": layout, "AddLiquidity": layout}, landing.EVENT_TAG)
     return out.select("event_id", "kind", F.col("fields")["a"].cast("long").alias("a"), F.col("fields")["b"].cast("long").alias("b"), "quarantined")
 
 
+_UPDATES = "select pool, t, event_id, active_bin, case when event_id % 6 <> 0 then 20 + event_id % 30 end as base_bps, case when event_id % 4 <> 0 then event_id % 1100 end as dynamic_bps from snapshots"
+
+
+def _updates(t: Tables) -> DataFrame:
+    """Snapshots as pool updates with five bins below and at the active one; of some the active bin is missing, and
+    some hold no bins."""
+    i, a = F.col("event_id"), F.col("active_bin").cast("long")
+    bins = F.transform(F.sequence(a - 4 - F.when(i % 5 == 0, 1).otherwise(0), a - F.when(i % 5 == 0, 1).otherwise(0)), lambda b: F.struct(b.alias("bin_id"), (i + b).alias("amount_x"), (i - b).alias("amount_y")))
+    return t.snapshots().select("pool", "t", "event_id", a.alias("active_bin"), F.when(i % 6 != 0, 20 + i % 30).alias("base_bps"), F.when(i % 4 != 0, i % 1100).alias("dynamic_bps"), F.when(i % 7 != 0, bins).alias("bins"))
+
+
+@query(sql("select event_id, pool, coalesce(base_bps, 0) + coalesce(dynamic_bps, 0) as total_fee_bps, case when event_id % 7 <> 0 and event_id % 5 <> 0 then event_id + active_bin end as active_x, case when event_id % 7 <> 0 and event_id % 5 <> 0 then event_id - active_bin end as active_y, case when event_id % 7 <> 0 then 5 else 0 end as bins_held from u", "snapshots", u=_UPDATES))
+def pool_states(t: Tables) -> DataFrame:
+    """Pool updates with their total fee and what the active bin holds."""
+    return enrich.state_rows(_updates(t)).select("event_id", "pool", "total_fee_bps", "active_x", "active_y", "bins_held")
+
+
+@query(sql("select pool, bin_id, count(*) as updates, count(*) filter (bin_id = active_bin) as active, sum(event_id + bin_id)::double as amount_x from (select *, unnest(range(active_bin - 4 - (event_id % 5 = 0)::integer, active_bin + 1 - (event_id % 5 = 0)::integer)) as bin_id from u where event_id % 7 <> 0) group by pool, bin_id", "snapshots", u=_UPDATES))
+def state_bins(t: Tables) -> DataFrame:
+    """Bins of pool updates, summed for each pool and bin."""
+    out = enrich.state_bins(_updates(t)).groupBy("pool", "bin_id")
+    return out.agg(F.count("*").alias("updates"), F.count_if("is_active").alias("active"), F.sum("amount_x").cast("double").alias("amount_x"))
+
+
+_KINDS = tuple(landing.EVENT_LAYOUTS)
+_EVENT_SQL = """select event_id, kind,
+  case when kind <> 'PositionClose' then sha256(pool) end as lb_pair,
+  case when kind not in ('Swap', 'LbPairCreate') then sha256('position' || user_id) end as position,
+  case when kind = 'Swap' then event_id % 4000 - 2000 end::integer as start_bin_id,
+  case when kind in ('AddLiquidity', 'RemoveLiquidity', 'ClaimFee2') then event_id % 3000 - 1500 end::integer as active_bin_id,
+  case when kind = 'Swap' then event_id % 2 = 0 end as swap_for_y,
+  case when kind = 'Swap' then (t * 1000 + user_id) end::bigint as amount_in,
+  case when kind = 'Swap' then user_id * 1000003 - event_id % 1000 end::bigint as lp_fee,
+  case when kind = 'Swap' then event_id * 977 % 100000000 * 10000 // 1000000000 end::bigint as fee_bps,
+  case when kind in ('ClaimFee', 'ClaimFee2') then t end::bigint as fee_x,
+  case when kind = 'LbPairCreate' then event_id % 400 end::integer as bin_step,
+  kind is null as quarantined
+  from (select *, case when event_id % 10 < 8 and not (event_id % 10 = 0 and user_id * 1000003 < event_id % 1000) then (['""" + "', '".join(_KINDS) + """'])[event_id % 10 + 1] end as kind from e)"""
+
+
+@query(sql(_EVENT_SQL, "e"))
+def event_payloads(t: Tables) -> DataFrame:
+    """Events of all eight kinds written as binary payloads and decoded again. Of each ten, the ninth is a swap cut by
+    a byte, the tenth of an unknown kind; both are quarantined."""
+    e, i, user = t.events(), F.col("event_id"), F.col("user_id")
+    key = lambda c: F.unhex(F.sha2(c.cast("binary"), 256))
+    owner, position, pool = key(F.concat(F.lit("owner"), user.cast("string"))), key(F.concat(F.lit("position"), user.cast("string"))), key(F.col("pool"))
+    wrap = lambda c: F.when(c < 0, c + 2**32).otherwise(c)
+    bin_, side = wrap(i % 4000 - 2000), wrap(i % 3000 - 1500)
+    own = {
+        "lb_pair": pool, "from": owner, "owner": owner, "position": position, "token_x": key(F.lit("x")), "token_y": key(F.lit("y")), "start_bin_id": bin_, "end_bin_id": bin_, "active_bin_id": side, "swap_for_y": F.when(i % 2 == 0, 1).otherwise(0).cast("long"),
+        "amount_in": F.col("t") * 1000 + user, "amount_out": F.col("t"), "fee": user * 1000003, "protocol_fee": i % 1000, "fee_rate": i * 977 % 100000000, "host_fee": F.lit(0).cast("long"), "amount_x": F.col("t"), "amount_y": user, "fee_x": F.col("t"), "fee_y": user,
+        "bin_step": i % 400,
+    }
+    width = {"u128": 16, "u64": 8, "i32": 4, "u16": 2, "bool": 1}
+    data = None
+    for n, (name, layout) in enumerate(landing.EVENT_LAYOUTS.items()):
+        body = [own[f] if k == "key" else _little_endian(own[f], width[k]) for f, k in layout]
+        whole = F.concat(F.lit(landing.EVENT_TAG), F.unhex(landing.discriminator(name)), *body)
+        cut = F.substring(whole, 1, 8 + 8 + sum(landing.BYTES[k] for _, k in layout) - 1)
+        data = F.when(i % 10 == n, whole) if data is None else data.when(i % 10 == n, whole)
+        data = data.when(i % 10 == 8, cut) if n == 0 else data
+    data = data.otherwise(F.concat(F.lit(landing.EVENT_TAG), F.unhex(F.lit("0011223344556677"))))
+    out = landing.event_payloads(e.select("event_id", data.alias("data")))
+    long = [F.col(c).cast("long").alias(c) for c in ("amount_in", "lp_fee", "fee_bps", "fee_x")]
+    return out.select("event_id", "kind", "lb_pair", "position", "start_bin_id", "active_bin_id", "swap_for_y", *long, "bin_step", "quarantined")
+
+
 @query(sql("select 'P' || l_suppkey as address, sum(l_quantity)::double as tvl, min(l_linenumber)::integer as bin_step, round(sum(l_extendedprice::decimal(18,2))::double, 2) as \"volume_24h\", 0.0::double as \"fees_1h\", false as has_farm from lineitem where l_suppkey % 20 <> 0 group by l_suppkey"))
 def metric_pages(t: Tables) -> DataFrame:
     """Pool metrics out of JSON pages, of which every twentieth doesn't parse; missing numbers and flags are filled."""

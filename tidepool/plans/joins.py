@@ -169,13 +169,16 @@ def stale_state(t: Tables) -> DataFrame:
     return out.orderBy(F.desc("gap"), "pool")
 
 
-@query(sql("select coalesce(d.pool, k.pool) as pool, case when k.pool is null then 'new' when d.pool is null then 'missing' else 'known' end as status from (select distinct pool from trades where order_key % 11 < 3) d full join (select pool from pools where pool_key % 3 <> 0) k on k.pool = d.pool", "trades", "pools"))
+_FOUND = {
+    "d": "select distinct pool from trades where order_key % 11 < 3", "k": "select pool from pools where pool_key % 3 <> 0", "mt": "select distinct pool from swaps",
+    "s": "select coalesce(d.pool, k.pool) as pool, case when k.pool is null then 'new' when d.pool is null then 'missing' else 'known' end as status, k.pool is not null as is_known from d full join k on k.pool = d.pool",
+}
+
+
+@query(sql("select pool, status, case when status = 'new' then case when row_number() over (partition by status order by pool) <= 3 then 'onboard' else 'wait' end when is_known and pool in (select pool from mt) then 'refresh' end as action from s", "trades", "pools", "swaps", **_FOUND))
 def discovery_diff(t: Tables) -> DataFrame:
-    """Discovered against known pools; missing ones are reported, never deleted."""
-    found = t.trades().filter("order_key % 11 < 3").select("pool", F.lit(True).alias("d")).distinct()
-    known = t.pools().filter("pool_key % 3 <> 0").select("pool", F.lit(True).alias("k"))
-    status = F.when(F.col("k").isNull(), "new").when(F.col("d").isNull(), "missing").otherwise("known")
-    return found.join(known, "pool", "full_outer").select("pool", status.alias("status"))
+    """Discovered against known pools, three onboarded a sweep; those with swaps have flow metrics."""
+    return ranking.discovered(t.trades().filter("order_key % 11 < 3"), t.pools().filter("pool_key % 3 <> 0"), t.swaps(), 3)
 
 
 @query(sql("select e.event_id, coalesce(b.block_time, 0) as block_time from e left join (select t // 7 as slot, min(t) as block_time from e where event_id % 2 = 0 group by 1) b on b.slot = e.t // 7", "e"))
@@ -192,9 +195,34 @@ def rank_shift(t: Tables) -> DataFrame:
     return ranking.rank_shift(ranking.latest_bucket(every["1h"]), ranking.latest_bucket(every["24h"]), "volume")
 
 
-@query(sql("select pool, tier from pools where tier = 1 and pool in (select pool from trades)", "pools", "trades"))
+_PARAMS = {"params": "select pool, bin_step, base_factor from pools where pool_key % 11 <> 0"}
+
+
+@query(sql("select p.pool, p.tier, p.token_x, p.token_y, params.bin_step, params.base_factor from pools p join params on params.pool = p.pool where p.tier = 1 and p.pool in (select pool from trades)", "pools", "trades", **_PARAMS))
 def watch_set(t: Tables) -> DataFrame:
-    return t.pools().filter("tier = 1").join(t.trades().select("pool"), "pool", "left_semi").select("pool", "tier")
+    """Watched pools that trade, with their parameters; pools without parameters are left out."""
+    watched = t.pools().filter("tier = 1").join(t.trades().select("pool"), "pool", "left_semi").select("pool", "tier", "token_x", "token_y")
+    return ranking.with_params(watched, t.pools().filter("pool_key % 11 <> 0").select("pool", "bin_step", "base_factor"))
+
+
+@query(sql("select position_id, x.pool, lower_bin, upper_bin, params.bin_step, params.base_factor from positions x join params on params.pool = x.pool where not closed", "positions", "pools", **_PARAMS))
+def open_position_params(t: Tables) -> DataFrame:
+    """Open positions with the parameters of their pools."""
+    held = t.positions().filter("not closed").select("position_id", "pool", "lower_bin", "upper_bin")
+    return ranking.with_params(held, t.pools().filter("pool_key % 11 <> 0").select("pool", "bin_step", "base_factor"))
+
+
+@query(sql(
+    """select s.event_id as point_id, s.pool, s.t, g.signal_id, g.kind, g.t as seen, case when g.signal_id is null then null when g.signal_id % 4 = 0 then '' else array_to_string(list_transform(range(g.signal_id % 3 + 1), lambda i: 'c' || i || '=' || ((g.signal_id + i) % 100)), ';') end as conditions
+    from snapshots s asof left join (select pool, t, max(event_id) as signal_id, max_by(event_type, event_id) as kind from e where event_type in ('click', 'purchase') and event_id % 5 = 0 group by pool, t) g on g.pool = s.pool and g.t <= s.t""", "snapshots"))
+def latest_rationale(t: Tables) -> DataFrame:
+    """The last signal at or before each snapshot, with its conditions as text; every fourth signal has none."""
+    signals = t.events().filter("event_type in ('click', 'purchase') and event_id % 5 = 0").select("pool", "t", F.col("event_id").alias("signal_id"), F.col("event_type").alias("kind"))
+    own = signals.filter("signal_id % 4 <> 0").select("signal_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("signal_id") % 3)).alias("seq"))
+    items = own.select("signal_id", "seq", F.concat(F.lit("c"), F.col("seq").cast("string")).alias("signal"), ((F.col("signal_id") + F.col("seq")) % 100).alias("observed"))
+    out = ranking.explained(t.snapshots().select("pool", "t", F.col("event_id").alias("point_id")), signals, items)
+    text = F.array_join(F.transform("conditions", lambda x: F.concat(x["signal"], F.lit("="), x["observed"].cast("string"))), ";")
+    return out.select("point_id", "pool", "t", "signal_id", "kind", "seen", text.alias("conditions"))
 
 
 @query(sql("select position_id, horizon from positions, (values (24), (72)) h(horizon) where not exists (select 1 from done d where d.position_id = positions.position_id and d.horizon = h.horizon) and 1704067200 + (position_id % 20) * 86400 <= 1705500000 - horizon * 3600", "positions", done="select position_id, 24 as horizon from positions where closed"))

@@ -168,22 +168,29 @@ def position_marks(t: Tables) -> DataFrame:
     return _marks(t).select("position_id", "t", "in_range", *[F.round(c, 6).alias(c) for c in ("fees", "loss", "value")])
 
 
+def _outcomes(t: Tables) -> DataFrame:
+    """Outcomes of positions, of which every tenth has no predicted ratio."""
+    k = F.col("position_id")
+    return ledger.outcomes(_marks(t), t.positions().select("position_id", F.lit(0.001).alias("y_fee"), F.when(k % 10 != 0, 1.25 + k % 7).alias("r_org")))
+
+
 _OUTCOMES = {
     **_MARK_CTES,
-    "oc": """select position_id, horizon, sum(fees) as fees_real, last(loss order by t) as loss, avg(in_range::integer) as time_in_range from m, (values (24), (72)) hz(horizon) where t <= opened_at + horizon * 3600 group by position_id, horizon""",
+    "oc": """select position_id, horizon, max(opened_at) + horizon * 3600 as finalized_at, sum(fees) as fees_real, last(loss order by t) as loss, avg(in_range::integer) as time_in_range from m, (values (24), (72)) hz(horizon) where t <= opened_at + horizon * 3600 group by position_id, horizon""",
 }
 
 
 @query(sql("select position_id, horizon::integer as horizon, round(fees_real, 6) as fees_real, round(0.001 * 1000 * horizon / 24.0, 6)::double as fees_predicted, round(loss, 6) as loss, round(case when abs(loss) > 1e-9 then fees_real / loss end, 5) as r_real, round(time_in_range, 6) as time_in_range, case when abs(loss) > 1e-9 then fees_real / loss >= 1 end as hit from oc", "swaps", "snapshots", **_OUTCOMES))
 def position_outcomes(t: Tables) -> DataFrame:
-    out = ledger.outcomes(_marks(t), t.positions().select("position_id", F.lit(0.001).alias("y_fee")))
+    out = _outcomes(t)
     return out.select("position_id", "horizon", "hit", *[F.round(c, 5 if c == "r_real" else 6).alias(c) for c in ("fees_real", "fees_predicted", "loss", "r_real", "time_in_range")])
 
 
-@query(sql("select horizon::integer as horizon, count(*) as outcomes, count(*) filter (coalesce(fees_real / loss >= 1, false) and abs(loss) > 1e-9) as hits, round(avg(case when abs(loss) > 1e-9 and fees_real / loss >= 1 then 1.0 else 0.0 end), 6)::double as hit_rate, round(avg(time_in_range), 6) as time_in_range from oc group by horizon", "swaps", "snapshots", **_OUTCOMES))
+@query(sql("select horizon::integer as horizon, count(*) as outcomes, count(*) filter (coalesce(fees_real / loss >= 1, false) and abs(loss) > 1e-9) as hits, round(avg(case when abs(loss) > 1e-9 and fees_real / loss >= 1 then 1.0 else 0.0 end), 6)::double as hit_rate, round(avg(case when position_id % 10 <> 0 then 1.25 + position_id % 7 end), 6)::double as r_predicted, round(avg(time_in_range), 6) as time_in_range from oc where finalized_at >= 1704240000 and finalized_at < 1705536000 group by horizon", "swaps", "snapshots", **_OUTCOMES))
 def outcome_scorecard(t: Tables) -> DataFrame:
-    out = ledger.scorecard(ledger.outcomes(_marks(t), t.positions().select("position_id", F.lit(0.001).alias("y_fee"))))
-    return out.select("horizon", "outcomes", "hits", F.round("hit_rate", 6).alias("hit_rate"), F.round("time_in_range", 6).alias("time_in_range"))
+    """The scorecard of outcomes that were final within fifteen days."""
+    out = ledger.scorecard(_outcomes(t), since=1704240000, until=1705536000)
+    return out.select("horizon", "outcomes", "hits", *[F.round(c, 6).alias(c) for c in ("hit_rate", "r_predicted", "time_in_range")])
 
 
 _SUMS = "select position_id, coalesce(sum(amount) filter (kind = 0), 0)::double as deposited, coalesce(sum(amount) filter (kind = 1), 0)::double as withdrawn, coalesce(sum(amount) filter (kind = 2), 0)::double as claimed from cash_flows group by position_id"
@@ -212,13 +219,64 @@ def intent_states(t: Tables) -> DataFrame:
     return ledger.intents(t.events().select(F.col("user_id").alias("intent"), "t", F.col("event_id").alias("seq"), status.cast("int").alias("status")))
 
 
-@query(sql("select user_id % 50 as wallet, user_id as owner, t, case when k.known is null and t = f.ft and user_id = f.fo then 'registered' when user_id = coalesce(k.known, f.fo) then 'relabelled' else 'refused' end as outcome from e left join (select position_id as kw, position_id + 50 as known from positions where position_id < 20) k on k.kw = user_id % 50 join (select user_id % 50 as fw, first(t order by t, user_id) as ft, first(user_id order by t, user_id) as fo from e where event_type = 'signup' group by 1) f on f.fw = user_id % 50 where event_type = 'signup'", "e", "positions"))
+_CONFIRMED = {
+    "cf": "select event_id // 2 as intent, t, event_id as seq, (['open', 'add', 'remove', 'claim', 'close', 'swap'])[event_id // 2 % 6 + 1] as action, user_id as position_id, v as amount, case when event_id % 4 = 0 then 'r' || (event_id % 3) end as reason from e",
+    "c1": "select * from cf qualify row_number() over (partition by intent order by t, seq) = 1",
+}
+
+
+def _confirmed(t: Tables) -> DataFrame:
+    """Confirmations of intents, two of each."""
+    i, n = F.col("event_id"), F.floor(F.col("event_id") / 2)
+    action = F.element_at(F.array(*[F.lit(a) for a in ("open", "add", "remove", "claim", "close", "swap")]), (n % 6 + 1).cast("int"))
+    return t.events().select(n.alias("intent"), "t", i.alias("seq"), action.alias("action"), F.col("user_id").alias("position_id"), F.col("v").alias("amount"), F.when(i % 4 == 0, F.concat(F.lit("r"), (i % 3).cast("string"))).alias("reason"))
+
+
+@query(sql("select intent, position_id, case action when 'open' then 0 when 'add' then 0 when 'remove' then 1 when 'close' then 1 when 'claim' then 2 end::integer as kind, t, amount::double as amount from c1", "e", **_CONFIRMED))
+def intent_flows(t: Tables) -> DataFrame:
+    """One cash flow for each confirmed intent, however often it was confirmed."""
+    return ledger.intent_flows(_confirmed(t)).withColumn("amount", F.col("amount").cast("double"))
+
+
+@query(sql("select position_id, first(intent order by t, seq, intent) filter (action = 'open') as opened_by, min(t) filter (action = 'open') as opened_at, min(t) filter (action = 'close') as closed_at, first(reason order by t, seq, intent) filter (action = 'close' and reason is not null) as reason from c1 where action in ('open', 'close') group by position_id having count(*) filter (action = 'open') > 0", "e", **_CONFIRMED))
+def intent_positions(t: Tables) -> DataFrame:
+    """Positions that confirmed intents opened and closed."""
+    return ledger.intent_positions(_confirmed(t))
+
+
+_REGISTRY = {
+    "k": "select position_id as kw, position_id + 50 as known, position_id % 2 = 0 as revoked from positions where position_id < 20",
+    "r": "select user_id % 50 as wallet, user_id as owner, t, known, revoked from e left join k on kw = user_id % 50 where event_type = 'signup'",
+    "f": "select wallet as fw, first(t order by t, owner) as ft, first(owner order by t, owner) as fo from r where known is null or owner = known group by wallet",
+}
+
+
+@query(sql("select wallet, owner, t, case when known is null and t = ft and owner = fo then 'registered' when revoked and t = ft and owner = fo then 'restored' when owner = coalesce(known, fo) then 'relabelled' else 'refused' end as outcome from r left join f on fw = wallet", "e", "positions", **_REGISTRY))
 def wallet_registrations(t: Tables) -> DataFrame:
+    """Registrations against twenty known wallets, of which every second was revoked."""
     asked = t.events().filter("event_type = 'signup'").select((F.col("user_id") % 50).alias("wallet"), F.col("user_id").alias("owner"), "t")
-    known = t.positions().filter("position_id < 20").select(F.col("position_id").alias("wallet"), (F.col("position_id") + 50).alias("owner"))
+    known = t.positions().filter("position_id < 20").select(F.col("position_id").alias("wallet"), (F.col("position_id") + 50).alias("owner"), (F.col("position_id") % 2 == 0).alias("revoked"))
     return ledger.registrations(asked, known)
 
 
+_PROPOSED = "select pool, bin_step, case when pool_key % 23 <> 0 then pool_key * 97 % 9000 - 4500 end as active, case when pool_key % 19 <> 0 then pool_key % 75 end as width, 0.01 + pool_key % 40 / 1000.0 as sd from pools"
+
+
+@query(sql(
+    """select pool, refusal, case when refusal is null then lo end as lower_bin, case when refusal is null then lo + width - 1 end as upper_bin, round(case when refusal is null then lo * ln(1 + bin_step / 10000.0) end, 6) as log_lower, round(case when refusal is null then (lo + width - 1) * ln(1 + bin_step / 10000.0) end, 6) as log_upper,
+      round(pow(width * bin_step / 20000.0, 2) / (sd * sd), 6) as exit_days, round(pow(0.8 * width * bin_step / 20000.0, 2) / (sd * sd), 6) as trigger_days
+    from (select *, case when width is null or width not between 1 and 70 then 'width' when active is null then 'active' when abs(lo * ln(1 + bin_step / 10000.0)) > 35 or abs((lo + width - 1) * ln(1 + bin_step / 10000.0)) > 35 then 'range' end as refusal from (select *, active - (width - 1) // 2 as lo from pr))""", "pools", pr=_PROPOSED))
+def proposed_ranges(t: Tables) -> DataFrame:
+    """Ranges around the active bins of pools, with how long a price is expected to stay in them or to take to four
+    fifths of their half-width."""
+    k = F.col("pool_key")
+    rows = t.pools().select("pool", "bin_step", F.when(k % 23 != 0, k * 97 % 9000 - 4500).alias("active"), F.when(k % 19 != 0, k % 75).alias("width"), (0.01 + k % 40 / 1000.0).alias("sd"))
+    half = F.col("width") * F.col("bin_step") / 20000.0
+    out = rows.withColumn("r", ledger.proposed_range(F.col("active"), F.col("width"), F.col("bin_step")))
+    logs = [F.round(F.ln(F.col(f"r.price_{side}")), 6).alias(f"log_{side}") for side in ("lower", "upper")]
+    return out.select("pool", "r.refusal", "r.lower_bin", "r.upper_bin", *logs, F.round(scalar.exit_time(half, F.col("sd")), 6).alias("exit_days"), F.round(scalar.exit_time(half, F.col("sd"), 0.8), 6).alias("trigger_days"))
+
+
 @query(sql("select f.flow_id, f.position_id, f.kind as action, coalesce(case when f.flow_id % 3 <> 0 then f.amount + 1 end, case when f.kind = 0 then f.amount end)::double as final from cash_flows f", "cash_flows"))
 def recovered_amounts(t: Tables) -> DataFrame:
     """Confirmed intents with the amounts of their chain events, of which a third are missing."""

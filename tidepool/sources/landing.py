@@ -102,6 +102,70 @@ def decoded(payloads: DataFrame, layouts: dict[str, Sequence[tuple[str, int, int
     return out.withColumn("quarantined", F.col("kind").isNull())
 
 
+# The tag before an event and the fields of its eight kinds, in order, with their types.
+EVENT_TAG = bytes.fromhex("e445a52e51cb9a1d")
+EVENT_LAYOUTS = {
+    "Swap": [
+        ("lb_pair", "key"), ("from", "key"), ("start_bin_id", "i32"), ("end_bin_id", "i32"), ("amount_in", "u64"), ("amount_out", "u64"), ("swap_for_y", "bool"), ("fee", "u64"), ("protocol_fee", "u64"),
+        ("fee_rate", "u128"), ("host_fee", "u64"),
+    ],
+    "AddLiquidity": [("lb_pair", "key"), ("from", "key"), ("position", "key"), ("amount_x", "u64"), ("amount_y", "u64"), ("active_bin_id", "i32")],
+    "RemoveLiquidity": [("lb_pair", "key"), ("from", "key"), ("position", "key"), ("amount_x", "u64"), ("amount_y", "u64"), ("active_bin_id", "i32")],
+    "ClaimFee": [("lb_pair", "key"), ("position", "key"), ("owner", "key"), ("fee_x", "u64"), ("fee_y", "u64")],
+    "ClaimFee2": [("lb_pair", "key"), ("position", "key"), ("owner", "key"), ("fee_x", "u64"), ("fee_y", "u64"), ("active_bin_id", "i32")],
+    "LbPairCreate": [("lb_pair", "key"), ("bin_step", "u16"), ("token_x", "key"), ("token_y", "key")],
+    "PositionCreate": [("lb_pair", "key"), ("position", "key"), ("owner", "key")],
+    "PositionClose": [("position", "key"), ("owner", "key")],
+}
+BYTES = {"key": 32, "u128": 16, "u64": 8, "i32": 4, "u16": 2, "bool": 1}
+_TYPES = {"key": "string", "u128": "decimal(38,0)", "u64": "decimal(20,0)", "i32": "int", "u16": "int", "bool": "boolean"}
+
+
+def _field(data: Column, start: int, kind: str) -> Column:
+    """A field of a payload: keys as lower-case hex, numbers exact, a rate beyond 2^64 null."""
+    if kind == "key":
+        return F.lower(F.hex(F.substring(data, start + 1, 32)))
+    low = little_endian(data, start, min(BYTES[kind], 8))
+    if kind == "u128":
+        return F.when(little_endian(data, start + 8, 8) == 0, low).cast(_TYPES[kind])
+    if kind == "i32":
+        return (low - F.when(low >= 2**31, F.lit(2**32)).otherwise(F.lit(0))).cast("int")
+    return (low == 1) if kind == "bool" else low.cast(_TYPES[kind])
+
+
+def event_payloads(payloads: DataFrame) -> DataFrame:
+    """Adds kind, one column for each field name of `EVENT_LAYOUTS` (null where a kind has no such field), lp_fee,
+    fee_bps and quarantined to a binary column `data`.
+
+    Quarantined, with null fields: null or empty data, a wrong tag, an unknown kind, a body of any other length than
+    its kind's, a flag that is neither 0 nor 1, and swaps whose protocol fee exceeds the fee or whose rate is beyond
+    64 bits. lp_fee is the fee less the protocol's part; fee_bps the rate in basis points, rounded down.
+    """
+    body, data = len(EVENT_TAG) + 8, F.col("data")
+    tagged, own = F.hex(F.substring(data, 1, 8)) == EVENT_TAG.hex().upper(), F.hex(F.substring(data, 9, 8))
+    kind = F.lit(None).cast("string")
+    found: dict[str, Column] = {}
+    types = {name: t for layout in EVENT_LAYOUTS.values() for name, t in layout}
+    for name, layout in EVENT_LAYOUTS.items():
+        size = sum(BYTES[t] for _, t in layout)
+        sound = tagged & (own == discriminator(name)) & (F.octet_length(data) == body + size)
+        at, fields = body, {}
+        for field, t in layout:
+            fields[field] = _field(data, at, t)
+            if t == "bool":
+                sound &= little_endian(data, at, 1) <= 1
+            at += BYTES[t]
+        if name == "Swap":
+            sound &= (fields["fee"] >= fields["protocol_fee"]) & fields["fee_rate"].isNotNull()
+        kind = F.when(sound, F.lit(name)).otherwise(kind)
+        for field, value in fields.items():
+            found[field] = F.when(F.col("kind") == name, value).otherwise(found.get(field, F.lit(None).cast(_TYPES[types[field]])))
+    rows = payloads.withColumn("kind", kind)
+    rows = rows.withColumns({f: c.cast(_TYPES[types[f]]) for f, c in found.items()})
+    bps = F.floor(F.col("fee_rate") * 10_000 / 1_000_000_000).cast("decimal(20,0)")
+    return rows.withColumns({"lp_fee": (F.col("fee") - F.col("protocol_fee")).cast("decimal(20,0)"), "fee_bps": bps, "quarantined": F.col("kind").isNull()})
+
+
 def range_class(slot: Column, time: Column, slots: tuple[int | None, int | None], times: tuple[int | None, int | None]) -> Column:
     """`too_new`, `within` or `too_old` against inclusive bounds of which each may be open; with an unknown time only
     the slots count."""
