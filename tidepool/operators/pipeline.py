@@ -214,27 +214,32 @@ def evaluate(rows: DataFrame, cfg: Config) -> DataFrame:
     empty = F.array().cast(f"array<{ITEM}>")
     when = lambda flag, items: F.when(flag, items).otherwise(empty)
     step = F.col("bin_step") / 10_000.0
-    out = rows.withColumn("vol_items", F.array(
+    added: dict[str, Column] = {}  # in order: later ones refer to earlier ones, and one projection adds them all
+    added["vol_items"] = F.array(
         check("sufficient_volatility_history_days", F.col("history_days"), ">=", cfg.history_days), info("sigma_gk", F.col("sigma_gk")), info("sigma_fast", F.col("sigma_fast")),
         info("sigma_slow", F.col("sigma_slow")), info("sigma_d", F.col("sigma_d")), info("sigma_jump", F.col("jump_share")), F.col("regime_item"),
-    ))
-    out = out.withColumn("has_regime", F.col("regime").isNotNull()).withColumn("risk", risk_items(cfg))
-    out = out.withColumn("gated", F.col("has_regime") & passed(F.col("risk")))
+    )
+    added["has_regime"] = F.col("regime").isNotNull()
+    added["risk"] = risk_items(cfg)
+    added["gated"] = F.col("has_regime") & passed(F.col("risk"))
     estimated = F.col("tvl") * by_regime(cfg.phi_shape)
     live = lambda c: F.when(F.col("gated"), c)
-    out = out.withColumn("l_a", live(F.when(F.col("quality") == "A", F.coalesce("active_liquidity", estimated)).otherwise(estimated)))
+    added["l_a"] = live(F.when(F.col("quality") == "A", F.coalesce("active_liquidity", estimated)).otherwise(estimated))
     mech = scalar.phi_mechanical(F.col("sigma_d"), step, F.col("l_a"), F.col("c_fill"), F.col("vol_24h"))
-    out = out.withColumn("phi_mech", live(mech))
+    added["phi_mech"] = live(mech)
     blended = scalar.phi_blend(F.col("phi_time"), F.col("trades"), F.col("phi_mech"), F.coalesce("phi_size", "phi_mech"))
-    out = out.withColumn("phi_observed", blended).withColumn("phi_org", live(scalar.shrink(F.col("phi_observed"), F.col("trades"), cfg.sample_variance, cfg.prior, cfg.prior_variance)))
+    added["phi_observed"] = blended
+    added["phi_org"] = live(scalar.shrink(F.col("phi_observed"), F.col("trades"), cfg.sample_variance, cfg.prior, cfg.prior_variance))
     base = scalar.base_fee_rate(F.col("base_factor"), F.col("bin_step"), F.col("base_power"))
-    out = out.withColumn("fee_current", live(base.cast("double") / scalar.FEE_UNIT)).withColumn("f_hat", live(scalar.forecast_fee(base, F.col("vfc"), F.col("bin_step"), F.col("sigma_d_bps"), cfg.kappa)))
-    out = out.withColumn("tau_a", live(F.when(F.col("l_a") > 0, F.col("vol_24h") / F.col("l_a")).otherwise(0.0)))
-    out = out.withColumn("r_gross", live(scalar.r_ratio(F.col("f_hat"), F.col("tau_a"), step, F.col("protocol_share"), F.col("sigma_d"))))
-    out = out.withColumn("r_org", F.col("r_gross") * F.col("phi_org") * (1 - by_regime(cfg.h_jit)))
-    out = out.withColumn("y_fee", scalar.fee_yield(F.col("protocol_share"), F.col("f_hat"), F.col("tau_a"), by_regime(cfg.h_jit)))
-    out = out.withColumn("vol_tvl", live(F.when(F.col("tvl") > 0, F.col("vol_24h") / F.col("tvl")).otherwise(0.0)))
-    out = out.withColumn("fee_tvl", F.when(F.col("tvl") > 0, F.col("fee_current") * F.col("tau_a"))).withColumn("fee_active_tvl", F.col("fee_tvl") * F.col("tvl") / F.greatest("l_a", F.lit(1.0)))
+    added["fee_current"] = live(base.cast("double") / scalar.FEE_UNIT)
+    added["f_hat"] = live(scalar.forecast_fee(base, F.col("vfc"), F.col("bin_step"), F.col("sigma_d_bps"), cfg.kappa))
+    added["tau_a"] = live(F.when(F.col("l_a") > 0, F.col("vol_24h") / F.col("l_a")).otherwise(0.0))
+    added["r_gross"] = live(scalar.r_ratio(F.col("f_hat"), F.col("tau_a"), step, F.col("protocol_share"), F.col("sigma_d")))
+    added["r_org"] = F.col("r_gross") * F.col("phi_org") * (1 - by_regime(cfg.h_jit))
+    added["y_fee"] = scalar.fee_yield(F.col("protocol_share"), F.col("f_hat"), F.col("tau_a"), by_regime(cfg.h_jit))
+    added["vol_tvl"] = live(F.when(F.col("tvl") > 0, F.col("vol_24h") / F.col("tvl")).otherwise(0.0))
+    added["fee_tvl"] = F.when(F.col("tvl") > 0, F.col("fee_current") * F.col("tau_a"))
+    added["fee_active_tvl"] = F.col("fee_tvl") * F.col("tvl") / F.greatest("l_a", F.lit(1.0))
     young = (F.col("regime") == "V2") & (F.col("age_days") < cfg.v2_enter_age)
     trend_min = F.when(young, F.lit(cfg.trend_min_young)).otherwise(by_regime(cfg.trend_min))
     flow = F.array(info("phi_mech", F.col("phi_mech")), info("phi_size_fit_available", F.col("phi_size").isNotNull().cast("double")), info("phi_time_available", F.col("phi_time").isNotNull().cast("double")), info("phi_org_observed", F.col("phi_observed")), info("phi_org_shrunk", F.col("phi_org")))
@@ -246,17 +251,21 @@ def evaluate(rows: DataFrame, cfg: Config) -> DataFrame:
     )
     known = F.col("fee_tvl_1h").isNotNull() & F.col("fee_tvl_24h").isNotNull() & F.col("fee_tvl_7d").isNotNull()
     steady = check("multi_window_consistency", F.least(F.col("fee_tvl_1h") * 24, F.col("fee_tvl_24h"), F.col("fee_tvl_7d") / 7), ">=", F.col("fee_tvl_24h") * cfg.consistency)
-    out = out.withColumn("rank_items", when(F.col("gated"), F.concat(ranks, when(known, F.array(steady)))))
-    out = out.withColumn("attractive", F.col("gated") & passed(F.col("rank_items"))).withColumn("eligible", F.col("attractive") & (F.col("quality") == "A"))
+    added["rank_items"] = when(F.col("gated"), F.concat(ranks, when(known, F.array(steady))))
+    added["attractive"] = F.col("gated") & passed(F.col("rank_items"))
+    added["eligible"] = F.col("attractive") & (F.col("quality") == "A")
     m_star = scalar.self_dilution_cap(F.col("l_a"), F.col("protocol_share"), F.col("f_hat"), F.col("tau_a"), cfg.hurdle)
-    out = out.withColumn("m_dilution", m_star)
-    out = out.withColumn("ranking_key", F.when(F.col("m_dilution") > 0, F.col("r_org") * F.least(F.try_divide(F.col("vol_24h"), 5 * F.col("m_dilution")), F.lit(1.0))).otherwise(F.col("r_org")))
+    added["m_dilution"] = m_star
+    added["ranking_key"] = F.when(F.col("m_dilution") > 0, F.col("r_org") * F.least(F.try_divide(F.col("vol_24h"), 5 * F.col("m_dilution")), F.lit(1.0))).otherwise(F.col("r_org"))
     share, kelly = by_regime(cfg.theta) * F.col("l_a"), scalar.quarter_kelly(F.lit(cfg.mu_fee), F.lit(cfg.mu_arb), F.col("sigma_d"))
     caps = [cfg.positions * share, by_regime(cfg.tvl_share) * F.col("tvl"), by_regime(cfg.capital_share) * cfg.capital, F.greatest(kelly * cfg.capital, F.lit(0.0)), F.lit(cfg.free)]
-    out = out.withColumn("size_cap", F.least(*caps)).withColumn("v_star", F.when(F.col("eligible"), scalar.capped_size(caps, by_regime(cfg.v_min))))
+    added["size_cap"] = F.least(*caps)
+    added["v_star"] = F.when(F.col("eligible"), scalar.capped_size(caps, by_regime(cfg.v_min)))
     sizes = F.array(info("m_dilution", F.col("m_dilution")), info("m_share_per_bin", share), info("v_tvl_cap", caps[1]), info("v_car_cap", caps[2]), info("quarter_kelly_fraction", kelly), check("position_size", F.col("size_cap"), ">=", by_regime(cfg.v_min)))
     items = F.concat("vol_items", when(F.col("has_regime"), F.col("risk")), when(F.col("gated"), F.concat(flow, fee)), "rank_items", when(F.col("eligible"), sizes))
-    return out.withColumn("rationale", items).drop("vol_items", "risk", "rank_items", "size_cap", "phi_observed", "regime_item", "has_regime")
+    added["rationale"] = items
+    out = rows.drop(*added).select("*", *[c.alias(name) for name, c in added.items()])
+    return out.drop("vol_items", "risk", "rank_items", "size_cap", "phi_observed", "regime_item", "has_regime")
 
 
 def exits(rows: DataFrame, cfg: Config) -> DataFrame:
