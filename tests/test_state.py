@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.operators import pipeline, windows
+from tidepool.operators import pipeline, ranking, windows
 from tidepool.operators.mixture import organic_share
 from tidepool.sources import sinks
 
@@ -71,7 +71,29 @@ def test_cooldown_and_gaps(spark):
     signals = spark.createDataFrame([("p", "k", t, i) for i, t in enumerate(times)], "pool string, kind string, t long, event_id long")
     assert sorted(r.t for r in windows.cooled(signals, ["pool", "kind"], 3600).collect()) == [0, 3600, 7300]
     arrivals = spark.createDataFrame([("s", i, x) for i, x in enumerate([5, 5, 7, 6, 8, 12])], "stream string, arrival long, slot long")
-    assert sorted(tuple(r) for r in windows.slot_gaps(arrivals).collect()) == [("s", 5, 7, 1), ("s", 8, 12, 3)]
+    for piece in (1, 2, 1000):
+        assert sorted(tuple(r) for r in windows.slot_gaps(arrivals, piece).collect()) == [("s", 5, 7, 1), ("s", 8, 12, 3)]
+
+
+@pytest.mark.parametrize("piece", [1, 3, 1000])
+def test_pieces_of_a_history_carry_over(spark, piece):
+    """Sums, states before and as-of values are those of one ordered history, however it is cut, with nulls."""
+    xs = [None, 1, 1, None, None, 2, 2, 5, None, 5]
+    rows = [(p, t, t, x) for p in ("p", None) for t, x in zip([0, 1, 1, 2, 6, 7, 20, 21, 40, 41], xs, strict=True)]
+    rows = [(p, t, i, x) for i, (p, t, _, x) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "pool string, t long, event_id long, x int")
+    sums = {r.event_id: r.total for r in windows.running_sum(df, ["pool"], ["t", "event_id"], "x", "total", piece).collect()}
+    before = {r.event_id: r["__before"] for r in windows.with_state_before(df, ["pool"], ["t", "event_id"], ["x"], piece).collect()}
+    assert len(sums) == len(before) == 20
+    for start in (0, 10):
+        for i in range(10):
+            known = [x for x in xs[: i + 1] if x is not None]
+            assert sums[start + i] == (sum(known) if known else None)
+            assert (before[start + i].x if i else before[start]) == (xs[i - 1] if i else None)
+    points = spark.createDataFrame([("p", -5, 1), ("p", 1, 2), ("p", 6, 3), ("p", 39, 4), ("p", 500, 5), ("p", None, 6), ("q", 3, 7)], "pool string, t long, point_id long")
+    history = df.filter("event_id not in (1, 8) and pool = 'p'").unionByName(spark.createDataFrame([("p", None, 99, 7)], df.schema))
+    found = {r.point_id: (r.x, r.seen) for r in ranking.as_of(points, history.select("pool", "t", "x"), "x", piece).collect()}
+    assert found == {1: (None, None), 2: (1, 1), 3: (None, 6), 4: (5, 21), 5: (5, 41), 6: (None, None), 7: (None, None)}
 
 
 def test_risk_gate_records_every_check(spark):

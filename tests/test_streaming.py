@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidepool.operators import windows
+from tidepool.operators import pipeline, windows
 from tidepool.streaming import jobs
 
 
@@ -55,6 +56,26 @@ def test_averages_survive_a_restart(spark, tmp_path):
     assert [r.value for r in spark.read.parquet(where).orderBy("t").collect()] == pytest.approx([0.5, 1.25, 2.625])
 
 
+def test_regimes_equal_the_batch_over_restarts(spark, tmp_path):
+    fields = "pool string, bucket long, sigma_slow double, sigma_fast double, sufficient boolean, dev_peg double, age_days double, pegged boolean, major boolean, kill boolean"
+    rng = random.Random(5)
+    pick = lambda *values: rng.choice(values)
+    rows = [
+        (p, m * 600, pick(0.004, 0.004, 0.02, 0.06, 0.09, None), pick(0.004, 0.02, None), pick(True, True, True, True, False, None), pick(0.001, 0.004, 0.006, None), pick(10.0, 60.0, 60.0, 60.0), pick(True, True, False, None), pick(True, True, True, False, None), rng.random() < 0.01)
+        for p in "abcdef" for block in range(60) for m in range(10 * block, 10 * block + 10)
+    ]
+    rows = [rows[i - i % (7 if r[0] < "d" else 40)][2:] for i, r in enumerate(rows)]  # values last, so that candidates do
+    rows = [("abcdef"[i // 600], i % 600 * 600, *r) for i, r in enumerate(rows)]
+    cfg, source = pipeline.Config(), str(tmp_path / "in")
+    for low, high in ((0, 200), (200, 201), (150, 600)):  # the last part repeats bars that were seen
+        part = [r for r in rows if low * 600 <= r[1] < high * 600]
+        spark.createDataFrame(part, fields).coalesce(1).write.mode("append").parquet(source)
+        where = run(jobs.regimes(jobs.landed(spark, source, spark.read.parquet(source).schema), cfg, 600), tmp_path, "out")
+    want = sorted((r.pool, r.bucket, r.regime or "") for r in pipeline.regimes(spark.createDataFrame(rows, fields), cfg, 600).collect())
+    assert sorted((r.pool, r.bucket, r.regime or "") for r in spark.read.parquet(where).collect()) == want
+    assert {r[2] for r in want} == {"", "S", "V1", "V2"}
+
+
 def test_append_sink_and_parameter_changes(spark, tmp_path):
     fields = "pool string, t long, a long, b long"
     source, target = str(tmp_path / "in"), str(tmp_path / "table")

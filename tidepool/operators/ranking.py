@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.operators.windows import latest_per_key
+from tidepool.operators.windows import DAY, latest_per_key
 
 
 def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
@@ -78,14 +78,24 @@ def tier_changes(ranked: DataFrame, pools: DataFrame, measured: DataFrame, open_
     return newly.withColumn("change", F.lit("promote")).union(demote.withColumn("change", F.lit("demote")))
 
 
-def as_of(points: DataFrame, history: DataFrame, value: str) -> DataFrame:
-    """Each point's last value at or before its time: both sides in one window by pool and time, so the cost is one
-    shuffle whatever the distance. points: pool, t, point_id. history: pool, t, value."""
+def as_of(points: DataFrame, history: DataFrame, value: str, piece: int = DAY) -> DataFrame:
+    """Each point's last value at or before its time. Both sides go into one window by pool and day, and the last value
+    of the days before is carried into each, so the cost is one shuffle whatever the distance and no task holds a
+    pool's whole history. Rows of the history without a time count for nothing.
+
+    points: pool, t, point_id. history: pool, t, value.
+    """
     none = F.lit(None)
-    left = points.select("pool", "t", "point_id", none.cast(dict(history.dtypes)[value]).alias(value), none.cast("long").alias("seen"), F.lit(1).alias("side"))
-    right = history.select("pool", "t", none.cast(dict(points.dtypes)["point_id"]).alias("point_id"), value, F.col("t").alias("seen"), F.lit(0).alias("side"))
-    w = W.partitionBy("pool").orderBy("t", "side").rowsBetween(W.unboundedPreceding, 0)
-    rows = left.unionByName(right).select("pool", "t", "point_id", "side", F.last(F.when(F.col("side") == 0, F.struct(value, "seen")), ignorenulls=True).over(w).alias("h"))
+    known = F.struct(value, F.col("t").alias("seen"))
+    right = history.filter("t is not null").select("pool", "t", none.cast(dict(points.dtypes)["point_id"]).alias("point_id"), known.alias("h"), F.lit(0).alias("side"))
+    left = points.select("pool", "t", "point_id", none.cast(dict(right.dtypes)["h"]).alias("h"), F.lit(1).alias("side"))
+    both = left.unionByName(right).withColumn("day", F.floor(F.col("t") / piece))
+    days = both.groupBy("pool", "day").agg(F.max_by("h", F.col("h.seen")).alias("h"))
+    past = F.last("h", ignorenulls=True).over(W.partitionBy("pool").orderBy("day").rowsBetween(W.unboundedPreceding, -1))
+    opening = days.select("pool", "day", past.alias("h"), F.lit(-1).alias("side")).filter("h is not null")
+    # a day's opening sorts first, as it has no time
+    w = W.partitionBy("pool", "day").orderBy("t", "side").rowsBetween(W.unboundedPreceding, 0)
+    rows = both.unionByName(opening, allowMissingColumns=True).withColumn("h", F.last("h", ignorenulls=True).over(w))
     return rows.filter("side = 1").select("pool", "t", "point_id", F.col(f"h.{value}").alias(value), F.col("h.seen").alias("seen"))
 
 

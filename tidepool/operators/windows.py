@@ -6,7 +6,7 @@ Windows are partitioned by pool (and timeframe, where a frame holds several) and
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -106,26 +106,61 @@ def ewma(rows: DataFrame, value: str, decay: float, out: str, most: int = 20_000
     return within.join(ends, ["pool", "__block"], "left").withColumn(out, F.col("__own") + carried).select(*rows.columns, out)
 
 
-def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
-    return rows.withColumn(out, F.sum(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+DAY = 86_400
+
+
+def _pieces(rows: DataFrame, keys: Sequence[str], by: str, piece: int, opening: Callable[[DataFrame, WindowSpec], DataFrame]) -> DataFrame:
+    """rows (side 1) with one row (side 0) at the start of each piece of a key's history, which holds what `opening`
+    carries over from the pieces before. No task holds more of a key than a piece; pieces are cut by `piece` along the
+    column `by`. `opening` gets rows with __piece, and the window of a key's pieces in order."""
+    cut = rows.withColumn("__piece", F.floor(F.col(by) / piece))
+    carried = opening(cut, W.partitionBy(*keys).orderBy("__piece"))
+    return cut.withColumn("__side", F.lit(1)).unionByName(carried.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+
+
+def in_piece(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    return W.partitionBy(*keys, "__piece").orderBy("__side", *order)
+
+
+def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, piece: int = DAY) -> DataFrame:
+    """rows with the sum of a key's values so far, nulls skipped (null before the first value). The first column of the
+    order is a number, along which histories are cut into pieces; doubles are added piece by piece."""
+
+    def opening(cut: DataFrame, before: WindowSpec) -> DataFrame:
+        sums = cut.groupBy(*keys, "__piece").agg(F.sum(value).alias("__sum"))
+        past = F.sum("__sum").over(before.rowsBetween(W.unboundedPreceding, -1))
+        return sums.select(*keys, "__piece", past.alias(value)).filter(F.col(value).isNotNull())
+
+    total = F.sum(value).over(in_piece(keys, order).rowsBetween(W.unboundedPreceding, 0))
+    given = [F.col(c).cast(t).alias(c) if c == value else F.col(c) for c, t in rows.dtypes if c != out]  # the union widens the value's type
+    return _pieces(rows, keys, order[0], piece, opening).select("*", total.alias("__total")).filter("__side = 1").select(*given, F.col("__total").alias(out))
+
+
+def with_state_before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], watched: Sequence[str], piece: int = DAY) -> DataFrame:
+    """rows with __before, the watched columns of the key's row before, null for a key's first. Cut into pieces as for
+    `running_sum`."""
+    state = F.struct(*watched)
+
+    def opening(cut: DataFrame, before: WindowSpec) -> DataFrame:
+        ends = cut.groupBy(*keys, "__piece").agg(F.max_by(state, F.struct(*order)).alias("__end"))
+        return ends.select(*keys, "__piece", F.lag("__end").over(before).alias("__end")).filter("__end is not null").select(*keys, "__piece", "__end.*")
+
+    rows_and_openings = _pieces(rows, keys, order[0], piece, opening)
+    return rows_and_openings.withColumn("__before", F.lag(state).over(in_piece(keys, order))).filter("__side = 1").select(*rows.columns, "__before")
 
 
 def field_changes(reads: DataFrame, fields: Sequence[str]) -> DataFrame:
     """pool, t, field, old_value, new_value: one row per field that differs from the pool's read before."""
-    w = W.partitionBy("pool").orderBy("t", "event_id")
-    first = F.row_number().over(w) == 1
-    items = [F.struct(F.lit(f).alias("field"), F.lag(f).over(w).cast("long").alias("old_value"), F.col(f).cast("long").alias("new_value")) for f in fields]
-    rows = reads.select("pool", "t", first.alias("__first"), F.array(*items).alias("__items")).filter("not __first")
-    changed = F.filter("__items", lambda x: ~x["old_value"].eqNullSafe(x["new_value"]))
+    rows = with_state_before(reads, ["pool"], ["t", "event_id"], fields).filter("__before is not null")
+    items = [F.struct(F.lit(f).alias("field"), F.col("__before")[f].cast("long").alias("old_value"), F.col(f).cast("long").alias("new_value")) for f in fields]
+    changed = F.filter(F.array(*items), lambda x: ~x["old_value"].eqNullSafe(x["new_value"]))
     return rows.select("pool", "t", F.explode(changed).alias("c")).select("pool", "t", "c.*")
 
 
 def changed_only(rows: DataFrame, keys: Sequence[str], order: Sequence[str], watched: Sequence[str]) -> DataFrame:
     """Rows whose watched columns differ from the key's row before; a key's first row stays."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    state = F.struct(*watched)
-    before = rows.withColumn("__before", F.lag(state).over(w)).withColumn("__first", F.row_number().over(w) == 1)
-    return before.filter(F.col("__first") | ~state.eqNullSafe(F.col("__before"))).drop("__before", "__first")
+    before = with_state_before(rows, keys, order, watched)
+    return before.filter(F.col("__before").isNull() | ~F.struct(*watched).eqNullSafe(F.col("__before"))).drop("__before")
 
 
 def recent(rows: DataFrame, n: int, until: int | None = None) -> DataFrame:
@@ -155,9 +190,16 @@ def cooled(signals: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
     return signals.join(sent, [*keys, "t"]).withColumn("__rn", F.row_number().over(first)).filter("__rn = 1").drop("__rn")
 
 
-def slot_gaps(arrivals: DataFrame) -> DataFrame:
-    """stream, from_slot, to_slot, missed: slots that the highest one so far skips, in order of arrival. First,
-    repeated and late slots make no gap."""
-    w = W.partitionBy("stream").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1)
-    rows = arrivals.withColumn("__high", F.max("slot").over(w)).filter(F.col("slot") > F.col("__high") + 1)
-    return rows.select("stream", F.col("__high").alias("from_slot"), F.col("slot").alias("to_slot"), (F.col("slot") - F.col("__high") - 1).alias("missed"))
+def slot_gaps(arrivals: DataFrame, piece: int = 1_000_000) -> DataFrame:
+    """stream, from_slot, to_slot, missed: slots that the highest one so far skips, in order of arrival (a number).
+    First, repeated and late slots make no gap. A task holds at most the arrivals of one piece of a stream."""
+
+    def opening(cut: DataFrame, before: WindowSpec) -> DataFrame:
+        highs = cut.groupBy("stream", "__piece").agg(F.max("slot").alias("__high"))
+        past = F.max("__high").over(before.rowsBetween(W.unboundedPreceding, -1))
+        return highs.select("stream", "__piece", past.alias("slot")).filter("slot is not null")
+
+    high = F.max("slot").over(in_piece(["stream"], ["arrival"]).rowsBetween(W.unboundedPreceding, -1))
+    rows = _pieces(arrivals.select("stream", "arrival", "slot"), ["stream"], "arrival", piece, opening).withColumn("__high", high)
+    gaps = rows.filter("__side = 1").filter(F.col("slot") > F.col("__high") + 1)
+    return gaps.select("stream", F.col("__high").alias("from_slot"), F.col("slot").alias("to_slot"), (F.col("slot") - F.col("__high") - 1).alias("missed"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tidepool.operators.pipeline import Config
 from tidepool.sources.sinks import append_new
 
 
@@ -123,6 +124,60 @@ def averaged_variance(observations: DataFrame, decay: float) -> DataFrame:
     return observations.groupBy("pool").applyInPandasWithState(_averaged(decay), "pool string, t long, value double", "value double, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _suggested(current: str | None, x, cfg: Config) -> str | None:
+    """The regime that an observation suggests; a missing number (NaN) meets no bound."""
+    if not x.sufficient:
+        return None
+    minor = x.major is not None and not x.major
+    calm = bool(x.pegged) and x.sigma_slow < cfg.s_enter_sigma and x.dev_peg < cfg.s_enter_peg
+    wild = x.sigma_slow > cfg.v2_enter_sigma or x.age_days < cfg.v2_enter_age or minor
+    if current == "S":
+        stays = x.sigma_fast <= cfg.s_exit_sigma and not x.dev_peg > cfg.s_exit_peg
+        return "S" if stays else "V2" if wild else "V1"
+    if current == "V2":
+        stays = x.sigma_slow >= cfg.v2_exit_sigma or x.age_days < cfg.v2_exit_age or minor
+        return "V2" if stays else "S" if calm else "V1"
+    return "S" if calm else "V2" if wild else "V1"
+
+
+def _regimes(cfg: Config, width: int) -> Callable:
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        regime, pending, pending_since, changed, seen = state.get if state.exists else (None, None, None, None, None)
+        rows = pd.concat(frames).sort_values("bucket")
+        rows = rows.astype({c: "float64" for c in ("sigma_slow", "sigma_fast", "dev_peg", "age_days")})
+        out = []
+        for x in rows.itertuples(index=False):
+            t = int(x.bucket) + width
+            if seen is not None and t <= seen:
+                continue
+            seen = t
+            found = _suggested(regime, x, cfg)
+            if x.kill:
+                regime, pending, pending_since, changed = found, None, None, t
+            elif found == regime:
+                pending, pending_since = None, None
+            else:
+                since = t if found != pending else pending_since
+                early = t - (t if since is None else since) < cfg.persistence
+                if early or (changed is not None and t - changed < cfg.cooldown):
+                    pending, pending_since = found, since
+                else:
+                    regime, pending, pending_since, changed = found, None, None, t
+            out.append((key[0], int(x.bucket), regime))
+        state.update((regime, pending, pending_since, changed, seen))
+        yield pd.DataFrame(out, columns=["pool", "bucket", "regime"])
+
+    return run
+
+
+def regimes(observations: DataFrame, cfg: Config, width: int) -> DataFrame:
+    """pool, bucket, regime: the streaming form of `pipeline.regimes`. Each pool's regime, pending candidate and clocks
+    are kept in the state, so a restart goes on where it was; a bar at or before the last one seen changes nothing, so
+    bars must come in order from batch to batch. observations: as for `pipeline.regimes`."""
+    kept = "regime string, pending string, pending_since long, changed long, seen long"
+    return observations.groupBy("pool").applyInPandasWithState(_regimes(cfg, width), "pool string, bucket long, regime string", kept, "append", GroupStateTimeout.NoTimeout)
+
+
 def _field_changes(fields: Sequence[str]) -> Callable:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
