@@ -90,6 +90,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def own_texts(rows: DataFrame, name: str = "own") -> DataFrame:
+    """rows (doc_id, text, ...) with a column, so that (doc_id, own) names one text: a hash of the text, or 0 in all
+    rows if no doc_id has several texts. Rows equal in both are one document. Null ids are left aside."""
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("low"), F.max(own).alias("high"))
+    return rows.withColumn(name, F.lit(0).cast("long") if texts.filter("low <> high").isEmpty() else own)
+
+
 #: Most bytes of keys that are broadcast; more are joined by shuffle.
 BROADCAST_BYTES = 32_000_000
 #: Rows of one key that one task may read; a key with more is dealt over several.

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, materialised, shingle_sets, table, unused, word_hashes
+from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, materialised, own_texts, shingle_sets, table, unused, word_hashes
 from tidepool.llm.near_dup import SKETCH_FIELDS, classes, sketch_columns
 
 
@@ -53,13 +53,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Words are split at spaces and lower-cased in A-Z; a set holds the distinct k-word shingles, or the whole
     sequence if there are fewer words. Documents are linked at `percent` Jaccard similarity and a component's
     smallest doc_id is kept. Null and empty texts have an empty set, are linked with nothing and kept. Rows with a
-    null doc_id take no part. Rows of one doc_id are given one row each, in one component if their sets are alike.
+    null doc_id take no part. Rows that share a doc_id are given one row each, and each is linked by its own text.
     Other columns are ignored.
     """
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    return _components(rows, k, percent).select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
-    )
+    rows = own_texts(docs.filter("doc_id is not null").select("doc_id", "text"))
+    found = _components(rows.select(F.struct("doc_id", "own").alias("id"), "text"), k, percent)
+    own, first = F.col("id.doc_id"), F.col("component.doc_id")
+    return found.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), first.alias("component_id"), (own == first).alias("kept"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
