@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, materialised, mix, placed_word_hashes, salted_join, shingles_between, table, unused, word_hashes
+from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, materialised, mix, own_texts, placed_word_hashes, salted_join, shingles_between, table, unused, word_hashes
 from tidepool.llm.near_dup import SKETCH_FIELDS, classes, sketch_columns
 
 #: Bands of four registers; a pair at similarity 0.8 is missed once in forty thousand, at 0.9 never in practice.
 PARAGRAPH_BANDS = 20
 _ODD_NUMBERS = np.random.default_rng(23).integers(0, 2**64, size=(3, 64), dtype=np.uint64) | np.uint64(1)
 _ANCHOR_ODD, _WINDOW_ODD = _ODD_NUMBERS[0], _ODD_NUMBERS[1:]
-_ID = pa.struct([("doc_id", pa.int64()), ("part", pa.int32())])
+_ID = pa.struct([("doc_id", pa.int64()), ("own", pa.int64()), ("part", pa.int32())])
+_PLACE = "struct<doc_id: long, own: long, part: int>"
 
 
 def _closing(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -68,8 +69,9 @@ def _paragraph_sets(texts: list[str | None], k: int, min_words: int, wanted: lis
 
 
 def _ids(batch: pa.RecordBatch, where: list[tuple[int, int, int, int]]) -> pa.Array:
-    docs = batch.column("doc_id").take(pa.array([w[0] for w in where], pa.int64()))
-    return pa.StructArray.from_arrays([docs, pa.array([w[1] for w in where], pa.int32())], fields=list(_ID))
+    at = pa.array([w[0] for w in where], pa.int64())
+    texts = [batch.column(c).take(at) for c in ("doc_id", "own")]
+    return pa.StructArray.from_arrays([*texts, pa.array([w[1] for w in where], pa.int32())], fields=list(_ID))
 
 
 def _sketches(k: int, min_words: int):
@@ -93,29 +95,30 @@ def _sets(k: int, min_words: int):
 
 
 def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 50) -> DataFrame:
-    """Every paragraph of at least `min_words` words that has a near copy: doc_id, paragraph, start, length (code
+    """Every paragraph of at least `min_words` words that has a near copy: doc_id, own, paragraph, start, length (code
     points), first_doc_id, first_paragraph, removed.
 
     Paragraphs are lines, or blocks of shorter lines in a row, which end at blank lines, long ones, and about every
     fourth one, chosen by its words; a block is named by its first line. Near copies share `percent` of their distinct k-word shingles (words split at spaces,
     A-Z lower-cased). The earliest paragraph of each connected group, by doc_id and place, stays; the others are
-    removed. Null, empty and short texts give no row; rows with a null doc_id take no part; rows that repeat a
-    doc_id count as one document for their ids. Other columns are ignored.
+    removed. Null, empty and short texts give no row; rows with a null doc_id take no part. Different texts under one
+    doc_id are documents of their own, told apart by the column `own`; rows equal in both count once. Other columns
+    are ignored.
     """
-    rows = docs.select("doc_id", "text").filter("doc_id is not null")
-    schema = f"id struct<doc_id: long, part: int>, start long, length long, {SKETCH_FIELDS}"
+    rows = own_texts(docs.select("doc_id", "text").filter("doc_id is not null"))
+    schema = f"id {_PLACE}, start long, length long, {SKETCH_FIELDS}"
     sketches = materialised(rows.mapInArrow(_sketches(k, min_words), schema), "paragraphs")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        parts = materialised(ids.groupBy(F.col("id.doc_id").alias("doc_id")).agg(F.collect_set("id.part").alias("parts")), "ids")
-        found = rows.join(if_small(parts), "doc_id").select("doc_id", "text", "parts").mapInArrow(_sets(k, min_words), "id struct<doc_id: long, part: int>, shingles binary")
+        parts = materialised(ids.groupBy("id.doc_id", "id.own").agg(F.collect_set("id.part").alias("parts")), "ids")
+        found = rows.join(if_small(parts), ["doc_id", "own"]).select("doc_id", "own", "text", "parts").mapInArrow(_sets(k, min_words), f"id {_PLACE}, shingles binary")
         return found.dropDuplicates(["id"])
 
     found = materialised(classes(sketches.drop("start", "length"), sets_of, percent, PARAGRAPH_BANDS), "classes")
-    groups = found.groupBy("component").agg(F.count("*").alias("members")).filter("members > 1")
-    spans = sketches.select("id", "start", "length")
-    return found.join(groups, "component").join(spans, "id").select(
-        F.col("id.doc_id").alias("doc_id"), F.col("id.part").alias("paragraph"), "start", "length",
+    groups = found.groupBy("component").agg(F.max("id").alias("last")).filter("last <> component").select("component")
+    spans = sketches.select("id", "start", "length").dropDuplicates(["id"])
+    return found.join(groups, "component").dropDuplicates(["id"]).join(spans, "id").select(
+        F.col("id.doc_id").alias("doc_id"), F.col("id.own").alias("own"), F.col("id.part").alias("paragraph"), "start", "length",
         F.col("component.doc_id").alias("first_doc_id"), F.col("component.part").alias("first_paragraph"),
         (F.col("id") != F.col("component")).alias("removed"),
     )
@@ -145,7 +148,7 @@ def _windows(words: int, reach: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, raw = batch.column("doc_id"), folded_bytes(batch.column("text").to_pylist())
+            docs, own, raw = batch.column("doc_id"), batch.column("own"), folded_bytes(batch.column("text").to_pylist())
             for a, b in chunks(raw):
                 hashes, bounds, first, last = placed_word_hashes(raw[a:b], SPACED_WORDS)
                 at, owner = _anchors(hashes, bounds, words, reach)
@@ -162,7 +165,7 @@ def _windows(words: int, reach: int):
                 for i in range(0, len(x), 50_000):
                     p, q = x[i : i + 50_000], y[i : i + 50_000]
                     yield pa.RecordBatch.from_pydict({
-                        "lo": pa.array(mix(lo[p]).view(np.int64)), "hi": pa.array(mix(hi[p]).view(np.int64)), "doc_id": docs.take(pa.array(owner[p] + a)),
+                        "lo": pa.array(mix(lo[p]).view(np.int64)), "hi": pa.array(mix(hi[p]).view(np.int64)), "doc_id": docs.take(pa.array(owner[p] + a)), "own": own.take(pa.array(owner[p] + a)),
                         "start": pa.array(first[at[p]].astype(np.int64)), "stop": pa.array(last[at[q] + words - 1].astype(np.int64)),
                     })
 
@@ -170,31 +173,34 @@ def _windows(words: int, reach: int):
 
 
 def repeated_passages(docs: DataFrame, words: int = 32, reach: int = 20) -> DataFrame:
-    """Passages of at least `words` words that occur again, whatever paragraphs they stand in: doc_id, start, length
-    (code points), first_doc_id, removed.
+    """Passages of at least `words` words that occur again, whatever paragraphs they stand in: doc_id, own, start,
+    length (code points), first_doc_id, removed.
 
     Anchored windows are grouped by a 128-bit hash of their words; every passage of `words` + `reach` - 1 words that
     occurs twice is found; up to `reach` - 1 words at either end may lie outside its windows. The occurrence that is earliest by doc_id and place stays. Windows that overlap or touch
     and fare alike are one passage. Equal windows in a row, as in a line over and over, all count: of the earliest
-    such run the first window stays. Nulls, empty and short texts give no row.
+    such run the first window stays. Nulls, empty and short texts give no row. Texts of one doc_id are told apart by
+    `own`, as in repeated_paragraphs.
     """
-    rows = docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(_windows(words, reach), "lo long, hi long, doc_id long, start long, stop long")
+    texts = own_texts(docs.select("doc_id", "text").filter("doc_id is not null"))
+    rows = texts.mapInArrow(_windows(words, reach), "lo long, hi long, doc_id long, own long, start long, stop long")
     rows = rows.withColumn("window", F.struct("lo", "hi")).drop("lo", "hi")
-    firsts = rows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    place = F.struct("doc_id", "own", "start")
+    firsts = rows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first <> last").drop("last")
     met = salted_join(rows, materialised(firsts, "first_windows"), "window", count="n")
-    found = materialised(met.select("doc_id", "start", "stop", "first", (F.struct("doc_id", "start") != F.col("first")).alias("removed")), "windows")
-    alike = W.partitionBy("doc_id", "removed").orderBy("start", "stop")
+    found = materialised(met.select("doc_id", "own", "start", "stop", "first", (place != F.col("first")).alias("removed")), "windows")
+    alike = W.partitionBy("doc_id", "own", "removed").orderBy("start", "stop")
     apart = F.col("start") > F.coalesce(F.max("stop").over(alike.rowsBetween(W.unboundedPreceding, -1)), F.lit(-2)) + 1
     numbered = found.withColumn("passage", F.sum(apart.cast("int")).over(alike.rowsBetween(W.unboundedPreceding, 0)))
-    merged = numbered.groupBy("doc_id", "removed", "passage").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("first.doc_id", "start").alias("first_doc_id"))
-    return merged.select("doc_id", "start", (F.col("stop") - F.col("start")).alias("length"), "first_doc_id", "removed")
+    merged = numbered.groupBy("doc_id", "own", "removed", "passage").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("first.doc_id", "start").alias("first_doc_id"))
+    return merged.select("doc_id", "own", "start", (F.col("stop") - F.col("start")).alias("length"), "first_doc_id", "removed")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Repeated paragraphs and passages together: doc_id, kind, paragraph, start, length, first_doc_id,
+    """Repeated paragraphs and passages together: doc_id, own, kind, paragraph, start, length, first_doc_id,
     first_paragraph, removed; passages have no paragraph numbers."""
     none = F.lit(None).cast("int")
-    columns = ["doc_id", "kind", "paragraph", "start", "length", "first_doc_id", "first_paragraph", "removed"]
+    columns = ["doc_id", "own", "kind", "paragraph", "start", "length", "first_doc_id", "first_paragraph", "removed"]
     lines = repeated_paragraphs(docs).withColumn("kind", F.lit("paragraph"))
     passages = repeated_passages(docs).withColumns({"kind": F.lit("passage"), "paragraph": none, "first_paragraph": none})
     return lines.select(*columns).union(passages.select(*columns))
@@ -216,13 +222,13 @@ def _cut(gone: str):
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with removed paragraphs and passages cut from their texts; all rows and columns stay. Rows that share a
-    doc_id are cut alike, so texts of one id should be one text."""
-    (gone,) = unused(docs, "gone")
-    spans = repeats(docs).filter("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias(gone))
-    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, gone)
+    """docs with removed paragraphs and passages cut from their texts; all rows and columns stay. Each text is cut by
+    its own spans, also if it shares its doc_id with another one."""
+    gone, own = unused(docs, "gone", "own")
+    spans = repeats(docs).filter("removed").groupBy("doc_id", F.col("own").alias(own)).agg(F.collect_list(F.struct("start", "length")).alias(gone))
+    joined = own_texts(docs, own).join(spans, ["doc_id", own], "left").select(*docs.columns, gone)
     return joined.mapInArrow(_cut(gone), joined.schema).select(*docs.columns)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents"))
+    return repeats(table(spark, sf_dir, "documents")).drop("own")
