@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, line_word_hashes, materialised, mix, salted_join, table, unused
+from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, line_word_hashes, materialised, mix, own_texts, salted_join, table, unused
 
 #: Words from which on one word of a line may differ; of a shorter line one word is too large a part.
 FUZZY_WORDS = 8
@@ -70,7 +70,7 @@ def _occurrences(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, raw = batch.column("doc_id"), folded_bytes(batch.column("text").to_pylist())
+            docs, own, raw = batch.column("doc_id"), batch.column("own"), folded_bytes(batch.column("text").to_pylist())
             for a, b in chunks(raw):
                 lines = _Lines(raw[a:b])
                 rows = np.flatnonzero(lines.n)
@@ -78,7 +78,7 @@ def _occurrences(least: int):
                 counting = counting[rows]
                 offsets = np.concatenate(([0], np.cumsum(counting.sum(axis=1)))).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": docs.take(pa.array(lines.owner[rows] + a)), "line": pa.array(lines.number[rows]), "n": pa.array(lines.n[rows]),
+                    "doc_id": docs.take(pa.array(lines.owner[rows] + a)), "own": own.take(pa.array(lines.owner[rows] + a)), "line": pa.array(lines.number[rows]), "n": pa.array(lines.n[rows]),
                     "lo": pa.array(lines.identity(np.uint64(1))[rows].view(np.int64)), "hi": pa.array(lines.identity(np.uint64(2))[rows].view(np.int64)),
                     "halves": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[rows][counting].view(np.int64))),
                 })
@@ -89,13 +89,13 @@ def _occurrences(least: int):
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The deletion neighbourhood: a key for the line as it is (place -1) and for the line without each word."""
     for batch in batches:
-        docs, wanted = batch.column("doc_id"), batch.column("lines").to_pylist()
+        docs, own, wanted = batch.column("doc_id"), batch.column("own"), batch.column("lines").to_pylist()
         raw = folded_bytes(batch.column("text").to_pylist())
         for a, b in chunks(raw):
             lines = _Lines(raw[a:b])
-            own = lines.wanted(wanted[a:b]) & (lines.n > 0)
-            rows = np.flatnonzero(own)
-            word = np.flatnonzero(np.repeat(own, lines.n))
+            asked = lines.wanted(wanted[a:b]) & (lines.n > 0)
+            rows = np.flatnonzero(asked)
+            word = np.flatnonzero(np.repeat(asked, lines.n))
             line = np.repeat(np.arange(len(lines.n)), lines.n)[word]
             start, stop, size = lines.bounds[line], lines.bounds[line + 1], lines.n.astype(np.uint64)
             without = lines.sums[word] - lines.sums[start] + (lines.sums[stop] - lines.sums[word + 1]) * lines.inverse[np.ones(len(word), int)] if len(word) else np.zeros(0, np.uint64)
@@ -104,21 +104,23 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line = np.concatenate((rows, line))
             for i in range(0, len(line), 100_000):
                 part = line[i : i + 100_000]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(mix(keys[i : i + 100_000]).view(np.int64)), "place": pa.array(places[i : i + 100_000]), "doc_id": docs.take(pa.array(lines.owner[part] + a)), "line": pa.array(lines.number[part])})
+                texts = pa.array(lines.owner[part] + a)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(mix(keys[i : i + 100_000]).view(np.int64)), "place": pa.array(places[i : i + 100_000]), "doc_id": docs.take(texts), "own": own.take(texts), "line": pa.array(lines.number[part])})
 
 
 def _line_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        docs, wanted = batch.column("doc_id"), batch.column("lines").to_pylist()
+        docs, own, wanted = batch.column("doc_id"), batch.column("own"), batch.column("lines").to_pylist()
         raw = folded_bytes(batch.column("text").to_pylist())
         rows, numbers, words = [], [], []
-        for i, (text, own) in enumerate(zip(raw, wanted, strict=True)):
+        for i, (text, asked) in enumerate(zip(raw, wanted, strict=True)):
             lines = text.split(b"\n")
-            rows += [i] * len(own)
-            numbers += own
-            words += [lines[n] for n in own]
+            rows += [i] * len(asked)
+            numbers += asked
+            words += [lines[n] for n in asked]
         for i in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_pydict({"doc_id": docs.take(pa.array(rows[i : i + 10_000], pa.int64())), "line": pa.array(numbers[i : i + 10_000], pa.int64()), "words": pa.array(words[i : i + 10_000], pa.binary())})
+            texts = pa.array(rows[i : i + 10_000], pa.int64())
+            yield pa.RecordBatch.from_pydict({"doc_id": docs.take(texts), "own": own.take(texts), "line": pa.array(numbers[i : i + 10_000], pa.int64()), "words": pa.array(words[i : i + 10_000], pa.binary())})
 
 
 def within_one_word(a: list[bytes], b: list[bytes]) -> bool:
@@ -148,32 +150,33 @@ def _verified(least: int):
     return run
 
 
-_AT = "struct<doc_id: long, line: long>"
+_AT = "struct<doc_id: long, own: long, line: long>"
 
 
 def removed_lines(docs: DataFrame, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
-    """doc_id, line, n_words, first_doc_id, first_line, equal of every line that goes.
+    """doc_id, own, line, n_words, first_doc_id, first_line, equal of every line that goes.
 
     A line goes if an earlier line (by doc_id, then line number) has the same words, or words within one insertion,
     deletion or replacement, both lines having at least `fuzzy_words` words (1 for all lines). first_* names the
     earliest such line, equal ones before others. Words are split at spaces, A-Z lower-cased. Lines without words,
-    null and empty texts give no row; rows with a null doc_id take no part; rows that repeat a doc_id repeat its
-    lines' places. Columns other than doc_id and text are ignored.
+    null and empty texts give no row; rows with a null doc_id take no part. Different texts under one doc_id are
+    documents of their own, told apart and ordered by the column `own`; rows equal in both have the same lines at the
+    same places. Columns other than doc_id and text are ignored.
     """
-    rows = docs.select("doc_id", "text").filter("doc_id is not null")
-    fields = "doc_id long, line long, n long, lo long, hi long, halves array<long>"
+    rows = own_texts(docs.select("doc_id", "text").filter("doc_id is not null"))
+    fields = "doc_id long, own long, line long, n long, lo long, hi long, halves array<long>"
     lines = materialised(rows.mapInArrow(_occurrences(fuzzy_words), fields).withColumn("words", F.struct("lo", "hi", "n")).drop("lo", "hi"), "lines")
-    at = F.struct("doc_id", "line")
+    at = F.struct("doc_id", "own", "line")
     firsts = materialised(lines.groupBy("words").agg(F.min(F.struct(at.alias("at"), "halves")).alias("m"), F.count("*").alias("c")).select("words", "m.at", "m.halves", "c"), "firsts")
 
     halves = firsts.select("at", F.explode("halves").alias("key"))
     common = halves.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    met = salted_join(halves, materialised(common, "halves"), "key", count="c").select("at.doc_id", "at.line")
-    places = if_small(materialised(met.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "places"))
-    near = materialised(rows.join(places, "doc_id").select("doc_id", "text", "lines"), "near")
-    words = near.mapInArrow(_line_words, "doc_id long, line long, words binary").select(at.alias("at"), "words").dropDuplicates(["at"])
+    met = salted_join(halves, materialised(common, "halves"), "key", count="c").select("at.doc_id", "at.own", "at.line")
+    places = if_small(materialised(met.groupBy("doc_id", "own").agg(F.collect_set("line").alias("lines")), "places"))
+    near = materialised(rows.join(places, ["doc_id", "own"]).select("doc_id", "own", "text", "lines"), "near")
+    words = near.mapInArrow(_line_words, "doc_id long, own long, line long, words binary").select(at.alias("at"), "words").dropDuplicates(["at"])
 
-    variants = materialised(near.mapInArrow(_variants, "key long, place int, doc_id long, line long").select("key", "place", at.alias("at")), "variants")
+    variants = materialised(near.mapInArrow(_variants, "key long, place int, doc_id long, own long, line long").select("key", "place", at.alias("at")), "variants")
     gap = variants.filter("place >= 0").select(F.struct("key", "place").alias("gap"), "at")
     replaced = gap.groupBy("gap").agg(F.min("at").alias("first"), F.count("*").alias("c")).filter("c > 1")
     by_place = salted_join(gap, materialised(replaced, "replaced"), "gap", count="c").filter(F.col("at") > F.col("first")).select(F.col("at").alias("later"), F.col("first").alias("earlier"))
@@ -186,18 +189,19 @@ def removed_lines(docs: DataFrame, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     earliest = good.groupBy(F.col("later").alias("at")).agg(F.min("earlier").alias("near"))
 
     known = materialised(firsts.select("words", "at", "c").join(earliest, "at", "left").filter("c > 1 or near is not null"), "known")
-    placed = salted_join(lines.select("doc_id", "line", "words"), known, "words", count="c")
-    equal = F.struct("doc_id", "line") != F.col("at")
+    placed = salted_join(lines.select("doc_id", "own", "line", "words"), known, "words", count="c")
+    equal = at != F.col("at")
     first = F.when(equal, F.col("at")).otherwise(F.col("near"))
-    return placed.filter(equal | F.col("near").isNotNull()).select("doc_id", "line", F.col("words.n").alias("n_words"), first["doc_id"].alias("first_doc_id"), first["line"].alias("first_line"), equal.alias("equal"))
+    return placed.filter(equal | F.col("near").isNotNull()).select("doc_id", "own", "line", F.col("words.n").alias("n_words"), first["doc_id"].alias("first_doc_id"), first["line"].alias("first_line"), equal.alias("equal"))
 
 
 def without_repeated_lines(docs: DataFrame, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """docs with the lines that go cut from their texts. Rows of which no line with words is left go too; rows whose
-    text had no words from the start, or whose doc_id is null, stay as they are."""
-    (gone,) = unused(docs, "gone")
-    lines = removed_lines(docs, fuzzy_words).groupBy("doc_id").agg(F.collect_set("line").alias(gone))
-    joined = docs.join(lines, "doc_id", "left")
+    text had no words from the start, or whose doc_id is null, stay as they are. Texts that share a doc_id are cut each
+    by its own lines; rows equal in both are cut alike."""
+    gone, own = unused(docs, "gone", "own")
+    lines = removed_lines(docs, fuzzy_words).groupBy("doc_id", F.col("own").alias(own)).agg(F.collect_set("line").alias(gone))
+    joined = own_texts(docs, own).join(lines, ["doc_id", own], "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i.cast("long")))
     out = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     left = F.col(gone).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
@@ -205,7 +209,7 @@ def without_repeated_lines(docs: DataFrame, fuzzy_words: int = FUZZY_WORDS) -> D
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed_lines(table(spark, sf_dir, "documents"))
+    return removed_lines(table(spark, sf_dir, "documents")).drop("own")
 
 
 _LOWER = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -230,5 +234,5 @@ select doc_id, line, n as n_words, case when same then f1 else n1 end as first_d
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated lines from the texts, as without_repeated_lines says: null ids and texts stay, of equal lines the
-    one first by doc_id and place stays, and rows that repeat a doc_id are cut alike."""
+    one first by doc_id and place stays, and only rows equal in doc_id and text are cut alike."""
     return without_repeated_lines(docs)
