@@ -84,7 +84,7 @@ def test_shards_are_the_winners_of_the_law(spark):
 
 
 def test_blocks_of_queries_are_freed_one_by_one(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 90)
     rows = [(i, [float(i * 7 % 11), float(i % 5)]) for i in range(120)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert found(topk.top_k(df, df.filter("vec_id % 10 = 0"))) == scores(rows, [r for r in rows if r[0] % 10 == 0], 5)

@@ -15,8 +15,8 @@ from tidepool.llm.common import materialised, table
 
 TOP = 5
 SCALE = 256
-#: Queries of one pass over the vectors, which bounds what is broadcast.
-QUERY_BLOCK = 16_384
+#: Bytes of the queries of one pass over the vectors, which bounds what is broadcast and what the driver holds.
+QUERY_BYTES = 16_000_000
 #: Dimensions accumulated between two compactions.
 DIMENSIONS = 16
 #: Vectors that are scored in full first, to have a bound to cut with.
@@ -25,17 +25,18 @@ FIRST = 64
 
 def quantised(ids: pa.Array, vectors: pa.Array, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By dimension: ids and floor(scale * x) of the rows with an id and only finite components."""
-    ids = ids.to_numpy(zero_copy_only=False)
+    named = ids.is_valid().to_numpy(zero_copy_only=False)
+    ids = ids.fill_null(0).to_numpy(zero_copy_only=False)  # nulls would make them floats
     offsets = vectors.offsets.to_numpy()
     values = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)
     lengths = np.diff(offsets)
-    good = ~vectors.is_null().to_numpy(zero_copy_only=False) & ~np.isnan(ids.astype(np.float64))
+    good = vectors.is_valid().to_numpy(zero_copy_only=False) & named
     out = {}
     for d in np.unique(lengths[good & (lengths > 0)]):
         rows = np.flatnonzero(good & (lengths == d))
         x = np.floor(values[offsets[rows][:, None] + np.arange(d)] * scale)
         fine = np.isfinite(x).all(axis=1)
-        out[int(d)] = ids[rows[fine]].astype(np.int64), x[fine]
+        out[int(d)] = ids[rows[fine]], x[fine]
     return out
 
 
@@ -112,13 +113,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, scale: int = S
 
     Rows with a null id, a null or empty vector, or null, infinite or NaN components take no part; queries meet
     vectors of their own dimension only. Repeated query ids count once, repeated vectors are ranked one by one.
-    Queries go in blocks of at most QUERY_BLOCK, each one pass over all vectors in which every task keeps its own
+    Queries go in blocks of about QUERY_BYTES, each one pass over all vectors in which every task keeps its own
     best; of several blocks each is searched, written and freed before the next. Products must fit 63 bits. A table without queries gives no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    asked = queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter("vec_id is not null and embedding is not null")
-    parts = asked.count() // (QUERY_BLOCK // 2) + 1
+    usable = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter("vec_id is not null and embedding is not null")
+    rows, asked = usable(vectors), usable(queries)
+    parts = (asked.agg(F.sum(F.size("embedding").cast("long") * 8 + 8)).first()[0] or 0) // QUERY_BYTES + 1
     ranked = lambda df: df.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= top)
     found = None
     for part in range(parts):
