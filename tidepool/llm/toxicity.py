@@ -183,9 +183,12 @@ def _phrases(lexicon: Lexicon):
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
                 text, phrases = folded(text.as_py()), set()
                 for start in matches(text, automaton):
-                    words = text[max(0, start - 40) : text.find(" ", start + 1)].split()
-                    if len(words) >= 2 and start > 40:
-                        phrases.add(" ".join(words[-2:]))
+                    begin = max(0, start - 40)
+                    before = text[begin:start].split()
+                    if begin and not text[begin - 1 : begin + 1].count(" "):
+                        before = before[1:]  # a word that the slice cut
+                    if before:
+                        phrases.add(f"{before[-1]} {text[start + 1 : text.find(' ', start + 1)]}")
                 seen[toxic].update(phrases)
         every = list({*seen[0], *seen[1]})
         yield pa.RecordBatch.from_pydict({"phrase": pa.array(every, pa.string()), "toxic": pa.array([seen[1][p] for p in every], pa.int64()), "clean": pa.array([seen[0][p] for p in every], pa.int64())})
