@@ -13,7 +13,9 @@ from tidepool.llm.minhash_dedup import OP3_SQL, op3_minhash_near_dedup
 from tidepool.llm.packing import op5_packing
 from tidepool.llm.pii import op10_pii
 from tidepool.llm.sharding import op8_sharding
+from tidepool.llm.spelling_variants import OP11_SQL, op11_spelling_variants
 from tidepool.llm.substring_dedup import op1_substring_dedup
+from tidepool.llm.token_alignment import op13_token_alignment
 from tidepool.llm.topk import OP2_SQL, op2_exact_topk
 from tidepool.llm.toxicity import op7_toxicity
 
@@ -28,5 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
     "op10_pii": op10_pii,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op13_token_alignment": op13_token_alignment,
 }
-SQL = {"op2_exact_topk": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL}
+SQL = {"op2_exact_topk": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op11_spelling_variants": OP11_SQL}
