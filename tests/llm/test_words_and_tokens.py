@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.conftest import SF
-from tidepool.llm import common, spelling_variants, token_alignment
+from tidepool.llm import common, fingerprints, spelling_variants, token_alignment
 
 
 def one_edit(a, b):
@@ -154,3 +156,104 @@ def test_alignment_of_given_documents(spark, monkeypatch):
     monkeypatch.setattr(common.salted_join, "__defaults__", (3, None))
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert found(token_alignment.op13_token_alignment(spark, SF)) == aligned(rows)
+
+
+W, N, P, FEW = fingerprints.WINDOW, fingerprints.NEIGHBOURS, fingerprints.POPULAR, fingerprints.FEWEST
+
+
+def levels_of(raw):
+    most = round(65536 * W * math.log2(W))
+    sums = [sum(round(65536 * c * math.log2(c)) for c in Counter(raw[i : i + W]).values()) for i in range(len(raw) - W + 1)]
+    return [(most - s) * (fingerprints.LEVELS - 1) // most for s in sums]
+
+
+def features(raw, rank):
+    """The chosen windows of a text, by looking at every neighbourhood."""
+    raw = raw.ljust(W, b"\0") if raw else raw
+    own = [int(rank[x]) for x in levels_of(raw)]
+    reach = min(N, len(own))
+    popular = Counter(min(range(i, i + reach), key=lambda j: (own[j], j)) for i in range(len(own) - reach + 1)) if own else {}
+    found = [i for i in range(len(own)) if popular[i] >= P]
+    if len(found) < FEW:
+        found = sorted(sorted(range(len(own)), key=lambda i: (-popular[i], own[i], i))[:FEW])
+    return list(dict.fromkeys(raw[i : i + W] for i in found))
+
+
+def test_windows_are_those_of_a_naive_search():
+    rng = random.Random(3)
+    raws = [b"", b"a", b"\0" * 15, b"aaaaaaaaaaaaaaaaaaaaaaaaaaa", "É ñ 日本語 ".encode() * 9] + [bytes(rng.choice(b"abcd efgh") for _ in range(rng.randint(1, 900))) for _ in range(25)] + [rng.randbytes(5000)]
+    filled = [r.ljust(W, b"\0") if r else r for r in raws]
+    assert fingerprints.level_counts(raws).tolist() == [Counter(x for r in filled for x in levels_of(r))[level] for level in range(fingerprints.LEVELS)]
+    rank = np.array(rng.sample(range(fingerprints.LEVELS), fingerprints.LEVELS))
+    for raw, (counts, bits) in zip(raws, fingerprints.digests(raws, rank), strict=True):
+        own = features(raw, rank)
+        assert counts.tolist() == [len(own[i : i + fingerprints.FEATURES]) for i in range(0, len(own), fingerprints.FEATURES)]
+        alone = fingerprints.digests([raw], rank)[0]
+        assert (alone[0] == counts).all() and (alone[1] == bits).all()
+        text = fingerprints.written((counts, bits))
+        assert fingerprints.written(fingerprints.read(text)) == text
+        for n, one in zip(counts.tolist(), bits, strict=True):
+            assert 0 < np.unpackbits(one).sum() <= n * fingerprints.HASHES
+
+
+def ring(spark, rows):
+    """(doc_id, text) and the text after it, by descending id, nulls last, then the hash that the operator orders by."""
+    df = spark.createDataFrame(sorted({(d, t or "") for d, t in rows}, key=repr), "doc_id long, text string")
+    order = sorted(df.selectExpr("doc_id", "text", "xxhash64(text) as h").collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    return {(r.doc_id, r.text): s.text for r, s in zip(order, order[1:] + order[:1], strict=True)}
+
+
+def fingerprinted(spark, rows, rank):
+    following = ring(spark, rows)
+    text_of = lambda t: fingerprints.written(fingerprints.digests([t.encode()], rank)[0])
+    near = lambda a, b: fingerprints.likeness(fingerprints.read(a), fingerprints.read(b))
+    out = []
+    for d, t in rows:
+        t = t or ""
+        after, n = following[d, t], len(t) // 3
+        new = t[: len(t) - n] + after[:n]
+        own, changed = text_of(t), text_of(new)
+        out.append((d, len(t), hashlib.sha256(new.encode()).hexdigest(), own, changed, near(own, changed), near(own, text_of(after))))
+    return sorted(out, key=repr)
+
+
+COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
+@pytest.mark.parametrize("size", [64_000_000, 3000])
+def test_fingerprints_of_given_documents(spark, size, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", size)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rank = fingerprints.rarity(spark.read.parquet(f"{SF}/documents.parquet"))
+    counts = fingerprints.level_counts([(t or "").encode() for _, t in rows])
+    assert rank.tolist() == np.argsort(np.lexsort((np.arange(len(counts)), counts))).tolist()
+    got = fingerprints.op12_document_fingerprints(spark, SF)
+    assert got.columns == COLUMNS
+    got = sorted(map(tuple, got.collect()), key=repr)
+    assert got == fingerprinted(spark, rows, rank)
+    long = [r for r in got if r[1] >= 300]
+    assert min(r[5] for r in long) > 0.3 and np.median([r[6] for r in long]) < 0.02
+
+
+def test_fingerprints_of_awkward_rows(spark, awkward, nothing, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 500)
+    rank = np.arange(fingerprints.LEVELS)
+    rows = [(r.doc_id, r.text) for r in awkward.collect()] + [(7, "several"), (7, "texts of one id"), (5, "same"), (5, "same"), (5, "same"), (None, "two words"), (None, None), (-(2**63), "least"), (2**63 - 1, "most")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprints.fingerprints(docs, rank)
+    assert got.columns == COLUMNS and sorted(map(tuple, got.collect()), key=repr) == fingerprinted(spark, rows, rank)
+    assert fingerprints.fingerprints(nothing).count() == 0 and fingerprints.fingerprints(nothing).columns == COLUMNS
+    (one,) = fingerprints.fingerprints(spark.createDataFrame([(1, "a text alone, and its own next one")], "doc_id long, text string")).collect()
+    assert one.near_next == 1.0 and one.n_chars == 34
+
+
+def test_equal_and_unrelated_texts(spark):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000))
+    other = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000))
+    rank = np.arange(fingerprints.LEVELS)
+    a, b, c, part = fingerprints.digests([text.encode(), other.encode(), text.encode(), text[9000:].encode()], rank)
+    assert len(a[0]) > 5 and fingerprints.likeness(a, c) == 1.0 and fingerprints.likeness(a, b) < 0.02 and fingerprints.likeness(a, part) > 0.4
+    assert fingerprints.likeness(a, b) == fingerprints.likeness(b, a)
+    empty = fingerprints.digests([b""], rank)[0]
+    assert fingerprints.likeness(empty, empty) == 1.0 and fingerprints.likeness(empty, a) == 0.0

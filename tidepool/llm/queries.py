@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.llm.decontaminate import OP4_SQL, op4_benchmark_decontamination
+from tidepool.llm.fingerprints import op12_document_fingerprints
 from tidepool.llm.language_id import op9_language_id
 from tidepool.llm.line_dedup import OP6_SQL, op6_line_dedup
 from tidepool.llm.minhash_dedup import OP3_SQL, op3_minhash_near_dedup
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_pii": op10_pii,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_document_fingerprints": op12_document_fingerprints,
     "op13_token_alignment": op13_token_alignment,
 }
 SQL = {"op2_exact_topk": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op11_spelling_variants": OP11_SQL}
