@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.functions import scalar
+from tidepool.functions import prices, scalar
 
 FEE_BPS = 10_000.0
 
@@ -37,20 +37,20 @@ def enriched_swaps(swaps: DataFrame, pools: DataFrame, tokens: DataFrame, quotes
     """swaps with start_price, end_price, amount_in, amount_out, volume_usd, fee_usd (the providers' part) and
     protocol_fee_usd; null where a token or price is unknown.
 
-    A price is that of the bin, scaled by the tokens' decimals. Selling X (swap_for_y) takes X in and gives Y out. The
+    A price is the exact one of the bin, scaled by the tokens' decimals; each pool's squares are made once. Selling X (swap_for_y) takes X in and gives Y out. The
     volume is the quote side's amount at the quote token's last known price; fees are parts of it in basis points.
     swaps: pool, t, swap_for_y, amount_in_raw, amount_out_raw, start_bin, end_bin, fee_bps, protocol_bps.
     pools: pool, bin_step, token_x, token_y. tokens: mint, decimals. quotes: mint, t, usd.
     """
     side = lambda s: tokens.select(F.col("mint").alias(f"token_{s}"), F.col("decimals").alias(f"decimals_{s}"))
-    dims = pools.select("pool", "bin_step", "token_x", "token_y").join(side("x"), "token_x", "left").join(side("y"), "token_y", "left")
-    rows = quoted(swaps.join(dims, "pool"), quotes)
-    price = lambda c: scalar.bin_price(F.col(c), F.col("bin_step")) * F.pow(F.lit(10.0), F.col("decimals_x") - F.col("decimals_y"))
+    dims = pools.select("pool", "bin_step", "token_x", "token_y", prices.ladder(F.col("bin_step")).alias("squares")).join(side("x"), "token_x", "left").join(side("y"), "token_y", "left")
+    price = lambda c: (prices.price(F.col(c), F.col("squares")) * F.pow(F.lit(10.0), F.col("decimals_x") - F.col("decimals_y"))).alias(c.replace("bin", "price"))
+    met = swaps.join(dims, "pool")
+    rows = quoted(met.select(*[c for c in met.columns if c != "squares"], price("start_bin"), price("end_bin")), quotes)
     sells = F.col("swap_for_y")
     known_in = F.when(sells, F.col("decimals_x")).otherwise(F.col("decimals_y"))
     known_out = F.when(sells, F.col("decimals_y")).otherwise(F.col("decimals_x"))
     out = rows.withColumns({
-        "start_price": price("start_bin"), "end_price": price("end_bin"),
         "amount_in": scalar.scaled(F.col("amount_in_raw").cast("double"), known_in), "amount_out": scalar.scaled(F.col("amount_out_raw").cast("double"), known_out),
     })
     out = out.withColumn("volume_usd", F.when(sells, F.col("amount_out")).otherwise(F.col("amount_in")) * F.col("quote_usd"))

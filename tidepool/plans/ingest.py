@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.functions import scalar, shapes
+from tidepool.functions import prices, scalar, shapes
 from tidepool.operators import enrich
 from tidepool.operators.windows import latest_per_key
 from tidepool.plans.registry import query
 from tidepool.sources import landing, sinks
-from tidepool.sources.adapters import Tables, sql
+from tidepool.sources.adapters import Tables, exact_price_ctes, sql
 
 
 @query(sql("select 'chain-event:' || pool || ':' || (t // 60) || ':' || rn as key, pool, signer, v3::bigint as fee_raw, volume_usd::double as amount from (select pool, t, signer, event_id, volume_usd, fee_milli as v3, row_number() over (partition by pool, t // 60 order by event_id) as rn from swaps)", "swaps"))
@@ -63,6 +63,19 @@ def state_rows(t: Tables) -> DataFrame:
     return rows.select("pool", "event_id", F.round(scalar.bin_price(b, step), 9).alias("price"), scalar.array_index(b).alias("array_index"), scalar.bin_of_price(1 + F.col("active_tvl").cast("double") / 100, step).alias("bin_of_price"))
 
 
+_EXACT = exact_price_ctes("exact", "select pool, event_id, event_id * 7 % 20001 - 10000 as bin_id, bin_step from e join pools using (pool)", 14)
+
+
+@query(sql("select event_id, bin_id, bin_step, (q // 18446744073709551616)::varchar as high, (q % 18446744073709551616)::varchar as low, price from exact", "e", "pools", **_EXACT))
+def exact_bin_prices(t: Tables) -> DataFrame:
+    """The price of a bin of each event's pool in fixed point (whole part and 64-bit fraction, as text) and as a double."""
+    dims = t.pools().select("pool", "bin_step", prices.ladder(F.col("bin_step")).alias("squares"))
+    rows = t.events().select("pool", "event_id", (F.col("event_id") * 7 % 20001 - 10000).alias("bin_id")).join(dims, "pool")
+    rows = rows.select("event_id", "bin_id", "bin_step", prices.digits(F.col("bin_id"), F.col("squares")).alias("q"))
+    half = lambda i: (F.col("q")[i].cast("decimal(20,0)") * 2**32 + F.col("q")[i + 1]).cast("decimal(20,0)").cast("string")
+    return rows.select("event_id", "bin_id", "bin_step", half(0).alias("high"), half(2).alias("low"), prices.as_double(F.col("q")).alias("price"))
+
+
 @query(sql("select e.event_id, round(e.v::double * 1000000 / pow(10, tk.decimals), 9) as amount from e left join pools p on p.pool = e.pool left join tokens tk on tk.mint = p.token_x", "e", "pools", "tokens"))
 def scaled_amounts(t: Tables) -> DataFrame:
     """Raw amounts by the token's decimals; null where the token is unknown."""

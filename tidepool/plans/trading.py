@@ -14,7 +14,7 @@ from tidepool.plans.rollup import chain_ctes, state_bars_sql
 from tidepool.plans.windows import HOURLY, hourly
 from tidepool.schemas import TIMEFRAMES, bars_a_day
 from tidepool.session import written
-from tidepool.sources.adapters import Tables, sql
+from tidepool.sources.adapters import Tables, exact_price_ctes, sql
 
 CFG = pipeline.Config()
 #: Bars of a pool that the pipeline looks back on.
@@ -263,9 +263,10 @@ _PROPOSED = "select pool, bin_step, case when pool_key % 23 <> 0 then pool_key *
 
 
 @query(sql(
-    """select pool, refusal, case when refusal is null then lo end as lower_bin, case when refusal is null then lo + width - 1 end as upper_bin, round(case when refusal is null then lo * ln(1 + bin_step / 10000.0) end, 6) as log_lower, round(case when refusal is null then (lo + width - 1) * ln(1 + bin_step / 10000.0) end, 6) as log_upper,
+    """select pool, refusal, case when refusal is null then lo end as lower_bin, case when refusal is null then lo + width - 1 end as upper_bin, round(case when refusal is null then ln(low_price) end, 6) as log_lower, round(case when refusal is null then ln(high_price) end, 6) as log_upper,
       round(pow(width * bin_step / 20000.0, 2) / (sd * sd), 6) as exit_days, round(pow(0.8 * width * bin_step / 20000.0, 2) / (sd * sd), 6) as trigger_days
-    from (select *, case when width is null or width not between 1 and 70 then 'width' when active is null then 'active' when abs(lo * ln(1 + bin_step / 10000.0)) > 35 or abs((lo + width - 1) * ln(1 + bin_step / 10000.0)) > 35 then 'range' end as refusal from (select *, active - (width - 1) // 2 as lo from pr))""", "pools", pr=_PROPOSED))
+    from (select *, case when width is null or width not between 1 and 70 then 'width' when active is null then 'active' when abs(lo * ln(1 + bin_step / 10000.0)) > 35 or abs((lo + width - 1) * ln(1 + bin_step / 10000.0)) > 35 then 'range' end as refusal from lows) left join (select pool, price as low_price from low) using (pool) left join (select pool, price as high_price from high) using (pool)""", "pools", pr=_PROPOSED, lows="select *, active - (width - 1) // 2 as lo from pr",
+    **exact_price_ctes("low", "select pool, lo as bin_id, bin_step from lows where lo is not null", 13), **exact_price_ctes("high", "select pool, lo + width - 1 as bin_id, bin_step from lows where lo is not null", 13)))
 def proposed_ranges(t: Tables) -> DataFrame:
     """Ranges around the active bins of pools, with how long a price is expected to stay in them or to take to four
     fifths of their half-width."""

@@ -102,6 +102,18 @@ SQL = {
 _NEEDS = {"swaps": "e", "snapshots": "e", "liquidity": "e"}
 
 
+def exact_price_ctes(name: str, rows: str, bits: int) -> dict[str, str]:
+    """CTEs for DuckDB that end in `name`: the rows (bin_id of at most so many bits, bin_step) with q, the price in
+    fixed point with 64 fractional bits, and price, the same as a double."""
+    one, most = "18446744073709551616::uhugeint", "340282366920938463463374607431768211455::uhugeint"
+    return {
+        f"{name}0": f"select *, {most} // ({one} + bin_step::uhugeint * {one} // 10000) as f, {one} as p from ({rows})",
+        **{f"{name}{k + 1}": f"select * replace (f * f // {one} as f, case when (abs(bin_id) >> {k}) & 1 = 1 then p * f // {one} else p end as p) from {name}{k}" for k in range(bits)},
+        f"{name}_q": f"select * exclude (f, p), case when bin_id = 0 then {one} when p = 0 then null when bin_id > 0 then {most} // p else p end as q from {name}{bits}",
+        name: f"select *, q::double / 18446744073709551616.0::double as price from {name}_q",
+    }
+
+
 def sql(body: str, *names: str, **more: str) -> str:
     """A query over logical tables: `names` and the given CTEs (in order) before the body."""
     wanted = [n for name in names for n in ([_NEEDS[name]] if name in _NEEDS else []) + [name]]
