@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import scalar
 from tidepool.functions.checks import ITEM, check, info, optional, passed
-from tidepool.operators.windows import autocorrelations, by_pool, ewma, full_sum, log_returns, realised, trailing_sum, trend
+from tidepool.operators.windows import by_pool, ewma, full_sum, log_returns, realised, trailing_autocorrelations, trailing_sum, trend
 
 REGIMES = ("S", "V1", "V2")
 
@@ -78,11 +78,13 @@ def by_regime(values: tuple) -> Column:
     return F.when(F.col("regime") == "S", s).when(F.col("regime") == "V1", v1).when(F.col("regime") == "V2", v2)
 
 
-def history(bars: DataFrame, bars_day: int) -> DataFrame:
-    """Bars with what the stages need of the past: changes, returns, trailing volume, fees over windows, trend.
+def history(bars: DataFrame, bars_day: int, lookback: int) -> DataFrame:
+    """Bars with what the stages need of the past: changes, returns, trailing volume, fees over windows, trend, and the
+    autocorrelation of the last `lookback` bars' returns. Nothing looks further back, so the bars of a run and as many
+    before them give the same as all bars; only the history's length needs each pool's `first_seen`.
 
-    bars: pool, bucket, volume, fee, open, high, low, close, tvl, active_tvl, as doubles. All windows share one
-    partitioning and order by pool and bucket.
+    bars: pool, bucket, volume, fee, open, high, low, close, tvl, active_tvl, as doubles, and first_seen (null where
+    the bars begin with the pool's first). All windows share one partitioning and order by pool and bucket.
     """
     hour, week = round(bars_day / 24), 7 * bars_day
     diff = lambda c: (F.col(c) - F.lag(c).over(by_pool())).alias(f"{c}_change")
@@ -90,12 +92,18 @@ def history(bars: DataFrame, bars_day: int) -> DataFrame:
     rows = bars.select(
         "*", diff("volume"), diff("fee"), diff("tvl"), diff("close"), diff("active_tvl"), F.coalesce(trailing_sum("volume", bars_day), F.lit(0.0)).alias("vol_24h"),
         ratio(hour).alias("fee_tvl_1h"), ratio(bars_day).alias("fee_tvl_24h"), ratio(week).alias("fee_tvl_7d"), trend("volume", bars_day).alias("volume_trend"),
-        ((F.col("bucket") - F.first("bucket").over(by_pool())) / 86400).alias("history_days"),
+        ((F.col("bucket") - F.coalesce("first_seen", F.first("bucket").over(by_pool()))) / 86400).alias("history_days"),
     )
-    returns = log_returns(bars)
-    jumps = realised(returns, bars_day).select("pool", "bucket", "jump_share")
-    rows = rows.join(jumps, ["pool", "bucket"], "left").withColumn("jump_share", F.coalesce("jump_share", F.lit(0.05)))
-    return rows.join(autocorrelations(returns).drop("returns"), "pool", "left")
+    returns = trailing_autocorrelations(realised(log_returns(bars), bars_day).drop("rv", "bv"), lookback)
+    return rows.join(returns.drop("r"), ["pool", "bucket"], "left").withColumn("jump_share", F.coalesce("jump_share", F.lit(0.05)))
+
+
+def daily_volatility(rows: DataFrame, cfg: Config, correlated: bool = False, lags: int = 6) -> DataFrame:
+    """Adds sigma_d and sigma_d_bps to rows with sigma_fast. Autocorrelation corrects the daily value of 5-minute bars
+    only (`correlated`)."""
+    rho = [F.coalesce(f"rho_{k}", F.lit(0.0)) for k in range(1, lags + 1)] if correlated else []
+    out = rows.withColumn("sigma_d", F.sqrt(scalar.daily_variance(F.col("sigma_fast") * F.col("sigma_fast"), rho)))
+    return out.withColumn("sigma_d_bps", scalar.decay_window_bps(F.col("sigma_fast"), cfg.decay_window))
 
 
 def volatility(rows: DataFrame, cfg: Config, correlated: bool = False, lags: int = 6) -> DataFrame:
@@ -124,6 +132,22 @@ def _candidate(current: Column, x: Column, cfg: Config) -> Column:
     return F.when(x["sufficient"], found)
 
 
+def suggested(current: str | None, x, cfg: Config) -> str | None:
+    """The regime that an observation suggests; a missing number (NaN) meets no bound."""
+    if not x.sufficient:
+        return None
+    minor = x.major is not None and not x.major
+    calm = bool(x.pegged) and x.sigma_slow < cfg.s_enter_sigma and x.dev_peg < cfg.s_enter_peg
+    wild = x.sigma_slow > cfg.v2_enter_sigma or x.age_days < cfg.v2_enter_age or minor
+    if current == "S":
+        stays = x.sigma_fast <= cfg.s_exit_sigma and not x.dev_peg > cfg.s_exit_peg
+        return "S" if stays else "V2" if wild else "V1"
+    if current == "V2":
+        stays = x.sigma_slow >= cfg.v2_exit_sigma or x.age_days < cfg.v2_exit_age or minor
+        return "V2" if stays else "S" if calm else "V1"
+    return "S" if calm else "V2" if wild else "V1"
+
+
 _STATE = "struct<regime: string, since: bigint, pending: string, pending_since: bigint, last: bigint>"
 _STEP = "struct<t: bigint, regime: string, item: " + ITEM + ">"
 

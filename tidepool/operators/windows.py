@@ -60,6 +60,24 @@ def autocorrelations(returns: DataFrame, lags: int = 6, least: int = 20) -> Data
     return rows.groupBy("pool").agg(n.alias("returns"), *[F.when(enough, F.sum(f"x{k}") / (n - k) / variance).alias(f"rho_{k}") for k in range(1, lags + 1)])
 
 
+def trailing_autocorrelations(returns: DataFrame, bars: int, lags: int = 6, least: int = 20) -> DataFrame:
+    """returns with rho_1 .. rho_lags of each pool's last `bars` - 1 returns up to each row, as `autocorrelations` has
+    them for all: sums over bounded frames, in which a pair counts if both its returns lie in the frame."""
+    frame = lambda first, last=0: by_pool().rowsBetween(first, last)
+    begin = -(bars - 2)
+    pairs = returns.select("*", *[(F.col("r") * F.lag("r", k).over(by_pool())).alias(f"__p{k}") for k in range(1, lags + 1)])
+    n, total, square = F.count(F.lit(1)).over(frame(begin)), F.sum("r").over(frame(begin)), F.sum(F.col("r") * F.col("r")).over(frame(begin))
+    sums = [c for k in range(1, lags + 1) for c in (F.sum(f"__p{k}").over(frame(begin + k)).alias(f"__s{k}"), F.sum("r").over(frame(begin, -k)).alias(f"__a{k}"))]
+    # the first returns of a frame that is not full have no partner before them: their pairs are null
+    later = [F.sum(F.when(F.col(f"__p{k}").isNotNull(), F.col("r"))).over(frame(begin + k)).alias(f"__b{k}") for k in range(1, lags + 1)]
+    rows = pairs.select("*", n.alias("__n"), (total / n).alias("__m"), (square / n).alias("__q"), *sums, *later)
+    mean, count = F.col("__m"), F.col("__n")
+    variance = F.col("__q") - mean * mean
+    enough = (count >= least) & (variance > 0)
+    rho = lambda k: F.when(enough, (F.col(f"__s{k}") - mean * (F.col(f"__a{k}") + F.col(f"__b{k}")) + (count - k) * mean * mean) / (count - k) / variance)
+    return rows.select(*returns.columns, *[rho(k).alias(f"rho_{k}") for k in range(1, lags + 1)])
+
+
 def trailing_sum(column: str, bars: int) -> Column:
     """Sum over the last `bars` rows, nulls skipped."""
     return F.sum(column).over(trailing(bars))

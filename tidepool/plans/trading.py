@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepool.functions import scalar
 from tidepool.functions.checks import as_text
-from tidepool.operators import ledger, mixture, ops, pipeline, ranking, rollup, windows
+from tidepool.operators import incremental, ledger, mixture, ops, pipeline, ranking, rollup, windows
 from tidepool.plans.registry import query
 from tidepool.plans.rollup import chain_ctes, state_bars_sql
+from tidepool.plans.scoring_sql import scored_sql, significant
 from tidepool.plans.windows import HOURLY, hourly
 from tidepool.schemas import TIMEFRAMES, bars_a_day
 from tidepool.session import written
 from tidepool.sources.adapters import Tables, exact_price_ctes, sql
 
 CFG = pipeline.Config()
-#: Bars of a pool that the pipeline looks back on.
-HISTORY = 2020
 
 
 def _before(rows: DataFrame) -> DataFrame:
@@ -26,63 +25,83 @@ def _before(rows: DataFrame) -> DataFrame:
     return rows.withColumn("day", F.col("bucket") + 86400).drop("bucket")
 
 
-def evaluated(t: Tables, tf: str = "1h") -> DataFrame:
-    """The pipeline over the newest bars of one timeframe; every second pool is measured, every third is a major
-    token's. The bars are written once, as every stage reads them."""
+def scoring_bars(t: Tables, tf: str) -> DataFrame:
+    """The bars that are scored, as doubles in the pools' usual magnitudes."""
     width = TIMEFRAMES[tf]
     state = rollup.state_bars(t.snapshots(), width)
     state = state.select("pool", "bucket", (F.col("tvl_close").cast("double") * 100).alias("tvl"), (F.col("active_tvl_close").cast("double") * 10).alias("active_tvl"), F.col("active_bin_close").alias("active_bin"))
     flows = rollup.swap_bars(t.swaps(), width, traders=False).select("pool", "bucket", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")], (F.col("volume").cast("double") * 10_000).alias("volume"), (F.col("fee_milli").cast("double") * 10).alias("fee"), F.col("swap_count").alias("trades"))
-    bars = written(windows.recent(flows.join(state, ["pool", "bucket"]), HISTORY), f"bars_{tf}")
-    rows = pipeline.volatility(pipeline.history(bars, bars_a_day(tf)), CFG, correlated=tf == "5m")
+    return flows.join(state, ["pool", "bucket"])
+
+
+def described(t: Tables, rows: DataFrame) -> DataFrame:
+    """Bars with what the stages need to know of their pools: every second pool is measured, every third is a major
+    token's; wash screens and the mixture fit are those of the day before."""
     dims = t.pools().select("pool", "pool_key", "bin_step", "base_factor", "base_power", "vfc", "tier", "blacklisted")
     rows = rows.join(ranking.small(dims, dims.count()), "pool")
     sizes = t.swaps().select("pool", (F.col("t") - F.col("t") % 86400).alias("bucket"), F.col("volume_usd").cast("double").alias("size"))
     wash = _before(rollup.trader_concentration(t.swaps(), 86400).drop("signers"))
     organic = _before(mixture.organic_share(sizes, ("pool", "bucket")).drop("trades"))
     rows = rows.withColumn("day", F.col("bucket") - F.col("bucket") % 86400).join(wash, ["pool", "day"], "left").join(organic, ["pool", "day"], "left").drop("day")
-    rows = rows.withColumns({
+    return rows.withColumns({
         "dev_peg": F.when(F.col("pool_key") % 4 == 0, F.abs(F.col("close") - 1) / 1000), "age_days": F.col("history_days") + F.when(F.col("pool_key") % 3 == 0, 60).otherwise(25), "pegged": F.col("pool_key") % 4 == 0,
         "major": F.col("pool_key") % 3 == 0, "kill": F.lit(False), "quality": F.when(F.col("tier") == 1, "A").otherwise("B"), "active_liquidity": F.col("active_tvl"), "protocol_share": F.lit(0.1), "disabled": F.col("blacklisted").cast("double"),
     })
-    rows = written(rows, f"rows_{tf}")
-    regime = pipeline.regimes(rows.select("pool", "bucket", "sigma_slow", "sigma_fast", "sufficient", "dev_peg", "age_days", "pegged", "major", "kill"), CFG, width)
-    rows = rows.join(regime, ["pool", "bucket"])
-    before = F.lag("regime").over(windows.by_pool())
-    rows = rows.withColumn("c_fill", F.when(before == "S", 0.75).otherwise(0.5))
-    return pipeline.evaluate(pipeline.with_risk_inputs(rows), CFG)
+
+
+def evaluated_bars(t: Tables, tf: str, bars: DataFrame, states: DataFrame, since: int | None) -> DataFrame:
+    """The pipeline over the bars after `since`, from the states before."""
+    described_ = lambda rows: written(described(t, rows), f"rows_{tf}")
+    return incremental.evaluated(bars, states, described_, CFG, bars_a_day(tf), TIMEFRAMES[tf], since, correlated=tf == "5m")
+
+
+def evaluated(t: Tables, tf: str = "1h") -> DataFrame:
+    """The pipeline over all bars of one timeframe, as one run from no state. The bars are written once, as every stage
+    reads them."""
+    return evaluated_bars(t, tf, written(scoring_bars(t, tf), f"bars_{tf}"), incremental.no_states(t.spark), None)
 
 
 _INDICATORS = ("sigma_gk", "sigma_fast", "sigma_slow", "sigma_d", "phi_mech", "phi_org", "f_hat", "tau_a", "r_gross", "r_org", "y_fee", "vol_tvl", "fee_tvl", "fee_active_tvl", "ranking_key", "v_star")
 
 
+def _significant(name: str, digits: int = 6) -> Column:
+    """Digits after the first one."""
+    x = F.col(name)
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
+    return F.when(x == 0, F.lit(0.0)).when(x.isNotNull(), F.round(x / power, digits) * power).alias(name)
+
+
 def _indicators(t: Tables, tf: str) -> DataFrame:
-    return evaluated(t, tf).select("pool", "bucket", "quality", "regime", "gated", "attractive", *[F.round(c, 9).alias(c) for c in _INDICATORS])
+    return evaluated(t, tf).select("pool", "bucket", "quality", "regime", "gated", "attractive", *[_significant(c) for c in _INDICATORS])
 
 
-@query()
+def _indicators_sql(tf: str) -> str:
+    return scored_sql(CFG, tf, f"select pool, bucket, quality, regime, gated, attractive, {', '.join(f'{significant(c)} as {c}' for c in _INDICATORS)} from scored")
+
+
+@query(_indicators_sql("5m"))
 def indicators_5m(t: Tables) -> DataFrame:
     """Indicators of every pool and five minutes, the daily volatility corrected for autocorrelation."""
     return _indicators(t, "5m")
 
 
-@query()
+@query(_indicators_sql("10m"))
 def indicators_10m(t: Tables) -> DataFrame:
     return _indicators(t, "10m")
 
 
-@query()
+@query(_indicators_sql("1h"))
 def indicators_1h(t: Tables) -> DataFrame:
     """Indicators of every pool and hour."""
     return _indicators(t, "1h")
 
 
-@query()
+@query(_indicators_sql("4h"))
 def indicators_4h(t: Tables) -> DataFrame:
     return _indicators(t, "4h")
 
 
-@query()
+@query(_indicators_sql("24h"))
 def indicators_24h(t: Tables) -> DataFrame:
     return _indicators(t, "24h")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from tidepool.operators.pipeline import Config
+from tidepool.operators.pipeline import Config, suggested
 from tidepool.sources.sinks import append_new
 
 
@@ -124,22 +124,6 @@ def averaged_variance(observations: DataFrame, decay: float) -> DataFrame:
     return observations.groupBy("pool").applyInPandasWithState(_averaged(decay), "pool string, t long, value double", "value double, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
-def _suggested(current: str | None, x, cfg: Config) -> str | None:
-    """The regime that an observation suggests; a missing number (NaN) meets no bound."""
-    if not x.sufficient:
-        return None
-    minor = x.major is not None and not x.major
-    calm = bool(x.pegged) and x.sigma_slow < cfg.s_enter_sigma and x.dev_peg < cfg.s_enter_peg
-    wild = x.sigma_slow > cfg.v2_enter_sigma or x.age_days < cfg.v2_enter_age or minor
-    if current == "S":
-        stays = x.sigma_fast <= cfg.s_exit_sigma and not x.dev_peg > cfg.s_exit_peg
-        return "S" if stays else "V2" if wild else "V1"
-    if current == "V2":
-        stays = x.sigma_slow >= cfg.v2_exit_sigma or x.age_days < cfg.v2_exit_age or minor
-        return "V2" if stays else "S" if calm else "V1"
-    return "S" if calm else "V2" if wild else "V1"
-
-
 def _regimes(cfg: Config, width: int) -> Callable:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         regime, pending, pending_since, changed, seen = state.get if state.exists else (None, None, None, None, None)
@@ -151,7 +135,7 @@ def _regimes(cfg: Config, width: int) -> Callable:
             if seen is not None and t <= seen:
                 continue
             seen = t
-            found = _suggested(regime, x, cfg)
+            found = suggested(regime, x, cfg)
             if x.kill:
                 regime, pending, pending_since, changed = found, None, None, t
             elif found == regime:
