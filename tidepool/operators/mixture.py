@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS, FEWEST = 200, 4
+#: Rates that differ by less than this share are one component, of which the first one's weight counts.
+ALIKE = 1e-6
 #: Sizes are counted on a fine logarithmic grid first, so a group's input is bounded however many trades it has.
 GRID = 400
 
@@ -30,7 +32,7 @@ def fit_share(sizes: np.ndarray, counts: np.ndarray) -> float | None:
         share = min(max(own / n, 1e-6), 1 - 1e-6)
         small = own / own_size if own_size > 0 else small
         large = other / other_size if other_size > 0 else large
-    return float(share if small >= large else 1 - share)
+    return float(share if small >= large * (1 - ALIKE) else 1 - share)
 
 
 def organic_share(trades: DataFrame, keys: Sequence[str] = ("pool",)) -> DataFrame:

@@ -8,24 +8,28 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import enrich, ranking, rollup
 from tidepool.operators.windows import latest_per_key
+from tidepool.plans import trading
 from tidepool.plans.registry import query
-from tidepool.plans.rollup import chain_ctes
-from tidepool.plans.windows import HOURLY, hourly
+from tidepool.plans.rollup import chain_ctes, state_bars_sql, swap_bars_sql
+from tidepool.plans.scoring_sql import scored_sql, significant
 from tidepool.session import written
 from tidepool.sources.adapters import Tables, sql
 
 _TRIO = ("swaps", "snapshots", "liquidity")
 
-#: A stand-in for indicators on the hourly bars: r_org by turnover, quality by tier, regime by bin step.
-_IND = {"ind": "select h.pool, h.bucket, round(h.volume / 100, 6) as r_org, case when p.tier = 1 then 'A' else 'B' end as quality, case when p.bin_step < 40 then 'S' when p.bin_step < 70 then 'V1' else 'V2' end as regime from h join pools p on p.pool = h.pool"}
 
 
-def indicators(t: Tables) -> DataFrame:
-    step = F.col("bin_step")
-    return hourly(t).join(t.pools(), "pool").select(
-        "pool", "bucket", F.round(F.col("volume") / 100, 6).alias("r_org"), F.when(F.col("tier") == 1, "A").otherwise("B").alias("quality"),
-        F.when(step < 40, "S").when(step < 70, "V1").otherwise("V2").alias("regime"),
-    )
+def indicators(t: Tables, tf: str) -> DataFrame:
+    """The evaluated bars of one timeframe."""
+    return trading.evaluated(t, tf).select("pool", "bucket", "quality", "regime", "r_org", "volume_change")
+
+
+def _ranked_sql(tf: str, body: str, **more: str) -> str:
+    """A query over `ind`, the evaluated bars of one timeframe, and `latest`, their last bucket."""
+    return scored_sql(trading.CFG, tf, body, ind="select pool, bucket, quality, regime, r_org, volume_change from scored", latest="select max(bucket) as bucket from scored", **more)
+
+
+_R = significant("r_org")
 
 
 @query(sql("select p.pool, p.bin_step, x.symbol as symbol_x, x.decimals as decimals_x, y.symbol as symbol_y, y.decimals as decimals_y from pools p left join tokens x on x.mint = p.token_x left join tokens y on y.mint = p.token_y", "pools", "tokens"))
@@ -40,33 +44,32 @@ def snapshot_with_satellite(t: Tables) -> DataFrame:
     return own.select("pool", "t", "event_id", F.col("tvl").cast("double").alias("tvl")).join(satellite, ["pool", "t", "event_id"], "left")
 
 
-@query(sql("select i.pool, i.r_org, p.bin_step, p.tier from ind i join pools p on p.pool = i.pool where bucket = (select max(bucket) from ind) order by r_org desc nulls last, i.pool limit 5", "swaps", "pools", **HOURLY, **_IND))
+@query(_ranked_sql("24h", f"select pool, {_R} as r_org, bin_step, tier from (select i.pool, i.r_org, p.bin_step, p.tier from ind i join pools p on p.pool = i.pool where bucket = (select bucket from latest) order by r_org desc nulls last, i.pool limit 5)"))
 def top_pools(t: Tables) -> DataFrame:
-    rows = ranking.latest_bucket(indicators(t)).join(t.pools().select("pool", "bin_step", "tier"), "pool")
-    return ranking.top(rows, "r_org", 5).select("pool", "r_org", "bin_step", "tier")
+    """The pools of the latest day by what they earn over their losses."""
+    rows = ranking.latest_bucket(indicators(t, "24h")).join(t.pools().select("pool", "bin_step", "tier"), "pool")
+    return ranking.top(rows, "r_org", 5).select("pool", trading.significant_column("r_org"), "bin_step", "tier")
 
 
-@query(sql("select pool, bucket, r_org from ind where bucket = (select max(bucket) from ind) and quality = 'A' and r_org >= 0.0 order by r_org desc nulls last, pool", "swaps", "pools", **HOURLY, **_IND))
+@query(_ranked_sql("24h", f"select pool, bucket, {_R} as r_org from ind where bucket = (select bucket from latest) and quality = 'A' and r_org >= 0.0"))
 def potential_pools(t: Tables) -> DataFrame:
-    """Measured pools in the latest bucket, best first."""
-    rows = ranking.wanted(ranking.latest_bucket(indicators(t)), least=0.0)
-    return rows.orderBy(F.desc_nulls_last("r_org"), "pool").select("pool", "bucket", "r_org")
+    """Measured pools in the latest day, best first."""
+    rows = ranking.wanted(ranking.latest_bucket(indicators(t, "24h")), least=0.0)
+    return rows.orderBy(F.desc_nulls_last("r_org"), "pool").select("pool", "bucket", trading.significant_column("r_org"))
 
 
-@query(sql("select pool, bucket, r_org from ind where quality = 'A' and r_org >= 1.0 and regime = 'S'", "swaps", "pools", **HOURLY, **_IND))
+@query(_ranked_sql("1h", f"select pool, bucket, {_R} as r_org from ind where quality = 'A' and r_org >= 1.0 and regime = 'V2'"))
 def potential_history(t: Tables) -> DataFrame:
-    """The same screen over all buckets."""
-    return ranking.wanted(indicators(t), regime="S").select("pool", "bucket", "r_org")
-
-
-_MIN_LATEST = "(select max(bucket) from h)"
+    """The same screen over all hours and one regime."""
+    return ranking.wanted(indicators(t, "1h"), regime="V2").select("pool", "bucket", trading.significant_column("r_org"))
 
 
-@query(sql(f"select h.pool, h.bucket, p.token_x, p.token_y, p.tier, i.quality, h.volume, round(i.r_org, 6) as r_org from h join pools p on p.pool = h.pool join ind i on i.pool = h.pool and i.bucket = h.bucket where h.bucket = {_MIN_LATEST} order by h.volume desc nulls last, h.pool limit 20", "swaps", "pools", **HOURLY, **_IND))
+@query(_ranked_sql(
+    "24h", f"select pool, bucket, token_x, token_y, tier, quality, volume, volume_change, {_R} as r_org from (select b.pool, b.bucket, p.token_x, p.token_y, p.tier, i.quality, b.volume, i.volume_change, i.r_org from b join pools p on p.pool = b.pool join ind i on i.pool = b.pool and i.bucket = b.bucket where b.bucket = (select max(bucket) from b) order by b.volume desc nulls last, b.pool limit 20)"))
 def volume_ranked_pools(t: Tables) -> DataFrame:
-    """Metrics, pools and indicators of the latest bucket, by volume."""
-    out = enrich.volume_ranked(hourly(t), t.pools(), indicators(t).select("pool", "bucket", "quality", "r_org"), 20)
-    return out.select("pool", "bucket", "token_x", "token_y", "tier", "quality", "volume", F.round("r_org", 6).alias("r_org"))
+    """Metrics, pools and indicators of the latest day, by volume."""
+    out = enrich.volume_ranked(trading.scoring_bars(t, "24h").select("pool", "bucket", "volume"), t.pools(), indicators(t, "24h").select("pool", "bucket", "quality", "r_org", "volume_change"), 20)
+    return out.select("pool", "bucket", "token_x", "token_y", "tier", "quality", "volume", "volume_change", trading.significant_column("r_org"))
 
 
 _QUOTES = {"T0": "sol", "T1": "usdc", "T5": "usdt"}
@@ -107,15 +110,16 @@ def enriched_swaps(t: Tables) -> DataFrame:
     return out.select("event_id", "pool", *[F.round(F.col(c) + 1e-12, 9).alias(c) for c in ("start_price", "end_price", "amount_in", "amount_out", "volume_usd", "fee_usd", "protocol_fee_usd")])
 
 
-@query(sql("select pool, bucket, r_org, score from (select pool, bucket, r_org, bucket % 7 as score from ind where bucket = (select max(bucket) from ind) order by r_org desc nulls last, pool limit 10) order by score desc nulls last, r_org desc nulls last, pool limit 2", "swaps", "pools", **HOURLY, **_IND))
+@query(_ranked_sql("24h", f"select pool, bucket, {_R} as r_org, score from (select pool, bucket, r_org, score from (select pool, bucket, r_org, bucket // 86400 * substr(pool, 2)::bigint % 7 as score from ind where bucket = (select bucket from latest) order by r_org desc nulls last, pool limit 10) order by score desc nulls last, r_org desc nulls last, pool limit 2)"))
 def over_fetched_top(t: Tables) -> DataFrame:
-    rows = ranking.latest_bucket(indicators(t)).withColumn("score", F.col("bucket") % 7)
-    return ranking.over_fetched(rows, 2, "r_org", "score").select("pool", "bucket", "r_org", "score")
+    rows = ranking.latest_bucket(indicators(t, "24h")).withColumn("score", F.floor(F.col("bucket") / 86400) * F.substring("pool", 2, 9).cast("long") % 7)
+    return ranking.over_fetched(rows, 2, "r_org", "score").select("pool", "bucket", trading.significant_column("r_org"), "score")
 
 
-@query(sql("select p.pool, p.pool_key from pools p where tier = 0 and not exists (select 1 from ind i where i.pool = p.pool) order by pool_key desc limit 20", "swaps", "pools", **HOURLY, **_IND))
+@query(sql("select p.pool, p.pool_key from pools p where tier = 0 and not exists (select 1 from sb join st on st.pool = sb.pool and st.bucket = sb.bucket where sb.pool = p.pool) order by pool_key desc limit 20", "swaps", "snapshots", "pools", sb=swap_bars_sql(600, traders=False), st=state_bars_sql(600)))
 def never_measured(t: Tables) -> DataFrame:
-    fresh = t.pools().filter("tier = 0").join(indicators(t).select("pool"), "pool", "left_anti")
+    """Pools without a 10-minute indicator: those without a bar, as every bar is evaluated."""
+    fresh = t.pools().filter("tier = 0").join(trading.scoring_bars(t, "10m").select("pool"), "pool", "left_anti")
     return fresh.orderBy(F.desc("pool_key")).limit(20).select("pool", "pool_key")
 
 

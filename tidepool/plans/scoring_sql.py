@@ -4,13 +4,15 @@ recursion over its rounds, everything else by windows and plain expressions. Num
 from __future__ import annotations
 
 from tidepool.operators.incremental import LOOKBACK
-from tidepool.operators.mixture import FEWEST, GRID, ROUNDS
+from tidepool.operators.mixture import ALIKE, FEWEST, GRID, ROUNDS
 from tidepool.operators.pipeline import Config
 from tidepool.plans.rollup import state_bars_sql, swap_bars_sql
 from tidepool.schemas import TIMEFRAMES, bars_a_day
 from tidepool.sources.adapters import sql
 
 _W = "partition by pool order by bucket"
+#: Signers of a day from which on their shares are a screen for wash trading.
+SCREENED = 50
 
 
 def _rows(first: int, last: str = "current row") -> str:
@@ -42,7 +44,7 @@ def _bars(tf: str) -> dict[str, str]:
         "b": "select sb.pool, sb.bucket, sb.open::double as open, sb.high::double as high, sb.low::double as low, sb.close::double as close, sb.volume::double * 10000 as volume, sb.fee_milli::double * 10 as fee, sb.swap_count as trades, st.tvl_close::double * 100 as tvl, st.active_tvl_close::double * 10 as active_tvl from sb join st on st.pool = sb.pool and st.bucket = sb.bucket",
         "h": f"""select *, coalesce(sum(volume) over {_rows(day - 1)}, 0) as vol_24h, {ratio(hour)} as fee_tvl_1h, {ratio(day)} as fee_tvl_24h, {ratio(week)} as fee_tvl_7d,
           case when count(*) over {_rows(2 * day - 1)} >= {2 * day} and {prior} > 0 then (coalesce({total('volume', day)}, 0) - {prior}) / {prior} else 0 end as volume_trend,
-          (bucket - first(bucket) over ({_W})) / 86400.0::double as history_days, 0.5 * pow(ln(high / low), 2) - (2 * ln(2) - 1) * pow(ln(close / open), 2) as sigma_gk, row_number() over ({_W}) as i from b""",
+          (bucket - first(bucket) over ({_W})) / 86400.0::double as history_days, 0.5 * pow(ln(high / low), 2) - (2 * ln(2) - 1) * pow(ln(close / open), 2) as sigma_gk, volume - lag(volume) over ({_W}) as volume_change, row_number() over ({_W}) as i from b""",
         "rr": f"select pool, bucket, close, lag(close) over ({_W}) as p from b",
         "ret": f"select pool, bucket, r{lags} from (select pool, bucket, ln(close / p) as r from rr where p > 0 and close > 0)",
         "frames": f"select pool, bucket, count(*) over {_rows(begin)} as n, avg(r) over {_rows(begin)} as m, sum(r * r) over {_rows(begin)} / count(*) over {_rows(begin)} as q{sums} from ret",
@@ -50,10 +52,10 @@ def _bars(tf: str) -> dict[str, str]:
     }
 
 
-_WASH = """select pool, bucket + 86400 as day, sum(volume) filter (rn <= 5)::double / sum(volume)::double as top_share, 2 * sum(least(buy, sell))::double / sum(volume)::double as round_trip from (
+_WASH = f"""select pool, bucket + 86400 as day, sum(volume) filter (rn <= 5)::double / sum(volume)::double as top_share, 2 * sum(least(buy, sell))::double / sum(volume)::double as round_trip from (
   select *, row_number() over (partition by pool, bucket order by volume desc, signer) as rn from (
     select pool, t - t % 86400 as bucket, signer, sum(volume_usd) as volume, coalesce(sum(volume_usd) filter (not swap_for_y), 0) as buy, coalesce(sum(volume_usd) filter (swap_for_y), 0) as sell
-    from swaps group by pool, t - t % 86400, signer)) group by pool, bucket"""
+    from swaps group by pool, t - t % 86400, signer)) group by pool, bucket having count(*) >= {SCREENED}"""
 _CELLS = f"select pool, t - t % 86400 as bucket, case when volume_usd > 0 then floor(ln(volume_usd::double) * {GRID}) else -1e12 end as cell, avg(volume_usd::double) as size, count(*)::double as n from swaps group by all"
 _PART = "(share * small * exp(-small * size))"
 _OTHER = "((1 - share) * large * exp(-large * size))"
@@ -119,7 +121,7 @@ def scored_ctes(cfg: Config, tf: str) -> dict[str, str]:
       case when p.tier = 1 then 'A' else 'B' end as quality, p.bin_step, p.base_factor, p.base_power, p.vfc, p.tier, p.blacklisted, w.top_share, w.round_trip, o.phi_size, h.history_days >= {0} as sufficient
       from h join pools p on p.pool = h.pool left join wash w on w.pool = h.pool and w.day = h.bucket - h.bucket % 86400 left join organic o on o.pool = h.pool and o.day = h.bucket - h.bucket % 86400"""
     return {
-        **_bars(tf), "wash": _WASH, "cells": _CELLS, "fit": _FIT, "organic": f"select pool, bucket + 86400 as day, case when small >= large then share else 1 - share end as phi_size from fit where k = {ROUNDS}",
+        **_bars(tf), "wash": _WASH, "cells": _CELLS, "fit": _FIT, "organic": f"select pool, bucket + 86400 as day, case when small >= large * (1 - {ALIKE}) then share else 1 - share end as phi_size from fit where k = {ROUNDS}",
         "d": described.format(cfg.history_days), "fold": _regimes(cfg, TIMEFRAMES[tf]), **_stages(cfg, tf),
     }
 

@@ -11,7 +11,7 @@ from tidepool.functions.checks import as_text
 from tidepool.operators import incremental, ledger, mixture, ops, pipeline, ranking, rollup, windows
 from tidepool.plans.registry import query
 from tidepool.plans.rollup import chain_ctes, state_bars_sql
-from tidepool.plans.scoring_sql import scored_sql, significant
+from tidepool.plans.scoring_sql import SCREENED, scored_sql, significant
 from tidepool.plans.windows import HOURLY, hourly
 from tidepool.schemas import TIMEFRAMES, bars_a_day
 from tidepool.session import written
@@ -36,11 +36,12 @@ def scoring_bars(t: Tables, tf: str) -> DataFrame:
 
 def described(t: Tables, rows: DataFrame) -> DataFrame:
     """Bars with what the stages need to know of their pools: every second pool is measured, every third is a major
-    token's; wash screens and the mixture fit are those of the day before."""
+    token's; wash screens and the mixture fit are those of the day before. A day of few signers says nothing of wash
+    trading and gives no screen."""
     dims = t.pools().select("pool", "pool_key", "bin_step", "base_factor", "base_power", "vfc", "tier", "blacklisted")
     rows = rows.join(ranking.small(dims, dims.count()), "pool")
     sizes = t.swaps().select("pool", (F.col("t") - F.col("t") % 86400).alias("bucket"), F.col("volume_usd").cast("double").alias("size"))
-    wash = _before(rollup.trader_concentration(t.swaps(), 86400).drop("signers"))
+    wash = _before(rollup.trader_concentration(t.swaps(), 86400).filter(F.col("signers") >= SCREENED).drop("signers"))
     organic = _before(mixture.organic_share(sizes, ("pool", "bucket")).drop("trades"))
     rows = rows.withColumn("day", F.col("bucket") - F.col("bucket") % 86400).join(wash, ["pool", "day"], "left").join(organic, ["pool", "day"], "left").drop("day")
     return rows.withColumns({
@@ -64,7 +65,7 @@ def evaluated(t: Tables, tf: str = "1h") -> DataFrame:
 _INDICATORS = ("sigma_gk", "sigma_fast", "sigma_slow", "sigma_d", "phi_mech", "phi_org", "f_hat", "tau_a", "r_gross", "r_org", "y_fee", "vol_tvl", "fee_tvl", "fee_active_tvl", "ranking_key", "v_star")
 
 
-def _significant(name: str, digits: int = 6) -> Column:
+def significant_column(name: str, digits: int = 6) -> Column:
     """Digits after the first one."""
     x = F.col(name)
     power = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
@@ -72,7 +73,7 @@ def _significant(name: str, digits: int = 6) -> Column:
 
 
 def _indicators(t: Tables, tf: str) -> DataFrame:
-    return evaluated(t, tf).select("pool", "bucket", "quality", "regime", "gated", "attractive", *[_significant(c) for c in _INDICATORS])
+    return evaluated(t, tf).select("pool", "bucket", "quality", "regime", "gated", "attractive", *[significant_column(c) for c in _INDICATORS])
 
 
 def _indicators_sql(tf: str) -> str:
