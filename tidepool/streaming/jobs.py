@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tidepool.operators import barstore
 from tidepool.operators.pipeline import Config, suggested
 from tidepool.sources.sinks import append_new
 
@@ -193,6 +194,21 @@ def append_sink(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def refreshing(stream: DataFrame, where: str, checkpoint: str, every: str | None = None):
+    """Starts a job over 10-minute bars as they come in or are corrected: a batch's bars are merged into the stored ones
+    (the last of a pool and bucket counts), and the coarser bars of the look-back are made anew. A batch that is run
+    again changes nothing."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        if rows.isEmpty():
+            return
+        barstore.upsert(rows.dropDuplicates(["pool", "bucket"]), where, "10m")
+        barstore.refresh(rows.sparkSession, where, barstore.newest(barstore.bars(rows.sparkSession, where, "10m")))
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def watched(stream: DataFrame, watch_set: Callable[[], DataFrame], write: Callable[[DataFrame], None], checkpoint: str):
     """Starts a job that keeps each batch's rows of watched pools; the set is read anew for every batch."""
 
