@@ -112,6 +112,32 @@ def test_replaying_a_batch_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
+def test_appends_read_the_partitions_of_their_days_only(spark, tmp_path):
+    path, day = str(tmp_path / "t"), 86_400
+    first = spark.createDataFrame([(1, 5, "a"), (2, day + 5, "b"), (3, 9 * day, "c")], "id int, t long, v string")
+    second = spark.createDataFrame([(2, day + 5, "x"), (4, day + 6, "d"), (4, day + 6, "d")], "id int, t long, v string")
+    for batch in (first, second, first, second):
+        sinks.append_new(batch, path, ["id", "t"], time="t")
+    table = spark.read.parquet(path)
+    assert sorted((r.id, r.day, r.v) for r in table.collect()) == [(1, 0, "a"), (2, 1, "b"), (3, 9, "c"), (4, 1, "d")]
+    batch = second.withColumn("day", F.floor(F.col("t") / day))
+    plan = sinks.new_rows(batch, sinks.of_days(table, batch), ["id", "t"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "(day" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_one_quote_token_of_many_swaps(spark):
+    """Prices as of each swap, whatever the pieces are, with one token that holds all swaps."""
+    from tidepool.operators import enrich
+
+    swaps = spark.createDataFrame([("T", i * 37 % 9000) for i in range(300)] + [("U", 5)], "token_y string, t long")
+    quotes = [("T", i * 211, float(i)) for i in range(2, 40)]
+    prices = spark.createDataFrame([*quotes, ("U", 6, 1.0)], "mint string, t long, usd double")
+    for piece in (1, 300, 100_000):
+        for r in enrich.quoted(swaps, prices, piece).collect():
+            seen = [usd for m, t, usd in quotes if m == r.token_y and t <= r.t]
+            assert r.quote_usd == (seen[-1] if seen else None)
+
+
 def test_parts_are_completed_by_a_second_run(spark, tmp_path):
     batch = spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0)], "id int, v string, x double")
     parts = {str(tmp_path / "one"): ["id", "v"], str(tmp_path / "two"): ["id", "x"]}

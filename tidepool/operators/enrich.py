@@ -11,25 +11,26 @@ from tidepool.functions import prices, scalar
 FEE_BPS = 10_000.0
 
 
-def quoted(swaps: DataFrame, quotes: DataFrame, day: int = 86_400) -> DataFrame:
-    """swaps with quote_usd, the quote token's last price at or before each swap. Both sides are dealt by (token_y, day),
-    and the last price of the days before is carried into each day, so no task holds a token's whole history.
+def quoted(swaps: DataFrame, quotes: DataFrame, piece: int = 300) -> DataFrame:
+    """swaps with quote_usd, the quote token's last price at or before each swap. Both sides are dealt by token_y and
+    `piece` seconds, and the last price before is carried into each piece, so one token may hold all swaps: a task holds
+    five minutes of it, and the carried prices have a row a token and piece.
 
     swaps: token_y, t. quotes: mint, t, usd.
     """
-    of_day = lambda c: F.floor(F.col(c) / day)
-    prices = quotes.select(F.col("mint").alias("token_y"), F.col("t").alias("seen"), "usd").withColumn("day", of_day("seen"))
-    rows = swaps.withColumn("day", of_day("t"))
-    last = prices.groupBy("token_y", "day").agg(F.max_by("usd", "seen").alias("usd"))
-    # a row a day and token: the close that each day begins with
-    days = rows.select("token_y", "day").unionByName(prices.select("token_y", "day")).distinct().join(last, ["token_y", "day"], "left")
-    before = W.partitionBy("token_y").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    opening = days.select("token_y", "day", F.last("usd", ignorenulls=True).over(before).alias("opening"))
+    of_piece = lambda c: F.floor(F.col(c) / piece)
+    prices = quotes.select(F.col("mint").alias("token_y"), F.col("t").alias("seen"), "usd").withColumn("piece", of_piece("seen"))
+    rows = swaps.withColumn("piece", of_piece("t"))
+    last = prices.groupBy("token_y", "piece").agg(F.max_by("usd", "seen").alias("usd"))
+    # a row a piece and token: the price that each piece begins with
+    pieces = rows.select("token_y", "piece").unionByName(prices.select("token_y", "piece")).distinct().join(last, ["token_y", "piece"], "left")
+    before = W.partitionBy("token_y").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    opening = pieces.select("token_y", "piece", F.last("usd", ignorenulls=True).over(before).alias("opening"))
     both = rows.withColumns({"at": F.col("t"), "side": F.lit(1), "usd": F.lit(None).cast("double")}).unionByName(
-        prices.select("token_y", "day", F.col("seen").alias("at"), F.lit(0).alias("side"), F.col("usd").cast("double")), allowMissingColumns=True
+        prices.select("token_y", "piece", F.col("seen").alias("at"), F.lit(0).alias("side"), F.col("usd").cast("double")), allowMissingColumns=True
     )
-    w = W.partitionBy("token_y", "day").orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0)
-    seen = both.withColumn("usd", F.last("usd", ignorenulls=True).over(w)).filter("side = 1").join(opening, ["token_y", "day"])
+    w = W.partitionBy("token_y", "piece").orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0)
+    seen = both.withColumn("usd", F.last("usd", ignorenulls=True).over(w)).filter("side = 1").join(opening, ["token_y", "piece"])
     return seen.withColumn("quote_usd", F.coalesce("usd", "opening")).select(*swaps.columns, "quote_usd")
 
 

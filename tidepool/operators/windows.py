@@ -192,11 +192,13 @@ def recent(rows: DataFrame, n: int, until: int | None = None) -> DataFrame:
 def cooled(signals: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
     """Signals that are sent: a key's first, and each one at least `seconds` after the last sent. The choice depends
     on the one before, so a key's times are folded in order."""
-    # a time that follows the one before by `seconds` is always sent: the folds begin anew there
-    by = W.partitionBy(*keys).orderBy("t")
-    begins = F.coalesce(F.col("t") - F.lag("t").over(by) >= seconds, F.lit(True))
-    pieces = signals.select(*keys, "t").distinct().withColumn("__begins", begins.cast("int")).withColumn("__piece", F.sum("__begins").over(by))
-    times = pieces.groupBy(*keys, "__piece").agg(F.array_sort(F.collect_list("t")).alias("__ts"))
+    # a time that follows the one before by `seconds` is always sent: the folds begin anew there. Both windows go over
+    # days of a key with what the days before carry over
+    begins = F.coalesce(F.col("t") - F.col("__before.t") >= seconds, F.lit(True)).cast("long")
+    times_before = with_state_before(signals.select(*keys, "t").distinct(), keys, ["t"], ["t"])
+    begun = times_before.select(*keys, "t", begins.alias("__begins"))
+    pieces = running_sum(begun, keys, ["t"], "__begins", "__fold")
+    times = pieces.groupBy(*keys, "__fold").agg(F.array_sort(F.collect_list("t")).alias("__ts"))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("sent"))
 
     def merge(acc: Column, t: Column) -> Column:

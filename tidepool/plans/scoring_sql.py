@@ -56,7 +56,7 @@ _WASH = f"""select pool, bucket + 86400 as day, sum(volume) filter (rn <= 5)::do
   select *, row_number() over (partition by pool, bucket order by volume desc, signer) as rn from (
     select pool, t - t % 86400 as bucket, signer, sum(volume_usd) as volume, coalesce(sum(volume_usd) filter (not swap_for_y), 0) as buy, coalesce(sum(volume_usd) filter (swap_for_y), 0) as sell
     from swaps group by pool, t - t % 86400, signer)) group by pool, bucket having count(*) >= {SCREENED}"""
-_CELLS = f"select pool, t - t % 86400 as bucket, case when volume_usd > 0 then floor(ln(volume_usd::double) * {GRID}) else -1e12 end as cell, avg(volume_usd::double) as size, count(*)::double as n from swaps group by all"
+_CELLS = f"select pool, bucket, case when volume_usd > 0 then floor(ln(volume_usd::double) * {GRID}) else -1e12 end as cell, avg(volume_usd::double) as size, count(*)::double as n from ({{rows}}) group by all"
 _PART = "(share * small * exp(-small * size))"
 _OTHER = "((1 - share) * large * exp(-large * size))"
 _FIT = f"""select pool, bucket, 0 as k, sum(n) as n, 0.5::double as share, 2 / (sum(size * n) / sum(n)) as small, 2 / (3 * (sum(size * n) / sum(n))) as large from cells group by pool, bucket having sum(n) >= {FEWEST} and sum(size * n) > 0
@@ -121,11 +121,16 @@ def scored_ctes(cfg: Config, tf: str) -> dict[str, str]:
       case when p.tier = 1 then 'A' else 'B' end as quality, p.bin_step, p.base_factor, p.base_power, p.vfc, p.tier, p.blacklisted, w.top_share, w.round_trip, o.phi_size, h.history_days >= {0} as sufficient
       from h join pools p on p.pool = h.pool left join wash w on w.pool = h.pool and w.day = h.bucket - h.bucket % 86400 left join organic o on o.pool = h.pool and o.day = h.bucket - h.bucket % 86400"""
     return {
-        **_bars(tf), "wash": _WASH, "cells": _CELLS, "fit": _FIT, "organic": f"select pool, bucket + 86400 as day, case when small >= large * (1 - {ALIKE}) then share else 1 - share end as phi_size from fit where k = {ROUNDS}",
+        **_bars(tf), "wash": _WASH, "cells": _CELLS.format(rows="select pool, t - t % 86400 as bucket, volume_usd from swaps"), "fit": _FIT, "organic": f"select pool, bucket + 86400 as day, case when small >= large * (1 - {ALIKE}) then share else 1 - share end as phi_size from fit where k = {ROUNDS}",
         "d": described.format(cfg.history_days), "fold": _regimes(cfg, TIMEFRAMES[tf]), **_stages(cfg, tf),
     }
 
 
+def fit_sql(rows: str, body: str, *names: str) -> str:
+    """A query over `fit`, the rounds of the mixture fit of rows (pool, bucket, volume_usd)."""
+    return sql(body.format(alike=ALIKE, rounds=ROUNDS), *names, cells=_CELLS.format(rows=rows), fit=_FIT).replace("with ", "with recursive ", 1)
+
+
 def scored_sql(cfg: Config, tf: str, body: str, *names: str, **more: str) -> str:
     """A query over `scored` and other logical tables."""
     return sql(body, "swaps", "snapshots", "pools", *names, **scored_ctes(cfg, tf), **more).replace("with ", "with recursive ", 1)

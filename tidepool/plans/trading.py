@@ -11,7 +11,7 @@ from tidepool.functions.checks import as_text
 from tidepool.operators import incremental, ledger, mixture, ops, pipeline, ranking, rollup, windows
 from tidepool.plans.registry import query
 from tidepool.plans.rollup import chain_ctes, state_bars_sql
-from tidepool.plans.scoring_sql import SCREENED, scored_sql, significant
+from tidepool.plans.scoring_sql import SCREENED, fit_sql, scored_sql, significant
 from tidepool.plans.windows import HOURLY, hourly
 from tidepool.schemas import TIMEFRAMES, bars_a_day
 from tidepool.session import written
@@ -154,7 +154,7 @@ def ranking_formulas(t: Tables) -> DataFrame:
     )
 
 
-@query()
+@query(fit_sql("select pool, 0 as bucket, volume_usd from trades", "select pool, round(case when small >= large * (1 - {alike}) then share else 1 - share end, 6) as phi_size, trades from (select pool, count(*) as trades from trades group by pool) left join (select * from fit where k = {rounds}) using (pool)", "trades"))
 def organic_share(t: Tables) -> DataFrame:
     """The mixture fit of each pool's trade sizes."""
     out = mixture.organic_share(t.trades().select("pool", F.col("volume_usd").cast("double").alias("size")))

@@ -17,17 +17,23 @@ def new_rows(batch: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFra
     return batch.dropDuplicates(list(key)).join(target.select(*key), list(key), "left_anti")
 
 
+def of_days(target: DataFrame, batch: DataFrame) -> DataFrame:
+    """The target's rows of the batch's days: of a table partitioned by day only those partitions are read."""
+    return target.filter(F.col("day").isin([r.day for r in batch.select("day").distinct().collect()]))
+
+
 def append_new(batch: DataFrame, path: str, key: Sequence[str], partition: Sequence[str] = (), time: str | None = None) -> None:
-    """Appends the batch's new rows to a parquet table, which need not exist yet. With `time`, a column of the key, only
-    the table's rows between the batch's first and last time are read, which the reader prunes by."""
+    """Appends the batch's new rows to a parquet table, which need not exist yet. With `time`, a column of the key in
+    epoch seconds, the table is partitioned by its day first, and only the partitions of the batch's days are read."""
     spark = batch.sparkSession
+    if time:
+        batch, partition = batch.withColumn("day", F.floor(F.col(time) / 86_400)), ["day", *partition]
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
     target = spark.read.parquet(path) if there else None
     if there and time:
-        first, last = batch.agg(F.min(time), F.max(time)).first()
-        target = target.filter(F.col(time).between(first, last)) if first is not None else target.limit(0)
+        target = of_days(target, batch)
     rows = new_rows(batch, target, key) if there else batch.dropDuplicates(list(key))
     rows.write.mode("append").partitionBy(*partition).parquet(path)
 

@@ -169,7 +169,7 @@ def _field_changes(fields: Sequence[str]) -> Callable:
         out = []
         for frame in frames:
             for t, *values in frame.sort_values("t")[["t", *fields]].itertuples(index=False):
-                now = tuple(int(v) for v in values)
+                now = tuple(None if pd.isna(v) else int(v) for v in values)
                 if last is not None:
                     out += [(key[0], t, f, old, new) for f, old, new in zip(fields, last, now, strict=True) if old != new]
                 last = now
@@ -187,10 +187,11 @@ def parameter_changes(reads: DataFrame, fields: Sequence[str] = ("a", "b")) -> D
     return reads.groupBy("pool").applyInPandasWithState(_field_changes(fields), "pool string, t long, field string, old_value long, new_value long", kept, "append", GroupStateTimeout.NoTimeout)
 
 
-def append_sink(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str], every: str | None = None):
+def append_sink(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str], every: str | None = None, time: str | None = None):
     """Starts an idempotent append: a batch's rows are written unless their key is there already, and only then is the
-    batch committed. Without `every` it takes what is there and ends."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: append_new(batch, path, key))
+    batch committed. With `time`, a column of the key in epoch seconds, a batch reads the table's partitions of its own
+    days only. Without `every` it takes what is there and ends."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: append_new(batch, path, key, time=time))
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
