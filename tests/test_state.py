@@ -96,6 +96,17 @@ def test_pieces_of_a_history_carry_over(spark, piece):
     assert found == {1: (None, None), 2: (1, 1), 3: (None, 6), 4: (5, 21), 5: (5, 41), 6: (None, None), 7: (None, None)}
 
 
+def test_exits_look_back_on_ninety_six_hours(spark):
+    hour = 3600
+    low = lambda h: h not in (3, 120)
+    rows = [("p", h * hour, 0.1 if low(h) else 5.0, 9.0, "V1", 60.0, 1.0) for h in range(0, 300, 3)]
+    df = spark.createDataFrame(rows, "pool string, bucket long, r_org double, vol_tvl double, regime string, age_days double, volume_trend double")
+    found = {r.bucket // hour: {i.signal: i.observed for i in r.exit_items} for r in pipeline.exits(df, CFG).collect()}
+    below = {h: x["r_org_exit_persistence_hours"] for h, x in found.items()}
+    assert (below[0], below[3], below[6], below[99], below[102], below[117], below[120], below[123], below[150], below[297]) == (0, 0, 0, 93, 96, 96, 0, 0, 27, 96)
+    assert all(x["vol_tvl_exit_persistence_hours"] == 0 for x in found.values())
+
+
 def test_risk_gate_records_every_check(spark):
     row = pipeline.with_risk_inputs(spark.createDataFrame([("V2", 10.0, 1.0)], "regime string, age_days double, mint_authority double"))
     items = row.select(pipeline.risk_items(CFG).alias("i")).first().i

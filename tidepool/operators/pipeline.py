@@ -292,16 +292,23 @@ def evaluate(rows: DataFrame, cfg: Config) -> DataFrame:
     return out.drop("vol_items", "risk", "rank_items", "size_cap", "phi_observed", "regime_item", "has_regime")
 
 
+#: Hours of a pool's history that exits look back on.
+EXIT_HOURS = 96
+
+
 def exits(rows: DataFrame, cfg: Config) -> DataFrame:
     """Adds `exit_items` and `exit` to evaluated rows: how long r_org and vol/TVL have been below their exit bounds
-    (twice as long at weekends), volume decay, and a jump in the fee (column fee_multiplier, nullable)."""
+    (twice as long at weekends), volume decay, and a jump in the fee (column fee_multiplier, nullable). Nothing looks
+    back further than EXIT_HOURS, which no bound exceeds."""
+    earliest = F.min("bucket").over(by_pool().rangeBetween(-EXIT_HOURS * 3600, 0))
 
     def hours(df: DataFrame, value: str, bound: Column, out: str) -> DataFrame:
-        """Hours since the first of the unbroken run of bars below the bound; 0 where it isn't below."""
+        """Hours since the first of the unbroken run of bars below the bound within the look-back; 0 where it isn't
+        below."""
         below = F.coalesce(F.col(value) < bound, F.lit(False))
         runs = df.withColumn("__run", F.count_if(~below).over(by_pool()))
         first = F.min(F.when(below, F.col("bucket"))).over(W.partitionBy("pool", "__run"))
-        return runs.withColumn(out, F.when(below, (F.col("bucket") - first) / 3600.0).otherwise(F.lit(0.0))).drop("__run")
+        return runs.withColumn(out, F.when(below, (F.col("bucket") - F.greatest(first, earliest)) / 3600.0).otherwise(F.lit(0.0))).drop("__run")
 
     weekend = F.when(scalar.is_weekend(F.col("bucket")), 2.0).otherwise(1.0)
     young = (F.col("regime") == "V2") & (F.col("age_days") < cfg.v2_enter_age)
