@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.session import shared_dir
+
 #: Bytes hashed at once; a longer text is hashed alone.
 CHUNK_BYTES = 1 << 20
 
@@ -29,16 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it. Where it names none, a folder in the
-    warehouse is taken, which they share as well."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared-steps"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 _STEPS: dict[str, SparkSession] = {}
 _SCOPE = threading.local()
 
