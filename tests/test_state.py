@@ -136,6 +136,19 @@ def test_appends_read_the_partitions_of_their_days_only(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in plan and "(day" in plan.split("PartitionFilters")[1][:80]
 
 
+def test_retention_drops_whole_days_by_policy(spark, tmp_path):
+    from tidepool.sources import tables
+
+    day = 86_400
+    for name in ("swaps", "bins", "kept"):
+        spark.createDataFrame([(d, d * day + 5) for d in range(10)], "day long, t long").write.partitionBy("day").parquet(str(tmp_path / name))
+    policy = spark.createDataFrame([("swaps", 7), ("bins", 2), ("none", 1)], "table string, days int")
+    for want in ([f"bins/day={d}" for d in range(7)] + ["swaps/day=0", "swaps/day=1"], []):
+        assert sinks.retire(spark, str(tmp_path), policy, 9 * day + 100) == want
+    left = {n: sorted(r.day for r in tables.read(spark, str(tmp_path / n)).select("day").distinct().collect()) for n in ("swaps", "bins", "kept")}
+    assert left == {"swaps": list(range(2, 10)), "bins": [7, 8, 9], "kept": list(range(10))}
+
+
 def test_one_quote_token_of_many_swaps(spark):
     """Prices as of each swap, whatever the pieces are, with one token that holds all swaps."""
     from tidepool.operators import enrich

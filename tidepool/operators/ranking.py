@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,6 +61,18 @@ def pool_detail(frames: dict[str, DataFrame], column: str) -> DataFrame:
     return rows.groupBy("pool").pivot("tf", list(frames)).agg(F.first("value"))
 
 
+def whole_pool_detail(pools: DataFrame, frames: dict[str, DataFrame], columns: Sequence[str]) -> DataFrame:
+    """Every pool with its summary and, for each timeframe, all columns of its latest bar (`column_timeframe`; null
+    without one). All timeframes go through one aggregation by pool, so bars are combined before they are shuffled."""
+    rows = None
+    for name, df in frames.items():
+        own = df.select("pool", F.lit(name).alias("tf"), *columns)
+        rows = own if rows is None else rows.unionByName(own)
+    latest = rows.groupBy("pool").agg(*[F.max_by(F.struct(*columns), F.when(F.col("tf") == name, F.col("bucket"))).alias(f"__{name}") for name in frames])
+    shown = [F.col(f"__{name}")[c].alias(f"{c}_{name}") for name in frames for c in columns]
+    return pools.join(latest, "pool", "left").select(*pools.columns, *shown)
+
+
 def tier_changes(ranked: DataFrame, pools: DataFrame, measured: DataFrame, open_: DataFrame, cap: int = 100, exploration: float = 0.1, margin: int = 20) -> DataFrame:
     """pool, change: which pools to promote and demote.
 

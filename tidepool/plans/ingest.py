@@ -334,3 +334,19 @@ def compacted_events(t: Tables) -> DataFrame:
 def flush_progress(t: Tables) -> DataFrame:
     """Highest slot and rows of every flush, here a day."""
     return t.events().groupBy(F.floor(F.col("t") / 86400).alias("batch")).agg(F.max(F.floor(F.col("t") / 60)).alias("max_slot"), F.count("*").alias("rows_written"), F.count_if(F.col("event_type") == "view").alias("skipped"))
+
+
+_INTENTS = "select o_orderkey as intent, o_custkey % 40 as wallet, o_orderkey // 7 % 900 as idempotency_key, case when o_orderkey % 3 <> 0 then 's' || (o_orderkey // 5) end as signature, (o_orderkey % 6)::integer as action, case when o_orderkey % 11 <> 0 then (o_orderkey % 5)::integer end as status from orders"
+
+
+@query(sql(
+    """select 'intent action' as rule, intent::varchar as key from i where action not in (0, 1, 2, 3, 4) union all select 'intent status', intent::varchar from i where status not in (0, 1, 2, 3)
+    union all select 'one signature', signature from i where signature is not null group by signature having count(*) > 1 union all select 'one key a wallet', wallet || '|' || idempotency_key from i group by wallet, idempotency_key having count(*) > 1""", i=_INTENTS))
+def intent_audit(t: Tables) -> DataFrame:
+    """Broken rules of transaction intents: allowed actions and states, signatures and idempotency keys that occur once."""
+    k = F.col("o_orderkey")
+    rows = t.raw("orders").select(
+        k.alias("intent"), (F.col("o_custkey") % 40).alias("wallet"), (F.floor(k / 7) % 900).alias("idempotency_key"), F.when(k % 3 != 0, F.concat(F.lit("s"), F.floor(k / 5).cast("string"))).alias("signature"),
+        (k % 6).cast("int").alias("action"), F.when(k % 11 != 0, (k % 5).cast("int")).alias("status"),
+    )
+    return sinks.audited(rows, ["intent"], {"intent action": ("action", range(5)), "intent status": ("status", range(4))}, {"one signature": ["signature"], "one key a wallet": ["wallet", "idempotency_key"]})

@@ -10,7 +10,7 @@ from tidepool.operators import enrich, ranking, rollup
 from tidepool.operators.windows import latest_per_key
 from tidepool.plans import trading
 from tidepool.plans.registry import query
-from tidepool.plans.rollup import chain_ctes, state_bars_sql, swap_bars_sql
+from tidepool.plans.rollup import bars_ctes, chain_ctes, state_bars_sql, swap_bars_sql
 from tidepool.plans.scoring_sql import scored_sql, significant
 from tidepool.session import written
 from tidepool.sources.adapters import Tables, sql
@@ -145,6 +145,23 @@ def pool_detail(t: Tables) -> DataFrame:
     return ranking.pool_detail({tf: every[tf].select("pool", "bucket", F.col("close").cast("double").alias("close")) for tf in ("1h", "4h", "24h")}, "close")
 
 
+_DETAIL = ("bucket", "volume", "buy_volume", "sell_volume", "swap_count", "unique_traders", "open", "high", "low", "close", "tvl_close", "active_tvl_close", "active_bin_close", "net_deposit", "add_count", "remove_count")
+_EXACT = ("volume", "buy_volume", "sell_volume", "open", "high", "low", "close", "tvl_close", "active_tvl_close", "net_deposit")
+_FRAMES = {"5m": "bars300", "10m": "bars600", "1h": "c1h", "4h": "c4h", "24h": "c24h"}
+_DETAIL_SQL = ", ".join(f"l{tf}.{c}{'::double' if c in _EXACT else ''} as {c}_{tf}" for tf in _FRAMES for c in _DETAIL)
+_DETAIL_JOINS = " ".join(f"left join (select * from {name} qualify row_number() over (partition by pool order by bucket desc) = 1) l{tf} on l{tf}.pool = p.pool" for tf, name in _FRAMES.items())
+
+
+@query(sql(f"select p.pool, p.token_x, p.token_y, p.tier, p.bin_step, p.base_factor, p.blacklisted, {_DETAIL_SQL} from pools p {_DETAIL_JOINS}", *_TRIO, "pools", **bars_ctes(300), **chain_ctes("24h")))
+def whole_pool_detail(t: Tables) -> DataFrame:
+    """Every pool's summary with all columns of its latest bar of five timeframes."""
+    raw = t.swaps(), t.snapshots(), t.liquidity()
+    every = {"5m": rollup.bars(*raw, 300), **rollup.frames(written(rollup.bars(*raw, 600), "bars_10m"))}
+    shown = [F.col(c).cast("double").alias(c) if c in _EXACT else F.col(c) for c in _DETAIL]
+    summary = t.pools().select("pool", "token_x", "token_y", "tier", "bin_step", "base_factor", "blacklisted")
+    return ranking.whole_pool_detail(summary, {tf: every[tf].select("pool", *shown) for tf in _FRAMES}, _DETAIL)
+
+
 @query(sql("select s.pool, s.t, s.event_id as point_id, h.price::double as price, h.t as seen from snapshots s asof left join (select pool, t, max_by(price, event_id) as price from swaps group by pool, t) h on h.pool = s.pool and h.t <= s.t", *_TRIO[:2]))
 def price_as_of(t: Tables) -> DataFrame:
     """The last swap price at or before each snapshot."""

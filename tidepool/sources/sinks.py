@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidepool.sources import tables
+
 
 def new_rows(batch: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFrame:
     """The batch's rows, once for each key, that the target doesn't hold: appending them twice changes nothing."""
@@ -92,12 +94,43 @@ def retained(rows: DataFrame, time: str, days: int, now: int) -> DataFrame:
     return rows.filter(F.col(time) >= now - days * 86400)
 
 
+def retire(spark: SparkSession, where: str, policy: DataFrame, now: int, unit: int = 86_400) -> list[str]:
+    """Drops the day partitions of tables below `where` that a policy (table, days) no longer keeps, and returns their
+    paths. A day goes when all of it is older than its table's days; no file is read or rewritten. Tables without a
+    policy, and those that don't exist, are left alone. The policy is a table of a row per table."""
+    gone = []
+    for r in policy.select("table", "days").distinct().collect():
+        folder, cutoff = tables.Folder(spark, f"{where}/{r.table}"), (now - r.days * unit) // unit
+        for name in folder.names():
+            if name.startswith("day=") and name[4:].lstrip("-").isdigit() and int(name[4:]) < cutoff:
+                folder.delete(name)
+                gone.append(f"{r.table}/{name}")
+    return sorted(gone)
+
+
 def clustered(rows: DataFrame, key: str, time: str, partitions: int) -> DataFrame:
     """Rows dealt by key and sorted by key and falling time within each file, for a rewrite of cold partitions. Keys
     are dealt with a day's salt, so a hot key's days spread over files."""
     return rows.repartition(partitions, key, F.floor(F.col(time) / 86400)).sortWithinPartitions(key, F.desc(time))
 
 
+def audited(rows: DataFrame, key: Sequence[str], sets: dict[str, tuple[str, Sequence]], unique: dict[str, Sequence[str]]) -> DataFrame:
+    """rule, key of every broken rule of one table: `sets` are allowed values of columns (null is allowed), `unique` are
+    columns that together occur once (rows with a null in them are left aside). All rules take one scan and one shuffle:
+    each row gives its outsiders and its unique values, and values that occur twice are broken. The key of a set rule is
+    that of the row, of a unique rule the repeated value."""
+    text = lambda columns: F.concat_ws("|", *columns)
+    found = [F.when(~F.col(c).isin(*allowed), F.struct(F.lit(rule).alias("rule"), text(key).alias("key"), F.lit(True).alias("broken"))) for rule, (c, allowed) in sets.items()]
+    for rule, columns in unique.items():
+        whole = F.lit(True)
+        for c in columns:
+            whole &= F.col(c).isNotNull()
+        found.append(F.when(whole, F.struct(F.lit(rule).alias("rule"), text(columns).alias("key"), F.lit(False).alias("broken"))))
+    each = rows.select(F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.*")
+    counts = each.groupBy("rule", "key").agg(F.count("*").alias("n"), F.bool_or("broken").alias("broken"))
+    return counts.filter("broken or n > 1").select("rule", "key")
+
+
 def duplicate_keys(rows: DataFrame, key: Sequence[str], rule: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit(rule).alias("rule"), F.concat_ws("|", *key).alias("key"))
 
