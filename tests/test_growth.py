@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidepool.operators import ledger
 
 
-def rows_of(df, kind: str) -> list[int]:
-    """The rows given by each operator of a kind in the plan that df ran with."""
+def rows_of(df, kind: str, metric: str = "numOutputRows") -> list[int]:
+    """The rows given (or another metric) by each operator of a kind in the plan that df ran with."""
     out, todo = [], [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
@@ -20,7 +20,7 @@ def rows_of(df, kind: str) -> list[int]:
         else:
             children = node.children()
             todo += [children.apply(i) for i in range(children.size())]
-        rows = node.metrics().get("numOutputRows")
+        rows = node.metrics().get(metric)
         if kind in name and rows.isDefined():
             out.append(rows.get().value())
     return out
@@ -34,3 +34,24 @@ def test_positions_meet_bins_and_not_their_states(spark):
     assert {r.position_id: r.fees for r in out.collect()} == {1: 7992 * 2 * 3 + 7992 * 2, 2: 7992 * 2}
     joined = rows_of(out, "Join")
     assert joined and max(joined) <= 5
+
+
+def test_marks_are_not_shuffled(spark):
+    prices = spark.range(3000).select(F.lit("p").alias("pool"), (F.col("id") * 100).alias("t"), F.lit(2).cast("decimal(18,8)").alias("price"), (F.col("id") % 5).cast("int").alias("bin_id"))
+    positions = spark.createDataFrame([(i, "p", 1, 3) for i in range(20)], "position_id int, pool string, lower_bin int, upper_bin int")
+    flows = spark.createDataFrame([(i, 100_000 * i, 1) for i in range(20)], "position_id int, t long, amount int").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    out = ledger.valuations(positions, flows, prices)
+    rows = out.collect()
+    assert len(rows) == 60_000
+    assert all(r.hold_value == (2 if r.t >= 100_000 * r.position_id else 0) and r.in_range == (1 <= r.t // 100 % 5 <= 3) for r in rows)
+    shuffled = rows_of(out, "Exchange", "shuffleRecordsWritten")
+    assert shuffled and max(shuffled) <= 3000
+
+
+def test_deposits_held_at_a_price(spark):
+    positions = spark.createDataFrame([(1, "p", 0, 1), (2, "p", 0, 1), (None, "p", 0, 1), (3, "q", 0, 1)], "position_id int, pool string, lower_bin int, upper_bin int")
+    flows = spark.createDataFrame([(1, 100, 5), (1, 100, 1), (1, 90_000, 3), (1, None, 70), (1, 50, None), (None, 10, 9), (8, 10, 9)], "position_id int, t long, amount int").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    prices = spark.createDataFrame([("p", 99), ("p", 100), ("p", 89_999), ("p", 90_000), ("p", 900_000), ("p", None), ("r", 5)], "pool string, t long").withColumns({"price": F.lit(1).cast("decimal(18,8)"), "bin_id": F.lit(0)})
+    got = {(r.position_id, r.t): r.hold_value for r in ledger.valuations(positions, flows, prices).collect()}
+    times = [99, 100, 89_999, 90_000, 900_000, None]
+    assert got == {(1, t): v for t, v in zip(times, [0, 6, 6, 9, 9, 0], strict=True)} | {(k, t): 0 for k in (2, None) for t in times}
