@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepool.operators import ledger
+import __spark_entry__ as entry
+from tests.conftest import SF
+from tidepool.functions import prices
+from tidepool.operators import enrich, ledger
 
 
 def rows_of(df, kind: str, metric: str = "numOutputRows") -> list[int]:
@@ -55,3 +58,18 @@ def test_deposits_held_at_a_price(spark):
     got = {(r.position_id, r.t): r.hold_value for r in ledger.valuations(positions, flows, prices).collect()}
     times = [99, 100, 89_999, 90_000, 900_000, None]
     assert got == {(1, t): v for t, v in zip(times, [0, 6, 6, 9, 9, 0], strict=True)} | {(k, t): 0 for k in (2, None) for t in times}
+
+
+def test_a_price_is_made_once_for_each_bin_and_step(spark):
+    rows = spark.range(600).select("id", (F.col("id") % 7 - 3).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 3 * 50).alias("b"), F.when(F.col("id") % 11 > 0, F.col("id") % 2 + 20).cast("int").alias("bin_step"))
+    out = enrich.with_prices(rows, {"p": "a", "q": "b"}, rows)
+    pairs = [(a, s) for a in (-3, -2, -1, 0, 1, 2, 3, 50, 100) for s in (20, 21)]
+    want = {(r.b, r.s): r.p for r in spark.createDataFrame(pairs, "b long, s int").select("b", "s", prices.exact_price(F.col("b"), F.col("s")).alias("p")).collect()}
+    got = out.collect()
+    assert len(got) == 600
+    assert all((r.p, r.q) == (want.get((r.a, r.bin_step)), want.get((r.b, r.bin_step))) for r in got)
+    assert max(rows_of(out, "Scan parquet")) == len(pairs)
+
+
+def test_plans_of_prices_hold_no_products(spark):
+    assert "aggregate(" not in entry.queries()["exact_bin_prices"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

@@ -69,9 +69,9 @@ _EXACT = exact_price_ctes("exact", "select pool, event_id, event_id * 7 % 20001
 @query(sql("select event_id, bin_id, bin_step, (q // 18446744073709551616)::varchar as high, (q % 18446744073709551616)::varchar as low, price from exact", "e", "pools", **_EXACT))
 def exact_bin_prices(t: Tables) -> DataFrame:
     """The price of a bin of each event's pool in fixed point (whole part and 64-bit fraction, as text) and as a double."""
-    dims = t.pools().select("pool", "bin_step", prices.ladder(F.col("bin_step")).alias("squares"))
-    rows = t.events().select("pool", "event_id", (F.col("event_id") * 7 % 20001 - 10000).alias("bin_id")).join(dims, "pool")
-    rows = rows.select("event_id", "bin_id", "bin_step", prices.digits(F.col("bin_id"), F.col("squares")).alias("q"))
+    pools = t.pools().select("pool", "bin_step")
+    rows = t.events().select("pool", "event_id", (F.col("event_id") * 7 % 20001 - 10000).alias("bin_id")).join(pools, "pool")
+    rows = enrich.with_prices(rows.drop("pool"), {"q": "bin_id"}, pools, digits=True)
     half = lambda i: (F.col("q")[i].cast("decimal(20,0)") * 2**32 + F.col("q")[i + 1]).cast("decimal(20,0)").cast("string")
     return rows.select("event_id", "bin_id", "bin_step", half(0).alias("high"), half(2).alias("low"), prices.as_double(F.col("q")).alias("price"))
 
