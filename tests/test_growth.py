@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -71,5 +72,6 @@ def test_a_price_is_made_once_for_each_bin_and_step(spark):
     assert max(rows_of(out, "Scan parquet")) == len(pairs)
 
 
-def test_plans_of_prices_hold_no_products(spark):
-    assert "aggregate(" not in entry.queries()["exact_bin_prices"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+@pytest.mark.parametrize("name", ["exact_bin_prices", "proposed_ranges"])
+def test_plans_of_prices_hold_no_products(spark, name):
+    assert "aggregate(" not in entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
