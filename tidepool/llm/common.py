@@ -15,6 +15,8 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,6 +162,22 @@ def chunks(texts: Sequence[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[i
         yield start, len(texts)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of neighbouring rows of at most `limit` bytes in a column (a larger row is alone), so
+    that a task holds few of a batch's texts as Python strings, however long they are. What Arrow has freed meanwhile
+    goes back after each batch, as workers live on into the next stages."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def folded_bytes(texts: Sequence[str | None]) -> list[bytes]:
     """UTF-8 with A-Z lower-cased (bytes.lower touches ASCII only); null as empty."""
     return [b"" if t is None else t.encode("utf-8").lower() for t in texts]

@@ -12,7 +12,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import PLAIN_WORDS, chunks, folded_bytes, mix, placed_word_hashes, table, unused, word_hashes
+from tidepool.llm.common import PLAIN_WORDS, by_bytes, chunks, folded_bytes, mix, placed_word_hashes, table, unused, word_hashes
 
 WINDOW = 13
 #: Bytes of benchmark text that one pass over the documents holds, so that what is broadcast has a bound. More text
@@ -264,7 +264,7 @@ def _pass(key: str, items: Broadcast, window: int, least: int | None, name: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(key, items, window)
-        for batch in batches:
+        for batch in by_bytes(batches):
             raw, rows = folded_bytes(batch.column("text").to_pylist()), []
             before = batch.column(name).to_pylist()
             for a, b in chunks(raw):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, line_word_hashes, materialised, mix, own_texts, salted_join, table, unused
+from tidepool.llm.common import SPACED_WORDS, by_bytes, chunks, folded_bytes, if_small, line_word_hashes, materialised, mix, own_texts, salted_join, table, unused
 
 #: Words from which on one word of a line may differ; of a shorter line one word is too large a part.
 FUZZY_WORDS = 8
@@ -69,7 +69,7 @@ def _occurrences(least: int):
     """Each line with words: its place, a 128-bit fingerprint of its words, and the keys of its halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             docs, own, raw = batch.column("doc_id"), batch.column("own"), folded_bytes(batch.column("text").to_pylist())
             for a, b in chunks(raw):
                 lines = _Lines(raw[a:b])
@@ -88,7 +88,7 @@ def _occurrences(least: int):
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The deletion neighbourhood: a key for the line as it is (place -1) and for the line without each word."""
-    for batch in batches:
+    for batch in by_bytes(batches):
         docs, own, wanted = batch.column("doc_id"), batch.column("own"), batch.column("lines").to_pylist()
         raw = folded_bytes(batch.column("text").to_pylist())
         for a, b in chunks(raw):
@@ -109,7 +109,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _line_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches):
         docs, own, wanted = batch.column("doc_id"), batch.column("own"), batch.column("lines").to_pylist()
         raw = folded_bytes(batch.column("text").to_pylist())
         rows, numbers, words = [], [], []

@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import SPACED_WORDS, chunks, folded_bytes, if_small, materialised, own_texts, shingle_sets, table, unused, word_hashes
+from tidepool.llm.common import SPACED_WORDS, by_bytes, chunks, folded_bytes, if_small, materialised, own_texts, shingle_sets, table, unused, word_hashes
 from tidepool.llm.near_dup import SKETCH_FIELDS, classes, sketch_columns
 
 
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             raw = folded_bytes(batch.column("text").to_pylist())
             for a, b in chunks(raw):
                 sets = shingle_sets(*word_hashes(raw[a:b], SPACED_WORDS), k)
@@ -25,7 +25,7 @@ def _sketches(k: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             raw = folded_bytes(batch.column("text").to_pylist())
             for a, b in chunks(raw):
                 sets = shingle_sets(*word_hashes(raw[a:b], SPACED_WORDS), k)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import bucket_of, materialised, table, unused
+from tidepool.llm.common import bucket_of, by_bytes, materialised, table, unused
 
 #: Labelled rows that the lexicon and its calibration are learned from: those with the lowest hashes.
 LABELLED_ROWS = 8000
@@ -209,7 +209,7 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
 def _score(lexicon: Lexicon, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in by_bytes(batches):
             x = [features(folded(t.as_py()), automaton) for t in batch.column("text")]
             z = lexicon.bias + np.array(x, dtype=np.float64).reshape(-1, 3) @ np.array(lexicon.slopes)
             score = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
