@@ -61,6 +61,46 @@ def test_deposits_held_at_a_price(spark):
     assert got == {(1, t): v for t, v in zip(times, [0, 6, 6, 9, 9, 0], strict=True)} | {(k, t): 0 for k in (2, None) for t in times}
 
 
+def test_marks_of_sparse_prices_are_not_dealt_by_day(spark):
+    """One price a day for 1200 days, and forty positions with a deposit in between."""
+    prices = spark.range(1200).select(F.lit("p").alias("pool"), (F.col("id") * 86_400 + 5).alias("t"), F.lit(2).cast("decimal(18,8)").alias("price"), F.lit(0).alias("bin_id"))
+    positions = spark.createDataFrame([(i, "p", 0, 1) for i in range(40)], "position_id int, pool string, lower_bin int, upper_bin int")
+    flows = spark.createDataFrame([(i, 86_400 * 25 * i + 5, i + 1) for i in range(40)], "position_id int, t long, amount int").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    out = ledger.valuations(positions, flows, prices)
+    rows = out.collect()
+    assert len(rows) == 48_000
+    assert all(r.hold_value == (2 * (r.position_id + 1) if r.t >= 86_400 * 25 * r.position_id + 5 else 0) for r in rows)
+    assert max(rows_of(out, "Exchange", "shuffleRecordsWritten")) <= 1200
+
+
+def test_marks_of_equal_deposits_are_written_together(spark, tmp_path):
+    prices = spark.range(4000).select(F.lit("p").alias("pool"), (F.col("id") * 500).alias("t"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 10**7).cast("decimal(18,8)").alias("price"), (F.col("id") % 90).cast("int").alias("bin_id"))
+    positions = spark.range(200).select(F.col("id").alias("position_id"), F.lit("p").alias("pool"), F.lit(0).alias("lower_bin"), F.lit(50).alias("upper_bin"))
+    flows = spark.range(200).select(F.col("id").alias("position_id"), F.lit(-1).cast("long").alias("t"), (F.col("id") % 4 + 0.37).cast("decimal(18,2)").alias("amount"))
+    out = ledger.valuations(positions, flows, prices).withColumns({c: F.col(c).cast("double") for c in ("price", "hold_value")})
+    out.write.parquet(str(tmp_path / "marks"))
+    assert spark.read.parquet(str(tmp_path / "marks")).count() == 800_000
+    # a double of its own for each mark would be 8 bytes
+    assert sum(f.stat().st_size for f in (tmp_path / "marks").glob("*.parquet")) < 2 * 800_000
+
+
+@pytest.mark.parametrize(("most", "few"), [(2000, 50), (40, 10), (6, 2), (1, 1)])
+def test_marks_are_whole_however_prices_are_cut(spark, most, few):
+    day, n = 86_400, 30
+    prices = [(pool, t, 1 + t % 7, t % 5) for pool in "pq" for t in sorted({(k * k * 37_777) % (12 * day) - 3 * day for k in range(60)})] + [("p", None, 3, 1), ("p", 2 * day, 3, 1), ("p", 2 * day + 1, 4, 2)]
+    prices = sorted({(pool, t): (pool, t, price, b) for pool, t, price, b in prices}.values(), key=str)
+    flows = [(k % n if k % n != 4 else None, (k * 7919 * 31) % (14 * day) - 4 * day, k % 9 + 1) for k in range(70)] + [(1, 2 * day, 5), (1, 2 * day, 6), (2, None, 50), (3, day, None), (5, day, 2), (5, day + 1, 3)]
+    positions = [(k if k != 6 else None, "pqr"[k % 3], k % 3, 3) for k in range(n)] + [(8, "r", 0, 1), (9, "p", 2, 4)]
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    out = ledger.valuations(
+        frame(positions, "position_id int, pool string, lower_bin int, upper_bin int"), frame(flows, "position_id int, t long, amount int").withColumn("amount", F.col("amount").cast("decimal(18,2)")),
+        frame(prices, "pool string, t long, price int, bin_id int").withColumn("price", F.col("price").cast("decimal(18,8)")), most, few,
+    )
+    sum_at = lambda p, t: sum(a or 0 for i, s, a in flows if None not in (i, s, t) and i == p and s <= t)
+    want = [(p, t, price, low <= b <= high, sum_at(p, t) * price) for p, pool, low, high in positions for of, t, price, b in prices if of == pool]
+    assert sorted(((r.position_id, r.t, int(r.price), r.in_range, int(r.hold_value)) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_a_price_is_made_once_for_each_bin_and_step(spark):
     rows = spark.range(600).select("id", (F.col("id") % 7 - 3).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 3 * 50).alias("b"), F.when(F.col("id") % 11 > 0, F.col("id") % 2 + 20).cast("int").alias("bin_step"))
     out = enrich.with_prices(rows, {"p": "a", "q": "b"}, rows)
